@@ -12,8 +12,9 @@ from __future__ import annotations
 
 import functools
 import hashlib
-import json
+import itertools
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,8 +32,11 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: characters, which newer Unicode versions add to, are split by the tokenizer's library itself.
 AGREED = r"\u0000-\u052F\u2000-\u206F\u20A0-\u20BF\u2100-\u218B\u2190-\u23FF\u2500-\u27BF\u3000-\u30FF\u4E00-\u9FEF\uAC00-\uD7A3\uFF01-\uFFBE\U0001F300-\U0001F64F"
 
+#: A space that a pre-token begins with, and one that might not be.
+SPACE, LOOSE = re.compile(r" (?=\S)"), re.compile(r" (?!\S)")
 
-class Vocabulary:
+
+class Vocabulary(wordtable.Splitter):
     """A byte-level BPE vocabulary file and the two tables made of it."""
 
     def __init__(self, path: str) -> None:
@@ -40,32 +44,50 @@ class Vocabulary:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.full = Tokenizer.from_file(path)
-        self.words = Tokenizer.from_file(path)
-        self.words.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.words.encode_special_tokens = True
-        self.full.no_truncation(), self.full.no_padding(), self.words.no_truncation(), self.words.no_padding()
+        self.words_only = Tokenizer.from_file(path)
+        self.words_only.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.words_only.encode_special_tokens = True
+        self.full.no_truncation(), self.full.no_padding(), self.words_only.no_truncation(), self.words_only.no_padding()
         self.added = {t.content: i for i, t in self.full.get_added_tokens_decoder().items()}
-        self.cut = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
+        self.added_at = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
         self.find = regex.compile(PATTERN).findall
+        self.kind = "uint16" if self.full.get_vocab_size(True) <= 1 << 16 else "uint32"
         self.odd = regex.compile(f"[^{AGREED}]")
 
-    def split(self, text: str) -> list[str]:
-        parts = self.cut.split(text) if self.cut and any(x in text for x in self.added) else [text]
-        out: list[str] = []
-        for p in parts:
-            if p in self.added:
-                out.append(p)
-            elif not p.isascii() and self.odd.search(p):
-                out += [p[a:b] for _, (a, b) in self.full.pre_tokenizer.pre_tokenize_str(p)]
-            else:
-                out += self.find(p)
+    def cut(self, text: str) -> list:
+        """Pieces that can be split into pre-tokens one by one: a pre-token always begins at a space that something
+        other than white space follows. A piece is the text after such a space; what no space stands before, the
+        text's beginning and added tokens, is in a tuple."""
+        out: list = []
+        for k, p in enumerate(self.added_at.split(text)) if self.added and any(x in text for x in self.added) else [(0, text)]:
+            if k % 2:
+                out.append((p, True))
+            elif p:
+                parts = SPACE.split(p) if LOOSE.search(p) else p.split(" ")
+                parts[0] = (parts[0], False)
+                out += parts
         return out
 
-    def encode(self, words: list[str]) -> pa.Array:
-        got = [[self.added[w]] if w in self.added else e.ids for w, e in zip(words, self.words.encode_batch(words, add_special_tokens=False))]
-        lens = np.fromiter(map(len, got), np.int32, len(got))
-        flat = np.fromiter((i for x in got for i in x), np.int32, int(lens.sum()))
-        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lens)]).astype(np.int32)), pa.array(flat))
+    def words(self, piece) -> list[str]:
+        """The pre-tokens of a piece."""
+        if isinstance(piece, tuple):
+            text, added = piece
+            if added:
+                return [text]
+        else:
+            text = " " + piece
+        if not text.isascii() and self.odd.search(text):
+            return [text[a:b] for _, (a, b) in self.full.pre_tokenizer.pre_tokenize_str(text)]
+        return self.find(text)
+
+    def split(self, text: str) -> list[str]:
+        return [w for p in self.cut(text) for w in self.words(p)]
+
+    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each word has, and all ids."""
+        got = [[self.added[w]] if w in self.added else e.ids for w, e in zip(words, self.words_only.encode_batch(words, add_special_tokens=False))]
+        lens = np.fromiter(map(len, got), np.int64, len(got))
+        return lens, np.fromiter(itertools.chain.from_iterable(got), np.int64, int(lens.sum()))
 
     @functools.cached_property
     def pieces(self) -> list[bytes]:
@@ -89,30 +111,20 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def _value_tables(path: str, by_lid: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    lists = by_lid.combine_chunks() if isinstance(by_lid, pa.ChunkedArray) else by_lid
-    offsets = lists.offsets.to_numpy()
-    return lists.values.to_numpy(zero_copy_only=False)[offsets[0] :] if len(offsets) else np.empty(0, np.int32), offsets - (offsets[0] if len(offsets) else 0)
-
-
-def _encoded(docs: DataFrame, path: str, id_col: str, text: str, schema: str, assemble) -> DataFrame:
-    split = lambda t: vocabulary(path).split(t)
-    words = wordtable.once_a_word(wordtable.dictionary(docs, text, split), "ids", "array<int>", lambda: vocabulary(path).encode)
-    return wordtable.put_back(words, "ids", wordtable.coded(docs, id_col, text, split), schema, assemble)
+def _encoded(docs: DataFrame, path: str, id_col: str, text: str, schema: str, assemble: wordtable.Assemble) -> DataFrame:
+    return wordtable.apply(docs, id_col, text, lambda: vocabulary(path), lambda: vocabulary(path).encode, vocabulary(path).kind, schema, assemble)
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids): the ids of each document's text."""
 
-    def assemble(by_lid: pa.Array, packs: Iterator) -> pa.Table:
-        flat, offsets = _value_tables(path, by_lid)
-        lens = np.diff(offsets) if len(offsets) else np.empty(0, np.int64)
+    def assemble(flat: np.ndarray, offsets: np.ndarray, packs: Iterator) -> pa.Table:
+        lens = np.diff(offsets)
         out_ids, out_lens, out_flat = [], [], [np.empty(0, np.int32)]
         for ids, counts, codes in packs:
-            n = lens[codes]
-            out_flat.append(_gather(flat, offsets, codes, n))
-            ends = np.cumsum(np.concatenate([[0], n]))
-            at = np.cumsum(np.concatenate([[0], counts])).astype(np.int64)
+            out_flat.append(wordtable.gather(flat, offsets, codes).astype(np.int32))
+            ends = np.concatenate([[0], np.cumsum(lens[codes])])
+            at = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
             out_lens += (ends[at[1:]] - ends[at[:-1]]).tolist()
             out_ids += ids
         ends = np.concatenate([[0], np.cumsum(out_lens)]).astype(np.int32)
@@ -122,35 +134,30 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text
     return _encoded(docs, path, id_col, text, f"`{id_col}` long, n_tokens long, ids array<int>", assemble)
 
 
-def _gather(flat: np.ndarray, offsets: np.ndarray, codes: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """flat[offsets[c]:offsets[c + 1]] for each c of codes, one after another."""
-    total = int(n.sum())
-    starts = np.repeat(offsets[codes] - np.concatenate([[0], np.cumsum(n)[:-1]]) if len(n) else np.empty(0, np.int64), n)
-    return flat[starts + np.arange(total)].astype(np.int32)
-
-
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): hashes of the decimal ids and of the text decoded from them.
 
-    Within a block each distinct word's ids are joined with the broadcast id-to-piece table once; the pieces
-    follow the ids into place.
+    Within a block each distinct word's ids are joined with the id-to-piece table once; the pieces follow the ids
+    into place.
     """
 
-    def assemble(by_lid: pa.Array, packs: Iterator) -> pa.Table:
+    def assemble(flat: np.ndarray, offsets: np.ndarray, packs: Iterator) -> pa.Table:
         pieces = vocabulary(path).pieces
-        tokens = by_lid.to_pylist()
-        lens = np.fromiter(map(len, tokens), np.int64, len(tokens))
-        decimal = [",".join(map(str, t)) for t in tokens]
-        decoded = [b"".join([pieces[i] for i in t]) for t in tokens]
+        decimals = [str(i) for i in range(len(pieces))]
+        lens, tokens, at = np.diff(offsets), flat.tolist(), offsets.tolist()
+        decimal = [",".join([decimals[i] for i in tokens[a:b]]) for a, b in zip(at, at[1:])]
+        decoded = [b"".join([pieces[i] for i in tokens[a:b]]) for a, b in zip(at, at[1:])]
+        tokens = at = None
         rows: tuple[list, list, list, list] = ([], [], [], [])
         for ids, counts, codes in packs:
-            n, at = lens[codes], 0
-            for doc, k in zip(ids, counts):
-                own = codes[at : at + k].tolist()
+            ends = np.concatenate([[0], np.cumsum(lens[codes])])
+            k = 0
+            for doc, count in zip(ids, counts.tolist()):
+                own = codes[k : k + count].tolist()
                 body = b"".join([decoded[c] for c in own]).decode("utf-8", "replace")
-                for column, value in zip(rows, (doc, int(n[at : at + k].sum()), hashlib.sha256(",".join([decimal[c] for c in own]).encode()).hexdigest(), hashlib.sha256(body.encode()).hexdigest())):
+                for column, value in zip(rows, (doc, int(ends[k + count] - ends[k]), hashlib.sha256(",".join([decimal[c] for c in own]).encode()).hexdigest(), hashlib.sha256(body.encode()).hexdigest())):
                     column.append(value)
-                at += k
+                k += count
         return pa.table({id_col: pa.array(rows[0], pa.int64()), "n_tokens": pa.array(rows[1], pa.int64()), "ids_sha256": pa.array(rows[2], pa.string()), "decoded_sha256": pa.array(rows[3], pa.string())})
 
     return _encoded(docs, path, id_col, text, f"`{id_col}` long, n_tokens long, ids_sha256 string, decoded_sha256 string", assemble)

@@ -1,177 +1,210 @@
 """Distinct-word tables: do work on a word once, then put the results back by position.
 
-Documents are taken in blocks, as the scan deals them out (a block ends at ``BLOCK_BYTES`` of text). A first
-pass writes each block's distinct words, numbered by falling frequency. These rows are shuffled by word, so
-that equal words of all blocks meet and the costly step runs once a word. A second pass splits the texts
-again and writes each document as the numbers of its words; both meet in a cogroup by block, where numbers
-are replaced by results. Only distinct words and packed numbers are shuffled, never one row a word occurrence.
-
-A block's key holds a hash of its words: if the second pass saw other documents than the first (a plan that
-isn't deterministic), no words would be found, and the cogroup raises an error instead of giving wrong rows.
+1. Documents are taken in blocks, as the scan deals them out (a block ends at ``BLOCK_BYTES`` of text). Each block
+   is written, once, as the numbers of its documents' words, packed, and the table of its distinct words, numbered
+   by falling frequency and dealt out to hash buckets.
+2. Word rows are shuffled by bucket, so that equal words of all blocks meet. Each distinct word is worked on once,
+   and the results are written in the words' place.
+3. Results and documents meet in a cogroup by block, where numbers are replaced by results.
+
+Only distinct words and packed numbers are shuffled, never one row a word occurrence. A task holds one block, or
+one bucket's distinct words; the number of buckets grows with the number of shuffle partitions.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import zlib
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larder.llm.common import Written
+
 BLOCK_BYTES = 48 << 20
-#: Rows of word tables and bytes of packed numbers that go to Spark at once.
-ROWS, PACK = 50_000, 8 << 20
+#: Packed numbers (not bytes) in one row.
+PACK = 2 << 20
+LEAST_BUCKETS, MOST_BUCKETS = 64, 4096
 
-Split = Callable[[str], list[str]]
 
+class Splitter:
+    """Text to pieces, cheaply, and a piece to words, once for each distinct piece of a block. By default they are the same."""
 
-def _key(part: int, seq: int, words: list[str]) -> int:
-    h = xxhash.xxh64(f"{part}:{seq}:")
-    for w in words:
-        h.update(w.encode())
-        h.update(b"\0")
-    return int(np.uint64(h.intdigest()).astype(np.int64))
+    def cut(self, text: str) -> list:
+        return text.split()
 
+    def words(self, piece) -> list[str]:
+        return [piece]
 
-def _by_frequency(counts: Counter) -> list[str]:
-    return sorted(counts, key=lambda w: (-counts[w], w))
 
+Split = Callable[[], Splitter]
+#: Words to (how many values each word has, all values one after another).
+Work = Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
 
-def dictionary(docs: DataFrame, text: str, split: Split) -> DataFrame:
-    """(block, lid, word): the distinct words of each block."""
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seq, size, counts = TaskContext.get().partitionId(), 0, 0, Counter()
+def squeeze(raw: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(raw)
 
-        def flush():
-            words = _by_frequency(counts)
-            key = _key(part, seq, words)
-            for i in range(0, len(words), ROWS):
-                some = words[i : i + ROWS]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), key)), pa.array(np.arange(i, i + len(some), dtype=np.int32)), pa.array(some, pa.string())], ["block", "lid", "word"])
-
-        for batch in batches:
-            for t in batch.column(0):
-                t = t.as_py() or ""
-                counts.update(split(t))
-                size += len(t) + 8
-                if size >= BLOCK_BYTES:
-                    yield from flush()
-                    seq, size, counts = seq + 1, 0, Counter()
-        yield from flush()
 
-    return docs.select(text).mapInArrow(run, "block long, lid int, word string")
+def unsqueeze(blob: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(blob)
 
 
 def pack(codes: np.ndarray) -> bytes:
     """Numbers in 7-bit groups, low first, then compressed; frequent words have small numbers."""
     codes = codes.astype(np.uint32)
-    planes = [codes & 127, codes >> 7 & 127, codes >> 14 & 127, codes >> 21 & 127, codes >> 28]
-    more = [codes >> s > 0 for s in (7, 14, 21, 28)]
-    out = np.stack([planes[0] | more[0] * 128, planes[1] | more[1] * 128, planes[2] | more[2] * 128, planes[3] | more[3] * 128, planes[4]], axis=1).astype(np.uint8)
-    keep = np.stack([np.ones(len(codes), bool), *more], axis=1)
-    return zstandard.ZstdCompressor(level=1).compress(out[keep].tobytes())
+    width = 1 + sum((codes >> s > 0).astype(np.int64) for s in (7, 14, 21, 28))
+    at = np.cumsum(width) - width
+    out = np.zeros(int(width.sum()), np.uint8)
+    for k in range(int(width.max(initial=0))):
+        has = np.flatnonzero(width > k)
+        out[at[has] + k] = (codes[has] >> np.uint32(7 * k)).astype(np.uint8) & 127 | np.where(width[has] > k + 1, 128, 0).astype(np.uint8)
+    return squeeze(out.tobytes())
 
 
 def unpack(blob: bytes) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
-    last = raw < 128
-    ends = np.flatnonzero(last)
+    raw = np.frombuffer(unsqueeze(blob), np.uint8)
+    ends = np.flatnonzero(raw < 128)
     starts = np.concatenate([[0], ends[:-1] + 1]) if len(ends) else ends
-    width, out = ends - starts + 1, np.zeros(len(ends), np.int64)
-    for k in range(int(width.max()) if len(width) else 0):
-        has = width > k
+    width, out = ends - starts + 1, (raw[starts] & 127).astype(np.int64)
+    for k in range(1, int(width.max(initial=0))):
+        has = np.flatnonzero(width > k)
         out[has] |= (raw[starts[has] + k].astype(np.int64) & 127) << 7 * k
     return out
 
 
-def coded(docs: DataFrame, id_col: str, text: str, split: Split) -> DataFrame:
-    """(block, ids, lens, codes): some documents of a block with the packed numbers of their words."""
-    schema = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("lens", pa.list_(pa.int32())), ("codes", pa.binary())])
+def gather(flat: np.ndarray, offsets: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """flat[offsets[i]:offsets[i + 1]] for each i of ``at``, one after another."""
+    n = offsets[at + 1] - offsets[at]
+    before = np.cumsum(n) - n
+    return flat[np.repeat(offsets[at] - before, n) + np.arange(int(n.sum()))]
+
+
+_BLOCK = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("ids", pa.list_(pa.int64())), ("lens", pa.binary()), ("lids", pa.binary()), ("body", pa.binary())])
+
+
+def _row(block: int, bucket: int | None, ids: list | None, lens: bytes, lids: bytes | None, body: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([bucket], pa.int32()), pa.array([ids], pa.list_(pa.int64())), pa.array([lens], pa.binary()), pa.array([lids], pa.binary()), pa.array([body], pa.binary())], schema=_BLOCK)
+
+
+def blocks(docs: DataFrame, id_col: str, text: str, split: Split, buckets: int) -> DataFrame:
+    """Rows of two kinds. Without a bucket: some documents' ids, how many words each has, their packed numbers. With
+    one: the lengths of words in bytes, their numbers, and the words."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seq, size = TaskContext.get().partitionId(), 0, 0
-        number: dict[str, int] = {}
+        part, seq, size, by = TaskContext.get().partitionId(), 0, 0, split()
+        number: dict = {}
         ids: list = []
         rows: list[np.ndarray] = []
 
         def flush():
-            flat = np.concatenate([*rows, np.empty(0, np.int32)])
-            seen = list(number)
-            n = np.bincount(flat, minlength=len(seen))
-            words = _by_frequency(dict(zip(seen, n.tolist())))
-            to = np.empty(len(words), np.int32)
-            to[np.fromiter((number[w] for w in words), np.int64, len(words))] = np.arange(len(words), dtype=np.int32)
-            key, at, lens = _key(part, seq, words), 0, [len(r) for r in rows]
+            block, times = part << 24 | seq, np.zeros(len(number), np.int64)
+            for i in range(0, len(rows), 1000):
+                times += np.bincount(np.concatenate(rows[i : i + 1000]), minlength=len(number))
+            # pieces to words, words to numbers by falling frequency
+            seen: dict[str, int] = {}
+            flat, lens = [], []
+            for piece in number:
+                ws = by.words(piece)
+                lens.append(len(ws))
+                flat += [seen.setdefault(w, len(seen)) for w in ws]
+            flat, lens = np.array(flat, np.int32), np.array(lens, np.int64)
+            offsets = np.concatenate([[0], np.cumsum(lens)]).astype(np.int64)
+            order = np.argsort(-np.bincount(flat, np.repeat(times, lens), len(seen)), kind="stable")
+            lid = np.empty(len(seen), np.int32)
+            lid[order] = np.arange(len(seen), dtype=np.int32)
+            flat = lid[flat]
+            at = 0
             while at < len(rows):
-                end, total = at, 0
-                while end < len(rows) and (end == at or total + lens[end] <= PACK):
-                    total, end = total + lens[end], end + 1
-                blob = pack(to[np.concatenate(rows[at:end])] if total else np.empty(0, np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([ids[at:end]], pa.list_(pa.int64())), pa.array([lens[at:end]], pa.list_(pa.int32())), pa.array([blob])], schema=schema)
+                end, total, counts, parts = at, 0, [], []
+                while end < len(rows) and (end == at or total <= PACK):
+                    parts.append(gather(flat, offsets, rows[end]) if len(rows[end]) else np.empty(0, np.int32))
+                    counts.append(len(parts[-1]))
+                    total, end = total + counts[-1], end + 1
+                yield _row(block, None, ids[at:end], pack(np.array(counts)), None, pack(np.concatenate(parts)))
                 at = end
+            words = [w.encode("utf-8", "surrogatepass") for w in seen]
+            bucket = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int32, len(words))[order]
+            by_bucket = np.argsort(bucket, kind="stable")  # within a bucket, numbers rise
+            cuts = np.searchsorted(bucket[by_bucket], np.arange(buckets + 1))
+            for b in np.flatnonzero(np.diff(cuts)):
+                own = by_bucket[cuts[b] : cuts[b + 1]]
+                some = [words[i] for i in order[own]]
+                yield _row(block, int(b), None, pack(np.fromiter(map(len, some), np.int64, len(some))), pack(np.diff(own, prepend=0)), squeeze(b"".join(some)))
 
         for batch in batches:
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1)):
                 t = t.as_py() or ""
-                ws = split(t)
-                rows.append(np.fromiter([number.setdefault(w, len(number)) for w in ws], np.int32, len(ws)))
+                pieces = by.cut(t)
+                rows.append(np.fromiter([number.setdefault(w, len(number)) for w in pieces], np.int32, len(pieces)))
                 ids.append(i)
                 size += len(t) + 8
                 if size >= BLOCK_BYTES:
                     yield from flush()
                     seq, size = seq + 1, 0
                     number, ids, rows = {}, [], []
-        yield from flush()
-
-    return docs.select(F.col(id_col).cast("long"), F.col(text)).mapInArrow(run, "block long, ids array<long>, lens array<int>, codes binary")
+        if ids:
+            yield from flush()
 
+    return docs.select(F.col(id_col).cast("long"), F.col(text)).mapInArrow(run, "block long, bucket int, ids array<long>, lens binary, lids binary, body binary")
 
-def once_a_word(words: DataFrame, column: str, kind: str, work: Callable[[], Callable[[list[str]], pa.Array]]) -> DataFrame:
-    """(block, lid, column): ``work()`` gives the function that runs on each distinct word exactly once.
 
-    Rows are dealt out by word and sorted, so equal words stand together; a block has a word once, so no word
-    has more rows than there are blocks.
-    """
+def once_a_word(words: DataFrame, work: Callable[[], Work], kind: str) -> DataFrame:
+    """(block, lens, lids, body): values in the words' place. ``work()`` gives the function that gets each distinct
+    word exactly once; values are numbers of numpy's type ``kind``."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        do, last, kept = work(), None, None
+        do, bucket = work(), None
+        known: dict[bytes, int] = {}
+        lens, flat = np.empty(0, np.int64), np.empty(0, kind)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            ws = batch.column(2).to_pylist()
-            starts = [i for i, w in enumerate(ws) if i == 0 or w != ws[i - 1]]
-            ends = [*starts[1:], len(ws)]
-            fresh = starts if ws[0] != last else starts[1:]
-            got = do([ws[i] for i in fresh]) if fresh else None
-            parts = [x for x in ([kept] if fresh is not starts else []) + [got] if x is not None]
-            values = pa.concat_arrays(parts) if len(parts) > 1 else parts[0]
-            run_of = np.repeat(np.arange(len(starts)), np.subtract(ends, starts))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), values.take(pa.array(run_of))], ["block", "lid", column])
-            last, kept = ws[-1], values.slice(len(values) - 1)
+            for block, b, n, lids, body in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                if b != bucket:
+                    bucket, known, lens, flat = b, {}, np.empty(0, np.int64), np.empty(0, kind)
+                raw, ends = unsqueeze(body), np.cumsum(unpack(n)).tolist()
+                ws = [raw[x:y] for x, y in zip([0, *ends], ends)]
+                fresh = [w for w in ws if w not in known]
+                if fresh:
+                    more, values = do([w.decode("utf-8", "surrogatepass") for w in fresh])
+                    known |= zip(fresh, range(len(known), len(known) + len(fresh)))
+                    lens, flat = np.concatenate([lens, more]), np.concatenate([flat, values.astype(kind)])
+                at = np.fromiter((known[w] for w in ws), np.int64, len(ws))
+                offsets = np.concatenate([[0], np.cumsum(lens)])
+                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([pack(lens[at])], pa.binary()), pa.array([lids], pa.binary()), pa.array([squeeze(gather(flat, offsets, at).tobytes())], pa.binary())], ["block", "lens", "lids", "body"])
+
+    return words.select("block", "bucket", "lens", "lids", "body").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "block long, lens binary, lids binary, body binary")
+
 
-    return words.repartition("word").sortWithinPartitions("word").mapInArrow(run, f"block long, lid int, {column} {kind}")
+#: (values of all words flat, where each word's begin), and packs of (ids, numbers of words, words' numbers).
+Assemble = Callable[[np.ndarray, np.ndarray, Iterator[tuple[list, np.ndarray, np.ndarray]]], pa.Table]
 
 
-def put_back(values: DataFrame, column: str, docs: DataFrame, schema: str, assemble: Callable[[pa.Array, Iterator[tuple[list, list[int], np.ndarray]]], pa.Table]) -> DataFrame:
-    """Join results to documents by block. ``assemble`` gets a block's results by number, and its packs of documents."""
+def apply(docs: DataFrame, id_col: str, text: str, split: Split, work: Callable[[], Work], kind: str, schema: str, assemble: Assemble) -> DataFrame:
+    """Split, work on each distinct word once, join back by block and position, and ``assemble`` each block's rows."""
+    buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    stored = Written(blocks(docs, id_col, text, split, buckets), "blocks").frame
+    values = once_a_word(stored.where("bucket is not null"), work, kind)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        order = np.argsort(left.column("lid").to_numpy(), kind="stable")
-        by_lid = left.column(column).combine_chunks().take(pa.array(order))
+        parts = [(np.cumsum(unpack(lids)), unpack(n), np.frombuffer(unsqueeze(body), kind)) for n, lids, body in zip(*(left.column(c).to_pylist() for c in ("lens", "lids", "body")))]
+        size = 1 + max((int(at[-1]) for at, _, _ in parts), default=-1)
+        lens = np.zeros(size, np.int64)
+        for at, n, _ in parts:
+            lens[at] = n
+        offsets = np.concatenate([[0], np.cumsum(lens)])
+        flat = np.empty(int(offsets[-1]), kind)
+        for at, n, own in parts:
+            flat[np.repeat(offsets[at] - (np.cumsum(n) - n), n) + np.arange(len(own))] = own
 
         def packs():
-            for ids, lens, codes in zip(right.column("ids").to_pylist(), right.column("lens").to_pylist(), right.column("codes").to_pylist()):
-                found = unpack(codes)
-                if len(found) and int(found.max()) >= len(by_lid):
-                    raise ValueError("the documents changed between two reads; write them to a table first")
-                yield ids, lens, found
+            for ids, n, codes in zip(*(right.column(c).to_pylist() for c in ("ids", "lens", "body"))):
+                yield ids, unpack(n), unpack(codes)
 
-        return assemble(by_lid, packs())
+        return assemble(flat, offsets, packs())
 
-    return values.groupBy("block").cogroup(docs.groupBy("block")).applyInArrow(run, schema)
+    texts = stored.where("bucket is null").select("block", "ids", "lens", "body")
+    return values.groupBy("block").cogroup(texts.groupBy("block")).applyInArrow(run, schema)
