@@ -46,8 +46,8 @@ Split = Callable[[], Splitter]
 Work = Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
 
 
-def squeeze(raw: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(raw)
+def squeeze(raw: bytes, level: int = 3) -> bytes:
+    return zstandard.ZstdCompressor(level=level).compress(raw)
 
 
 def unsqueeze(blob: bytes) -> bytes:
@@ -55,25 +55,33 @@ def unsqueeze(blob: bytes) -> bytes:
 
 
 def pack(codes: np.ndarray) -> bytes:
-    """Numbers in 7-bit groups, low first, then compressed; frequent words have small numbers."""
+    """Numbers in 7-bit groups, low first; all numbers' first bytes, then all others, are compressed each by itself.
+    Frequent words have small numbers."""
     codes = codes.astype(np.uint32)
-    width = 1 + sum((codes >> s > 0).astype(np.int64) for s in (7, 14, 21, 28))
+    long = codes > 127
+    first = (codes & 127 | np.where(long, 128, 0)).astype(np.uint8)
+    more = codes[long] >> np.uint32(7)
+    width = 1 + sum((more >> s > 0).astype(np.int64) for s in (7, 14, 21))
     at = np.cumsum(width) - width
-    out = np.zeros(int(width.sum()), np.uint8)
+    rest = np.zeros(int(width.sum()), np.uint8)
     for k in range(int(width.max(initial=0))):
         has = np.flatnonzero(width > k)
-        out[at[has] + k] = (codes[has] >> np.uint32(7 * k)).astype(np.uint8) & 127 | np.where(width[has] > k + 1, 128, 0).astype(np.uint8)
-    return squeeze(out.tobytes())
+        rest[at[has] + k] = (more[has] >> np.uint32(7 * k)).astype(np.uint8) & 127 | np.where(width[has] > k + 1, 128, 0).astype(np.uint8)
+    head = squeeze(first.tobytes(), 9)
+    return len(head).to_bytes(4, "little") + head + squeeze(rest.tobytes(), 9)
 
 
 def unpack(blob: bytes) -> np.ndarray:
-    raw = np.frombuffer(unsqueeze(blob), np.uint8)
-    ends = np.flatnonzero(raw < 128)
+    cut = 4 + int.from_bytes(blob[:4], "little")
+    first, rest = np.frombuffer(unsqueeze(blob[4:cut]), np.uint8), np.frombuffer(unsqueeze(blob[cut:]), np.uint8)
+    out = (first & 127).astype(np.int64)
+    ends = np.flatnonzero(rest < 128)
     starts = np.concatenate([[0], ends[:-1] + 1]) if len(ends) else ends
-    width, out = ends - starts + 1, (raw[starts] & 127).astype(np.int64)
+    width, more = ends - starts + 1, (rest[starts] & 127).astype(np.int64)
     for k in range(1, int(width.max(initial=0))):
         has = np.flatnonzero(width > k)
-        out[has] |= (raw[starts[has] + k].astype(np.int64) & 127) << 7 * k
+        more[has] |= (rest[starts[has] + k].astype(np.int64) & 127) << 7 * k
+    out[first > 127] |= more << 7
     return out
 
 
