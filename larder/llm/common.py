@@ -38,7 +38,14 @@ class Written:
         df.observe(seen, F.count(F.lit(1)).alias("rows"), mark).write.parquet(self.path)
         self.rows, self.mark = seen.get["rows"], seen.get["mark"]
         self.frame = self.spark.read.schema(df.schema).parquet(self.path)
+        folder, path = self._folder()
+        folder.deleteOnExit(path)  # a lazy result may read it as long as the application runs
 
-    def drop(self) -> None:
+    def _folder(self):
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def drop(self) -> None:
+        """Delete it now, when nothing will read it any more."""
+        folder, path = self._folder()
+        folder.delete(path, True)
