@@ -100,14 +100,14 @@ def s18(spark, d):
     return attempts(spark, d).select("conv_id", "turn", F.to_json(body).alias("outcome"))
 
 
-CELLS = "l_orderkey as page, l_linenumber * 100000 + l_partkey as cell, l_linenumber * 10 + cast(l_quantity as int) as y, cast(l_extendedprice / 100 as int) as x, 12 + cast(l_tax * 100 as int) as h, 20 + l_linenumber as w"
+CELLS = "l_orderkey as page, ((l_linenumber * 100000L + l_partkey) * 1000 + l_suppkey) * 100 + cast(l_quantity as int) as cell, l_linenumber * 10 + cast(l_quantity as int) as y, cast(l_extendedprice / 100 as int) as x, 12 + cast(l_tax * 100 as int) as h, 20 + l_linenumber as w"
 
 
 def cells(spark, d):
-    return table(spark, d, "lineitem").where("l_orderkey < 2000").selectExpr(*CELLS.replace("as int)", "as int)").split(", ")).dropDuplicates(["page", "cell"])
+    return table(spark, d, "lineitem").where("l_orderkey < 2000").selectExpr(*CELLS.split(", ")).distinct()
 
 
-DUCK_CELLS = "(select distinct l_orderkey as page, l_linenumber * 100000 + l_partkey as cell, l_linenumber * 10 + cast(trunc(l_quantity) as integer) as y, cast(trunc(l_extendedprice / 100) as integer) as x, 12 + cast(trunc(l_tax * 100) as integer) as h, 20 + l_linenumber as w from lineitem where l_orderkey < 2000)"
+DUCK_CELLS = "(select distinct l_orderkey as page, ((l_linenumber * 100000 + l_partkey) * 1000 + l_suppkey) * 100 + cast(trunc(l_quantity) as integer) as cell, l_linenumber * 10 + cast(trunc(l_quantity) as integer) as y, cast(trunc(l_extendedprice / 100) as integer) as x, 12 + cast(trunc(l_tax * 100) as integer) as h, 20 + l_linenumber as w from lineitem where l_orderkey < 2000)"
 ANCHOR = f"""with recursive c as (select * exclude n, row_number() over (partition by page order by y, x, h, cell) as n, greatest(8, cast(trunc(0.5 * avg(h) over (partition by page)) as integer)) as tol from (select *, row_number() over (partition by page, cell order by y, x, h) as n from {DUCK_CELLS}) where n = 1),
     walk as (select page, cell, y, x, n, 0 as row, y as anchor from c where n = 1 union all select c.page, c.cell, c.y, c.x, c.n, case when abs(c.y - w.anchor) > c.tol then w.row + 1 else w.row end, case when abs(c.y - w.anchor) > c.tol then c.y else w.anchor end from walk w join c on c.page = w.page and c.n = w.n + 1)"""
 

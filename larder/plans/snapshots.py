@@ -76,7 +76,7 @@ def m11(spark, d):
     return history.upsert(old, new, ["p_partkey"])
 
 
-@query("m01_insert_new", """select c_custkey as id, lower(c_name) as email from customer where c_custkey < 700 union all select s_suppkey + 650, lower(s_name) from supplier where s_suppkey + 650 >= 700""")
+@query("m01_insert_new", """select c_custkey as id, lower(c_name) as email from customer where c_custkey < 700 union all select s_suppkey + 650, lower(s_name) from supplier where s_suppkey + 650 not in (select c_custkey from customer where c_custkey < 700)""")
 def m01(spark, d):
     old = table(spark, d, "customer").where("c_custkey < 700").selectExpr("c_custkey as id", "lower(c_name) as email")
     return history.insert_new(old, table(spark, d, "supplier").selectExpr("s_suppkey + 650 as id", "lower(s_name) as email"), ["id"])
