@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from larder.functions import images
 from larder.operators import history
+from larder.operators import search as find
 from larder.plans.registry import query, table
 from larder.sources import presets as P
 
@@ -54,3 +55,95 @@ def i27(spark, d):
 @query("i23_grid_density")
 def i23(spark, d):
     return images.processed(pictures(spark, d).withColumn("steps", F.lit("")), "p_partkey", "steps").select("key", "density")
+
+
+@query("o12_error_precedence", """select event_id, case when event_id % 2 = 0 then 'auth_error' when event_id % 3 = 0 then 'quota_exceeded' when event_id % 5 = 0 then 'timeout' else 'generic_error' end as error,
+    array_to_string(list_filter([case when event_id % 2 = 0 and event_id % 3 = 0 then 'quota_exceeded' end, case when event_id % 5 = 0 and (event_id % 2 = 0 or event_id % 3 = 0) then 'timeout' end], lambda x: x is not null), ',') as secondary from events""")
+def o12(spark, d):
+    from larder.sources.options import error_of
+
+    classes = F.filter(F.array(F.expr("case when event_id % 5 = 0 then 'timeout' end"), F.expr("case when event_id % 3 = 0 then 'quota_exceeded' end"), F.expr("case when event_id % 2 = 0 then 'auth_error' end")), lambda c: c.isNotNull())
+    e = table(spark, d, "events").select("event_id", error_of(classes).alias("e"))
+    return e.select("event_id", "e.error", F.array_join("e.secondary", ",").alias("secondary"))
+
+
+@query("f37_prompt", """select p_partkey, case when p_partkey % 3 = 0 then '' else 'Produto: "' || p_name || '"' || chr(10) end || '{"size":' || p_size || '}' || case when p_size % 2 = 0 then chr(10) || chr(10) || '--- Tabela Nutricional (apoio) ---' || chr(10) || p_type else '' end as prompt from part""")
+def f37(spark, d):
+    from larder.sources.options import prompt
+
+    label, body = F.expr("case when p_partkey % 3 <> 0 then p_name end"), F.to_json(F.struct(F.col("p_size").alias("size")))
+    return table(spark, d, "part").select("p_partkey", prompt(label, body, F.expr("case when p_size % 2 = 0 then p_type end")).alias("prompt"))
+
+
+@query("p15_refusal_markers", """select doc_id, case when trim(text, E' \\n\\t\\r') = '' then false else regexp_matches(lower(text), 'não há|nao ha|nenhum ingrediente|texto fornecido') or (length(trim(text, E' \\n\\t\\r')) > 60 and not contains(text, ',')) end as refusal from documents""")
+def p15(spark, d):
+    from larder.sources.options import is_refusal
+
+    return table(spark, d, "documents").select("doc_id", is_refusal(F.col("text")).alias("refusal"))
+
+
+@query("p13_kept_tokens", "select c_custkey, w from (select c_custkey, unnest(['x', 'xy', cast(c_nationkey as varchar), cast(c_custkey as varchar) || 'a', c_mktsegment]) as w from customer) where length(w) >= 2 and not regexp_full_match(w, '[0-9]+')")
+def p13(spark, d):
+    from larder.functions.text import split_items
+
+    joined = F.expr("concat('x,xy,', c_nationkey, ',', c_custkey, 'a,', c_mktsegment)")
+    return table(spark, d, "customer").select("c_custkey", F.explode(split_items(joined)).alias("w"))
+
+
+@query("w08_positions", "select p_partkey, cast(n - 1 as integer) as pos, w from (select p_partkey, unnest(range(1, len(s) + 1)) as n, unnest(s) as w from (select p_partkey, string_split(p_name, ' ') as s from part))")
+def w08(spark, d):
+    return table(spark, d, "part").select("p_partkey", F.posexplode(F.split("p_name", " ")).alias("pos", "w"))
+
+
+@query("a18_keyword_total", """select conv_id, turn, cast((case when contains(' ' || w || ' ', ' de ') then 1 else 0 end) + (case when contains(' ' || w || ' ', ' the ') then 1 else 0 end) as integer) as hits from (select *, trim(regexp_replace(regexp_replace(lower(strip_accents(text)), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g')) as w from conversations)""")
+def a18(spark, d):
+    from larder.operators.cascade import keyword_hits
+
+    return table(spark, d, "conversations").select("conv_id", "turn", keyword_hits(F.col("text"), ("de", "the"), 0).alias("hits"))
+
+
+@query("s10_vocabulary", "select w as word, count(*) as n from (select unnest(string_split(p_name, ' ')) as w from part) group by w")
+def s10(spark, d):
+    return table(spark, d, "part").select(F.explode(F.split("p_name", " ")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("s15_external_text", "select p_partkey, case when p_partkey % 2 = 0 then upper(p_name) else p_name end as p_name from part")
+def s15(spark, d):
+    """A stand-in for an outside model, which gives nothing for some texts."""
+    from larder.sources.options import external
+
+    part = table(spark, d, "part").select("p_partkey", F.expr("case when p_partkey % 2 = 0 then p_name else concat('!', p_name) end").alias("p_name"))
+    out = external(part, "p_name", lambda texts: [t.upper() if t[0] != "!" else None for t in texts])
+    return out.withColumn("p_name", F.regexp_replace("p_name", "^!", ""))
+
+
+@query("j06_not_revoked", "select event_id from events where event_id not in (select event_id from events where event_type = 'error')")
+def j06(spark, d):
+    e = table(spark, d, "events").select("event_id", "event_type")
+    return history.delete(e, e.where("event_type = 'error'"), ["event_id"]).select("event_id")
+
+
+@query("a17_dark_share")
+def a17(spark, d):
+    return images.processed(pictures(spark, d).withColumn("steps", F.lit("")), "p_partkey", "steps").select("key", "dark")
+
+
+@query("r01_scan_page_with_total", """select event_id, k, total from (select event_id, ts, props ->> '$.k' as k from events where user_id = 8 order by ts desc, event_id limit 5), (select count(*) as total from events where user_id = 8)""")
+def r01(spark, d):
+    """A page of a user's scans as the route gives it: fields of the payload, and the total as a second aggregate."""
+    mine = table(spark, d, "events").where("user_id = 8")
+    total = mine.groupBy("user_id").agg(F.count(F.lit(1)).alias("total"))
+    rows = find.page(mine.select("event_id", "ts", "user_id", F.get_json_object("props", "$.k").alias("k")), [F.desc("ts"), F.asc("event_id")], 1, 5)
+    return rows.join(total, "user_id").select("event_id", "k", "total")
+
+
+@query("r02_product_with_children", """select barcode, name, coalesce(n, 0) as lines, summary from (select p_partkey as barcode, p_name as name from part) left join (select l_partkey as barcode, count(*) as n from lineitem group by 1) using (barcode)
+    left join (select l_partkey as barcode, max(l_shipmode) as summary from (select l_partkey, l_returnflag as l_shipmode from lineitem where l_quantity > 45) group by 1) using (barcode)""")
+def r02(spark, d):
+    from larder.operators.lookup import with_children
+
+    lines = table(spark, d, "lineitem").withColumnRenamed("l_partkey", "barcode")
+    parts = table(spark, d, "part").selectExpr("p_partkey as barcode", "p_name as name")
+    once = with_children(parts, lines.groupBy("barcode").agg(F.count(F.lit(1)).alias("lines")), "barcode", "lines")
+    both = with_children(once, lines.where("l_quantity > 45").groupBy("barcode").agg(F.max("l_returnflag").alias("summary")), "barcode", "summary")
+    return both.withColumn("lines", F.coalesce("lines", F.lit(0)))
