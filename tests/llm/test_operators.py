@@ -381,6 +381,15 @@ def test_schedule_places_every_row_once(spark):
     assert rows(mixing.schedule(empty, mixing.tempered(empty))) == []
 
 
+def test_many_sources_share_a_weight(spark):
+    docs = spark.createDataFrame([(i, f"s{i % 600}") for i in range(3000)] + [(9000 + i, "hot") for i in range(1500)], "doc_id long, source string")
+    got = rows(mixing.schedule(docs, mixing.tempered(docs), block=4))
+    assert len(got) == 4500 and len({(r[3], r[4]) for r in got}) == 4500 and all(r[3] is not None for r in got)
+    some = spark.createDataFrame([("hot", 2.0), ("s1", 1.0)], "source string, weight double")
+    out = rows(mixing.schedule(docs, some, block=4))
+    assert {r[1] for r in out if r[3] is not None} == {"hot", "s1"} and len(out) == 4500
+
+
 def test_mixing_plan_is_native(spark):
     docs = odd_documents(spark)
     plan = mixing.mixed(docs, mixing.tempered(docs))._jdf.queryExecution().toString()
