@@ -30,9 +30,9 @@ def t01(spark, d):
     return history.purge(table(spark, d, "events"), "ts", "2024-01-20").groupBy(F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("kept"))
 
 
-def pictures(spark, d, most=40):
-    """Grey pictures drawn from parts: stripes and blocks of different darkness."""
-    part = table(spark, d, "part").where(f"p_partkey < {most}")
+def pictures(spark, d):
+    """A grey picture for each supplier: stripes and blocks of different darkness."""
+    part = table(spark, d, "supplier").selectExpr("s_suppkey as p_partkey", "s_suppkey % 50 as p_size")
     pixel = "cast(case when (i div 64) % (5 + p_size % 7) = 0 then 20 when (i % 64) % (9 + p_size % 5) < 2 then 90 else 200 + (i * p_size) % 40 end as int)"
     hexes = F.array_join(F.expr(f"transform(sequence(0, 64 * 48 - 1), i -> lpad(hex({pixel}), 2, '0'))"), "")
     return part.select("p_partkey", F.lit(48).alias("height"), F.lit(64).alias("width"), F.unhex(hexes).alias("pixels"))
@@ -40,15 +40,15 @@ def pictures(spark, d, most=40):
 
 @query("i01_image_steps")
 def i01(spark, d):
-    """Every image step on a few pictures."""
+    """Every image step on every picture."""
     steps = F.explode(F.array(*[F.lit(s) for s in images.STEPS])).alias("steps")
-    return images.processed(pictures(spark, d, 8).select("p_partkey", "height", "width", "pixels", steps), "p_partkey", "steps")
+    return images.processed(pictures(spark, d).select("p_partkey", "height", "width", "pixels", steps), "p_partkey", "steps")
 
 
 @query("i27_preset_pipelines")
 def i27(spark, d):
     """The image steps of every preset."""
-    joined = pictures(spark, d, 6).withColumn("steps", F.explode(F.array(*[F.lit(p[-1]) for p in P.PRESETS if p[-1]])))
+    joined = pictures(spark, d).withColumn("steps", F.explode(F.array(*[F.lit(p[-1]) for p in P.PRESETS if p[-1]])))
     return images.processed(joined, "p_partkey", "steps")
 
 

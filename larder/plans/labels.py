@@ -13,11 +13,11 @@ QTY = "cast(cast(l_quantity as integer) as string)"
 CELL = f"case l_partkey % 9 when 0 then {QTY} || ' g' when 1 then {QTY} || '9' when 2 then {QTY} || ',49' when 3 then 'l' || {QTY} || ' mg' when 4 then {QTY} || 'kcal = 1' || {QTY} || 'kJ' when 5 then '' when 6 then {QTY} when 7 then 'g' else 'S' || {QTY} end"
 VD = f"case l_suppkey % 8 when 0 then '**' when 1 then cast(l_linenumber as string) when 2 then '' when 3 then '1,2' when 4 then '»' when 5 then '45272' when 6 then '2%' else 'abc' end"
 KEY = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
-LINES = f"(select {KEY}, {NAME} as name, {CELL} as cell, {VD} as vd from lineitem where l_orderkey < 4000)"
+LINES = f"(select {KEY}, {NAME} as name, {CELL} as cell, {VD} as vd from lineitem)"
 
 
 def lines(spark, d):
-    return table(spark, d, "lineitem").where("l_orderkey < 4000").selectExpr("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", f"{NAME} as name", f"{CELL} as cell", f"{VD} as vd")
+    return table(spark, d, "lineitem").selectExpr("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", f"{NAME} as name", f"{CELL} as cell", f"{VD} as vd")
 
 
 def keyed(df, *columns):

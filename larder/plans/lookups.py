@@ -190,10 +190,10 @@ def j02(spark, d):
 
 
 @query("j03_nested_children", """select o_orderkey, cast(count(l_linenumber) as integer) as n, coalesce(string_agg(l_linenumber || ':' || cast(l_partkey as varchar), ',' order by l_linenumber, l_partkey), '') as children
-    from (select * from orders where o_orderkey < 3000) left join lineitem on l_orderkey = o_orderkey group by o_orderkey""")
+    from orders left join lineitem on l_orderkey = o_orderkey group by o_orderkey""")
 def j03(spark, d):
     lines = table(spark, d, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey")
-    joined = lookup.nested(table(spark, d, "orders").where("o_orderkey < 3000").select("o_orderkey"), lines, "o_orderkey", "l_linenumber", "l_partkey")
+    joined = lookup.nested(table(spark, d, "orders").select("o_orderkey"), lines, "o_orderkey", "l_linenumber", "l_partkey")
     each = F.transform("children", lambda c: F.concat(c["l_linenumber"].cast("string"), F.lit(":"), c["l_partkey"].cast("string")))
     return joined.select("o_orderkey", F.size("children").alias("n"), F.array_join(each, ",").alias("children"))
 

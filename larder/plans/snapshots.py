@@ -76,16 +76,16 @@ def m11(spark, d):
     return history.upsert(old, new, ["p_partkey"])
 
 
-@query("m01_insert_new", """select c_custkey as id, lower(c_name) as email from customer where c_custkey < 700 union all select s_suppkey + 650, lower(s_name) from supplier where s_suppkey + 650 not in (select c_custkey from customer where c_custkey < 700)""")
+@query("m01_insert_new", """select c_custkey as id, lower(c_name) as email from customer where c_mktsegment <> 'BUILDING' union all select s_suppkey, lower(s_name) from supplier where s_suppkey not in (select c_custkey from customer where c_mktsegment <> 'BUILDING')""")
 def m01(spark, d):
-    old = table(spark, d, "customer").where("c_custkey < 700").selectExpr("c_custkey as id", "lower(c_name) as email")
-    return history.insert_new(old, table(spark, d, "supplier").selectExpr("s_suppkey + 650 as id", "lower(s_name) as email"), ["id"])
+    old = table(spark, d, "customer").where("c_mktsegment <> 'BUILDING'").selectExpr("c_custkey as id", "lower(c_name) as email")
+    return history.insert_new(old, table(spark, d, "supplier").selectExpr("s_suppkey as id", "lower(s_name) as email"), ["id"])
 
 
-@query("m06_append", "select event_id, event_type from events where event_id < 100 union all select event_id + 100000, 'analysis' from events where event_id < 10")
+@query("m06_append", "select event_id, event_type from events union all select event_id + 10000000, 'analysis' from events where event_type = 'view'")
 def m06(spark, d):
     e = table(spark, d, "events")
-    return e.where("event_id < 100").select("event_id", "event_type").unionByName(e.where("event_id < 10").selectExpr("event_id + 100000 as event_id", "'analysis' as event_type"))
+    return e.select("event_id", "event_type").unionByName(e.where("event_type = 'view'").selectExpr("event_id + 10000000 as event_id", "'analysis' as event_type"))
 
 
 @query("m07_insert_ignore", """select event_id as jti, user_id from events where event_type = 'signup' union all select event_id, -1 from events where value > 40 and event_type <> 'signup'""")
@@ -121,10 +121,10 @@ def m04(spark, d):
     return history.patch_keeping_nulls(customer.select("c_custkey", "c_acctbal", "c_mktsegment"), changes, "c_custkey", ["c_mktsegment"])
 
 
-@query("m02_insert_with_children", """select p_partkey as barcode, 'product' as part, p_name as body from part where p_partkey < 50 union all
-    select p_partkey, 'table', cast(p_size as varchar) from part where p_partkey < 50 and p_size > 10 union all select p_partkey, 'ingredients', p_type from part where p_partkey < 50 and p_retailprice > 902""")
+@query("m02_insert_with_children", """select p_partkey as barcode, 'product' as part, p_name as body from part union all
+    select p_partkey, 'table', cast(p_size as varchar) from part where p_size > 10 union all select p_partkey, 'ingredients', p_type from part where p_retailprice > 902""")
 def m02(spark, d):
-    new = table(spark, d, "part").where("p_partkey < 50")
+    new = table(spark, d, "part")
     parent = new.selectExpr("p_partkey as barcode", "'product' as part", "p_name as body")
     one = new.where("p_size > 10").selectExpr("p_partkey as barcode", "'table' as part", "string(p_size) as body")
     return parent.unionByName(one).unionByName(new.where("p_retailprice > 902").selectExpr("p_partkey as barcode", "'ingredients' as part", "p_type as body"))
