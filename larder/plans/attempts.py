@@ -174,22 +174,40 @@ def words(spark, d):
     return line.selectExpr("l_orderkey as page", "concat('w', l_linenumber, '_', i) as text", "cast(i * 90 + l_partkey % 7 as int) as x1", "cast(i * 90 + l_partkey % 7 + 40 + l_suppkey % 9 as int) as x2", f"cast({y} as int) as y1", f"cast({y} + 10 + l_suppkey % 3 as int) as y2")
 
 
-@query("w04_rows_by_mean")
+BY_MEAN = """with recursive wd as (select l_orderkey as page, 'w' || l_linenumber || '_' || i as text, cast(i * 90 + l_partkey % 7 as integer) as x1, cast(i * 90 + l_partkey % 7 + 40 + l_suppkey % 9 as integer) as x2,
+        cast(l_linenumber * 18 + (l_partkey + i) % 5 as integer) as y1, cast(l_linenumber * 18 + (l_partkey + i) % 5 + 10 + l_suppkey % 3 as integer) as y2 from lineitem, range(0, 3) t(i)),
+    med as (select page, greatest(6, cast(trunc(list_sort(list(y2 - y1))[len(list(y2 - y1)) // 2 + 1] * 0.55) as integer)) as tol from wd where y2 > y1 group by page),
+    s as (select *, row_number() over (partition by page order by c, x1, x2, y1, y2, text) as n from (select wd.*, (y1 + y2) // 2 as c, tol from wd join med using (page))),
+    walk(page, n, text, x1, x2, c, row, sums, cnts) as (
+      select page, n, text, x1, x2, c, cast(0 as bigint), [cast(c as double)], [1] from s where n = 1
+      union all
+      select page, n, text, x1, x2, c, r, case when r = len(sums) then list_append(sums, cast(c as double)) else list_transform(sums, lambda v, j: case when j = r + 1 then v + c else v end) end,
+        case when r = len(cnts) then list_append(cnts, 1) else list_transform(cnts, lambda v, j: case when j = r + 1 then v + 1 else v end) end
+      from (select s.page, s.n, s.text, s.x1, s.x2, s.c, w.sums, w.cnts, cast(coalesce(nullif(list_position(list_transform(w.sums, lambda v, j: abs(s.c - v / w.cnts[j]) <= s.tol), true), 0) - 1, len(w.sums)) as bigint) as r
+            from walk w join s on s.page = w.page and s.n = w.n + 1)),
+    placed as (select page, text, x1, x2, c, cast(row as integer) as row, cast(row_number() over (partition by page, row order by x1, c, x2, text) as integer) as place from walk),
+    gap as (select page, row, place, start, x1 as stop from (select *, lag(x2) over (partition by page, row order by place) as start from placed) where start is not null),
+    sep as (select page, x, n from (select page, x, count(distinct row) as n from (select page, row, unnest(range(start, stop)) as x from gap where stop - start >= 10) group by page, x) where n >= 2)"""
+
+
+@query("w04_rows_by_mean", f"{BY_MEAN} select * from placed")
 def w04(spark, d):
     return layout.rows_by_mean(words(spark, d), "page")
 
 
-@query("w06_gaps")
+@query("w06_gaps", f"{BY_MEAN} select * from gap")
 def w06(spark, d):
     return layout.gaps(layout.rows_by_mean(words(spark, d), "page"), "page")
 
 
-@query("a13_separators")
+@query("a13_separators", f"{BY_MEAN} select * from sep")
 def a13(spark, d):
     return layout.separators(layout.gaps(layout.rows_by_mean(words(spark, d), "page"), "page"), "page")
 
 
-@query("f35_table_text")
+@query("f35_table_text", f"""{BY_MEAN}, tab as (select distinct page, row, place from (select page, row, place, unnest(range(start, stop)) as x from gap where stop - start > 10) join sep using (page, x)),
+    lines as (select p.page, p.row, string_agg(case when p.place = 1 then '' when t.place is not null then chr(9) else ' ' end || text, '' order by p.place) as line from placed p left join tab t on t.page = p.page and t.row = p.row and t.place = p.place group by p.page, p.row)
+    select page, string_agg(line, chr(10) order by row) as text from lines group by page""")
 def f35(spark, d):
     return layout.table_text(words(spark, d), "page")
 
