@@ -101,9 +101,12 @@ def separators(found: DataFrame, key: str) -> DataFrame:
 def table_text(words: DataFrame, key: str) -> DataFrame:
     """F-35: (key, text): rows of words, with a tab where a gap crosses a separator, else a space."""
     rows = rows_by_mean(words, key)
-    found = gaps(rows, key)
-    wide = found.where(F.col("stop") - F.col("start") > LEAST_GAP)
-    crossed = wide.select(key, "row", "place", F.explode(F.sequence("start", F.col("stop") - 1)).alias("x")).join(separators(found, key), [key, "x"]).select(key, "row", "place", F.lit("\t").alias("mark")).distinct()
-    marked = rows.join(crossed, [key, "row", "place"], "left").withColumn("t", F.concat(F.when(F.col("place") == 1, "").otherwise(F.coalesce("mark", F.lit(" "))), "text"))
+    # a page's separators are one short list, joined once by page
+    listed = separators(gaps(rows, key), key).groupBy(key).agg(F.collect_list("x").alias("xs"))
+    before = F.lag("x2").over(Window.partitionBy(key, "row").orderBy("place"))
+    start, stop = F.col("start"), F.col("x1")
+    tab = (stop - start > LEAST_GAP) & F.exists(F.coalesce("xs", F.array().cast("array<int>")), lambda x: (x >= start) & (x < stop))
+    mark = F.when(F.col("place") == 1, "").when(tab, "\t").otherwise(" ")
+    marked = rows.withColumn("start", before).join(listed, key, "left").withColumn("t", F.concat(mark, "text"))
     lines = marked.groupBy(key, "row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "t"))), lambda s: s["t"]), "").alias("line"))
     return lines.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "line"))), lambda s: s["line"]), "\n").alias("text"))
