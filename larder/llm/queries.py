@@ -19,7 +19,7 @@ RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.
 
 
 def op1_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.features(media.media_column(table(spark, sf_dir, "documents")))
+    return media.features(media.media_column(table(spark, sf_dir, "documents")), offsets=True)
 
 
 def op2_norm_sorted_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,6 +68,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_norm_sorted_topk": topk.oracle(NEIGHBOURS, EVERY),
         "op6_extendible_shards": sharding.oracle(SHARD_BYTES),
+        "op7_minhash": neardup.oracle(2, 80),
         "op8_url_rules": urlrules.oracle(RULES),
         "op9_pfair_mix": mixing.oracle(),
     }

@@ -16,7 +16,7 @@ Defined cases: vectors that are null or hold a null, NaN or infinite component t
 id; shorter vectors count as if ended with zeros; a query's own id is no candidate; candidates that repeat an id
 each count; a query id that repeats is answered once, by its least vector; ties go to the smaller id; fewer than k
 candidates give fewer rows. Components may be of any finite size: products beyond 2 ** 53 are done in exact
-integers, and a score outside 64 bits is given as the nearest 64-bit number.
+integers, and a score outside 64 bits is given, and ranked, as the nearest 64-bit number.
 """
 
 from __future__ import annotations
@@ -111,7 +111,7 @@ class Group:
             if not len(i):
                 continue
             if not exact:
-                s = np.array([_clamped(sum(int(a) * int(b) for a, b in zip(q[live[x]], self.v[at + y]))) for x, y in zip(i, j)], object)
+                s = np.array([sum(int(a) * int(b) for a, b in zip(q[live[x]], self.v[at + y])) for x, y in zip(i, j)], object)
             elif len(i) > 0.05 * len(live) * (to - at):
                 s = (q[live] @ self.v[at:to].T)[i, j]
             else:
@@ -123,10 +123,15 @@ class Group:
             last = np.append(np.flatnonzero(rows[1:] != rows[:-1]), len(rows) - 1) if len(rows) else np.empty(0, np.int64)
             for r, s_last in zip(rows[last], scores[last]):
                 if full[r]:
-                    floor[r] = max(floor[r], s_last)
+                    floor[r] = max(floor[r], _below(s_last))
         return rows, ids, scores
 
 
+def _below(score) -> float:
+    """A floor that a score reaches even if it is no double: large integers are rounded."""
+    return float(score) if abs(score) < EXACT else float(score) - abs(float(score)) * 1e-9
+
+
 def _clamped(x: int) -> int:
     return max(-LONG - 1, min(LONG, x))
 
@@ -171,6 +176,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
     packed = "ids array<long>, m binary"
     candidates = rows.repartitionByRange(groups, F.desc("norm"), "id").select("id", "v").mapInArrow(pack(4096), packed).select(F.spark_partition_id().alias("g"), F.lit(0).alias("role"), "ids", "m")
     asked = rows.where(is_query).groupBy("id").agg(F.min("v").alias("v"))
+    # few full blocks of queries, however many partitions they come from
+    asked = asked.repartition(max(1, -(-asked.count() // QUERIES)))
     blocks = asked.mapInArrow(pack(QUERIES), packed).select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), F.lit(1).alias("role"), "ids", "m")
 
     def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,9 +200,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
                 floor = none.copy()
                 n = np.bincount(r, minlength=len(ids))
                 for x in np.flatnonzero(n >= k):
-                    floor[x] = s[np.searchsorted(r, x, "right") - 1]
+                    floor[x] = _below(s[np.searchsorted(r, x, "right") - 1])
                 r, c, s = ready.best(ids, m, rotation, floor, k)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[r]), pa.array(c), pa.array([int(x) for x in s], pa.int64())], ["query_id", id_col, "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[r]), pa.array(c), pa.array([_clamped(int(x)) for x in s], pa.int64())], ["query_id", id_col, "score"])
 
     found = candidates.unionByName(blocks).repartition("g").sortWithinPartitions("g", "role").mapInArrow(search, schema)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), id_col))

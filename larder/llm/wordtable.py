@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import Written
+from larder.llm.common import Written, release
 
 BLOCK_BYTES = 48 << 20
 #: Packed numbers (not bytes) in one row.
@@ -157,6 +157,8 @@ def blocks(docs: DataFrame, id_col: str, text: str, split: Split, buckets: int)
                     number, ids, rows = {}, [], []
         if ids:
             yield from flush()
+        number, ids, rows = {}, [], []
+        release()
 
     return docs.select(F.col(id_col).cast("long"), F.col(text)).mapInArrow(run, "block long, bucket int, ids array<long>, lens binary, lids binary, body binary")
 
@@ -183,6 +185,8 @@ def once_a_word(words: DataFrame, work: Callable[[], Work], kind: str) -> DataFr
                 at = np.fromiter((known[w] for w in ws), np.int64, len(ws))
                 offsets = np.concatenate([[0], np.cumsum(lens)])
                 yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([pack(lens[at])], pa.binary()), pa.array([lids], pa.binary()), pa.array([squeeze(gather(flat, offsets, at).tobytes())], pa.binary())], ["block", "lens", "lids", "body"])
+        known, lens, flat = {}, None, None
+        release()
 
     return words.select("block", "bucket", "lens", "lids", "body").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "block long, lens binary, lids binary, body binary")
 
@@ -212,7 +216,10 @@ def apply(docs: DataFrame, id_col: str, text: str, split: Split, work: Callable[
             for ids, n, codes in zip(*(right.column(c).to_pylist() for c in ("ids", "lens", "body"))):
                 yield ids, unpack(n), unpack(codes)
 
-        return assemble(flat, offsets, packs())
+        made = assemble(flat, offsets, packs())
+        parts = flat = offsets = None
+        release()
+        return made
 
     texts = stored.where("bucket is null").select("block", "ids", "lens", "body")
     return values.groupBy("block").cogroup(texts.groupBy("block")).applyInArrow(run, schema)

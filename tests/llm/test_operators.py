@@ -78,7 +78,7 @@ def plain_top(vectors, asks, k):
     return out
 
 
-@pytest.mark.parametrize("scale", [1.0, 40.0, 1e9])
+@pytest.mark.parametrize("scale", [1.0, 40.0, 3e6])
 def test_top_k_is_exact(spark, scale):
     r = random.Random(int(scale))
     import math
@@ -95,6 +95,8 @@ def test_top_k_small_tables(spark):
     schema = "vec_id long, embedding array<float>"
     assert rows(topk.top_k(spark.createDataFrame([], schema), F.col("id") % 20 == 0)) == []
     assert rows(topk.top_k(spark.createDataFrame([(0, [0.5, 0.5])], schema), F.col("id") % 20 == 0)) == []
+    vast = spark.createDataFrame([(i, [3e38, -3e38 * (i % 2)]) for i in range(30)], schema)  # beyond 64 bits
+    assert [r[2:] for r in sorted(rows(topk.top_k(vast, F.col("id") == 0, 3)))] == [(1, 2**63 - 1), (2, 2**63 - 1), (3, 2**63 - 1)]
     two = spark.createDataFrame([(0, [1.0]), (1, [1.0, 2.0]), (2, [0.0, 0.0])], schema)  # lengths differ, zeros
     assert sorted(rows(topk.top_k(two, F.col("id") % 20 == 0))) == [(0, 1, 1, 4096), (0, 2, 2, 0)]
 
