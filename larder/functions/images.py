@@ -228,3 +228,68 @@ def processed(images: DataFrame, key: str, steps: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(rows[0], batch.column(0).type), pa.array(rows[1], pa.string()), pa.array(rows[2], pa.int32()), pa.array(rows[3], pa.int32()), pa.array(rows[4], pa.float64()), pa.array(rows[5], pa.float64())], ["key", "steps", "height", "width", "dark", "density"])
 
     return images.select(F.col(key).alias("key"), "height", "width", "pixels", steps).mapInArrow(run, f"key {kind.simpleString()}, steps string, height int, width int, dark double, density double")
+
+
+def detect_cells(image: Image, least: float = 0.001, most: float = 0.5) -> list[tuple[int, int, int, int]]:
+    """I-22, P-19: boxes (x, y, w, h) of what grid lines enclose, by share of the picture and least sides, in reading order."""
+    free = grid_lines(image) == 0
+    h, w = free.shape
+    label = np.zeros((h, w), np.int32)
+    lead = [0]
+
+    def root(a: int) -> int:
+        while lead[a] != a:
+            lead[a] = a = lead[lead[a]]
+        return a
+
+    for y in range(h):  # runs of free pixels, tied to the runs they touch above
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], free[y].astype(np.int8), [0]])))
+        for a, b in zip(edges[::2], edges[1::2]):
+            above = sorted({root(x) for x in np.unique(label[y - 1, a:b]) if x}) if y else []
+            if above:
+                own = above[0]
+                for x in above[1:]:
+                    lead[x] = own
+            else:
+                own = len(lead)
+                lead.append(own)
+            label[y, a:b] = own
+    final = np.array([root(i) for i in range(len(lead))])[label]
+    boxes = []
+    for n in np.unique(final):
+        ys, xs = np.nonzero(final == n)
+        box = (int(xs.min()), int(ys.min()), int(np.ptp(xs)) + 1, int(np.ptp(ys)) + 1)
+        inside = n and least <= box[2] * box[3] / (h * w) <= most and box[2] >= 20 and box[3] >= 12
+        if inside:
+            boxes.append(box)
+    return sorted(boxes, key=lambda b: (b[1], b[0]))
+
+
+def encode_png(image: Image) -> bytes:
+    """I-25: a grey picture as PNG; equal pictures give equal bytes, so its hash is a cache key."""
+    import struct
+    import zlib
+
+    h, w = image.shape
+    rows = np.concatenate([np.zeros((h, 1), np.uint8), image], axis=1).tobytes()
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows, 9)) + chunk(b"IEND", b"")
+
+
+def keyed(images: DataFrame, key: str) -> DataFrame:
+    """(key, sha256, cells) of pictures: the cache key of each picture's PNG and how many cells it shows."""
+    import hashlib
+
+    kind = images.schema[key].dataType.simpleString()
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shas, cells = [], []
+            for h, w, pixels in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
+                image = np.frombuffer(pixels or b"", np.uint8)
+                readable = h and w and len(image) == h * w
+                shas.append(hashlib.sha256(encode_png(image.reshape(h, w))).hexdigest() if readable else None)
+                cells.append(len(detect_cells(image.reshape(h, w))) if readable else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shas, pa.string()), pa.array(cells, pa.int32())], ["key", "sha256", "cells"])
+
+    return images.select(F.col(key).alias("key"), "height", "width", "pixels").mapInArrow(run, f"key {kind}, sha256 string, cells int")

@@ -147,3 +147,15 @@ def r02(spark, d):
     once = with_children(parts, lines.groupBy("barcode").agg(F.count(F.lit(1)).alias("lines")), "barcode", "lines")
     both = with_children(once, lines.where("l_quantity > 45").groupBy("barcode").agg(F.max("l_returnflag").alias("summary")), "barcode", "summary")
     return both.withColumn("lines", F.coalesce("lines", F.lit(0)))
+
+
+@query("i22_cells_and_cache_keys")
+def i22(spark, d):
+    return images.keyed(pictures(spark, d), "p_partkey")
+
+
+@query("s04_unreadable_images")
+def s04(spark, d):
+    """Pictures whose bytes don't fit their size give nulls."""
+    cut = pictures(spark, d).withColumn("pixels", F.when(F.col("p_partkey") % 2 == 0, F.col("pixels")))
+    return images.processed(cut.withColumn("steps", F.lit("otsu_threshold")), "p_partkey", "steps")

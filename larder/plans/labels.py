@@ -191,3 +191,40 @@ def f42(spark, d):
 @query("f44_request_fields", "select event_type, cast(ts as date) as day, count(*) as requests, max(value) as slowest from events group by 1, 2")
 def f44(spark, d):
     return table(spark, d, "events").groupBy("event_type", F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("requests"), F.max("value").alias("slowest"))
+
+
+ENERGY = "'Valor Energetico ' || cell || case l_linenumber % 4 when 0 then ' kcal = 1' || l_suppkey || ' k) ' || l_linenumber when 1 then ' kcal 2' || l_suppkey || 'k j' when 2 then ' KCAL=' || l_suppkey || 'kJ 12' else ' kJ' end"
+REPAIRED = r"regexp_replace(regexp_replace({0}, '\bk\s*[\)\]\|]?\b', 'kJ', 'gi'), 'k\s?j', 'kJ', 'gi')"
+SHAPE = r"(?i)([0-9]+[\.,]?[0-9]*)\s*kcal\s*=?\s*([0-9]+[\.,]?[0-9]*)\s*kJ\s*([0-9]{1,2})?"
+ENERGY_SQL = f"case when regexp_matches(r, '{SHAPE}') then 'Valor Energético ' || regexp_extract(r, '{SHAPE}', 1) || 'kcal=' || regexp_extract(r, '{SHAPE}', 2) || 'kJ' || case when regexp_extract(r, '{SHAPE}', 3) <> '' then ' ' || regexp_extract(r, '{SHAPE}', 3) else '' end else r end"
+
+
+@query("f20_energy_lines", f"select {KEY}, {ENERGY_SQL} as line from (select *, {REPAIRED.format(ENERGY)} as r from {LINES})")
+def f20(spark, d):
+    return keyed(lines(spark, d), N.energy_line(F.expr(ENERGY)).alias("line"))
+
+
+LINEAR = r"^\s*([A-Za-zÀ-ÿ\s]+?)\s+([0-9.,]+)\s*([A-Za-z%*()]+)?\s*([0-9.,*]+)?\s*$"
+
+
+@query("f19_linear_lines", rf"""with x as (select {KEY}, trim(regexp_replace(name || ' ' || cell || ' ' || vd, '\s+', ' ', 'g')) as x from {LINES}),
+    lab as (select *, trim(regexp_extract(x, '^\s*([A-Za-zÀ-ÿ\s]+)', 1)) as name from x), ln as (select name from lab where name <> ''), {NEAR},
+    p as (select lab.*, nutrient, unit, display, regexp_extract(x, '{LINEAR}', 2) as v, regexp_extract(x, '{LINEAR}', 4) as t, {REPAIRED.format('x')} as r from lab left join near using (name)),
+    w as (select *, case when regexp_matches(t, '\*') then '**' when regexp_matches(t, '[0-9]') then regexp_extract(t, '[0-9]{{1,2}}') end as d from p),
+    f as (select *, case when unit <> 'g' then v when regexp_full_match(v, '[0-9]+[.,][0-9]9') then v[:-2] when d is not null and not regexp_matches(v, '[.,]') and ends_with(v, '9') and length(v) >= 2 then v[:-2]
+      when d is null and regexp_full_match(v, '[0-9]+9') and cast(v as bigint) >= 100 then v[:-2] else v end as fixed from w)
+    select {KEY}, case when nutrient is null then x when nutrient = 'valor energetico' then {ENERGY_SQL} when regexp_matches(x, '{LINEAR}') then concat_ws(' ', display, fixed, unit, d) else x end as line from f""")
+def f19(spark, d):
+    return keyed(lines(spark, d), N.linear_line(F.expr("concat(name, ' ', cell, ' ', vd)")).alias("line"))
+
+
+@query("f16_quantities")
+def f16(spark, d):
+    """Quantity and daily value of cells, by the state machine; compared with a plain version in tests."""
+    q = N.quantity(F.array("cell", "vd"), N.unit_of(N.nearest(F.col("name"))))
+    return keyed(lines(spark, d).withColumn("q", q), F.col("q.quantity").alias("quantity"), F.col("q.vd").alias("vd"))
+
+
+@query("f15_tabular_lines")
+def f15(spark, d):
+    return keyed(lines(spark, d), N.tabular_line(F.expr("concat(name, '\\t', cell, '\\t', vd)")).alias("line"))

@@ -163,3 +163,20 @@ def f12(spark, d):
     words = part.select(F.explode(F.split("p_name", " ")).alias("w")).groupBy("w").count().collect()
     joined = part.select("p_partkey", F.concat(F.regexp_replace("p_name", " ", ""), F.lit("box")).alias("text"))
     return I.tokens(joined, "p_partkey", "text", {r["w"]: r["count"] for r in words})
+
+
+@query("f11_normalized_words", f"with {TOKENS} select original, min(normalized) as normalized from toks group by original")
+def f11(spark, d):
+    return toks(spark, d).groupBy("original").agg(F.min("normalized").alias("normalized"))
+
+
+@query("f31_alerts", f"{MATCH} select id, original, display, class, risk, kind, distance from dedup")
+def f31(spark, d):
+    r = I.report(matches(spark, d), ontology(spark)).select("id", F.explode("alerts").alias("a"))
+    return r.select("id", "a.original", "a.display", "a.class", "a.risk", "a.kind", "a.distance")
+
+
+@query("f30_contract", f"""{REPORT} select un.id, '{{"risco_global":"' || coalesce(worst, 'NENHUM') || '","identificados":' || (select count(*) from dedup x where x.id = un.id) || '}}' as body from un left join al using (id)""")
+def f30(spark, d):
+    r = I.report(matches(spark, d), ontology(spark))
+    return r.select("id", F.to_json(F.struct(F.col("worst").alias("risco_global"), F.size("alerts").alias("identificados"))).alias("body"))

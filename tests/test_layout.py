@@ -86,6 +86,23 @@ def test_image_steps():
         images.apply_steps(image, ["blur"])
 
 
+def test_cells_and_png():
+    image = np.full((60, 90), 230, np.uint8)
+    for y in (0, 28, 29, 58, 59):
+        image[y] = 0
+    for x in (0, 44, 45, 88, 89):
+        image[:, x] = 0
+    assert images.detect_cells(image) == [(1, 1, 43, 27), (46, 1, 42, 27), (1, 30, 43, 28), (46, 30, 42, 28)]
+    assert images.detect_cells(np.full((30, 30), 230, np.uint8)) == []
+    png = images.encode_png(image)
+    import zlib
+
+    assert png[:8] == b"\x89PNG\r\n\x1a\n" and png == images.encode_png(image.copy())
+    at = png.index(b"IDAT")
+    rows = zlib.decompress(png[at + 4 : at + 4 + int.from_bytes(png[at - 4 : at], "big")])
+    assert (np.frombuffer(rows, np.uint8).reshape(60, 91)[:, 1:] == image).all()
+
+
 def test_presets(spark, tmp_path):
     assert presets.presets(spark).groupBy("category").count().count() == 3 and presets.presets(spark).count() == 23
     for category, name, priority in (("table", "b", 7), ("text", "a", None)):
