@@ -159,3 +159,42 @@ def s04(spark, d):
     """Pictures whose bytes don't fit their size give nulls."""
     cut = pictures(spark, d).withColumn("pixels", F.when(F.col("p_partkey") % 2 == 0, F.col("pixels")))
     return images.processed(cut.withColumn("steps", F.lit("otsu_threshold")), "p_partkey", "steps")
+
+
+def event_stream(spark, d):
+    from larder.streaming.operators import read_stream
+
+    return read_stream(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query("t04_stream_first_of_key", "select distinct user_id, event_type from events")
+def t04_stream(spark, d):
+    from larder.streaming import operators as S
+
+    first = S.first_of_key(event_stream(spark, d), ["user_id", "event_type"], "ts", "400 days")
+    return S.collected(first.select("user_id", "event_type"), "first")
+
+
+@query("t03_stream_windows", """select user_id, time_bucket(interval '1 day', ts) as window_start, count(*) as requests, count(*) > 3 as limited from events group by 1, 2
+    having time_bucket(interval '1 day', ts) + interval '1 day' <= (select max(ts) from events)""")
+def t03_stream(spark, d):
+    """Windows that the watermark has passed."""
+    from larder.streaming import operators as S
+
+    counted = S.collected(S.window_counts(event_stream(spark, d), "user_id", "ts", "1 day", "0 seconds", 3), "windows")
+    return counted.withColumn("window_start", F.to_timestamp_ntz(F.col("window_start").cast("string")))
+
+
+@query("t02_stream_limiter")
+def t02_stream(spark, d):
+    from larder.streaming import operators as S
+
+    return S.collected(S.limited(event_stream(spark, d), "user_id", "ts", 2, 3 * 86400.0), "limited")
+
+
+@query("t01_stream_eviction", "select count(*) as kept from events where not ts < timestamp '2024-01-20'")
+def t01_stream(spark, d):
+    from larder.streaming import operators as S
+
+    kept = S.collected(history.purge(event_stream(spark, d), "ts", "2024-01-20").select("event_id"), "kept")
+    return kept.agg(F.count(F.lit(1)).alias("kept"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,8 +17,18 @@ from larder.operators.history import admissions
 def read_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A table's files as a stream, with the schema that the files have now."""
     path = f"{folder}/{name}.parquet"
-    schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet" if not path.endswith("/") else "*").parquet(folder)
+    # as a pattern, since a plain path would have to be a folder
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[t]")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new place in spark.checkpoint.dir, which all executors share; a temporary one only where it is unset and all is local."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.gettempdir()
+    return f"{base.rstrip('/')}/larder-stream-{uuid.uuid4().hex}"
 
 
 def first_of_key(events: DataFrame, keys: list[str], at: str, delay: str) -> DataFrame:
@@ -47,7 +59,9 @@ def limited(events: DataFrame, key: str, at: str, most: int, window: float = 60.
     return timed.groupBy(key).applyInPandasWithState(step, schema, "held array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
-def collected(stream: DataFrame, name: str, checkpoint: str, path: str) -> DataFrame:
+def collected(stream: DataFrame, name: str, checkpoint: str | None = None, path: str | None = None) -> DataFrame:
     """Run a stream over what is there now, into files, and read them: to compare it with its batch form."""
+    folder = shared_folder(stream.sparkSession)
+    checkpoint, path, name = checkpoint or f"{folder}/state", path or f"{folder}/rows", f"{name}-{folder[-8:]}"
     stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint).option("path", path).trigger(availableNow=True).queryName(name).start().awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
