@@ -22,6 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
         return path.rstrip("/")
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="larder-"))
     return context.getCheckpointDir().rstrip("/")
 
