@@ -20,7 +20,13 @@ def keyword_hits(text: Column, keywords: tuple[str, ...] = KEYWORDS, most: int =
     def hit(words: Column, keyword: str) -> Column:
         n = len(keyword.split())
         last = F.greatest(F.lit(1), F.size(words) - n + 1)
-        near = F.exists(F.sequence(F.lit(1), last), lambda i: F.levenshtein(F.array_join(F.slice(words, i, n), " "), F.lit(keyword)) <= most)
+        
+        def close(i: Column) -> Column:
+            window = F.array_join(F.slice(words, i, n), " ")
+            # lengths tell most windows apart; the bounded distance is -1 beyond its bound
+            return (F.abs(F.length(window) - len(keyword)) <= most) & (F.levenshtein(window, F.lit(keyword), most) != -1)
+
+        near = F.exists(F.sequence(F.lit(1), last), close)
         return F.when(near, 1).otherwise(0)
 
     def count(folded: Column) -> Column:

@@ -99,14 +99,15 @@ def separators(found: DataFrame, key: str) -> DataFrame:
 
 
 def table_text(words: DataFrame, key: str) -> DataFrame:
-    """F-35: (key, text): rows of words, with a tab where a gap crosses a separator, else a space."""
+    """F-35: (key, text): rows of words, with a tab where a gap crosses a separator, else a space. One shuffle, by page."""
     rows = rows_by_mean(words, key)
-    # a page's separators are one short list, joined once by page
-    listed = separators(gaps(rows, key), key).groupBy(key).agg(F.collect_list("x").alias("xs"))
     before = F.lag("x2").over(Window.partitionBy(key, "row").orderBy("place"))
     start, stop = F.col("start"), F.col("x1")
-    tab = (stop - start > LEAST_GAP) & F.exists(F.coalesce("xs", F.array().cast("array<int>")), lambda x: (x >= start) & (x < stop))
+    # a wide gap covers all its pixels for its own row, so it crosses a separator if another row's wide gap overlaps it
+    wide = F.when(stop - start >= LEAST_GAP, F.struct("row", "start", stop.alias("stop")))
+    every = F.collect_list("wide").over(Window.partitionBy(key))
+    tab = (stop - start > LEAST_GAP) & F.exists("every", lambda g: (g["row"] != F.col("row")) & (g["start"] < stop) & (g["stop"] > start))
     mark = F.when(F.col("place") == 1, "").when(tab, "\t").otherwise(" ")
-    marked = rows.withColumn("start", before).join(listed, key, "left").withColumn("t", F.concat(mark, "text"))
+    marked = rows.withColumn("start", before).withColumn("wide", wide).withColumn("every", every).withColumn("t", F.concat(mark, "text"))
     lines = marked.groupBy(key, "row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "t"))), lambda s: s["t"]), "").alias("line"))
     return lines.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "line"))), lambda s: s["line"]), "\n").alias("text"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larder.functions.text import fold_deleting
@@ -204,7 +204,22 @@ def linear_line(line: Column) -> Column:
 
 def postprocess(text: Column) -> Column:
     """F-14: each line by its kind."""
-    return F.array_join(F.transform(F.split(text, r"\r\n|\n|\r", -1), lambda line: F.when(F.contains(line, F.lit("\t")), tabular_line(line)).otherwise(linear_line(line))), "\n")
+    return F.array_join(F.transform(F.split(text, r"\r\n|\n|\r", -1), fixed_line), "\n")
+
+
+def fixed_line(line: Column) -> Column:
+    return F.when(F.contains(line, F.lit("\t")), tabular_line(line)).otherwise(linear_line(line))
+
+
+def postprocessed(df: DataFrame, text: str, to: str) -> DataFrame:
+    """F-14 for a column of texts: labels repeat their lines, so each distinct line is repaired once and joined back."""
+    given = F.coalesce(F.col(text), F.lit(""))
+    texts = df.select(given.alias("_text")).distinct()
+    parts = texts.select("_text", F.posexplode(F.split("_text", r"\r\n|\n|\r", -1)).alias("_at", "_line"))
+    fixed = parts.select("_line").distinct().withColumn("_fixed", fixed_line(F.col("_line")))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_fixed"))), lambda x: x["_fixed"]), "\n")
+    back = parts.join(fixed, "_line").groupBy("_text").agg(whole.alias(to))
+    return df.withColumn("_text", given).join(back, "_text").drop("_text")
 
 
 def cloud_line(line: Column) -> Column:

@@ -115,7 +115,7 @@ def f36(spark, d):
 def f14(spark, d):
     """Tabular and linear lines (F-14 to F-16, F-19, F-20); the state machine is compared with a plain version in tests."""
     text = F.expr("concat(name, '\\t', cell, '\\t', vd, '\\n', name, ' ', cell, ' ', vd)")
-    return keyed(lines(spark, d), N.postprocess(text).alias("text"))
+    return keyed(N.postprocessed(lines(spark, d).withColumn("raw", text), "raw", "text"), "text")
 
 
 @query("f08_items", """select conv_id, turn, len(p) as n, array_to_string(p, '#') as items from (select conv_id, turn, list_filter(list_transform(case when regexp_matches(t, '[,;]') then regexp_split_to_array(t, '[,;]') else regexp_split_to_array(t, '[\\r\\n]+') end,

@@ -115,3 +115,11 @@ def test_rows(spark):
     got = one(spark, N.rows, "INFORMAÇÃO\nSódio  10 mg  2", "Fibra 3 g", "Sódio\t10\nFibra alimentar 3", "", "só texto")
     plain = [[(r["nutrient"], list(r["values"])) for r in x] for x in got]
     assert plain == [[("Sódio", ["10 mg", "2"])], [("Fibra", ["3 g"])], [("Sódio", ["10"])], [], []]
+
+
+def test_lines_repaired_once_equal_lines_repaired_in_place(spark):
+    texts = ["Sodio\t30 mq\t**\nProteinas 1,49 g 2", None, "", "Sodio\t30 mq\t**", "Sodio\t30 mq\t**", "a\r\nb\n"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r["i"]: r["out"] for r in N.postprocessed(df, "t", "out").collect()}
+    want = {r["i"]: r["w"] or "" for r in df.select("i", N.postprocess(F.col("t")).alias("w")).collect()}
+    assert got == want and len(got) == len(texts)
