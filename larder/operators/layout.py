@@ -43,12 +43,12 @@ def rows_by_anchor(cells: DataFrame, key: str, y: str, x: str, h: str, rule: tup
 
 def columns_by_gap(cells: DataFrame, key: str, x: str, w: str) -> DataFrame:
     """W-02: (key, column, center): a new column begins where a center is too far from the one before it; a column's
-    center is the whole mean of its members'."""
+    center is the whole mean of its members'. Equal centers are counted together, in whatever order they come."""
     mean = Window.partitionBy(key)
     centers = cells.select(key, (F.col(x) + F.expr(f"{w} div 2")).cast("int").alias("c"), F.avg(w).over(mean).alias("mean"))
     order = Window.partitionBy(key).orderBy("c")
     jump = F.when(F.col("c") - F.lag("c").over(order) > tolerance(F.col("mean"), CELL_COLUMNS), 1).otherwise(0)
-    numbered = centers.withColumn("jump", jump).withColumn("column", F.sum("jump").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
+    numbered = centers.withColumn("jump", jump).withColumn("column", F.sum("jump").over(order.rangeBetween(Window.unboundedPreceding, 0)).cast("int"))
     return numbered.groupBy(key, "column").agg((F.floor(F.sum("c") / F.count(F.lit(1)))).cast("int").alias("center"))
 
 

@@ -119,7 +119,7 @@ def w03(spark, d):
 
 COLUMNS = f"""cc as (select page, cell, x + w // 2 as c, greatest(10, cast(trunc(0.4 * avg(w) over (partition by page)) as integer)) as tol from {DUCK_CELLS}),
     jumps as (select *, case when c - lag(c) over (partition by page order by c) > tol then 1 else 0 end as j from cc),
-    numbered as (select *, sum(j) over (partition by page order by c rows unbounded preceding) as col from jumps), cols as (select page, cast(col as integer) as "column", cast(floor(sum(c) / count(*)) as integer) as center from numbered group by page, col)"""
+    numbered as (select *, sum(j) over (partition by page order by c range unbounded preceding) as col from jumps), cols as (select page, cast(col as integer) as "column", cast(floor(sum(c) / count(*)) as integer) as center from numbered group by page, col)"""
 
 
 @query("w02_columns_by_gap", f"with {COLUMNS} select * from cols")
