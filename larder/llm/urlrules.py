@@ -68,10 +68,12 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT, id_col: st
     ranged = salted.repartitionByRange(parts, F.asc("key"), F.asc_nulls_first("salt")).sortWithinPartitions(F.asc("key"), F.asc_nulls_first("salt"))
     stored = Written(ranged.withColumn("part", F.spark_partition_id()), "urls")
     firsts = stored.frame.groupBy("part").agg(F.min("key").alias("first"))
-    # the rules a range's first key may lie in: its own key cut after each label of the host
+    # the rules a range's first key may lie in: its own key cut after each label of the host, or the whole of it, since a
+    # hot key goes on into ranges that its rule's row isn't in; a rule that is in its range too is opened twice, which
+    # changes nothing
     cut = F.expr("transform(sequence(1, length(first)), i -> substring(first, 1, i))")
     ends = F.filter(cut, lambda x: x.endswith("."))
-    open_at = firsts.select("part", "first", F.explode(ends).alias("key")).join(rule_rows, "key").where("key < first")
+    open_at = firsts.select("part", "first", F.explode(ends).alias("key")).join(rule_rows, "key").where("key <= first")
     carried: dict[int, list[tuple[str, str, str]]] = {}
     for r in open_at.collect():  # at most the number of ranges times the labels of a host
         carried.setdefault(r["part"], []).append((r["key"], r["rule"], r["verdict"]))

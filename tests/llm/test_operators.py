@@ -355,6 +355,20 @@ def test_url_rules_equal_plain_ones(spark):
     assert {x[4] for x in rows(unruled)} == {"block"}
 
 
+def test_hot_host_that_is_a_rules_host(spark):
+    """Its urls fill many ranges, and the rule's own row lies in one of them."""
+    rules = [("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow")]
+    urls = [f"http://www.example.com/en/{i}" for i in range(3000)] + [f"http://h{i}.example.com/en/" for i in range(300)] + [f"http://x{i}.net/" for i in range(300)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        got = rows(urlrules.judge(pages, spark.createDataFrame(rules, "host string, path string, verdict string"), "allow"))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sorted(got) == [(i, *plain_verdict(u, rules, "allow")) for i, u in enumerate(urls)]
+
+
 # 9
 
 
