@@ -6,9 +6,14 @@ blocks that may start, each slot takes the one with the earliest deadline (ties:
 weights that add up to 1 this meets every deadline, so that at any slot every source is less than one block off
 its share.
 
-Weights are whole shares of a period of ``period`` slots, and the schedule repeats with the period: only one
-period, whose length doesn't depend on the data, is simulated (a fold in SQL over its slots), and every block is
-placed by arithmetic. A source that runs out leaves its slots empty; no document is dropped or repeated.
+There are two ways to do that. Operator 9, as its SQL says, rounds weights to whole shares of a period of ``period``
+slots (at least one a source), and the schedule repeats with the period: only one period, whose length doesn't depend
+on the data, is simulated (a fold in SQL over its slots), and every block is placed by arithmetic. Blocks are less
+than one off the rounded shares, but the drift from the weights themselves grows with the input. The pipeline, and
+operator 9 on more sources than a period has slots, keep to the weights: in a binary tree of sources, each pair of
+children is a Pfair schedule of two, where a block's place is known by arithmetic, so nothing is simulated and any number of
+sources keep their own weights; what a source is off stays bounded, as each level adds less than a block times the
+weights below it. A source that runs out leaves its slots empty; no document is dropped or repeated.
 
 Documents are numbered within their source without gathering a source: they are counted by source and hash bucket,
 buckets' offsets are summed up, and numbering happens within buckets.
@@ -23,8 +28,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK, PERIOD, MOST_SOURCES = 16, 1000, 400
-#: The key of sources that share one weight.
-REST = "~rest"
+#: Exact weights are whole numbers that add up to about this: a block's drift takes as many slots.
+FINE = 1 << 31
 #: Documents of a source are numbered in so many hash buckets: three hexadecimal digits.
 DIGITS = 3
 #: A source's weight is its share of documents to this power, so that small sources weigh more than they hold.
@@ -40,20 +45,43 @@ def tempered(docs: DataFrame, source: str = "source", power: float = TEMPERATURE
     return docs.groupBy(F.col(source).alias("source")).agg(F.pow(F.count(F.lit(1)), F.lit(power)).alias("weight"))
 
 
-def shares(weights: DataFrame, period: int = PERIOD) -> DataFrame:
-    """(k, a): whole shares of the period, at least one a source, the rest by largest remainder. One row a source."""
+def _weighted(weights: DataFrame) -> DataFrame:
+    """(k, w, sources): one row a source of some weight, and how many there are."""
     w = weights.where("weight > 0").groupBy(_key(F.col("source")).alias("k")).agg(F.sum("weight").alias("w"))
-    # beyond MOST_SOURCES the lightest share one weight, so that the period stays bounded
-    heavy = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("w"), "k")) < MOST_SOURCES
-    many = F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))) > MOST_SOURCES
-    w = w.withColumn("k", F.when(~many | heavy, F.col("k")).otherwise(REST)).groupBy("k").agg(F.sum("w").alias("w"))
+    return w.withColumn("sources", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))))
+
+
+def shares(weights: DataFrame, period: int = PERIOD) -> DataFrame:
+    """(k, a): whole shares of the period, at least one a source, the rest by largest remainder. One row a source; none
+    if the period has fewer slots than there are sources."""
     everything = Window.partitionBy(F.lit(0))
-    quota = F.col("w") / F.sum("w").over(everything) * (F.lit(period) - F.count(F.lit(1)).over(everything))
+    w = _weighted(weights).where(F.col("sources") <= period)
+    quota = F.col("w") / F.sum("w").over(everything) * (F.lit(period) - F.col("sources"))
     cut = w.withColumn("q", quota).withColumn("a", 1 + F.floor("q")).withColumn("left", period - F.sum("a").over(everything))
     place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc(F.col("q") - F.floor("q")), "k"))
     return cut.select("k", (F.col("a") + F.when(place <= F.col("left"), 1).otherwise(0)).cast("long").alias("a"))
 
 
+def ways(weights: DataFrame, beyond: int = 0) -> DataFrame:
+    """(k, c, total, way): each source's weight c of ``total`` in whole numbers, and its way up a binary tree of sources, for
+    more than ``beyond`` sources.
+
+    Sources lie side by side by falling weight; a node of level l holds those whose middle lies in one of 2 ** l equal
+    intervals. Of a node's blocks, the left child's k-th (of weight c of d) is done by its deadline, in place
+    ceil((k + 1) d / c) - 1, and the right child's k-th at its release, floor(k d / c): together they fill all places.
+    """
+    w, everything = _weighted(weights).where(F.col("sources") > beyond), Window.partitionBy(F.lit(0))
+    c = F.greatest(F.lit(1), F.round(F.col("w") / F.sum("w").over(everything) * FINE)).cast("long")
+    w = w.select("k", c.alias("c"))
+    upto = F.sum("c").over(everything.orderBy(F.desc("c"), "k").rowsBetween(Window.unboundedPreceding, 0))
+    w = w.select("k", "c", F.sum("c").over(everything).alias("total"), F.min("c").over(everything).alias("least"), upto.alias("upto"))
+    w = w.withColumn("mid", (2 * F.col("upto") - F.col("c")) / (2 * F.col("total"))).withColumn("levels", F.ceil(F.log2(F.col("total") / F.col("least"))).cast("int") + 2)
+    node = w.select("k", "c", "total", "mid", F.explode(F.expr("sequence(1, levels)")).alias("l")).withColumn("node", F.floor(F.col("mid") * F.pow(F.lit(2.0), F.col("l"))))
+    own, both = Window.partitionBy("l", "node"), Window.partitionBy("l", F.expr("node div 2"))
+    step = node.select("k", "c", "total", F.struct((-F.col("l")).alias("up"), F.expr("node % 2 = 1").alias("right"), F.sum("c").over(own).alias("c"), F.sum("c").over(both).alias("d")).alias("step"))
+    return step.groupBy("k", "c", "total").agg(F.filter(F.array_sort(F.collect_list("step")), lambda p: p["c"] < p["d"]).alias("way"))
+
+
 def one_period(share: DataFrame) -> DataFrame:
     """(k, nth, slot, release, deadline): the blocks of one period. Each slot is one step of a fold."""
     listed = share.agg(F.array_sort(F.collect_list(F.struct("k", "a"))).alias("s"), F.sum("a").cast("long").alias("d")).where("d > 0")
@@ -68,36 +96,41 @@ def one_period(share: DataFrame) -> DataFrame:
     return folded.select(k.alias("k"), a.alias("a"), "d", F.col("p.n").alias("nth"), F.col("p.t").alias("slot"), release.alias("release"), deadline.alias("deadline"))
 
 
-def schedule(docs: DataFrame, weights: DataFrame, block: int = BLOCK, period: int = PERIOD, id_col: str = "doc_id", source: str = "source", whole: bool = False) -> DataFrame:
+def schedule(docs: DataFrame, weights: DataFrame, block: int = BLOCK, period: int = PERIOD, id_col: str = "doc_id", source: str = "source", whole: bool = False, exact: bool = False) -> DataFrame:
     """(doc_id, source, block, slot, place, release, deadline), and with ``whole`` the input's row in struct ``row``.
 
-    Of more than MOST_SOURCES weighted sources the lightest are mixed as one. Sources without a weight come after
-    all slots (slot null), unless there is such a rest, which they then join.
+    With ``exact``, or more sources than the period has slots, sources are mixed by ``ways``. Sources without a weight
+    come after all slots (slot null).
     """
     period = max(period, 2 * MOST_SOURCES)
-    plan = one_period(shares(weights, period))
-    # at most MOST_SOURCES and one period's rows, whatever the data
-    each = plan.groupBy("k").agg(F.max("a").alias("a"), F.max("d").alias("d"))
+    plan = one_period(shares(weights, period)) if not exact else None
+    way = ways(weights, 0 if exact else period)
     own = [F.col(f"`{id_col}`").alias("id"), F.col(f"`{source}`").alias("src"), _key(F.col(f"`{source}`")).alias("k")]
     base = docs.select(*own, *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if whole else []))
     base = base.withColumn("h", F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary"))).withColumn("b", F.substring("h", 1, DIGITS))
-    named = F.broadcast(each.select("k", F.lit(True).alias("named")))
-    base = base.join(named, "k", "left").withColumn("k", F.when(F.col("named"), F.col("k")).otherwise(REST)).drop("named")
     counts = base.groupBy("k", "b").agg(F.count(F.lit(1)).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("k").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select("k", "b", before.alias("before"))
+    # a source's way is joined with its buckets, of which even a hot one has few
+    offsets = counts.select("k", "b", before.alias("before")).join(way, "k", "left")
     within = F.row_number().over(Window.partitionBy("k", "b").orderBy("h", F.asc_nulls_first("id"))) - 1
     numbered = base.withColumn("within", within).join(offsets, ["k", "b"]).withColumn("n", F.col("before") + F.col("within"))
     numbered = numbered.withColumn("block", F.expr(f"n div {block}")).withColumn("place", F.expr(f"n % {block}"))
-    placed = numbered.join(F.broadcast(each), "k", "left").withColumn("nth", F.expr("block % a")).withColumn("shift", F.expr("(block div a) * d"))
-    placed = placed.join(F.broadcast(plan.select("k", "nth", F.col("slot").alias("s"), F.col("release").alias("r"), F.col("deadline").alias("e"))), ["k", "nth"], "left")
-    out = [F.col("id").alias(id_col), F.col("src").alias(source), F.col("block").cast("long").alias("block"), (F.col("shift") + F.col("s")).alias("slot"), F.col("place").cast("int").alias("place"), (F.col("shift") + F.col("r")).alias("release"), (F.col("shift") + F.col("e")).alias("deadline")]
+    up = "aggregate(way, block, (t, p) -> if(p.right, (t * p.d) div p.c, ((t + 1) * p.d + p.c - 1) div p.c - 1))"
+    slot, release, deadline = F.expr(up), F.expr("(block * total) div c"), F.expr("((block + 1) * total + c - 1) div c")
+    placed = numbered
+    if plan is not None:
+        # at most one period's rows, whatever the data
+        each = plan.groupBy("k").agg(F.max("a").alias("a"), F.max("d").alias("d"))
+        placed = placed.join(F.broadcast(each), "k", "left").withColumn("nth", F.expr("block % a")).withColumn("shift", F.expr("(block div a) * d"))
+        placed = placed.join(F.broadcast(plan.select("k", "nth", F.col("slot").alias("s"), F.col("release").alias("r"), F.col("deadline").alias("e"))), ["k", "nth"], "left")
+        slot, release, deadline = (F.coalesce(F.col("shift") + F.col(x), y) for x, y in (("s", slot), ("r", release), ("e", deadline)))
+    out = [F.col("id").alias(id_col), F.col("src").alias(source), F.col("block").cast("long").alias("block"), slot.alias("slot"), F.col("place").cast("int").alias("place"), release.alias("release"), deadline.alias("deadline")]
     return placed.select(*out, *(["row"] if whole else []))
 
 
 def mixed(docs: DataFrame, weights: DataFrame, block: int = BLOCK, id_col: str = "doc_id", source: str = "source") -> DataFrame:
     """All rows and columns of ``docs`` in scheduled order, for a writer that keeps the order of partitions and rows."""
-    placed = schedule(docs, weights, block, id_col=id_col, source=source, whole=True)
+    placed = schedule(docs, weights, block, id_col=id_col, source=source, whole=True, exact=True)
     return placed.orderBy(F.asc_nulls_last("slot"), F.asc_nulls_last("block"), source, "place").select("row.*")
 
 
