@@ -2,6 +2,9 @@
 
 from collections import Counter
 
+import duckdb
+import pytest
+
 from larder.llm import mixing
 
 
@@ -23,3 +26,28 @@ def test_mixed_rows_do_not_drift_from_the_weights(spark):
     assert sorted(order) == sorted(s for _, s in data)
     weights = {s: n**0.5 for s, n in Counter(order).items()}
     assert most_off(order[:2200], weights) < 2.5  # until then no source has run out
+
+
+def test_some_hundred_sources_equal_the_sql(spark, tmp_path):
+    data = [(i, f"s{i % 450}") for i in range(2000)] + [(5000 + i, "hot") for i in range(900)] + [(9000 + i, None) for i in range(40)]
+    docs = spark.createDataFrame(data, "doc_id long, source string")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents/*.parquet')")
+    want = con.execute(mixing.oracle()).fetchall()
+    assert sorted(map(tuple, mixing.schedule(docs, mixing.tempered(docs)).collect())) == sorted(want)
+
+
+@pytest.mark.parametrize("n", [1200])
+def test_more_sources_than_slots_keep_their_own_weights(spark, n):
+    size = {f"s{i}": 1 + i % 5 for i in range(n)}
+    data = [(i, s) for i, s in enumerate(s for s, k in size.items() for _ in range(k))]
+    docs = spark.createDataFrame([*data, (-1, "unweighted")], "doc_id long, source string")
+    weights = spark.createDataFrame([(s, float(k)) for s, k in size.items()], "source string, weight double")
+    got = sorted(map(tuple, mixing.schedule(docs, weights, block=1).where("slot is not null").collect()), key=lambda r: r[3])
+    total = sum(size.values())
+    # no slot is empty before sources run out; a lighter one's last block may be more than one block late
+    assert len({r[3] for r in got}) == len(got) == total and [r[3] for r in got[:3000]] == list(range(3000)) and got[-1][3] < 1.5 * total
+    assert most_off([r[1] for r in got[:3000]], size) < 2.5
+    for _, source, block, slot, _, release, deadline in got:
+        assert abs(release - block * total / size[source]) <= 1 and abs(deadline - (block + 1) * total / size[source]) <= 1
