@@ -33,7 +33,8 @@ ASSIGN_LEAST, ACCESS_LEAST = 8, 16
 
 #: How sensitive a target name is, by the words in it; the largest counts.
 SENSITIVE = {"password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.95, "secret": 1.0, "token": 0.9, "credential": 0.9, "credentials": 0.9, "apikey": 1.0, "privatekey": 1.0, "accesskey": 1.0, "auth": 0.7, "key": 0.6, "private": 0.6, "cert": 0.5}
-HINTS = ("pass", "pwd", "secret", "token", "credential", "apikey", "api_key", "privatekey", "private_key", "access_key", "accesskey", "auth")
+#: What a text must hold, JOINTS taken out, for any name in it to be sensitive enough: name_score joins neighbouring words.
+HINTS, JOINTS = tuple(n for n, v in SENSITIVE.items() if v >= THRESHOLD), "_.-"
 PAIR = re.compile(
     r"""(?P<name>[A-Za-z_][A-Za-z0-9_.-]*)["']?[\x20\t]*(?P<op>:=|=>|=(?!=)|:(?!//))[\x20\t]*(?:"(?P<dq>(?:[^"\\\n]|\\.)*)"|'(?P<sq>(?:[^'\\\n]|\\.)*)'|(?P<bare>[^\s"',;{}()\[\]]+))""",
     re.ASCII,
@@ -80,10 +81,16 @@ def literal_score(value: str) -> float:
     return min(1.0, 0.15 * classes + 0.12 * entropy + 0.01 * min(len(value), 40))
 
 
+def _hinted(text: str) -> bool:
+    lowered = text.lower()
+    for joint in JOINTS:
+        lowered = lowered.replace(joint, "")
+    return any(h in lowered for h in HINTS)
+
+
 def literal_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Spans of literals that reach a sensitive name, directly or through other names."""
-    lowered = text.lower()
-    if not any(h in lowered for h in HINTS):
+    if not _hinted(text):
         return []
     defined: dict[str, tuple[str, int, int]] = {}  # name -> its last literal
     refers: dict[str, set[str]] = {}  # name -> names that take its value
