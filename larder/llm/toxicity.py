@@ -3,7 +3,7 @@
 1. Character trigrams of all texts are counted (a table of at most 28 ** 3 numbers) and make a language model.
 2. In each text, tokens that look disguised (symbols or digits inside a word, letters three times in a row, single
    letters spaced out) become a lattice: each character offers the letters it may stand for, repeated letters may
-   be one or two, separators may be nothing. Viterbi takes the likeliest letters under channel and model.
+   be one or two, separators may be nothing or end a word. Viterbi takes the likeliest letters under channel and model.
 3. A logistic regression on the words and beginnings of words of the restored texts scores them: those that
    labelled texts tie to the label, so that inflected forms of a word, seen or not, count alike. A symbol inside a
    word may also stand for any letter of a telling word; it is fitted on at most ``FIT_ROWS`` labelled texts, chosen by hash, one for each sketch, so
@@ -46,6 +46,10 @@ WORD = re.compile(r"[^\W\d_]+")
 #: What a character may stand for besides itself, with the channel's cost in nats.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
 LEET_COST, DROP_COST, DOUBLE_COST, SINGLE_COST = 1.0, 6.0, 1.0, 3.0
+#: What may stand between single letters: nothing, or the end of a word.
+SEPARATORS = " .-_*"
+#: Readings of tokens up to so long are remembered; longer ones are decoded each time.
+REMEMBERED = 40
 INSIDE = re.compile(r"(?<![\w@$!|+(€£*])(?=[a-zA-Z0-9@$!|+(€£*.\-_]*[a-zA-Z])[a-zA-Z@$!|+(€£0-9]+(?:[*.\-_]?[a-zA-Z@$!|+(€£0-9]+)*")
 SPACED = re.compile(r"(?<![^\W_])[^\W\d_](?:[ .\-_*][^\W_]){2,}(?![^\W_])")
 #: Two of the single letters of SPACED at its end: a cheap test for what SPACED would find.
@@ -129,22 +133,32 @@ class Channel:
                     options.append((x * 2, LEET_COST + DOUBLE_COST))
             if not letter:
                 options.append(("", DROP_COST if c in LEET else 0.0))
+            if c in SEPARATORS:
+                options.append((" ", 0.0))
             steps.append(options)
             i = j
-        best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+        # what was read so far is a chain of (chain before, letters), so that a step costs the same at any length
+        best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
         for options in steps:
-            new: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (cost, out) in best.items():
+            new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+            for (a, b), (cost, read) in best.items():
                 for letters, extra in options:
+                    if letters == " " and b == 0:
+                        continue
                     x, y, total = a, b, cost + extra
                     for ch in letters:
-                        k = ord(ch) - 96 if "a" <= ch <= "z" else 27
+                        k = ord(ch) - 96 if "a" <= ch <= "z" else 0 if ch == " " else 27
                         total += self.cost[x, y, k]
                         x, y = y, k
                     if (x, y) not in new or total < new[x, y][0]:
-                        new[x, y] = (total, out + letters)
+                        new[x, y] = (total, (read, letters) if letters else read)
             best = new
-        return min((cost + self.cost[a, b, 0], out) for (a, b), (cost, out) in best.items())[1]
+        read = min(((cost + (self.cost[a, b, 0] if b else 0.0), read) for (a, b), (cost, read) in best.items()), key=lambda r: r[0])[1]
+        out = []
+        while read is not None:
+            read, letters = read
+            out.append(letters)
+        return "".join(reversed(out)).strip()
 
 
 def _tripled(text: str) -> list[tuple[int, int]]:
@@ -167,8 +181,8 @@ class Restorer:
         self.channel, self.known = channel, {}
 
     def _decoded(self, token: str) -> str:
-        if len(token) > 40:
-            return token
+        if len(token) > REMEMBERED:
+            return self.channel.decode(token)
         if token not in self.known:
             if len(self.known) > 200_000:
                 self.known.clear()
@@ -176,13 +190,13 @@ class Restorer:
         return self.known[token]
 
     def disguised(self, text: str) -> list[str]:
-        """Likeliest readings of what looks disguised."""
+        """Words of the likeliest readings of what looks disguised."""
         out = []
         if DISGUISE.search(text):
-            out += [self._decoded(m[0]) for m in INSIDE.finditer(text) if DISGUISE.search(m[0])]
+            out += [w for m in INSIDE.finditer(text) if DISGUISE.search(m[0]) for w in self._decoded(m[0]).split()]
         if SPACES.search(text):
-            out += [self._decoded(m[0]) for m in SPACED.finditer(text)]
-        return out + [self._decoded(text[a:b]) for a, b in _tripled(text)]
+            out += [w for m in SPACED.finditer(text) for w in self._decoded(m[0]).split()]
+        return out + [w for a, b in _tripled(text) for w in self._decoded(text[a:b]).split()]
 
     def words(self, text: str) -> set[str]:
         return {*WORD.findall(text.lower()), *self.disguised(text)}
