@@ -1,8 +1,9 @@
 """Secret scans by assignment-aware lexing (operator 10).
 
 Base spans come from three patterns. The lexer then parses source and configuration syntax (``name = "x"``,
-``name: x``, ``"name": "x"``, ``export NAME=x``, ``name := x``, ``name => x``) into pairs of a name and a literal
-or another name, propagates constants (``a = "x"`` then ``password = a``), and scores each literal by the names it
+``name: x``, ``name: type = x``, ``"name": "x"``, ``export NAME=x``, ``name := x``, ``name => x``) into pairs of a name and a literal
+or another name, propagates constants (``a = "x"`` then ``password = a``, which takes what ``a`` was given last before; if it was
+given nothing before, all it is given later), and scores each literal by the names it
 reaches and by its own shape. Literals that score ``THRESHOLD`` or more and overlap no earlier span are added as
 kind ``literal``.
 
@@ -12,6 +13,7 @@ repeated rows give repeated results; null ids stay null; other columns, whatever
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import re
@@ -35,8 +37,10 @@ ASSIGN_LEAST, ACCESS_LEAST = 8, 16
 SENSITIVE = {"password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.95, "secret": 1.0, "token": 0.9, "credential": 0.9, "credentials": 0.9, "apikey": 1.0, "privatekey": 1.0, "accesskey": 1.0, "auth": 0.7, "key": 0.6, "private": 0.6, "cert": 0.5}
 #: What a text must hold, JOINTS taken out, for any name in it to be sensitive enough: name_score joins neighbouring words.
 HINTS, JOINTS = tuple(n for n, v in SENSITIVE.items() if v >= THRESHOLD), "_.-"
+#: The type of a declaration, as in ``name: str = "x"``: what follows must be quoted, or set off by spaces.
+TYPE = r"""(?:\??[\x20\t]*:[\x20\t]*[&*]?[A-Za-z_][A-Za-z0-9_.]*(?:[<\[][^\n="']{0,60}[>\]])?(?:[\x20\t]*\|[\x20\t]*[A-Za-z_][A-Za-z0-9_.]*){0,8}\??(?=[\x20\t]*=[\x20\t]*["']|[\x20\t]+=[\x20\t]+[^=\s]))?"""
 PAIR = re.compile(
-    r"""(?P<name>[A-Za-z_][A-Za-z0-9_.-]*)["']?[\x20\t]*(?P<op>:=|=>|=(?!=)|:(?!//))[\x20\t]*(?:"(?P<dq>(?:[^"\\\n]|\\.)*)"|'(?P<sq>(?:[^'\\\n]|\\.)*)'|(?P<bare>[^\s"',;{}()\[\]]+))""",
+    r"""(?P<name>[A-Za-z_][A-Za-z0-9_.-]*)["']?""" + TYPE + r"""[\x20\t]*(?P<op>:=|=>|=(?!=)|:(?!//))[\x20\t]*(?:"(?P<dq>(?:[^"\\\n]|\\.)*)"|'(?P<sq>(?:[^'\\\n]|\\.)*)'|(?P<bare>\$\{[A-Za-z_][A-Za-z0-9_.]*\}|[^\s"',;{}()\[\]]+))""",
     re.ASCII,
 )
 IDENTIFIER = re.compile(r"\$?\{?[A-Za-z_][A-Za-z0-9_.]*\}?", re.ASCII)
@@ -92,27 +96,47 @@ def literal_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[in
     """Spans of literals that reach a sensitive name, directly or through other names."""
     if not _hinted(text):
         return []
-    defined: dict[str, tuple[str, int, int]] = {}  # name -> its last literal
-    refers: dict[str, set[str]] = {}  # name -> names that take its value
-    pairs = []
+    given: list[tuple[str, str, int, int, bool]] = []  # name, value, start, end, whether the value is bare
+    places: dict[str, list[int]] = {}  # name -> places in ``given``, rising
     for m in PAIR.finditer(text):
         kind = "dq" if m["dq"] is not None else "sq" if m["sq"] is not None else "bare"
-        value, name = m[kind], m["name"]
-        if kind == "bare" and IDENTIFIER.fullmatch(value) and value.strip("${}") != name and not any(c.isdigit() for c in value):
-            refers.setdefault(value.strip("${}"), set()).add(name)
+        places.setdefault(m["name"], []).append(len(given))
+        given.append((m["name"], m[kind], m.start(kind), m.end(kind), kind == "bare"))
+    taken_by: dict[int, list[int]] = {}  # place -> places that take its value
+    literal = []
+    later: dict[str, list[int]] = {}  # name -> places that take it before it is given anything
+    for i, (name, value, _, _, bare) in enumerate(given):
+        other = value.strip("${}")
+        if bare and other != name and IDENTIFIER.fullmatch(value) and (other in places or not any(c.isdigit() for c in value)):
+            before = bisect.bisect_left(places.get(other, ()), i)
+            if before:
+                taken_by.setdefault(places[other][before - 1], []).append(i)
+            elif other in places:
+                later.setdefault(other, []).append(i)
         elif value:
-            defined[name] = (value, m.start(kind), m.end(kind))
-            pairs.append((name, value, m.start(kind), m.end(kind)))
+            literal.append(i)
     out = []
-    for name, value, start, end in pairs:
-        reach, todo = {name}, [name] if defined[name][1] == start else []
+    for i in literal:
+        _, value, start, end, _ = given[i]
+        own = literal_score(value)
+        if own < THRESHOLD * 0.75:
+            continue
+        seen, names, todo = {i}, {given[i][0]}, [i]
+        followed: set[str] = set()
         while todo:
-            for other in refers.get(todo.pop(), ()):
-                if other not in reach:
-                    reach.add(other)
-                    todo.append(other)
-        score = max(map(name_score, reach)) * literal_score(value)
-        if score >= THRESHOLD * 0.75 and max(map(name_score, reach)) >= THRESHOLD and all(end <= s or start >= e for s, _, e in taken):
+            j = todo.pop()
+            name = given[j][0]
+            more = taken_by.get(j, [])
+            if name in later and name not in followed:
+                followed.add(name)
+                more = more + later[name]
+            for k in more:
+                if k not in seen:
+                    seen.add(k)
+                    names.add(given[k][0])
+                    todo.append(k)
+        best = max(map(name_score, names))
+        if best * own >= THRESHOLD * 0.75 and best >= THRESHOLD and all(end <= s or start >= e for s, _, e in taken):
             out.append((start, 3, end))
     return out
 

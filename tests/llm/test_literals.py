@@ -15,3 +15,32 @@ def test_joined_names_need_no_other_hint(name):
     assert credentials.name_score(name) == 1
     assert literals(text) == ["A8f3kQ9zL2mN7xR4"]
     assert "A8f3kQ9zL2mN7xR4" not in credentials.redact(text, credentials.spans(text)[1])
+
+
+V = "A8f3kQ9zL2mN7xR4"
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        f'key1 = "{V}"\npassword = key1',
+        f'key1 = "{V}"\nv2 = ${{key1}}\nsecret = v2',
+        f'v = "{V}"; password = v; v = "x"',
+        f'v = "x"; v = "{V}"; password = v; v = 1',
+        f'password = v\nv = "{V}"',
+        f'password: str = "{V}"',
+        f"const token: string = '{V}';",
+        f'let secret: Option<String> = "{V}"',
+        f'token?: string | null="{V}"',
+        f'k1: str = "{V}"\npassword: str = k1',
+    ],
+)
+def test_values_reach_names(text):
+    assert literals(text) == [V]
+
+
+def test_values_given_at_other_times_do_not_reach():
+    assert literals(f'v = "{V}"; v = "plain"; password = v') == []
+    assert literals(f'v = "plain"; password = v; v = "{V}"') == []
+    # neither a type nor a second pair
+    assert literals("secret-name: Zx81kQpo93LmTr=") == ["Zx81kQpo93LmTr="]
