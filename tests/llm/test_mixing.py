@@ -5,7 +5,9 @@ from collections import Counter
 import duckdb
 import pytest
 
+import corpus_pipeline
 from larder.llm import mixing
+from tests.llm.cases import odd_documents
 
 
 def most_off(order, weights):
@@ -51,3 +53,12 @@ def test_more_sources_than_slots_keep_their_own_weights(spark, n):
     assert most_off([r[1] for r in got[:3000]], size) < 2.5
     for _, source, block, slot, _, release, deadline in got:
         assert abs(release - block * total / size[source]) <= 1 and abs(deadline - (block + 1) * total / size[source]) <= 1
+
+
+def test_order_of_the_mix_reaches_the_pipelines_result(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    order = [r["doc_id"] for r in corpus_pipeline.mix_sources(spark, docs, "").collect()]
+    got = corpus_pipeline.encode(spark, docs, "").orderBy("slot", "place").collect()
+    assert [r["doc_id"] for r in got] == order and got[0]["slot"] == 0
+    odd = corpus_pipeline.encode(spark, odd_documents(spark), "").collect()
+    assert len({(r["slot"], r["place"]) for r in odd}) == len(odd) == odd_documents(spark).count()
