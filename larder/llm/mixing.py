@@ -1,157 +1,146 @@
 """Mixing sources to target weights by Pfair scheduling (operator 9), in DataFrame and SQL functions only.
 
-Each source's documents, in the order of a hash, are cut in blocks of ``block`` documents. With weight w, a
-source's k-th block (from 0) may start at slot floor(k / w) and must be done by slot ceil((k + 1) / w). Of the
-blocks that may start, each slot takes the one with the earliest deadline (ties: the source that sorts first). On
-weights that add up to 1 this meets every deadline, so that at any slot every source is less than one block off
-its share.
-
-There are two ways to do that. Operator 9, as its SQL says, rounds weights to whole shares of a period of ``period``
-slots (at least one a source), and the schedule repeats with the period: only one period, whose length doesn't depend
-on the data, is simulated (a fold in SQL over its slots), and every block is placed by arithmetic. Blocks are less
-than one off the rounded shares, but the drift from the weights themselves grows with the input. The pipeline, and
-operator 9 on more sources than a period has slots, keep to the weights: in a binary tree of sources, each pair of
-children is a Pfair schedule of two, where a block's place is known by arithmetic, so nothing is simulated and any number of
-sources keep their own weights; what a source is off stays bounded, as each level adds less than a block times the
-weights below it. A source that runs out leaves its slots empty; no document is dropped or repeated.
-
-Documents are numbered within their source without gathering a source: they are counted by source and hash bucket,
-buckets' offsets are summed up, and numbering happens within buckets.
-
-Defined cases: a null source is a source of its own; a null id sorts first; repeated rows are numbered one after
-another, in any order; texts aren't read unless whole rows are asked for; other columns, whatever their names, don't matter.
+Target weights are whole numbers; a source of weight a out of a total of d has the share a / d of the slots. Each
+source's documents, in the order of a hash, are cut in blocks of ``block`` documents. A source's k-th block (from 0)
+is released at slot floor(k d / a) and is due by slot ceil((k + 1) d / a). Of the blocks released, each slot takes the
+one that is due first (ties: the larger weight, then the source that sorts first). As the shares add up to 1, this meets
+every deadline, so that at any slot every source is less than one block off its target.
+
+The schedule repeats exactly after d slots, so only these are simulated, as a fold in SQL. Sources of equal weight
+have the same releases and deadlines and take turns, so the fold keeps one counter for each *distinct weight*: its
+cost is d times the number of distinct weights, whatever the number of documents. No weight is rounded, capped or
+merged with others. A source that runs out leaves its slots empty; no document is dropped or repeated.
+
+Documents are numbered within their source, and sources within their weight, without gathering either: they are counted
+by hash bucket, buckets' offsets are summed up, and numbering happens within buckets.
+
+Defined cases: weights of a source that are given several times add up; null, zero and negative ones count as none, and
+sources without a weight come after all slots (slot null); fractional weights are exact if they are whole multiples of
+the smallest or of a power of ten down to a millionth, and otherwise rounded to millionths of their sum (below half of one they
+count as none); a null source is a source of its own; a null id sorts first; repeated rows are
+numbered one after another, in any order; an empty table gives no rows; texts aren't read unless whole rows are asked
+for; other columns, whatever their names, don't matter.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-BLOCK, PERIOD, MOST_SOURCES = 16, 1000, 400
-#: Exact weights are whole numbers that add up to about this: a block's drift takes as many slots.
-FINE = 1 << 31
-#: Documents of a source are numbered in so many hash buckets: three hexadecimal digits.
-DIGITS = 3
-#: A source's weight is its share of documents to this power, so that small sources weigh more than they hold.
-TEMPERATURE = 0.5
+BLOCK = 16
+#: Hexadecimal digits of a hash by which rows are dealt out to buckets for numbering.
+DIGITS = 4
+#: A source's target weight is its number of documents to this power, so that small sources weigh more than they
+#: hold, in whole numbers of which the largest source has so many.
+TEMPERATURE, TOP = 0.5, 64
+#: Fractional weights are taken in parts of so many.
+PARTS = 1_000_000
+#: Slots folded in one go before their results are put to the others.
+RUN = 512
 
 
 def _key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit(""))
 
 
-def tempered(docs: DataFrame, source: str = "source", power: float = TEMPERATURE) -> DataFrame:
-    """(source, weight): each source's number of documents to a power."""
-    return docs.groupBy(F.col(source).alias("source")).agg(F.pow(F.count(F.lit(1)), F.lit(power)).alias("weight"))
+def _hash(value: Column) -> Column:
+    return F.md5(F.coalesce(value.cast("string"), F.lit("")).cast("binary"))
 
 
-def _weighted(weights: DataFrame) -> DataFrame:
-    """(k, w, sources): one row a source of some weight, and how many there are."""
-    w = weights.where("weight > 0").groupBy(_key(F.col("source")).alias("k")).agg(F.sum("weight").alias("w"))
-    return w.withColumn("sources", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))))
+def tempered(docs: DataFrame, source: str = "source", power: float = TEMPERATURE, top: int = TOP) -> DataFrame:
+    """(source, weight): whole-number target weights, in proportion to each source's number of documents to a power."""
+    counts = docs.groupBy(F.col(f"`{source}`").alias("source")).agg(F.count(F.lit(1)).alias("n"))
+    share = F.pow(F.col("n") / counts.agg(F.max("n").alias("most")).scalar(), F.lit(power))
+    return counts.select("source", F.greatest(F.lit(1), F.round(top * share)).cast("long").alias("weight"))
 
 
-def shares(weights: DataFrame, period: int = PERIOD) -> DataFrame:
-    """(k, a): whole shares of the period, at least one a source, the rest by largest remainder. One row a source; none
-    if the period has fewer slots than there are sources."""
-    everything = Window.partitionBy(F.lit(0))
-    w = _weighted(weights).where(F.col("sources") <= period)
-    quota = F.col("w") / F.sum("w").over(everything) * (F.lit(period) - F.col("sources"))
-    cut = w.withColumn("q", quota).withColumn("a", 1 + F.floor("q")).withColumn("left", period - F.sum("a").over(everything))
-    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc(F.col("q") - F.floor("q")), "k"))
-    return cut.select("k", (F.col("a") + F.when(place <= F.col("left"), 1).otherwise(0)).cast("long").alias("a"))
+def _whole(weights: DataFrame) -> DataFrame:
+    """(k, a): one row for each source that has a weight, a whole number."""
+    w = weights.where("weight > 0").groupBy(_key(F.col("source")).alias("k")).agg(F.sum("weight").alias("a"))
+    if not isinstance(weights.schema["weight"].dataType, IntegralType):
+        # of some units, the first of which all weights are whole multiples; a few numbers come to the driver
+        least, total = w.agg(F.min("a").cast("double"), F.sum("a").cast("double")).first()
+        units = [1.0, *([least] if least else []), *(10.0**-i for i in range(1, 7))]
+        is_whole = w.agg(*[F.max(F.abs(F.col("a") / u - F.round(F.col("a") / u)) > 1e-9 * F.col("a") / u) for u in units]).first()
+        unit = next((u for u, off in zip(units, is_whole) if off is False), (total or 1.0) / PARTS)
+        w = w.withColumn("a", F.round(F.col("a") / unit))
+    return w.select("k", F.col("a").cast("long").alias("a")).where("a > 0")
 
 
-def ways(weights: DataFrame, beyond: int = 0) -> DataFrame:
-    """(k, c, total, way): each source's weight c of ``total`` in whole numbers, and its way up a binary tree of sources, for
-    more than ``beyond`` sources.
+def numbered(df: DataFrame, group: list[str], value: str, name: str) -> DataFrame:
+    """``df`` with the place (from 0) of each row within its group, in the order of the hash of ``value`` and then itself.
+    Groups may be of any size: rows are numbered within hash buckets, whose offsets come from counts. Group columns aren't null."""
+    base = df.withColumn("_h", _hash(F.col(value))).withColumn("_b", F.substring("_h", 1, DIGITS))
+    counts = base.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*group, "_b", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy(*group, "_b").orderBy("_h", F.asc_nulls_first(value))) - 1
+    return base.withColumn("_within", within).join(offsets, [*group, "_b"]).withColumn(name, (F.col("_before") + F.col("_within")).cast("long")).drop("_h", "_b", "_within", "_before")
 
-    Sources lie side by side by falling weight; a node of level l holds those whose middle lies in one of 2 ** l equal
-    intervals. Of a node's blocks, the left child's k-th (of weight c of d) is done by its deadline, in place
-    ceil((k + 1) d / c) - 1, and the right child's k-th at its release, floor(k d / c): together they fill all places.
+
+def one_period(sources: DataFrame) -> DataFrame:
+    """(a, nth, slot, m, d) of ``sources`` (k, a): the nth block that goes to sources of weight a is in this slot; they are m, taking turns.
+
+    Each slot is one step of a fold over the counters of the distinct weights.
     """
-    w, everything = _weighted(weights).where(F.col("sources") > beyond), Window.partitionBy(F.lit(0))
-    c = F.greatest(F.lit(1), F.round(F.col("w") / F.sum("w").over(everything) * FINE)).cast("long")
-    w = w.select("k", c.alias("c"))
-    upto = F.sum("c").over(everything.orderBy(F.desc("c"), "k").rowsBetween(Window.unboundedPreceding, 0))
-    w = w.select("k", "c", F.sum("c").over(everything).alias("total"), F.min("c").over(everything).alias("least"), upto.alias("upto"))
-    w = w.withColumn("mid", (2 * F.col("upto") - F.col("c")) / (2 * F.col("total"))).withColumn("levels", F.ceil(F.log2(F.col("total") / F.col("least"))).cast("int") + 2)
-    node = w.select("k", "c", "total", "mid", F.explode(F.expr("sequence(1, levels)")).alias("l")).withColumn("node", F.floor(F.col("mid") * F.pow(F.lit(2.0), F.col("l"))))
-    own, both = Window.partitionBy("l", "node"), Window.partitionBy("l", F.expr("node div 2"))
-    step = node.select("k", "c", "total", F.struct((-F.col("l")).alias("up"), F.expr("node % 2 = 1").alias("right"), F.sum("c").over(own).alias("c"), F.sum("c").over(both).alias("d")).alias("step"))
-    return step.groupBy("k", "c", "total").agg(F.filter(F.array_sort(F.collect_list("step")), lambda p: p["c"] < p["d"]).alias("way"))
-
-
-def one_period(share: DataFrame) -> DataFrame:
-    """(k, nth, slot, release, deadline): the blocks of one period. Each slot is one step of a fold."""
-    listed = share.agg(F.array_sort(F.collect_list(F.struct("k", "a"))).alias("s"), F.sum("a").cast("long").alias("d")).where("d > 0")
-    pick = """array_min(filter(transform(st.done, (n, i) -> if(n < s[i].a and (n * d) div s[i].a <= t,
-              named_struct('deadline', ((n + 1) * d + s[i].a - 1) div s[i].a, 'i', i, 'n', n), null)), x -> x is not null))"""
-    step = f"""transform(array({pick}), p -> named_struct('done', transform(st.done, (n, i) -> if(i = p.i, n + 1, n)),
-               'picks', concat(st.picks, array(named_struct('i', p.i, 'n', p.n, 't', t)))))[0]"""
-    start = "named_struct('done', transform(s, x -> 0L), 'picks', cast(array() as array<struct<i:int,n:bigint,t:bigint>>))"
-    folded = listed.select("s", "d", F.explode(F.expr(f"aggregate(sequence(0L, d - 1), {start}, (st, t) -> {step}).picks")).alias("p"))
-    a, k = F.expr("s[p.i].a"), F.expr("s[p.i].k")
-    release, deadline = F.expr("(p.n * d) div s[p.i].a"), F.expr("((p.n + 1) * d + s[p.i].a - 1) div s[p.i].a")
-    return folded.select(k.alias("k"), a.alias("a"), "d", F.col("p.n").alias("nth"), F.col("p.t").alias("slot"), release.alias("release"), deadline.alias("deadline"))
-
-
-def schedule(docs: DataFrame, weights: DataFrame, block: int = BLOCK, period: int = PERIOD, id_col: str = "doc_id", source: str = "source", whole: bool = False, exact: bool = False) -> DataFrame:
+    classes = sources.groupBy("a").agg(F.count(F.lit(1)).alias("m"))
+    listed = classes.agg(F.reverse(F.array_sort(F.collect_list(F.struct("a", "m")))).alias("c"), F.sum(F.expr("a * m")).cast("long").alias("d")).where("d > 0")
+    pick = """array_min(transform(st.done, (n, i) -> if(n < c[i].a * c[i].m and ((n div c[i].m) * d) div c[i].a <= t,
+              named_struct('due', ((n div c[i].m + 1) * d + c[i].a - 1) div c[i].a, 'i', i), null))).i"""
+    slot = f"""transform(array({pick}), p -> named_struct('done', transform(st.done, (n, i) -> if(i = p, n + 1, n)), 'picks', concat(st.picks, array(p))))[0]"""
+    none = "cast(array() as array<int>)"
+    run = f"""aggregate(sequence(t0, least(t0 + {RUN}, d) - 1), named_struct('done', all.done, 'picks', {none}), (st, t) -> {slot})"""
+    step = f"""transform(array({run}), r -> named_struct('done', r.done, 'picks', concat(all.picks, array(r.picks))))[0]"""
+    start = f"named_struct('done', transform(c, x -> 0L), 'picks', cast(array() as array<array<int>>))"
+    folded = listed.select("c", "d", F.posexplode(F.expr(f"flatten(aggregate(sequence(0L, d - 1, {RUN}L), {start}, (all, t0) -> {step}).picks)")).alias("slot", "i"))
+    each = folded.select(F.expr("c[i].a").alias("a"), F.expr("c[i].m").alias("m"), "d", F.col("slot").cast("long").alias("slot"))
+    return each.withColumn("nth", (F.row_number().over(Window.partitionBy("a").orderBy("slot")) - 1).cast("long"))
+
+
+def schedule(docs: DataFrame, weights: DataFrame, block: int = BLOCK, id_col: str = "doc_id", source: str = "source", whole: bool = False) -> DataFrame:
     """(doc_id, source, block, slot, place, release, deadline), and with ``whole`` the input's row in struct ``row``.
 
-    With ``exact``, or more sources than the period has slots, sources are mixed by ``ways``. Sources without a weight
-    come after all slots (slot null).
+    ``weights`` has source and weight; see the module's docstring for weights that aren't whole or are missing.
     """
-    period = max(period, 2 * MOST_SOURCES)
-    plan = one_period(shares(weights, period)) if not exact else None
-    way = ways(weights, 0 if exact else period)
     own = [F.col(f"`{id_col}`").alias("id"), F.col(f"`{source}`").alias("src"), _key(F.col(f"`{source}`")).alias("k")]
     base = docs.select(*own, *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if whole else []))
-    base = base.withColumn("h", F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary"))).withColumn("b", F.substring("h", 1, DIGITS))
-    counts = base.groupBy("k", "b").agg(F.count(F.lit(1)).alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("k").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    # a source's way is joined with its buckets, of which even a hot one has few
-    offsets = counts.select("k", "b", before.alias("before")).join(way, "k", "left")
-    within = F.row_number().over(Window.partitionBy("k", "b").orderBy("h", F.asc_nulls_first("id"))) - 1
-    numbered = base.withColumn("within", within).join(offsets, ["k", "b"]).withColumn("n", F.col("before") + F.col("within"))
-    numbered = numbered.withColumn("block", F.expr(f"n div {block}")).withColumn("place", F.expr(f"n % {block}"))
-    up = "aggregate(way, block, (t, p) -> if(p.right, (t * p.d) div p.c, ((t + 1) * p.d + p.c - 1) div p.c - 1))"
-    slot, release, deadline = F.expr(up), F.expr("(block * total) div c"), F.expr("((block + 1) * total + c - 1) div c")
-    placed = numbered
-    if plan is not None:
-        # at most one period's rows, whatever the data
-        each = plan.groupBy("k").agg(F.max("a").alias("a"), F.max("d").alias("d"))
-        placed = placed.join(F.broadcast(each), "k", "left").withColumn("nth", F.expr("block % a")).withColumn("shift", F.expr("(block div a) * d"))
-        placed = placed.join(F.broadcast(plan.select("k", "nth", F.col("slot").alias("s"), F.col("release").alias("r"), F.col("deadline").alias("e"))), ["k", "nth"], "left")
-        slot, release, deadline = (F.coalesce(F.col("shift") + F.col(x), y) for x, y in (("s", slot), ("r", release), ("e", deadline)))
+    rows = numbered(base, ["k"], "id", "n").withColumn("block", F.expr(f"n div {block}")).withColumn("place", F.expr(f"n % {block}"))
+    known = _whole(weights)
+    turns = numbered(known, ["a"], "k", "turn")
+    period = one_period(known)
+    # block b of a source is, in period b div a, the (b % a)th of its turns among sources of its weight
+    slots = period.select("a", "m", "d", "nth", "slot")
+    sizes = period.groupBy("a").agg(F.max("m").alias("m"), F.max("d").alias("d"))
+    placed = rows.join(turns.join(sizes, "a"), "k", "left").withColumn("nth", F.expr("(block % a) * m + turn"))
+    placed = placed.join(slots.select("a", "nth", F.col("slot").alias("s")), ["a", "nth"], "left")
+    slot, release, deadline = F.expr("(block div a) * d + s"), F.expr("(block * d) div a"), F.expr("((block + 1) * d + a - 1) div a")
     out = [F.col("id").alias(id_col), F.col("src").alias(source), F.col("block").cast("long").alias("block"), slot.alias("slot"), F.col("place").cast("int").alias("place"), release.alias("release"), deadline.alias("deadline")]
     return placed.select(*out, *(["row"] if whole else []))
 
 
 def mixed(docs: DataFrame, weights: DataFrame, block: int = BLOCK, id_col: str = "doc_id", source: str = "source") -> DataFrame:
     """All rows and columns of ``docs`` in scheduled order, for a writer that keeps the order of partitions and rows."""
-    placed = schedule(docs, weights, block, id_col=id_col, source=source, whole=True, exact=True)
+    placed = schedule(docs, weights, block, id_col=id_col, source=source, whole=True)
     return placed.orderBy(F.asc_nulls_last("slot"), F.asc_nulls_last("block"), source, "place").select("row.*")
 
 
-def oracle(block: int = BLOCK, period: int = PERIOD, power: float = TEMPERATURE) -> str:
-    d = max(period, 2 * MOST_SOURCES)
+def oracle(block: int = BLOCK, power: float = TEMPERATURE, top: int = TOP) -> str:
+    """Source by source and slot by slot up to the last block's slot, without periods or classes of equal weights."""
     return f"""
-    with recursive c as (select coalesce('=' || source, '') as k, pow(count(*), {power}) as w from documents group by 1),
-    q as (select k, w / sum(w) over () * ({d} - count(*) over ()) as q from c),
-    f as (select k, q, 1 + floor(q) as a, {d} - sum(1 + floor(q)) over () as extra, row_number() over (order by q - floor(q) desc, k) as r from q),
-    s as (select k, cast(a + case when r <= extra then 1 else 0 end as bigint) as a, row_number() over (order by k) as i from f),
-    l as (select list(a order by i) as al from s),
+    with recursive c as (select coalesce('=' || source, '') as k, count(*) as n from documents group by 1),
+    w as (select k, n, cast(greatest(1, round({top} * pow(n / (select max(n) from c), {power}))) as bigint) as a from c),
+    s as (select *, cast((select sum(a) from w) as bigint) as d, row_number() over (order by a desc, md5(k), k) as i from w),
+    l as (select list(a order by i) as al, max(d) as d, max(((n + {block - 1}) // {block} * d + a - 1) // a) as last from s),
     run(t, done, i, n) as (
       select cast(-1 as bigint), list_transform(al, lambda x: cast(0 as bigint)), cast(0 as bigint), cast(0 as bigint) from l
       union all
       select t, list_transform(done, lambda x, j: case when j = pick then x + 1 else x end), pick, done[pick] from (
-        select t, done, list_min(list_transform(done, lambda x, j: case when x < al[j] and (x * {d}) // al[j] <= t
-                          then (((x + 1) * {d} + al[j] - 1) // al[j]) * 100000 + j end)) % 100000 as pick
-        from (select run.t + 1 as t, run.done, l.al from run, l where run.t + 1 < {d}))),
-    p as (select s.k, s.a, run.n as nth, run.t as slot, (run.n * {d}) // s.a as r, ((run.n + 1) * {d} + s.a - 1) // s.a as e from run join s using (i) where run.t >= 0),
+        select t, done, list_min(list_transform(done, lambda x, j: case when (x * d) // al[j] <= t
+                          then (((x + 1) * d + al[j] - 1) // al[j]) * 1000000 + j end)) % 1000000 as pick
+        from (select run.t + 1 as t, run.done, l.al, l.d from run, l where run.t + 1 < l.last))),
     m as (select doc_id, source, coalesce('=' || source, '') as k, row_number() over (partition by source order by md5(cast(doc_id as varchar)), doc_id) - 1 as n from documents)
-    select doc_id, source, cast(n // {block} as bigint) as block, cast(((n // {block}) // s.a) * {d} + p.slot as bigint) as slot, cast(n % {block} as integer) as place,
-           cast(((n // {block}) // s.a) * {d} + p.r as bigint) as release, cast(((n // {block}) // s.a) * {d} + p.e as bigint) as deadline
-    from m join s using (k) join p on p.k = m.k and p.nth = (n // {block}) % s.a
+    select doc_id, source, cast(m.n // {block} as bigint) as block, run.t as slot, cast(m.n % {block} as integer) as place,
+           cast((m.n // {block} * d) // a as bigint) as release, cast(((m.n // {block} + 1) * d + a - 1) // a as bigint) as deadline
+    from m join s using (k) join run on run.i = s.i and run.n = m.n // {block} and run.t >= 0
     """
