@@ -2,9 +2,10 @@
 
 Base spans come from three patterns. The lexer then parses source and configuration syntax (``name = "x"``,
 ``name: x``, ``name: type = x``, ``"name": "x"``, ``export NAME=x``, ``name := x``, ``name => x``) into pairs of a name and a literal
-or another name, propagates constants (``a = "x"`` then ``password = a``, which takes what ``a`` was given last before; if it was
-given nothing before, all it is given later), and scores each literal by the names it
-reaches and by its own shape. Literals that score ``THRESHOLD`` or more and overlap no earlier span are added as
+or another name, or several joined by ``+``, propagates constants (``a = "x"`` then ``password = a``, which takes what ``a`` was given
+last before; if it was given nothing before, all it is given later), and scores each literal by the names it
+reaches and by its own shape. A quoted phrase of several words counts only where it reaches a name that is nearly always a secret's.
+Every step takes time in proportion to the text's length, whatever it holds. Literals that score ``THRESHOLD`` or more and overlap no earlier span are added as
 kind ``literal``.
 
 Spans are in code points, end exclusive, the whole match. Defined cases: a null text is an empty one without spans;
@@ -15,15 +16,19 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+import itertools
 import math
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larder.llm.common import releasing
+
 KINDS = ("assign", "access", "hex", "literal")
 THRESHOLD = 0.7
 #: The patterns of the base kinds and the least length of what they hold.
@@ -33,16 +38,19 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ASSIGN_LEAST, ACCESS_LEAST = 8, 16
 
-#: How sensitive a target name is, by the words in it; the largest counts.
-SENSITIVE = {"password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.95, "secret": 1.0, "token": 0.9, "credential": 0.9, "credentials": 0.9, "apikey": 1.0, "privatekey": 1.0, "accesskey": 1.0, "auth": 0.7, "key": 0.6, "private": 0.6, "cert": 0.5}
+#: How sensitive a target name is, by the words in it; the largest counts. Joined neighbours count too: api-key is apikey.
+SENSITIVE = {"password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.95, "secret": 1.0, "token": 0.9, "credential": 0.9, "credentials": 0.9, "apikey": 1.0, "privatekey": 1.0, "accesskey": 1.0, "auth": 0.7}
+#: Names from which on a phrase of several words may be a secret; its words and its length.
+PHRASE_NAME, PHRASE_WORDS, PHRASE_LENGTH = 0.95, range(3, 13), range(12, 121)
 #: What a text must hold, JOINTS taken out, for any name in it to be sensitive enough: name_score joins neighbouring words.
-HINTS, JOINTS = tuple(n for n, v in SENSITIVE.items() if v >= THRESHOLD), "_.-"
+HINTS, JOINTS = tuple(SENSITIVE), "_.-"
 #: The type of a declaration, as in ``name: str = "x"``: what follows must be quoted, or set off by spaces.
-TYPE = r"""(?:\??[\x20\t]*:[\x20\t]*[&*]?[A-Za-z_][A-Za-z0-9_.]*(?:[<\[][^\n="']{0,60}[>\]])?(?:[\x20\t]*\|[\x20\t]*[A-Za-z_][A-Za-z0-9_.]*){0,8}\??(?=[\x20\t]*=[\x20\t]*["']|[\x20\t]+=[\x20\t]+[^=\s]))?"""
-PAIR = re.compile(
-    r"""(?P<name>[A-Za-z_][A-Za-z0-9_.-]*)["']?""" + TYPE + r"""[\x20\t]*(?P<op>:=|=>|=(?!=)|:(?!//))[\x20\t]*(?:"(?P<dq>(?:[^"\\\n]|\\.)*)"|'(?P<sq>(?:[^'\\\n]|\\.)*)'|(?P<bare>\$\{[A-Za-z_][A-Za-z0-9_.]*\}|[^\s"',;{}()\[\]]+))""",
-    re.ASCII,
-)
+TYPE = r"""(?:\??[\x20\t]*+:[\x20\t]*+[&*]?[A-Za-z_][A-Za-z0-9_.]*+(?:[<\[][^\n="']{0,60}[>\]])?(?:[\x20\t]*+\|[\x20\t]*+[A-Za-z_][A-Za-z0-9_.]*+){0,8}\??(?=[\x20\t]*+=[\x20\t]*+["']|[\x20\t]++=[\x20\t]++[^=\s]))?"""
+VALUE = r"""(?:"(?P<dq>[^"\\\n]*+(?:\\.[^"\\\n]*+)*+)"|'(?P<sq>[^'\\\n]*+(?:\\.[^'\\\n]*+)*+)'|(?P<bare>\$\{[A-Za-z_][A-Za-z0-9_.]*+\}|[^\s"',;{}()\[\]]++))"""
+#: A run of name characters is looked at once, as a whole: no match begins inside it, and none gives a part of it back.
+PAIR = re.compile(r"""(?<![A-Za-z0-9_.-])(?P<name>[A-Za-z0-9_.-]++)["']?""" + TYPE + r"""[\x20\t]*+(?::=|=>|=(?!=)|:(?!//))[\x20\t]*+""" + VALUE, re.ASCII)
+#: What is joined to a value by +, in the same line or the next.
+JOINED = re.compile(r"""[\x20\t]*+\+[\x20\t]*+(?:\n[\x20\t]*+)?""" + VALUE, re.ASCII)
 IDENTIFIER = re.compile(r"\$?\{?[A-Za-z_][A-Za-z0-9_.]*\}?", re.ASCII)
 WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|<.*>|changeme|example|none|null|true|false|your[_-].*|todo)$")
@@ -75,9 +83,12 @@ def name_score(name: str) -> float:
     return max([SENSITIVE.get(w, 0.0) for w in [*words, *joined]], default=0.0)
 
 
-def literal_score(value: str) -> float:
-    """0 to 1 by length, mixture of character classes and entropy; placeholders and plain words score low."""
-    if len(value) < 6 or PLACEHOLDER.match(value) or " " in value:
+def literal_score(value: str, phrase: bool = False) -> float:
+    """0 to 1 by length, mixture of character classes and entropy; placeholders and plain words score low. With ``phrase``,
+    several words without a sentence's marks may be one too."""
+    if len(value) < 6 or PLACEHOLDER.match(value):
+        return 0.0
+    if " " in value and not (phrase and len(value) in PHRASE_LENGTH and len(value.split()) in PHRASE_WORDS and not re.search("[.,;:!?]", value)):
         return 0.0
     n = Counter(value)
     entropy = -sum(c / len(value) * math.log2(c / len(value)) for c in n.values())
@@ -92,51 +103,85 @@ def _hinted(text: str) -> bool:
     return any(h in lowered for h in HINTS)
 
 
+@dataclass
+class Given:
+    """One assignment: what a name is given, in parts joined by +."""
+
+    name: str
+    parts: list[tuple[str, int, int, bool]]  # value, start, end, whether it is bare
+    literal: list[tuple[str, int, int]] = field(default_factory=list)
+    sources: list[int | str] = field(default_factory=list)  # places whose value it takes, or a name given only later
+
+
+def assignments(text: str) -> list[Given]:
+    """All assignments, in order, with what each takes from others."""
+    given: list[Given] = []
+    places: dict[str, list[int]] = {}  # name -> places in ``given``, rising
+    m = PAIR.search(text)
+    while m:
+        parts, more = [], m
+        while more:
+            kind = "dq" if more["dq"] is not None else "sq" if more["sq"] is not None else "bare"
+            parts.append((more[kind], more.start(kind), more.end(kind), kind == "bare"))
+            end = more.end()
+            more = JOINED.match(text, end)
+        name = m["name"].lstrip("0123456789.-")
+        if name:
+            places.setdefault(name, []).append(len(given))
+            given.append(Given(name, parts))
+        m = PAIR.search(text, end)
+    for i, g in enumerate(given):
+        for value, start, end, bare in g.parts:
+            other = value.strip("${}")
+            if bare and other != g.name and IDENTIFIER.fullmatch(value) and (other in places or not any(c.isdigit() for c in value)):
+                before = bisect.bisect_left(places.get(other, ()), i)
+                if before:
+                    g.sources.append(places[other][before - 1])
+                elif other in places:
+                    g.sources.append(other)
+            elif value:
+                g.literal.append((value, start, end))
+    return given
+
+
+def reached(given: list[Given]) -> list[float]:
+    """For each assignment, how sensitive the most sensitive name is that its value reaches, its own included; 0 under THRESHOLD.
+
+    Names are taken by falling sensitivity and followed back to what they take, so each assignment is met once."""
+    score: dict[str, float] = {g.name: 0.0 for g in given}
+    score = {name: name_score(name) for name in score}
+    own: dict[str, list[int]] = {}
+    for i, g in enumerate(given):
+        own.setdefault(g.name, []).append(i)
+    best, names = [0.0] * len(given), set()
+    for start in sorted((i for i, g in enumerate(given) if score[g.name] >= THRESHOLD), key=lambda i: -score[given[i].name]):
+        todo: list[int | str] = [start]
+        while todo:
+            at = todo.pop()
+            if isinstance(at, str):
+                if at not in names:
+                    names.add(at)
+                    todo += own[at]
+            elif not best[at]:
+                best[at] = score[given[start].name]
+                todo += given[at].sources
+    return best
+
+
 def literal_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Spans of literals that reach a sensitive name, directly or through other names."""
+    """Spans of literals that reach a sensitive name, directly or through other names. Joined literals are one span."""
     if not _hinted(text):
         return []
-    given: list[tuple[str, str, int, int, bool]] = []  # name, value, start, end, whether the value is bare
-    places: dict[str, list[int]] = {}  # name -> places in ``given``, rising
-    for m in PAIR.finditer(text):
-        kind = "dq" if m["dq"] is not None else "sq" if m["sq"] is not None else "bare"
-        places.setdefault(m["name"], []).append(len(given))
-        given.append((m["name"], m[kind], m.start(kind), m.end(kind), kind == "bare"))
-    taken_by: dict[int, list[int]] = {}  # place -> places that take its value
-    literal = []
-    later: dict[str, list[int]] = {}  # name -> places that take it before it is given anything
-    for i, (name, value, _, _, bare) in enumerate(given):
-        other = value.strip("${}")
-        if bare and other != name and IDENTIFIER.fullmatch(value) and (other in places or not any(c.isdigit() for c in value)):
-            before = bisect.bisect_left(places.get(other, ()), i)
-            if before:
-                taken_by.setdefault(places[other][before - 1], []).append(i)
-            elif other in places:
-                later.setdefault(other, []).append(i)
-        elif value:
-            literal.append(i)
+    given = assignments(text)
+    starts, ends = [s for s, _, _ in taken], list(itertools.accumulate((e for _, _, e in taken), max))
     out = []
-    for i in literal:
-        _, value, start, end, _ = given[i]
-        own = literal_score(value)
-        if own < THRESHOLD * 0.75:
+    for g, best in zip(given, reached(given)):
+        if not best or not g.literal:
             continue
-        seen, names, todo = {i}, {given[i][0]}, [i]
-        followed: set[str] = set()
-        while todo:
-            j = todo.pop()
-            name = given[j][0]
-            more = taken_by.get(j, [])
-            if name in later and name not in followed:
-                followed.add(name)
-                more = more + later[name]
-            for k in more:
-                if k not in seen:
-                    seen.add(k)
-                    names.add(given[k][0])
-                    todo.append(k)
-        best = max(map(name_score, names))
-        if best * own >= THRESHOLD * 0.75 and best >= THRESHOLD and all(end <= s or start >= e for s, _, e in taken):
+        start, end = g.literal[0][1], g.literal[-1][2]
+        own = literal_score("".join(v for v, _, _ in g.literal), phrase=best >= PHRASE_NAME and text[start - 1 : start] in ("'", '"'))
+        before = bisect.bisect_left(starts, end)  # spans that begin before this one ends
+        if own >= THRESHOLD * 0.75 and best * own >= THRESHOLD * 0.75 and not (before and ends[before - 1] > start):
             out.append((start, 3, end))
     return out
 
@@ -178,13 +223,15 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
                     column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, schema)], schema=schema)
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text)).mapInArrow(run, f"`{id_col}` long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return docs.select(F.col(id_col).cast("long"), F.col(text)).mapInArrow(releasing(run), f"`{id_col}` long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
 def redacted(docs: DataFrame, text: str = "text", n_chars: str | None = "n_chars") -> DataFrame:
-    """All rows and columns of ``docs``, secrets in ``text`` replaced, ``n_chars`` counted again where a text changed."""
+    """All rows and columns of ``docs``, secrets in ``text`` replaced, ``n_chars`` counted again where a text changed.
+
+    Null and empty texts stay; overlapping spans are replaced as one; repeated rows stay alike; an empty table gives no rows."""
 
-    def hide(batches: Iterable[pa.Array]) -> Iterator[pa.Array]:
+    def hide(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             out = []
             for t in texts:
@@ -193,11 +240,7 @@ def redacted(docs: DataFrame, text: str = "text", n_chars: str | None = "n_chars
                 out.append(redact(t, found) if found else t)
             yield pa.array(out, pa.string())
 
-    hide.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    clean = F.arrow_udf(hide, "string") if hasattr(F, "arrow_udf") else None
-    if clean is None:
-        raise RuntimeError("this needs Spark 4.1 or later")
-    new = docs.withColumn(text, clean(F.col(f"`{text}`")))
+    new = docs.withColumn(text, F.arrow_udf(releasing(hide), "string")(F.col(f"`{text}`")))
     if n_chars and n_chars in docs.columns:
         same = F.coalesce(F.col(f"`{n_chars}`"), F.lit(0)) == F.length(f"`{text}`")
         new = new.withColumn(n_chars, F.when(F.col(f"`{text}`").isNull() | same, F.col(f"`{n_chars}`")).otherwise(F.length(f"`{text}`")).cast(docs.schema[n_chars].dataType))

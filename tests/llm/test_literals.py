@@ -44,3 +44,57 @@ def test_values_given_at_other_times_do_not_reach():
     assert literals(f'v = "plain"; password = v; v = "{V}"') == []
     # neither a type nor a second pair
     assert literals("secret-name: Zx81kQpo93LmTr=") == ["Zx81kQpo93LmTr="]
+
+
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        ('k1 = "A8f3kQ9z"\nm2 = k1\npassword = m2', ["A8f3kQ9z"]),
+        ('password = "A8f3kQ" + "9zL2mN7xR4"', ['A8f3kQ" + "9zL2mN7xR4']),
+        ('password = "A8f3kQ" +\n    "9zL2mN7xR4"', ['A8f3kQ" +\n    "9zL2mN7xR4']),
+        ('half = "A8f3kQ9zL2"\npassword = half + "x"', ["A8f3kQ9zL2"]),
+        ('passphrase: "correct horse battery staple"', ["correct horse battery staple"]),
+        ('note: "correct horse battery staple"', []),
+        ('key: "A8f3kQ9zL2mN7xR4"', []),
+        ('password: "Words, with marks. Not a phrase!"', []),
+        (f'9key = "{V}"; --password=9key', []),
+        (f'--password "{V}" x', []),
+        (f'a = b; a = "{V}"; b = a; secret = b', [V]), (f'a = b; b = a; a = "{V}"; secret = b', []),
+    ],
+)
+def test_joined_and_spaced_literals(text, found):
+    assert literals(text) == found
+
+
+def plain_reach(given):
+    """Every assignment from every other, by following what takes what, one step at a time."""
+    n = len(given)
+    takes = [{j for x in g.sources for j in ([x] if isinstance(x, int) else [k for k in range(n) if given[k].name == x])} for g in given]
+    best = [credentials.name_score(g.name) for g in given]
+    while True:
+        new = [max([best[i], *(best[k] for k in range(n) if i in takes[k])]) for i in range(n)]
+        if new == best:
+            return [b if b >= credentials.THRESHOLD else 0.0 for b in best]
+        best = new
+
+
+def test_propagation_equals_plain_steps():
+    import random
+
+    r = random.Random(12)
+    names = ["a", "b", "c1", "password", "auth", "d.e", "x_y", "token"]
+    for _ in range(400):
+        text = "\n".join(f"{r.choice(names)} = {r.choice([r.choice(names), repr(V), r.choice(names) + ' + ' + r.choice(names)])}" for _ in range(r.randint(1, 9)))
+        given = credentials.assignments(text)
+        assert credentials.reached(given) == plain_reach(given), text
+
+
+@pytest.mark.parametrize("unit", ["a", "a=", "a:", 'a="', "a='x' + ", "password", "password = ", " ", "auth a\t", "x: y | z", "a: b<", "AKIA", "0f", "a=b;", "password=b;b=password;", "${", "\\", 'k="\\'])
+def test_long_texts_take_time_in_proportion(unit):
+    import time
+
+    text = "auth " + unit * (400_000 // len(unit))
+    credentials.spans(text[:1000])
+    began = time.process_time()
+    credentials.spans(text)
+    assert time.process_time() - began < 4
