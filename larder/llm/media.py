@@ -6,16 +6,20 @@ frame is ancillary data that players skip and readers of this module take as pay
 CRC-16 of its header and side information, and the first frame a CRC-32 of all audio bytes.
 
 ``read`` takes any bytes: it skips ID3v2, APE and ID3v1 tags, resynchronises on frame headers (a header counts if
-the next frame follows where its length says, or the stream ends there), parses the variable-bitrate table, checks
-checksums, and gives exact durations (samples over sample rate, not rounded) and the offset of every frame.
+the next frame follows where its length says, or the stream or its closing tags begin there), parses the
+variable-bitrate table (Xing, Info or VBRI) and compares its seek points with the frames found, checks the checksums
+of all three layers, and gives exact durations (samples over sample rate, not rounded) and the offset of every frame.
 
 Defined cases: null and empty payloads are stored as 64 zero bytes; bytes that hold no frame give zero frames and
-an empty payload; a frame with a wrong checksum is counted and kept; equal payloads give equal media.
+an empty payload; a frame with a wrong checksum is counted and kept; a table that is cut short counts as far as it goes
+and isn't sound; a declared payload length of over 18 digits counts as none; equal payloads give equal media; repeated
+rows give repeated results; null ids stay null; an empty table gives no rows; other columns, whatever their names, aren't read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
@@ -26,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larder.llm.common import releasing
+
 UNIT = 64
 #: Fixed values of the MPEG audio format: kbit/s by (MPEG-1?, layer) and index, Hz by version and index.
 BITRATES = {
@@ -42,13 +48,12 @@ RATE, SIDE, HEAD = 32000, 17, 4
 
 
 @lru_cache(maxsize=65536)
-def crc16(data: bytes, start: int = 0xFFFF) -> int:
-    """The format's CRC (x^16 + x^15 + x^2 + 1, high bit first); headers repeat, so results are remembered."""
-    crc = start
-    for byte in data:
-        crc ^= byte << 8
-        for _ in range(8):
-            crc = (crc << 1 ^ 0x8005 if crc & 0x8000 else crc << 1) & 0xFFFF
+def crc16(data: bytes, bits: int | None = None) -> int:
+    """The format's CRC (x^16 + x^15 + x^2 + 1, high bit first) of all or the first bits; headers repeat, so results are remembered."""
+    crc = 0xFFFF
+    for i in range(8 * len(data) if bits is None else bits):
+        crc ^= (data[i >> 3] >> (7 - i % 8) & 1) << 15
+        crc = (crc << 1 ^ 0x8005 if crc & 0x8000 else crc << 1) & 0xFFFF
     return crc
 
 
@@ -62,6 +67,7 @@ class Header:
     length: int
     samples: int
     mono: bool
+    bound: int  # the subband from which on two channels share their bit allocation
 
     @property
     def side(self) -> int:
@@ -80,7 +86,38 @@ def header(four: bytes) -> Header | None:
     kbit, hz, pad = BITRATES[version == 3, layer][bits], RATES[version][rate], four[2] >> 1 & 1
     samples = 384 if layer == 1 else 1152 if layer == 2 or version == 3 else 576
     length = (12 * kbit * 1000 // hz + pad) * 4 if layer == 1 else samples // 8 * kbit * 1000 // hz + pad
-    return Header(version, layer, not four[1] & 1, kbit, hz, length, samples, four[3] >> 6 == 3)
+    bound = 4 * (four[3] >> 4 & 3) + 4 if four[3] >> 6 == 1 else 32
+    return Header(version, layer, not four[1] & 1, kbit, hz, length, samples, four[3] >> 6 == 3, bound)
+
+
+#: Fixed values of the format: bits of each subband's allocation in layer II, as (subbands up to here, bits).
+ALLOCATIONS = {
+    "a": ((11, 4), (23, 3), (27, 2)),
+    "b": ((11, 4), (23, 3), (30, 2)),
+    "c": ((2, 4), (8, 3)),
+    "d": ((2, 4), (12, 3)),
+    "lsf": ((4, 4), (11, 3), (30, 2)),
+}
+
+
+def protected_bits(h: Header, body: bytes) -> int:
+    """How many bits after header and checksum the checksum covers: side information, or bit allocation and what selects scale factors."""
+    channels = 1 if h.mono else 2
+    if h.layer == 3:
+        return 8 * h.side
+    if h.layer == 1:
+        return 4 * (channels * min(h.bound, 32) + 32 - min(h.bound, 32))
+    each = h.bitrate // channels
+    table = "lsf" if h.version != 3 else ("d" if h.rate == 32000 else "c") if each <= 48 else "b" if each >= 96 and h.rate != 48000 else "a"
+    at = used = band = 0
+    for upto, bits in ALLOCATIONS[table]:
+        while band < upto:
+            for _ in range(channels if band < h.bound else 1):
+                value = int.from_bytes(body[at >> 3 : (at >> 3) + 2].ljust(2, b"\0"), "big") >> (16 - bits - at % 8) & (1 << bits) - 1
+                used += (value > 0) * (1 if band < h.bound else channels)
+                at += bits
+            band += 1
+    return at + 2 * used
 
 
 def _frame_bytes(index: int) -> bytes:
@@ -138,13 +175,14 @@ class Parsed:
     declared: int | None = None
     table: bool = False
     table_ok: bool = False
+    seek_ok: bool | None = None
     audio_ok: bool | None = None
     offsets: list[int] = field(default_factory=list)
     payload: bytes = b""
 
     @property
     def feature(self) -> str:
-        return ";".join(f"{k}={v}" for k, v in (("frames", self.frames), ("samples", self.samples), ("rate", self.rate), ("kbit", f"{self.low}-{self.high}"), ("tags", "+".join(self.tags) or "-"), ("vbr", int(self.table_ok)), ("crc", f"{self.checked - self.failed}/{self.checked}"), ("audio", {None: "-", True: 1, False: 0}[self.audio_ok]), ("skipped", self.skipped)))
+        return ";".join(f"{k}={v}" for k, v in (("frames", self.frames), ("samples", self.samples), ("rate", self.rate), ("kbit", f"{self.low}-{self.high}"), ("tags", "+".join(self.tags) or "-"), ("vbr", int(self.table_ok)), ("seek", {None: "-", True: 1, False: 0}[self.seek_ok]), ("crc", f"{self.checked - self.failed}/{self.checked}"), ("audio", {None: "-", True: 1, False: 0}[self.audio_ok]), ("skipped", self.skipped)))
 
 
 def _tags_at_front(data: bytes, out: Parsed) -> int:
@@ -156,66 +194,117 @@ def _tags_at_front(data: bytes, out: Parsed) -> int:
         key = b"\x00larder.payload\x00"
         if key in body:
             digits = body.split(key, 1)[1].split(b"\x00", 1)[0]
-            out.declared = int(digits) if digits.isdigit() else None
+            out.declared = int(digits) if digits.isdigit() and len(digits) <= 18 else None
         at += 10 + size + (10 if data[at + 5] & 16 else 0)
     return min(at, len(data))
 
 
-def _tags_at_end(data: bytes, out: Parsed) -> int:
-    end = len(data)
-    if end >= 128 and data[end - 128 : end - 125] == b"TAG":
-        out.tags.append("id3v1")
-        end -= 128
+def _ends(data: bytes) -> dict[int, list[str]]:
+    """Where the audio may end: at the end of all, or where an ID3v1 or APE tag that closes the stream begins; and those tags."""
+    out: dict[int, list[str]] = {len(data): []}
+    end, names = len(data), []
+    if data[-128:-125] == b"TAG":
+        end, names = end - 128, ["id3v1"]
+        out[end] = names
     if end >= 32 and data[end - 32 : end - 24] == b"APETAGEX":
         size, flags = struct.unpack("<I", data[end - 20 : end - 16])[0], struct.unpack("<I", data[end - 12 : end - 8])[0]
-        out.tags.append("ape")
-        end = max(0, end - size - (32 if flags >> 31 else 0))
-    return end
+        out[max(0, end - size - (32 if flags >> 31 else 0))] = [*names, "ape"]
+    return out
+
+
+def _number(data: bytes, at: int, size: int = 4) -> int | None:
+    """A big-endian number, unless the bytes end before it does."""
+    return int.from_bytes(data[at : at + size], "big") if at + size <= len(data) else None
+
+
+@dataclass
+class Table:
+    """A variable-bitrate table: how many frames and bytes there are, and seek points (share of the frames, least and
+    greatest share of the bytes that it may stand for)."""
+
+    frames: int | None
+    size: int | None = None
+    seek: list[tuple[float, float, float]] = field(default_factory=list)
+    check: int | None = None
+
+    @staticmethod
+    def of(frame: bytes, body: bytes) -> Table | None:
+        if body[:4] in (b"Xing", b"Info"):
+            flags, at, out = _number(body, 4) or 0, 8, Table(None)
+            if flags & 1:
+                out.frames, at = _number(body, at), at + 4
+            if flags & 2:
+                out.size, at = _number(body, at), at + 4
+            if flags & 4:
+                out.seek, at = [(i / 100, (x - 1) / 256, (x + 2) / 256) for i, x in enumerate(body[at : at + 100])], at + 100
+            out.check = _number(body, at)
+            return out
+        if frame[36:40] == b"VBRI":
+            out = Table(_number(frame, 50), _number(frame, 46))
+            entries, scale, width, each = (_number(frame, at, 2) or 0 for at in (54, 56, 58, 60))
+            points = [_number(frame, 62 + i * width, width) for i in range(entries)] if 0 < width <= 4 else []
+            if out.frames and out.size and points and None not in points:
+                sums = list(itertools.accumulate(x * scale for x in points))
+                out.seek = [((i + 1) * each / out.frames, (x - scale) / out.size, (x + scale) / out.size) for i, x in enumerate(sums) if (i + 1) * each < out.frames]
+            return out
+        return None
+
+    def fits(self, start: int, offsets: list[int]) -> bool | None:
+        """Whether every seek point leads to the frame it names; None without any."""
+        if not self.seek or not self.size or not offsets:
+            return None
+        places = ((offsets[min(len(offsets) - 1, int(share * len(offsets)))] - start) / self.size for share, _, _ in self.seek)
+        return all(low <= place <= high for place, (_, low, high) in zip(places, self.seek))
 
 
 def read(data: bytes) -> Parsed:
     out = Parsed()
-    at, parts, audio, crc = _tags_at_front(data, out), [], 0, None
-    end = max(at, _tags_at_end(data, out))
+    at, parts, audio = _tags_at_front(data, out), [], 0
+    ends = _ends(data)
+    stops = sorted(e for e in ends if e >= at)
     locked: Header | None = None
-    expected: int | None = None
-    while at + 4 <= end:
+    table: Table | None = None
+    begin = at
+    while at + 4 <= len(data) and at not in ends:
         h = header(data[at : at + 4])
         alike = lambda a, b: (a.version, a.layer, a.rate) == (b.version, b.layer, b.rate)
-        good = h is not None and at + h.length <= end and (locked is None or alike(h, locked))
-        if good and not (after := at + h.length) == end and (locked is None or at + h.length + 4 <= end):
+        good = h is not None and (after := at + h.length) <= len(data) and (locked is None or alike(h, locked))
+        if good and after not in ends and (locked is None or after + 4 <= len(data)):
             follow = header(data[after : after + 4])
             good = follow is not None and alike(h, follow)
-        if not good:  # resynchronise: on to the next byte that can begin a header
-            to = data.find(b"\xff", at + 1, end)
-            to = end if to < 0 else to
+        if not good:  # resynchronise: on to the next byte that can begin a header, or to closing tags before it
+            to = data.find(b"\xff", at + 1)
+            to = min([to if to >= 0 else len(data), *(e for e in stops if e > at)])
             out.skipped += to - at
             at = to
             continue
-        body_at = at + HEAD + 2 * h.protected + (h.side if h.layer == 3 else 0)
-        if h.protected and h.layer == 3:
+        frame = data[at:after]
+        body = frame[HEAD + 2 * h.protected + (h.side if h.layer == 3 else 0) :]
+        if h.protected:
             out.checked += 1
-            if struct.unpack(">H", data[at + 4 : at + 6])[0] != crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + h.side]):
+            own = frame[HEAD + 2 :]
+            bits = protected_bits(h, own)
+            if bits > 8 * len(own) or int.from_bytes(frame[4:6], "big") != crc16(frame[2:4] + own[: (bits + 7) >> 3], 16 + bits):
                 out.failed += 1
-        body = data[body_at : at + h.length]
-        if locked is None and body[:4] in (b"Xing", b"Info"):
-            out.table = True
-            flags, n = struct.unpack(">I", body[4:8])[0], 8
-            if flags & 1:
-                expected, n = struct.unpack(">I", body[n : n + 4])[0], n + 4
-            n += 4 * bool(flags & 2) + 100 * bool(flags & 4)
-            crc = struct.unpack(">I", body[n : n + 4])[0] if out.declared is not None else None
+        found = Table.of(frame, body) if locked is None and h.layer == 3 else None
+        if found is not None:
+            out.table, table, begin = True, found, at
         else:
             out.offsets.append(at)
             out.frames, out.samples, out.rate = out.frames + 1, out.samples + h.samples, h.rate
             out.low, out.high = min(out.low or h.bitrate, h.bitrate), max(out.high, h.bitrate)
-            audio = zlib.crc32(data[at : at + h.length], audio)
+            audio = zlib.crc32(frame, audio)
             parts.append(body)
         locked = h
-        at += h.length
-    out.skipped += max(0, end - at)
-    out.table_ok = out.table and expected == out.frames
-    out.audio_ok = None if crc is None else crc == audio
+        at = after
+    if at in ends:
+        out.tags += ends[at]
+    else:
+        out.skipped += max(0, len(data) - at)
+    if table is not None:
+        out.table_ok, out.seek_ok = table.frames == out.frames, table.fits(begin, out.offsets)
+        if out.declared is not None:
+            out.audio_ok = table.check == audio
     joined = b"".join(parts)
     out.payload = joined if out.declared is None else joined[: out.declared]
     return out
@@ -237,7 +326,7 @@ def media_column(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
                     ids, sizes, media, held = [], [], [], 0
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], schema=schema)
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text)).mapInArrow(run, f"`{id_col}` long, n_bytes long, media binary")
+    return docs.select(F.col(id_col).cast("long"), F.col(text)).mapInArrow(releasing(run), f"`{id_col}` long, n_bytes long, media binary")
 
 
 def features(stored: DataFrame, id_col: str = "doc_id", offsets: bool = False) -> DataFrame:
@@ -263,4 +352,4 @@ def features(stored: DataFrame, id_col: str = "doc_id", offsets: bool = False) -
                     column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, schema)], schema=schema)
 
-    return stored.select(F.col(id_col).cast("long"), "n_bytes", "media").mapInArrow(run, kinds)
+    return stored.select(F.col(id_col).cast("long"), "n_bytes", "media").mapInArrow(releasing(run), kinds)
