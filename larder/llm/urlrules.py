@@ -1,17 +1,20 @@
 """URL filters by a sort-merge range join (operator 8).
 
 A host's canonical key is its labels in reverse, each followed by a dot, so that a host and all its subdomains are
-one interval of keys. A rule on (host, path) becomes the interval of that host's keys under its path; a url offers,
-for each length of path that rules have, the key of its path's beginning and its host. Rules and url keys are dealt
-out by key range and sorted; each task sweeps them with a stack of the rules that are open: rules nest, so the
-innermost fitting rule is on top.
+one interval of keys. Rules open such intervals. Urls and rules are dealt out by key range and sorted; each task sweeps
+them with a stack of the hosts whose rules are open: intervals nest, so what doesn't hold the next key any more is on
+top. Each host on the stack keeps its rules' paths by length, so a url is looked at once, whatever the number of
+paths: of every open host, its path's beginnings of those lengths are looked up.
 
 A rule that begins in one range and goes on into others must be known there: each range's first key can lie inside
-at most as many rules as its host has labels, and those are looked up by an equi-join and handed to the task.
+at most as many hosts as it has labels. Their rules are found by an equi-join with that key's beginnings (of the lengths
+that rules' hosts have) and sorted in front of the range, so nothing is gathered on the driver.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path; of rules that fit, the longest
-(host and path together, then the smaller text) wins; a url no rule fits gets ``default``; repeated rows each get a
-row; null ids stay null; the html and other columns aren't read.
+(host and path together, then the smaller text) wins; a url no rule fits gets ``default``; of a rule given several times
+the smallest verdict counts; rules without a host count as none; repeated rows each get a row; null ids stay null; an
+empty table gives no rows; the html and other columns aren't read. Hosts, paths and urls may be of any length. A task
+holds the rules of one key's open hosts.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import Written
+from larder.llm.common import Written, releasing
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 DEFAULT = "allow"
@@ -40,9 +43,14 @@ def _reversed(host: Column) -> Column:
     return F.concat(F.array_join(F.reverse(F.split(host, r"\.", -1)), "."), F.lit("."))
 
 
-def _key(length: Column, path: Column, host: Column) -> Column:
-    """Sorts by length of path, then path, then reversed host; the length's six digits say where the path ends."""
-    return F.concat(F.lpad(length.cast("string"), 6, "0"), path, _reversed(host))
+def _with_rules_open(stored: DataFrame, rules: DataFrame) -> DataFrame:
+    """``stored`` and, in front of each range (kind 0), the rules whose host the range's first key lies in or is. A rule that
+    is in its range too is opened twice, which changes nothing."""
+    firsts = stored.groupBy("part").agg(F.min("key").alias("first"))
+    lengths = rules.agg(F.collect_set(F.length("key")).alias("n")).scalar()  # as many as rules' hosts have lengths
+    cut = F.transform(F.filter("n", lambda n: n <= F.length("first")), lambda n: F.substring("first", F.lit(1), n))
+    opened = firsts.withColumn("n", lengths).select("part", F.explode(cut).alias("key")).join(rules, "key")
+    return stored.withColumn("kind", F.lit(1)).unionByName(opened.withColumn("kind", F.lit(0)), allowMissingColumns=True)
 
 
 def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT, id_col: str = "page_id", url: str = "url") -> DataFrame:
@@ -50,60 +58,48 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT, id_col: st
     spark = pages.sparkSession
     known = rules.select(F.translate("host", UPPER, LOWER).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "verdict").where("host is not null")
     known = known.groupBy("host", "path").agg(F.min("verdict").alias("verdict"))
-    rule_rows = known.select(_key(F.length("path"), F.col("path"), F.col("host")).alias("key"), F.concat("host", "path").alias("rule"), "verdict")
-    # lengths of paths are few: at most the longest url
-    lengths = sorted({r[0] for r in known.select(F.length("path")).distinct().collect()} | {0})
+    rule_rows = known.select(_reversed(F.col("host")).alias("key"), F.col("path"), F.concat("host", "path").alias("rule"), "verdict")
     host, path = host_and_path(F.col(url))
     urls = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"))
-    usable = F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length("path"))
-    keys = urls.select("id", "host", "path", F.explode(usable).alias("n"))
-    keys = keys.select(_key(F.col("n"), F.expr("substring(path, 1, n)"), F.col("host")).alias("key"), "id", "host", "path", "n")
-    none = lambda name, kind: F.lit(None).cast(kind).alias(name)
     id_kind = pages.schema[id_col].dataType.simpleString()
-    starts = rule_rows.select("key", none("id", id_kind), none("host", "string"), none("path", "string"), none("n", "int"), "rule", "verdict")
-    mixed = keys.select("key", "id", "host", "path", "n", none("rule", "string"), none("verdict", "string")).unionByName(starts)
+    mixed = urls.withColumn("key", _reversed(F.col("host"))).unionByName(rule_rows, allowMissingColumns=True)
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     # rules come first among equal keys; the salt spreads a hot key over ranges
-    salted = mixed.withColumn("salt", F.when(F.col("rule").isNotNull(), F.lit(None)).otherwise(F.xxhash64("id", "path")))
-    ranged = salted.repartitionByRange(parts, F.asc("key"), F.asc_nulls_first("salt")).sortWithinPartitions(F.asc("key"), F.asc_nulls_first("salt"))
+    salted = mixed.withColumn("salt", F.when(F.col("rule").isNull(), F.xxhash64("id", "path")))
+    ranged = salted.repartitionByRange(parts, F.asc("key"), F.asc_nulls_first("salt"))
     stored = Written(ranged.withColumn("part", F.spark_partition_id()), "urls")
-    firsts = stored.frame.groupBy("part").agg(F.min("key").alias("first"))
-    # the rules a range's first key may lie in: its own key cut after each label of the host, or the whole of it, since a
-    # hot key goes on into ranges that its rule's row isn't in; a rule that is in its range too is opened twice, which
-    # changes nothing
-    cut = F.expr("transform(sequence(1, length(first)), i -> substring(first, 1, i))")
-    ends = F.filter(cut, lambda x: x.endswith("."))
-    open_at = firsts.select("part", "first", F.explode(ends).alias("key")).join(rule_rows, "key").where("key <= first")
-    carried: dict[int, list[tuple[str, str, str]]] = {}
-    for r in open_at.collect():  # at most the number of ranges times the labels of a host
-        carried.setdefault(r["part"], []).append((r["key"], r["rule"], r["verdict"]))
+    every = _with_rules_open(stored.frame, rule_rows)
 
     def sweep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, stack = None, []
+        part = None
+        stack: list[tuple[str, dict[int, dict[str, tuple[str, str]]]]] = []
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [], [], [])
-            cols = [batch.column(i).to_pylist() for i in range(8)]
-            for key, i, h, p, n, rule, verdict, here in zip(*cols):
+            out: tuple[list, ...] = ([], [], [], [], [])
+            cols = [batch.column(i).to_pylist() for i in range(7)]
+            for key, i, h, p, rule, verdict, here in zip(*cols):
                 if here != part:
-                    part, stack = here, sorted(carried.get(here, []))
+                    part, stack = here, []
                 while stack and not key.startswith(stack[-1][0]):
                     stack.pop()
                 if rule is not None:
-                    stack.append((key, rule, verdict))
+                    if not stack or stack[-1][0] != key:
+                        stack.append((key, {}))
+                    stack[-1][1].setdefault(len(p), {})[p] = (rule, verdict)
                     continue
-                top = stack[-1] if stack else (None, None, None)
-                for column, value in zip(out, (i, h, p, n, top[1], top[2])):
+                best = (0, "", None, None)
+                for _, by_length in stack:
+                    for n, paths in by_length.items():
+                        found = paths.get(p[:n]) if n <= len(p) else None
+                        if found is not None and (best[2] is None or (-len(found[0]), found[0]) < best[:2]):
+                            best = (-len(found[0]), found[0], *found)
+                for column, value in zip(out, (i, h, p, best[2], best[3] if best[2] is not None else default)):
                     column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], batch.column(1).type), pa.array(out[1], pa.string()), pa.array(out[2], pa.string()), pa.array(out[3], pa.int32()), pa.array(out[4], pa.string()), pa.array(out[5], pa.string())], ["id", "host", "path", "n", "rule", "verdict"])
-
-    # dealt out by range again, and each range sorted: a file's rows come in the order they were written, but no
-    # plan promises it
-    swept = stored.frame.repartition("part").sortWithinPartitions(F.asc("part"), F.asc("key"), F.asc_nulls_first("salt")).select("key", "id", "host", "path", "n", "rule", "verdict", "part").mapInArrow(sweep, f"id {id_kind}, host string, path string, n int, rule string, verdict string")
-    # one row for each key: the longest rule wins; the key of length 0, which every url has, counts repeated rows
-    best = F.max(F.when(F.col("rule").isNotNull(), F.struct(F.length("rule").alias("l"), "rule", "verdict"))).alias("best")
-    one = swept.groupBy("id", "host", "path").agg(best, F.count_if(F.col("n") == 0).alias("copies"))
-    each = one.select("*", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return each.select(F.col("id").alias(id_col), "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], batch.column(1).type), *(pa.array(c, pa.string()) for c in out[1:])], ["id", "host", "path", "rule", "verdict"])
+
+    # each range together and sorted again: a file's rows come in the order they were written, but no plan promises it
+    sorted_ = every.repartition("part").sortWithinPartitions("part", "kind", "key", F.asc_nulls_first("salt"))
+    swept = sorted_.select("key", "id", "host", "path", "rule", "verdict", "part").mapInArrow(releasing(sweep), f"id {id_kind}, host string, path string, rule string, verdict string")
+    return swept.select(F.col("id").alias(id_col), "host", "path", "rule", "verdict")
 
 
 def oracle(rules: list[tuple[str, str, str]], default: str = DEFAULT) -> str:
