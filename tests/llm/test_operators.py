@@ -36,7 +36,12 @@ def test_media_round_trip_and_damage():
         stored = media.store(payload)
         found = media.read(stored)
         assert found.payload == payload and len(payload) % 64 == 0 and payload
-        assert found.table_ok and found.audio_ok and not found.failed and not found.skipped
+        assert found.table_ok and found.audio_ok and found.seek_ok is not False and not found.failed and not found.skipped
+        chain, at = [], stored.index(b"\xff\xfa") + media.LENGTHS[14]  # offsets, by adding up lengths only
+        while at < len(stored):
+            chain.append(at)
+            at += media.LENGTHS[stored[at + 2] >> 4]
+        assert at == len(stored) and found.offsets == chain
         assert found.samples == 1152 * found.frames and len(found.offsets) == found.frames
         assert all(media.header(stored[o : o + 4]) for o in found.offsets)
     # junk in front: the reader finds its way to the frames
@@ -52,6 +57,72 @@ def test_media_round_trip_and_damage():
     assert media.read(b"").frames == media.read(b"nothing here").frames == 0
 
 
+def test_media_odd_bytes_never_fail():
+    r = random.Random(11)
+    marks = [b"Xing", b"Info", b"VBRI", b"ID3\x03\0\0\0\0\0\x05", b"TAG", b"APETAGEX", b"\xff\xfa\x10\xc0", b"\xff\xf3\x10\xc0", b"\xff\xfc\x10\x50", b"\xff\xfe\x10\x50", bytes(9), bytes(24), b"\0\0\0\x07"]
+    for _ in range(3000):
+        data = b"".join(r.choice([*marks, r.randbytes(r.randrange(0, 40))]) for _ in range(r.randrange(0, 30)))
+        found = media.read(data)
+        assert len(found.offsets) == found.frames and found.skipped <= len(data)
+    # a short frame with a table that is cut off, and a declared length of very many digits
+    short = b"\xff\xf3\x14\xc0" + bytes(9) + b"Xing\0\0\0\x01abc"
+    assert len(short) == media.header(short[:4]).length and media.read(short).table and not media.read(short).table_ok
+    digits = b"\0larder.payload\0" + b"9" * 5000
+    tag = b"ID3\x03\0\0" + bytes(len(digits) >> s & 127 for s in (21, 14, 7, 0)) + digits
+    assert media.read(tag + media._frame(3, b"x")).declared is None
+
+
+def test_media_tail_tags_and_layers():
+    # a text whose bytes put TAG 128 bytes before the end keeps its last frame
+    lengths = {media.LENGTHS[i]: i for i in range(1, 15)}
+    for n in range(64, 1500, 64):
+        stored = media.store(bytes(n))
+        at = len(stored) - 128
+        payload = bytearray(n)
+        where = next((i for i in range(n - 3) if media.store(bytes(i) + b"TAG" + bytes(n - 3 - i))[at : at + 3] == b"TAG"), None) if n < 400 else None
+        if where is not None:
+            payload[where : where + 3] = b"TAG"
+            assert media.read(media.store(bytes(payload))).payload == bytes(payload)
+    assert lengths
+    tagged = stored + b"ape-body" + b"APETAGEX" + (2000).to_bytes(4, "little") + (40).to_bytes(4, "little") + bytes(16) + b"TAG" + bytes(125)
+    found = media.read(tagged)
+    assert found.tags == ["id3v2.3", "id3v1", "ape"] and found.payload == bytes(n) and not found.skipped
+    # layers I and II: the checksum covers the allocation (and the choice of scale factors), not what follows
+    for head, bits in ((b"\xff\xfe\x94\xc0", 128), (b"\xff\xfe\x94\x00", 256), (b"\xff\xfe\x94\x50", 4 * (2 * 8 + 24)), (b"\xff\xfc\x84\xc0", None)):
+        h = media.header(head)
+        own = bytes([0x5A] * (h.length - 6))
+        if bits is None:
+            bits = media.protected_bits(h, own)
+            assert 88 < bits < 8 * len(own)
+        assert media.protected_bits(h, own) == bits
+        crc = media.crc16(head[2:] + own, 16 + bits)
+        frame = head + crc.to_bytes(2, "big") + own
+        assert (media.read(frame * 3).checked, media.read(frame * 3).failed) == (3, 0)
+        hurt = bytearray(frame)
+        hurt[6] ^= 0x80
+        assert media.read(bytes(hurt) * 3).failed == 3
+        hurt = bytearray(frame)
+        hurt[-1] ^= 1
+        assert media.read(bytes(hurt) * 3).failed == 0
+
+
+def test_media_vbri_table():
+    frames = [media._frame(i, bytes([i])) for i in (3, 5, 9, 3, 14, 2, 7, 7)]
+    audio = b"".join(frames)
+    head = media._frame(14, b"")
+    size = len(head) + len(audio)
+    steps = [len(head) + len(frames[0]), *(len(frames[i]) + len(frames[i + 1]) for i in (1, 3, 5))]
+    vbri = b"VBRI" + (1).to_bytes(2, "big") + bytes(4) + size.to_bytes(4, "big") + len(frames).to_bytes(4, "big") + b"".join(x.to_bytes(2, "big") for x in (4, 1, 2, 2))
+    steps = [len(head) + len(frames[0]) + len(frames[1]), *(len(frames[i]) + len(frames[i + 1]) for i in (2, 4, 6))]
+    body = vbri + b"".join(x.to_bytes(2, "big") for x in steps)
+    first = bytearray(head)
+    first[36 : 36 + len(body)] = body
+    found = media.read(bytes(first) + audio)
+    assert found.table_ok and found.seek_ok and found.frames == 8
+    first[63] ^= 4
+    assert media.read(bytes(first) + audio).seek_ok is False
+
+
 def test_media_query_columns(spark):
     out = media.features(media.media_column(odd_documents(spark)), offsets=True)
     got = {(r["doc_id"], r["n_bytes"]): r for r in out.collect()}
@@ -91,12 +162,28 @@ def test_top_k_is_exact(spark, scale):
     assert sorted(rows(topk.top_k(df, F.col("id") % 20 == 0, 20))) == sorted(want)
 
 
+def test_query_blocks_go_only_where_they_may_score(spark, monkeypatch):
+    """Many groups of falling lengths: the same result, from fewer rows."""
+    monkeypatch.setattr(topk, "GROUP", 40)
+    monkeypatch.setattr(topk, "QUERIES", 8)
+    monkeypatch.setattr(topk, "HEAD", 30)
+    r = random.Random(5)
+    data = [(i, [r.gauss(0, 1) * (8.0 if i % 17 == 0 else 1.0 / (1 + i % 50)) for _ in range(4)]) for i in range(1200)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    import math
+
+    want = plain_top([(i, [math.floor(64 * x) for x in v]) for i, v in data], lambda q: q % 20 == 0, 5)
+    assert sorted(rows(topk.top_k(df, F.col("id") % 20 == 0, 5))) == sorted(want)
+
+
 def test_top_k_small_tables(spark):
     schema = "vec_id long, embedding array<float>"
     assert rows(topk.top_k(spark.createDataFrame([], schema), F.col("id") % 20 == 0)) == []
     assert rows(topk.top_k(spark.createDataFrame([(0, [0.5, 0.5])], schema), F.col("id") % 20 == 0)) == []
     vast = spark.createDataFrame([(i, [3e38, -3e38 * (i % 2)]) for i in range(30)], schema)  # beyond 64 bits
     assert [r[2:] for r in sorted(rows(topk.top_k(vast, F.col("id") == 0, 3)))] == [(1, 2**63 - 1), (2, 2**63 - 1), (3, 2**63 - 1)]
+    huge = spark.createDataFrame([(0, [1e307, 1.0]), (1, [1.7e308, 0.0]), (2, [-1e307, 0.0]), (3, [0.0, 0.5]), (4, [1e-300, 2.0])], "vec_id long, embedding array<double>")
+    assert [r[2:] for r in sorted(rows(topk.top_k(huge, F.col("id") == 0, 5)))] == [(1, 2**63 - 1), (4, 8192), (3, 2048), (2, -(2**63))]
     two = spark.createDataFrame([(0, [1.0]), (1, [1.0, 2.0]), (2, [0.0, 0.0])], schema)  # lengths differ, zeros
     assert sorted(rows(topk.top_k(two, F.col("id") % 20 == 0))) == [(0, 1, 1, 4096), (0, 2, 2, 0)]
 
@@ -122,20 +209,6 @@ def test_toxicity_held_out_accuracy(spark):
     assert right / (right + wrong) > 0.95
 
 
-def test_disguises_are_read():
-    import numpy as np
-
-    text = "you are an idiot and a stupid moron the loser was a pathetic clown " * 50
-    counts = np.zeros(toxicity.SIZE**3, np.int64)
-    codes = [0 if c == " " else ord(c) - 96 for c in text]
-    for a, b, c in zip(codes, codes[1:], codes[2:]):
-        counts[(a * toxicity.SIZE + b) * toxicity.SIZE + c] += 1
-    r = toxicity.Restorer(toxicity.Channel.of(counts))
-    for shown, meant in (("1d10t", "idiot"), ("i d i o t", "idiot"), ("stuuuupid", "stupid"), ("m0r0n", "moron"), ("l.o.s.e.r", "loser"), ("cl0wn", "clown"), ("$tupid", "stupid")):
-        assert meant in r.words(f"well {shown} there"), shown
-    assert "idiot" in r.restore("an 1d10t!")
-
-
 def test_toxicity_odd_rows(spark):
     labels = spark.createDataFrame([(1, 0), (2, 1), (None, 1), (9, None)], "doc_id long, toxic int")
     docs = odd_documents(spark)
@@ -168,12 +241,14 @@ def test_bpe_equals_the_library(spark):
 
 
 def test_bpe_splits_like_the_library():
-    r, v = random.Random(1), bpe.vocabulary(BPE)
+    from tokenizers import Tokenizer
+
+    r, v, full = random.Random(1), bpe.vocabulary(BPE), Tokenizer.from_file(BPE)
     parts = [" ", "  ", "\n", " \n", "a", "the", "'s", "é", "ß", "1", "42", "<|endoftext|>", "<|", "日本", "ՠ", "\u3000", "\u00a0", " \u00a0", "\x1c", "!", "--", "\t"]
     for _ in range(1500):
         text = "".join(r.choice(parts) for _ in range(r.randint(0, 25)))
         ids = [i for w in v.split(text) for i in v.encode([w])[1].tolist()]
-        assert ids == v.full.encode(text, add_special_tokens=False).ids, text
+        assert ids == full.encode(text, add_special_tokens=False).ids, text
 
 
 def test_packed_numbers():
@@ -210,12 +285,34 @@ def test_trie_counts_equal_plain_ones(spark):
     ascii_words = [w for w in words if w.isascii()]
     assert [len(lib.encode(unigram.MARK + w).ids) for w in ascii_words] == model.counts(ascii_words)[1].tolist()
     got = sorted(rows(unigram.token_counts(odd_documents(spark), PIECES)), key=str)
-    want = [(doc, len((t or "").split()), sum(plain_count(model, unigram.MARK + w) for w in (t or "").split()[:0]) if len(t or "") > 9999 else sum(plain_count(model, unigram.MARK + w) for w in (t or "").split())) for doc, t, *_ in ROWS]
-    assert [g[:2] for g in got] == [w[:2] for w in sorted(want, key=str)]
-    assert {g for g in got if g[1] < 1000} == {w for w in want if w[1] < 1000}
+    known = {w: plain_count(model, unigram.MARK + w) for _, t, *_ in ROWS for w in set((t or "").split())}
+    assert got == sorted(((doc, len((t or "").split()), sum(known[w] for w in (t or "").split())) for doc, t, *_ in ROWS), key=str)
     assert rows(unigram.token_counts(no_documents(spark), PIECES)) == []
 
 
+def test_very_long_words_need_little_memory():
+    model = unigram.Unigram(PIECES)
+    r = random.Random(8)
+    for n in (63, 64, 65, 200, 3000):
+        for letters in ("etaoins", "漢字仮名", "a😀é"):
+            word = unigram.MARK + "".join(r.choice(letters) for _ in range(n))
+            assert model.count(word) == plain_count_within(model, word)
+    nodes = model.nodes
+    assert model.count(unigram.MARK + "ab" * 300_000) > 1000 and model.nodes <= nodes + unigram.SHARED
+
+
+def plain_count_within(model, word):
+    """As plain_count, trying no piece longer than there is."""
+    best = [(0.0, 0)]
+    for i in range(1, len(word) + 1):
+        options = [(best[j][0] - model.pieces[word[j:i]], best[j][1] + 1) for j in range(max(0, i - 64), i) if word[j:i] in model.pieces]
+        if word[i - 1] not in model.pieces:
+            n = len(word[i - 1].encode())
+            options.append((best[i - 1][0] - n * model.byte, best[i - 1][1] + n))
+        best.append(min(options))
+    return best[-1][1]
+
+
 # 6
 
 
@@ -332,8 +429,8 @@ def plain_verdict(url, rules, default):
     host = re.match(r"[^/?#]*", rest)[0]
     path = re.match(r"[^?#]*", rest[len(host) :])[0]
     host = host.translate({c: c + 32 for c in range(65, 91)})
-    fit = [(len(h + p), h + p, v) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
-    best = max(fit, default=None)
+    fit = [(-len(h + p), h + p, v) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    best = min(fit, default=None)
     return host, path, best[1] if best else None, best[2] if best else default
 
 
@@ -341,6 +438,7 @@ def test_url_rules_equal_plain_ones(spark):
     r = random.Random(4)
     labels = ["com", "net", "example", "www", "a", "b-c", "aa", "EXAMPLE", "é"]
     rules = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("net", "", "block"), ("a.com", "/", "block"), ("b.a.com", "/x", "allow"), ("aa.com", "/", "block"), ("a.net", "/en", "allow")]
+    rules += [("a.com", "/x/", "allow"), ("a.com", "/en", "block"), ("a.a.com", "/e", "allow")]  # several on one host, equal lengths
     urls = [None, "", "no scheme", "http://", "http://com", "ftp://a.com/x?y#z", "x://y://a.com/"]
     for _ in range(600):
         urls.append("http" + r.choice([":", "s:"]) + "//" + ".".join(r.choice(labels) for _ in range(r.randint(1, 4))) + r.choice(["", "/", "/en/", "/en/x?q=/", "#top", "?a", "/x/y", "//", "/\n"]))
@@ -355,6 +453,14 @@ def test_url_rules_equal_plain_ones(spark):
     assert {x[4] for x in rows(unruled)} == {"block"}
 
 
+def test_very_long_hosts_and_paths(spark):
+    rules = [("com", "/", "block"), ("a." * 3000 + "com", "/", "allow"), ("x.com", "/" + "p" * 5000, "allow")]
+    urls = ["http://" + "a." * 50_000 + "com/", "http://" + "a." * 2999 + "com/z", "http://x.com/" + "p" * 200_000, "http://x.com/" + "p" * 4999, "http://" + "h" * 100_000]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = rows(urlrules.judge(pages, spark.createDataFrame(rules, "host string, path string, verdict string"), "none"))
+    assert sorted(got) == [(i, *plain_verdict(u, rules, "none")) for i, u in enumerate(urls)]
+
+
 def test_hot_host_that_is_a_rules_host(spark):
     """Its urls fill many ranges, and the rule's own row lies in one of them."""
     rules = [("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow")]
@@ -372,20 +478,6 @@ def test_hot_host_that_is_a_rules_host(spark):
 # 9
 
 
-def test_one_period_keeps_every_source_within_a_block(spark):
-    for weights in ([5, 3, 1, 1], [1] * 7, [900, 50, 30, 20], [333, 333, 334]):
-        d = sum(weights)
-        share = spark.createDataFrame([(f"s{i}", w) for i, w in enumerate(weights)], "k string, a long")
-        got = sorted(rows(mixing.one_period(share)), key=lambda r: r[4])
-        assert [r[4] for r in got] == list(range(d))  # every slot once
-        done = defaultdict(int)
-        for k, a, _, nth, slot, release, deadline in got:
-            assert nth == done[k] and release <= slot < deadline and release == nth * d // a and deadline == -(-(nth + 1) * d // a)
-            done[k] += 1
-            for i, w in enumerate(weights):
-                assert abs(done[f"s{i}"] - (slot + 1) * w / d) < 1
-
-
 def test_schedule_places_every_row_once(spark):
     docs = odd_documents(spark)
     got = rows(mixing.schedule(docs, mixing.tempered(docs), block=2))
@@ -397,15 +489,6 @@ def test_schedule_places_every_row_once(spark):
     assert rows(mixing.schedule(empty, mixing.tempered(empty))) == []
 
 
-def test_many_sources_share_a_weight(spark):
-    docs = spark.createDataFrame([(i, f"s{i % 600}") for i in range(3000)] + [(9000 + i, "hot") for i in range(1500)], "doc_id long, source string")
-    got = rows(mixing.schedule(docs, mixing.tempered(docs), block=4))
-    assert len(got) == 4500 and len({(r[3], r[4]) for r in got}) == 4500 and all(r[3] is not None for r in got)
-    some = spark.createDataFrame([("hot", 2.0), ("s1", 1.0)], "source string, weight double")
-    out = rows(mixing.schedule(docs, some, block=4))
-    assert {r[1] for r in out if r[3] is not None} == {"hot", "s1"} and len(out) == 4500
-
-
 def test_mixing_plan_is_native(spark):
     docs = odd_documents(spark)
     plan = mixing.mixed(docs, mixing.tempered(docs))._jdf.queryExecution().toString()
