@@ -15,7 +15,7 @@ import hashlib
 import itertools
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -43,15 +43,15 @@ class Vocabulary(wordtable.Splitter):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.full = Tokenizer.from_file(path)
         self.words_only = Tokenizer.from_file(path)
+        self.own_split = self.words_only.pre_tokenizer
         self.words_only.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.words_only.encode_special_tokens = True
-        self.full.no_truncation(), self.full.no_padding(), self.words_only.no_truncation(), self.words_only.no_padding()
-        self.added = {t.content: i for i, t in self.full.get_added_tokens_decoder().items()}
+        self.words_only.no_truncation(), self.words_only.no_padding()
+        self.added = {t.content: i for i, t in self.words_only.get_added_tokens_decoder().items()}
         self.added_at = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
         self.find = regex.compile(PATTERN).findall
-        self.kind = "uint16" if self.full.get_vocab_size(True) <= 1 << 16 else "uint32"
+        self.kind = "uint16" if self.words_only.get_vocab_size(True) <= 1 << 16 else "uint32"
         self.odd = regex.compile(f"[^{AGREED}]")
 
     def cut(self, text: str) -> list:
@@ -77,7 +77,7 @@ class Vocabulary(wordtable.Splitter):
         else:
             text = " " + piece
         if not text.isascii() and self.odd.search(text):
-            return [text[a:b] for _, (a, b) in self.full.pre_tokenizer.pre_tokenize_str(text)]
+            return [text[a:b] for _, (a, b) in self.own_split.pre_tokenize_str(text)]
         return self.find(text)
 
     def split(self, text: str) -> list[str]:
@@ -93,8 +93,8 @@ class Vocabulary(wordtable.Splitter):
     def pieces(self) -> list[bytes]:
         """By id: the bytes of each piece, read back through the byte-level alphabet."""
         byte = byte_alphabet()
-        out = [b""] * (max(self.full.get_vocab(True).values()) + 1)
-        for piece, i in self.full.get_vocab(True).items():
+        out = [b""] * (max(self.words_only.get_vocab(True).values()) + 1)
+        for piece, i in self.words_only.get_vocab(True).items():
             out[i] = piece.encode() if piece in self.added else bytes(byte[c] for c in piece)
         return out
 
@@ -111,56 +111,74 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def _encoded(docs: DataFrame, path: str, id_col: str, text: str, schema: str, assemble: wordtable.Assemble) -> DataFrame:
-    return wordtable.apply(docs, id_col, text, lambda: vocabulary(path), lambda: vocabulary(path).encode, vocabulary(path).kind, schema, assemble)
+Keys = str | Sequence[str]
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def _encoded(docs: DataFrame, path: str, keys: Sequence[str], text: str, schema: str, assemble: wordtable.Assemble, block_bytes: int) -> DataFrame:
+    return wordtable.apply(docs, keys, text, lambda: vocabulary(path), lambda: vocabulary(path).encode, vocabulary(path).kind, schema, assemble, block_bytes)
+
+
+def _named(keys: Keys) -> tuple[list[str], str]:
+    """Key columns, whole numbers of a document that are carried along, and their part of a schema."""
+    names = [keys] if isinstance(keys, str) else list(keys)
+    return names, ", ".join(f"`{k}` long" for k in names)
+
+
+def encode(docs: DataFrame, path: str, id_col: Keys = "doc_id", text: str = "text", block_bytes: int = wordtable.BLOCK_BYTES) -> DataFrame:
     """(doc_id, n_tokens, ids): the ids of each document's text."""
+    keys, kinds = _named(id_col)
 
     def assemble(flat: np.ndarray, offsets: np.ndarray, packs: Iterator) -> pa.Table:
         lens = np.diff(offsets)
-        out_ids, out_lens, out_flat = [], [], [np.empty(0, np.int32)]
-        for ids, counts, codes in packs:
+        columns, out_lens, out_flat = [[] for _ in keys], [], [np.empty(0, np.int32)]
+        for own, counts, codes in packs:
             out_flat.append(wordtable.gather(flat, offsets, codes).astype(np.int32))
             ends = np.concatenate([[0], np.cumsum(lens[codes])])
             at = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
             out_lens += (ends[at[1:]] - ends[at[:-1]]).tolist()
-            out_ids += ids
+            for column, more in zip(columns, own):
+                column += more
         ends = np.concatenate([[0], np.cumsum(out_lens)]).astype(np.int32)
         tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(out_flat)))
-        return pa.table({id_col: pa.array(out_ids, pa.int64()), "n_tokens": pa.array(out_lens, pa.int64()), "ids": tokens})
+        return pa.table({**{k: pa.array(c, pa.int64()) for k, c in zip(keys, columns)}, "n_tokens": pa.array(out_lens, pa.int64()), "ids": tokens})
 
-    return _encoded(docs, path, id_col, text, f"`{id_col}` long, n_tokens long, ids array<int>", assemble)
+    return _encoded(docs, path, keys, text, f"{kinds}, n_tokens long, ids array<int>", assemble, block_bytes)
 
 
-def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def round_trip(docs: DataFrame, path: str, id_col: Keys = "doc_id", text: str = "text", block_bytes: int = wordtable.BLOCK_BYTES) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): hashes of the decimal ids and of the text decoded from them.
 
-    Within a block each distinct word's ids are joined with the id-to-piece table once; the pieces follow the ids
-    into place.
+    Within a block each distinct word's ids are joined with the id-to-piece table once (ids are dense, so the join is
+    a gather by id); the pieces follow the ids into place.
     """
+    keys, kinds = _named(id_col)
 
     def assemble(flat: np.ndarray, offsets: np.ndarray, packs: Iterator) -> pa.Table:
         pieces = vocabulary(path).pieces
         decimals = [str(i) for i in range(len(pieces))]
-        lens, tokens, at = np.diff(offsets), flat.tolist(), offsets.tolist()
-        decimal = [",".join([decimals[i] for i in tokens[a:b]]) for a, b in zip(at, at[1:])]
-        decoded = [b"".join([pieces[i] for i in tokens[a:b]]) for a, b in zip(at, at[1:])]
-        tokens = at = None
-        rows: tuple[list, list, list, list] = ([], [], [], [])
-        for ids, counts, codes in packs:
-            ends = np.concatenate([[0], np.cumsum(lens[codes])])
-            k = 0
-            for doc, count in zip(ids, counts.tolist()):
+        lens, ends = np.diff(offsets), offsets.tolist()
+        # by word of the block; made when a document first has it
+        decimal: list[str | None] = [None] * len(lens)
+        decoded: list[bytes | None] = [None] * len(lens)
+        columns: list[list] = [[] for _ in keys]
+        rows: tuple[list, list, list] = ([], [], [])
+        for own_keys, counts, codes in packs:
+            for column, more in zip(columns, own_keys):
+                column += more
+            sums, k = np.concatenate([[0], np.cumsum(lens[codes])]), 0
+            for w in np.unique(codes).tolist():
+                if decimal[w] is None:
+                    ids = flat[ends[w] : ends[w + 1]].tolist()
+                    decimal[w], decoded[w] = ",".join([decimals[i] for i in ids]), b"".join([pieces[i] for i in ids])
+            for count in counts.tolist():
                 own = codes[k : k + count].tolist()
                 body = b"".join([decoded[c] for c in own]).decode("utf-8", "replace")
-                for column, value in zip(rows, (doc, int(ends[k + count] - ends[k]), hashlib.sha256(",".join([decimal[c] for c in own]).encode()).hexdigest(), hashlib.sha256(body.encode()).hexdigest())):
+                for column, value in zip(rows, (int(sums[k + count] - sums[k]), hashlib.sha256(",".join([decimal[c] for c in own]).encode()).hexdigest(), hashlib.sha256(body.encode()).hexdigest())):
                     column.append(value)
                 k += count
-        return pa.table({id_col: pa.array(rows[0], pa.int64()), "n_tokens": pa.array(rows[1], pa.int64()), "ids_sha256": pa.array(rows[2], pa.string()), "decoded_sha256": pa.array(rows[3], pa.string())})
+        return pa.table({**{k: pa.array(c, pa.int64()) for k, c in zip(keys, columns)}, "n_tokens": pa.array(rows[0], pa.int64()), "ids_sha256": pa.array(rows[1], pa.string()), "decoded_sha256": pa.array(rows[2], pa.string())})
 
-    return _encoded(docs, path, id_col, text, f"`{id_col}` long, n_tokens long, ids_sha256 string, decoded_sha256 string", assemble)
+    return _encoded(docs, path, keys, text, f"{kinds}, n_tokens long, ids_sha256 string, decoded_sha256 string", assemble, block_bytes)
 
 
 def piece_table(spark, path: str) -> DataFrame:

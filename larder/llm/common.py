@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import ctypes
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -36,6 +38,17 @@ def release() -> None:
         trim(0)
 
 
+def releasing(run: Callable[[Iterable], Iterator]) -> Callable[[Iterable], Iterator]:
+    """``run`` over a task's batches; what it held is given back when they end."""
+
+    @functools.wraps(run)
+    def task(batches: Iterable) -> Iterator:
+        yield from run(batches)
+        release()
+
+    return task
+
+
 class Written:
     """A result written as Parquet in the shared folder: it cuts the lineage and outlives executors.
 

@@ -1,8 +1,8 @@
 """Distinct-word tables: do work on a word once, then put the results back by position.
 
-1. Documents are taken in blocks, as the scan deals them out (a block ends at ``BLOCK_BYTES`` of text). Each block
-   is written, once, as the numbers of its documents' words, packed, and the table of its distinct words, numbered
-   by falling frequency and dealt out to hash buckets.
+1. Documents are taken in blocks, as the scan deals them out (a block ends at ``block_bytes`` of UTF-8, or with the
+   document that passes it). Each block is written, once, as the numbers of its documents' words, packed, and the
+   table of its distinct words, numbered by falling frequency and dealt out to hash buckets.
 2. Word rows are shuffled by bucket, so that equal words of all blocks meet. Each distinct word is worked on once,
    and the results are written in the words' place.
 3. Results and documents meet in a cogroup by block, where numbers are replaced by results.
@@ -14,16 +14,18 @@ one bucket's distinct words; the number of buckets grows with the number of shuf
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable, Iterable, Iterator
+from array import array
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import Written, release
+from larder.llm.common import Written, release, releasing
 
 BLOCK_BYTES = 48 << 20
 #: Packed numbers (not bytes) in one row.
@@ -40,6 +42,10 @@ class Splitter:
     def words(self, piece) -> list[str]:
         return [piece]
 
+    def spread(self, word: bytes) -> int:
+        """Words of equal hashes meet in one bucket; equal words must have equal ones."""
+        return zlib.crc32(word)
+
 
 Split = Callable[[], Splitter]
 #: Words to (how many values each word has, all values one after another).
@@ -99,9 +105,47 @@ def _row(block: int, bucket: int | None, ids: list | None, lens: bytes, lids: by
     return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([bucket], pa.int32()), pa.array([ids], pa.list_(pa.int64())), pa.array([lens], pa.binary()), pa.array([lids], pa.binary()), pa.array([body], pa.binary())], schema=_BLOCK)
 
 
-def blocks(docs: DataFrame, id_col: str, text: str, split: Split, buckets: int) -> DataFrame:
-    """Rows of two kinds. Without a bucket: some documents' ids, how many words each has, their packed numbers. With
-    one: the lengths of words in bytes, their numbers, and the words."""
+def blocks(docs: DataFrame, keys: Sequence[str], text: str, split: Split, buckets: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Rows of two kinds. Without a bucket: some documents' keys, how many words each has, their packed numbers. With
+    one: the lengths of words in bytes, their numbers, and the words. ``ids`` has each document's keys side by side."""
+    width = len(keys)
+
+    def flush(block: int, by: Splitter, pieces: list, ids: list, rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        times = np.zeros(len(pieces), np.int64)
+        for i in range(0, len(rows), 1000):
+            times += np.bincount(np.concatenate(rows[i : i + 1000]), minlength=len(pieces))
+        # pieces to words, words to numbers by falling frequency; pieces are let go on the way
+        seen: dict[str, int] = {}
+        codes, lens = array("i"), np.empty(len(pieces), np.int32)
+        pieces.reverse()
+        for n in range(len(pieces)):
+            before = len(codes)
+            codes.extend([seen.setdefault(w, len(seen)) for w in by.words(pieces.pop())])
+            lens[n] = len(codes) - before
+        flat = np.frombuffer(codes, np.int32) if len(codes) else np.empty(0, np.int32)
+        offsets = np.concatenate([[0], np.cumsum(lens)]).astype(np.int64)
+        order = np.argsort(-np.bincount(flat, np.repeat(times, lens), len(seen)), kind="stable").astype(np.int32)
+        words = [w.encode("utf-8", "surrogatepass") for w in seen]
+        seen.clear()
+        lid = np.empty(len(words), np.int32)
+        lid[order] = np.arange(len(words), dtype=np.int32)
+        flat = lid[flat]
+        at = 0
+        while at < len(rows):
+            end, total, counts, parts = at, 0, [], []
+            while end < len(rows) and (end == at or total <= PACK):
+                parts.append(gather(flat, offsets, rows[end]) if len(rows[end]) else np.empty(0, np.int32))
+                counts.append(len(parts[-1]))
+                total, end = total + counts[-1], end + 1
+            yield _row(block, None, ids[at * width : end * width], pack(np.array(counts)), None, pack(np.concatenate(parts)))
+            at = end
+        bucket = np.fromiter((by.spread(w) % buckets for w in words), np.int32, len(words))[order]
+        by_bucket = np.argsort(bucket, kind="stable")  # within a bucket, numbers rise
+        cuts = np.searchsorted(bucket[by_bucket], np.arange(buckets + 1))
+        for b in np.flatnonzero(np.diff(cuts)):
+            own = by_bucket[cuts[b] : cuts[b + 1]]
+            some = [words[i] for i in order[own]]
+            yield _row(block, int(b), None, pack(np.fromiter(map(len, some), np.int64, len(some))), pack(np.diff(own, prepend=0)), squeeze(b"".join(some)))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq, size, by = TaskContext.get().partitionId(), 0, 0, split()
@@ -109,58 +153,26 @@ def blocks(docs: DataFrame, id_col: str, text: str, split: Split, buckets: int)
         ids: list = []
         rows: list[np.ndarray] = []
 
-        def flush():
-            block, times = part << 24 | seq, np.zeros(len(number), np.int64)
-            for i in range(0, len(rows), 1000):
-                times += np.bincount(np.concatenate(rows[i : i + 1000]), minlength=len(number))
-            # pieces to words, words to numbers by falling frequency
-            seen: dict[str, int] = {}
-            flat, lens = [], []
-            for piece in number:
-                ws = by.words(piece)
-                lens.append(len(ws))
-                flat += [seen.setdefault(w, len(seen)) for w in ws]
-            flat, lens = np.array(flat, np.int32), np.array(lens, np.int64)
-            offsets = np.concatenate([[0], np.cumsum(lens)]).astype(np.int64)
-            order = np.argsort(-np.bincount(flat, np.repeat(times, lens), len(seen)), kind="stable")
-            lid = np.empty(len(seen), np.int32)
-            lid[order] = np.arange(len(seen), dtype=np.int32)
-            flat = lid[flat]
-            at = 0
-            while at < len(rows):
-                end, total, counts, parts = at, 0, [], []
-                while end < len(rows) and (end == at or total <= PACK):
-                    parts.append(gather(flat, offsets, rows[end]) if len(rows[end]) else np.empty(0, np.int32))
-                    counts.append(len(parts[-1]))
-                    total, end = total + counts[-1], end + 1
-                yield _row(block, None, ids[at:end], pack(np.array(counts)), None, pack(np.concatenate(parts)))
-                at = end
-            words = [w.encode("utf-8", "surrogatepass") for w in seen]
-            bucket = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int32, len(words))[order]
-            by_bucket = np.argsort(bucket, kind="stable")  # within a bucket, numbers rise
-            cuts = np.searchsorted(bucket[by_bucket], np.arange(buckets + 1))
-            for b in np.flatnonzero(np.diff(cuts)):
-                own = by_bucket[cuts[b] : cuts[b + 1]]
-                some = [words[i] for i in order[own]]
-                yield _row(block, int(b), None, pack(np.fromiter(map(len, some), np.int64, len(some))), pack(np.diff(own, prepend=0)), squeeze(b"".join(some)))
+        def done() -> Iterator[pa.RecordBatch]:
+            pieces, own, texts = list(number), ids[:], rows[:]
+            number.clear(), ids.clear(), rows.clear()
+            yield from flush(part << 24 | seq, by, pieces, own, texts)
 
         for batch in batches:
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-                t = t.as_py() or ""
-                pieces = by.cut(t)
+            texts, sizes = batch.column(width), pc.fill_null(pc.binary_length(batch.column(width)), 0).to_pylist()
+            for key, t, n in zip(zip(*(batch.column(i).to_pylist() for i in range(width))), texts, sizes):
+                pieces = by.cut(t.as_py() or "")
                 rows.append(np.fromiter([number.setdefault(w, len(number)) for w in pieces], np.int32, len(pieces)))
-                ids.append(i)
-                size += len(t) + 8
-                if size >= BLOCK_BYTES:
-                    yield from flush()
+                ids.extend(key)
+                size += n + 8
+                if size >= block_bytes:
+                    yield from done()
                     seq, size = seq + 1, 0
-                    number, ids, rows = {}, [], []
-        if ids:
-            yield from flush()
-        number, ids, rows = {}, [], []
-        release()
+                    release()
+        if rows:
+            yield from done()
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text)).mapInArrow(run, "block long, bucket int, ids array<long>, lens binary, lids binary, body binary")
+    return docs.select(*[F.col(k).cast("long") for k in keys], F.col(text)).mapInArrow(releasing(run), "block long, bucket int, ids array<long>, lens binary, lids binary, body binary")
 
 
 def once_a_word(words: DataFrame, work: Callable[[], Work], kind: str) -> DataFrame:
@@ -185,20 +197,17 @@ def once_a_word(words: DataFrame, work: Callable[[], Work], kind: str) -> DataFr
                 at = np.fromiter((known[w] for w in ws), np.int64, len(ws))
                 offsets = np.concatenate([[0], np.cumsum(lens)])
                 yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([pack(lens[at])], pa.binary()), pa.array([lids], pa.binary()), pa.array([squeeze(gather(flat, offsets, at).tobytes())], pa.binary())], ["block", "lens", "lids", "body"])
-        known, lens, flat = {}, None, None
-        release()
-
-    return words.select("block", "bucket", "lens", "lids", "body").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "block long, lens binary, lids binary, body binary")
+    return words.select("block", "bucket", "lens", "lids", "body").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(releasing(run), "block long, lens binary, lids binary, body binary")
 
 
-#: (values of all words flat, where each word's begin), and packs of (ids, numbers of words, words' numbers).
-Assemble = Callable[[np.ndarray, np.ndarray, Iterator[tuple[list, np.ndarray, np.ndarray]]], pa.Table]
+#: (values of all words flat, where each word's begin), and packs of (key columns, numbers of words, words' numbers).
+Assemble = Callable[[np.ndarray, np.ndarray, Iterator[tuple[list[list], np.ndarray, np.ndarray]]], pa.Table]
 
 
-def apply(docs: DataFrame, id_col: str, text: str, split: Split, work: Callable[[], Work], kind: str, schema: str, assemble: Assemble) -> DataFrame:
+def apply(docs: DataFrame, keys: Sequence[str], text: str, split: Split, work: Callable[[], Work], kind: str, schema: str, assemble: Assemble, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Split, work on each distinct word once, join back by block and position, and ``assemble`` each block's rows."""
     buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    stored = Written(blocks(docs, id_col, text, split, buckets), "blocks").frame
+    stored = Written(blocks(docs, keys, text, split, buckets, block_bytes), "blocks").frame
     values = once_a_word(stored.where("bucket is not null"), work, kind)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -214,10 +223,10 @@ def apply(docs: DataFrame, id_col: str, text: str, split: Split, work: Callable[
 
         def packs():
             for ids, n, codes in zip(*(right.column(c).to_pylist() for c in ("ids", "lens", "body"))):
-                yield ids, unpack(n), unpack(codes)
+                yield [ids[j :: len(keys)] for j in range(len(keys))], unpack(n), unpack(codes)
 
         made = assemble(flat, offsets, packs())
-        parts = flat = offsets = None
+        parts = flat = offsets = left = right = None
         release()
         return made
 
