@@ -72,9 +72,12 @@ def numbered(df: DataFrame, group: list[str], value: str, name: str) -> DataFram
     """``df`` with the place (from 0) of each row within its group, in the order of the hash of ``value`` and then itself.
     Groups may be of any size: rows are numbered within hash buckets, whose offsets come from counts. Group columns aren't null."""
     base = df.withColumn("_h", _hash(F.col(value))).withColumn("_b", F.substring("_h", 1, DIGITS))
-    counts = base.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    earlier = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*group, "_b", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    counts = base.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_n")).withColumn("_c", F.substring("_b", 1, DIGITS // 2))
+    # offsets in two steps, so that neither has more rows of a group together than a hash has values of half the digits
+    upto = lambda *by: Window.partitionBy(*group, *by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    coarse = counts.groupBy(*group, "_c").agg(F.sum("_n").alias("_n")).select(*group, "_c", F.coalesce(F.sum("_n").over(upto("_c")), F.lit(0)).alias("_start"))
+    fine = counts.select(*group, "_c", "_b", F.coalesce(F.sum("_n").over(upto("_c", "_b")), F.lit(0)).alias("_before"))
+    offsets = fine.join(coarse, [*group, "_c"]).select(*group, "_b", (F.col("_before") + F.col("_start")).alias("_before"))
     within = F.row_number().over(Window.partitionBy(*group, "_b").orderBy("_h", F.asc_nulls_first(value))) - 1
     return base.withColumn("_within", within).join(offsets, [*group, "_b"]).withColumn(name, (F.col("_before") + F.col("_within")).cast("long")).drop("_h", "_b", "_within", "_before")
 
