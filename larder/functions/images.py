@@ -1,11 +1,14 @@
 """Image steps on grey arrays, in numpy, behind an Arrow function (I-01 to I-19, I-20, I-21, I-23, I-27, A-17).
 
-An image is a struct (height, width, pixels): one byte a pixel, row by row. Steps are named as presets name them.
+An image is a struct (height, width, pixels), row by row: one byte a pixel, or three (blue, green, red). Steps and their
+parameters are named as presets name them. Blurs mirror the borders, thresholds by blocks and medians repeat the edge.
+Cubic samples are taken in floating point, so that a value may differ by one from a library's that works in fixed point.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -20,86 +23,124 @@ def odd(size: int) -> int:
     return size if size % 2 else size + 1
 
 
-def resized(image: Image, height: int) -> Image:
-    """Bilinear, the aspect kept."""
-    h, w = image.shape
-    width = max(1, int(w * height / h))
-    y, x = (np.arange(height) + 0.5) * h / height - 0.5, (np.arange(width) + 0.5) * w / width - 0.5
-    y, x = np.clip(y, 0, h - 1), np.clip(x, 0, w - 1)
-    y0, x0 = y.astype(int), x.astype(int)
-    y1, x1 = np.minimum(y0 + 1, h - 1), np.minimum(x0 + 1, w - 1)
-    a, b = (y - y0)[:, None], (x - x0)[None]
-    f = image.astype(float)
-    out = f[y0][:, x0] * (1 - a) * (1 - b) + f[y1][:, x0] * a * (1 - b) + f[y0][:, x1] * (1 - a) * b + f[y1][:, x1] * a * b
-    return np.rint(out).astype(np.uint8)
+def _mean_weights(n: int, out: int) -> np.ndarray:
+    """How much of each old row or column a new one covers, for fewer of them."""
+    edges = np.arange(out + 1) * n / out
+    at = np.arange(n)
+    share = np.minimum(edges[1:, None], at[None] + 1) - np.maximum(edges[:-1, None], at[None])
+    return np.clip(share, 0, None) * out / n
 
 
-def resize_max_height(image: Image, height: int = 500) -> Image:
-    return resized(image, height) if image.shape[0] > height else image
+def _cubic(t: np.ndarray, a: float = -0.75) -> np.ndarray:
+    t = np.abs(t)
+    return np.where(t <= 1, (a + 2) * t**3 - (a + 3) * t**2 + 1, np.where(t < 2, a * t**3 - 5 * a * t**2 + 8 * a * t - 4 * a, 0.0))
 
 
-def resize_min_height(image: Image, height: int = 600) -> Image:
-    return resized(image, height) if image.shape[0] < height else image
+def _cubic_weights(n: int, out: int) -> np.ndarray:
+    """The same for more of them: each new one from four old ones, edges repeated."""
+    at = (np.arange(out) + 0.5) * n / out - 0.5
+    weights = np.zeros((out, n))
+    for k in range(-1, 3):
+        old = np.floor(at).astype(int) + k
+        np.add.at(weights, (np.arange(out), np.clip(old, 0, n - 1)), _cubic(at - old))
+    return weights
 
 
-def grayscale(image: Image) -> Image:
-    return image if image.ndim == 2 else np.rint(image @ np.array([0.114, 0.587, 0.299])).astype(np.uint8)
+def _byte(values: np.ndarray) -> Image:
+    """Rounded, halves to even, and kept within a byte."""
+    return np.clip(np.rint(values), 0, 255).astype(np.uint8)
 
 
-def _windows(image: Image, rows: int, columns: int) -> np.ndarray:
-    padded = np.pad(image, ((rows // 2, (rows - 1) // 2), (columns // 2, (columns - 1) // 2)), mode="edge")
-    return np.lib.stride_tricks.sliding_window_view(padded, (rows, columns))
+def resized(image: Image, height: int) -> Image:
+    """The aspect kept: averages of areas where it gets smaller, cubic where it gets larger."""
+    h, w = image.shape[:2]
+    width = max(1, round(w * (height / h)))
+    rows = _mean_weights(h, height) if height < h else _cubic_weights(h, height)
+    columns = _mean_weights(w, width) if height < h else _cubic_weights(w, width)
+    return _byte(np.einsum("ij,jk...,lk->il...", rows, image.astype(float), columns, optimize=True))
 
 
-def median_blur(image: Image, size: int = 3) -> Image:
-    n = odd(size)
-    return np.median(_windows(image, n, n), axis=(2, 3)).astype(np.uint8)
+def resize_max_height(image: Image, max_height: int = 500) -> Image:
+    return resized(image, max_height) if image.shape[0] > max_height else image
+
 
+def resize_min_height(image: Image, min_height: int = 600) -> Image:
+    return resized(image, min_height) if image.shape[0] < min_height else image
 
-def _gaussian(image: Image, size: int, sigma: float = 0.0) -> np.ndarray:
-    sigma = sigma or 0.3 * ((size - 1) * 0.5 - 1) + 0.8
-    k = np.exp(-((np.arange(size) - size // 2) ** 2) / (2 * sigma * sigma))
-    k /= k.sum()
-    return _windows(_windows(image.astype(float), size, 1)[:, :, :, 0] @ k, 1, size)[:, :, 0] @ k
 
+def grayscale(image: Image) -> Image:
+    """Of three channels blue, green, red."""
+    return image if image.ndim == 2 else _byte(image @ np.array([0.114, 0.587, 0.299]))
 
-def gaussian_blur(image: Image, size: int = 3) -> Image:
-    return np.rint(_gaussian(image, odd(size))).astype(np.uint8)
 
+def _windows(image: Image, rows: int, columns: int, mode: str = "edge") -> np.ndarray:
+    padded = np.pad(image, ((rows // 2, (rows - 1) // 2), (columns // 2, (columns - 1) // 2)), mode=mode)
+    return np.lib.stride_tricks.sliding_window_view(padded, (rows, columns))
 
-def bilateral_filter(image: Image, size: int = 7, color: float = 50.0, space: float = 50.0) -> Image:
-    n = odd(size)
-    w = _windows(image.astype(float), n, n)
-    at = np.arange(n) - n // 2
-    near = np.exp(-(at[:, None] ** 2 + at[None] ** 2) / (2 * space * space))
-    weight = near * np.exp(-((w - image[:, :, None, None].astype(float)) ** 2) / (2 * color * color))
-    return np.rint((w * weight).sum(axis=(2, 3)) / weight.sum(axis=(2, 3))).astype(np.uint8)
 
+def median_blur(image: Image, kernel_size: int = 3) -> Image:
+    n = odd(kernel_size)
+    return np.median(_windows(image, n, n), axis=(2, 3)).astype(np.uint8)
 
-def clahe(image: Image, clip: float = 2.0, tiles: int = 8) -> Image:
-    """Equalisation by tiles with clipped histograms, blended between tile centers."""
-    h, w = image.shape
-    th, tw = -(-h // tiles), -(-w // tiles)
-    padded = np.pad(image, ((0, th * tiles - h), (0, tw * tiles - w)), mode="edge")
-    maps = np.empty((tiles, tiles, 256))
-    most = max(1, int(clip * th * tw / 256))
-    for i in range(tiles):
-        for j in range(tiles):
-            n = np.bincount(padded[i * th : (i + 1) * th, j * tw : (j + 1) * tw].ravel(), minlength=256).astype(float)
-            over = np.maximum(n - most, 0).sum()
-            maps[i, j] = np.cumsum(np.minimum(n, most) + over / 256) * 255 / (th * tw)
-    y, x = np.clip((np.arange(h) + 0.5) / th - 0.5, 0, tiles - 1), np.clip((np.arange(w) + 0.5) / tw - 0.5, 0, tiles - 1)
-    y0, x0 = y.astype(int), x.astype(int)
-    y1, x1 = np.minimum(y0 + 1, tiles - 1), np.minimum(x0 + 1, tiles - 1)
+
+#: Binomial-like kernels that take the place of the bell curve up to this size.
+SMALL_KERNELS = {1: (1.0,), 3: (0.25, 0.5, 0.25), 5: (0.0625, 0.25, 0.375, 0.25, 0.0625), 7: (0.03125, 0.109375, 0.21875, 0.28125, 0.21875, 0.109375, 0.03125)}
+
+
+def _gaussian(image: Image, size: int, mode: str = "reflect") -> np.ndarray:
+    if size in SMALL_KERNELS:
+        k = np.array(SMALL_KERNELS[size])
+    else:
+        sigma = 0.3 * ((size - 1) * 0.5 - 1) + 0.8
+        k = np.exp(-((np.arange(size) - size // 2) ** 2) / (2 * sigma * sigma))
+        k /= k.sum()
+    return _windows(_windows(image.astype(float), size, 1, mode)[:, :, :, 0] @ k, 1, size, mode)[:, :, 0] @ k
+
+
+def gaussian_blur(image: Image, kernel_size: int = 3) -> Image:
+    return _byte(_gaussian(image, odd(kernel_size)))
+
+
+def bilateral_filter(image: Image, diameter: int = 7, sigma_color: float = 50.0, sigma_space: float = 50.0) -> Image:
+    """Over a round window, borders mirrored."""
+    radius = max(1, diameter // 2)
+    w = _windows(image.astype(float), 2 * radius + 1, 2 * radius + 1, "reflect")
+    at = np.arange(-radius, radius + 1)
+    square = at[:, None] ** 2 + at[None] ** 2
+    near = np.where(square <= radius * radius, np.exp(-square / (2 * sigma_space * sigma_space)), 0.0)
+    weight = near * np.exp(-((w - image[:, :, None, None].astype(float)) ** 2) / (2 * sigma_color * sigma_color))
+    return _byte((w * weight).sum(axis=(2, 3)) / weight.sum(axis=(2, 3)))
+
+
+def clahe(image: Image, clip_limit: float = 2.0, tile_grid_size: tuple[int, int] = (8, 8)) -> Image:
+    """Equalisation by tiles (across, down) with clipped histograms, blended between tile centers. What is clipped is dealt
+    out evenly over the levels, what is left of it in equal steps; a picture that tiles don't fill is mirrored on."""
+    gray = grayscale(image)
+    (h, w), across, down = gray.shape, max(1, int(tile_grid_size[0])), max(1, int(tile_grid_size[1]))
+    padded = gray if h % down == 0 and w % across == 0 else np.pad(gray, ((0, down - h % down), (0, across - w % across)), mode="reflect" if min(h, w) > max(across, down) else "symmetric")
+    th, tw = padded.shape[0] // down, padded.shape[1] // across
+    maps = np.empty((down, across, 256))
+    most = max(1, int(clip_limit * th * tw / 256))
+    for i in range(down):
+        for j in range(across):
+            n = np.bincount(padded[i * th : (i + 1) * th, j * tw : (j + 1) * tw].ravel(), minlength=256)
+            over = int(np.maximum(n - most, 0).sum())
+            n = np.minimum(n, most) + over // 256
+            if left := over % 256:
+                n[: left * max(1, 256 // left) : max(1, 256 // left)] += 1
+            maps[i, j] = _byte(np.cumsum(n) * (255 / (th * tw)))
+    y, x = np.arange(h) / th - 0.5, np.arange(w) / tw - 0.5
+    y0, x0 = np.floor(y).astype(int), np.floor(x).astype(int)
     a, b = (y - y0)[:, None], (x - x0)[None]
-    at = lambda i, j: maps[i[:, None], j[None], image]
-    out = at(y0, x0) * (1 - a) * (1 - b) + at(y1, x0) * a * (1 - b) + at(y0, x1) * (1 - a) * b + at(y1, x1) * a * b
-    return np.clip(np.rint(out), 0, 255).astype(np.uint8)
+    y1, x1 = np.minimum(y0 + 1, down - 1), np.minimum(x0 + 1, across - 1)
+    y0, x0 = np.maximum(y0, 0), np.maximum(x0, 0)
+    at = lambda i, j: maps[i[:, None], j[None], gray]
+    return _byte(at(y0, x0) * (1 - a) * (1 - b) + at(y1, x0) * a * (1 - b) + at(y0, x1) * (1 - a) * b + at(y1, x1) * a * b)
 
 
 def otsu_level(image: Image) -> int:
     """The level that separates best the variances of what is darker and lighter."""
-    n = np.bincount(image.ravel(), minlength=256).astype(float)
+    n = np.bincount(grayscale(image).ravel(), minlength=256).astype(float)
     low, total, levels = np.cumsum(n), n.sum(), np.arange(256)
     sums = np.cumsum(n * levels)
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -108,11 +149,12 @@ def otsu_level(image: Image) -> int:
 
 
 def otsu_threshold(image: Image) -> Image:
-    return np.where(image > otsu_level(image), 255, 0).astype(np.uint8)
+    return np.where(grayscale(image) > otsu_level(image), 255, 0).astype(np.uint8)
 
 
-def adaptive_threshold(image: Image, size: int = 41, less: float = 14) -> Image:
-    return np.where(image > np.rint(_gaussian(image, odd(size))) - less, 255, 0).astype(np.uint8)
+def adaptive_threshold(image: Image, block_size: int = 41, c: float = 14) -> Image:
+    gray = grayscale(image)
+    return np.where(gray.astype(int) > _byte(_gaussian(gray, max(3, odd(block_size)), "edge")).astype(int) - int(c), 255, 0).astype(np.uint8)
 
 
 def dark_share(image: Image, below: int = 128) -> float:
@@ -121,7 +163,8 @@ def dark_share(image: Image, below: int = 128) -> float:
 
 
 def ensure_black_text_on_white(image: Image) -> Image:
-    return invert(image) if dark_share(image) > 0.5 else image
+    gray = grayscale(image)
+    return invert(gray) if dark_share(gray) > 0.5 else gray
 
 
 def invert(image: Image) -> Image:
@@ -129,100 +172,164 @@ def invert(image: Image) -> Image:
 
 
 def _morph(image: Image, rows: int, columns: int, pick: Callable) -> Image:
-    return pick(_windows(image, rows, columns), axis=(2, 3))
+    """Over a flat window, along one side after the other."""
+    return pick(_windows(pick(_windows(image, rows, 1), axis=(2, 3)), 1, columns), axis=(2, 3))
 
 
-def morph_erode(image: Image, size: int = 2, times: int = 1) -> Image:
-    for _ in range(times):
-        image = _morph(image, size, size, np.min)
+def morph_erode(image: Image, kernel_size: int = 2, iterations: int = 1) -> Image:
+    for _ in range(max(1, iterations)):
+        image = _morph(image, max(1, kernel_size), max(1, kernel_size), np.min)
     return image
 
 
-def morph_dilate(image: Image, size: int = 2, times: int = 1) -> Image:
-    for _ in range(times):
-        image = _morph(image, size, size, np.max)
+def morph_dilate(image: Image, kernel_size: int = 2, iterations: int = 1) -> Image:
+    for _ in range(max(1, iterations)):
+        image = _morph(image, max(1, kernel_size), max(1, kernel_size), np.max)
     return image
 
 
-def morph_close(image: Image, size: int = 3, times: int = 1) -> Image:
-    return morph_erode(morph_dilate(image, size, times), size, times)
-
+def morph_close(image: Image, kernel_size: int = 3, iterations: int = 1) -> Image:
+    return morph_erode(morph_dilate(image, kernel_size, iterations), kernel_size, iterations)
 
-def morph_open(image: Image, size: int = 3, times: int = 1) -> Image:
-    return morph_dilate(morph_erode(image, size, times), size, times)
 
+def morph_open(image: Image, kernel_size: int = 3, iterations: int = 1) -> Image:
+    return morph_dilate(morph_erode(image, kernel_size, iterations), kernel_size, iterations)
 
-def thin_text_if_thick(image: Image, share: float = 0.14) -> Image:
-    """Black text is thinned by widening what is white."""
-    return morph_dilate(image, 2) if dark_share(image) > share else image
 
-
-def deskew(image: Image, most: float = 10.0) -> Image:
-    """Turned by the angle of the dark pixels' main axis, if it is over half a degree and at most ``most``."""
-    y, x = np.nonzero(image < 128)
-    if len(y) < 0.02 * image.size:
-        return image
-    c = np.cov(np.stack([x, y]).astype(float))
-    angle = 0.5 * np.arctan2(2 * c[0, 1], c[0, 0] - c[1, 1])
-    if not 0.5 <= abs(np.degrees(angle)) <= most:
-        return image
-    h, w = image.shape
-    yy, xx = np.mgrid[0:h, 0:w]
-    cy, cx = (h - 1) / 2, (w - 1) / 2
-    sx = np.rint(cx + (xx - cx) * np.cos(angle) - (yy - cy) * np.sin(angle)).astype(int)
-    sy = np.rint(cy + (xx - cx) * np.sin(angle) + (yy - cy) * np.cos(angle)).astype(int)
-    return image[np.clip(sy, 0, h - 1), np.clip(sx, 0, w - 1)]
+def thin_text_if_thick(image: Image, dark_ratio_threshold: float = 0.14) -> Image:
+    """From this share of dark pixels on, the picture is eroded with a kernel of two."""
+    gray = grayscale(image)
+    return morph_erode(gray, 2) if dark_share(gray) >= dark_ratio_threshold else gray
 
 
-def unsharp_mask(image: Image, size: int = 5, amount: float = 1.0) -> Image:
-    return np.clip(np.rint(image * (1 + amount) - _gaussian(image, odd(size)) * amount), 0, 255).astype(np.uint8)
+def least_rectangle_angle(points: np.ndarray) -> float:
+    """In degrees, over 0 and up to 90: how a side of the smallest rectangle around the points (x, y) lies to the x axis.
+    One of its sides lies along a side of the points' convex hull."""
+    points = np.unique(points.astype(float), axis=0)
+    if len(points) < 3:
+        d = points[-1] - points[0]
+        return float(np.degrees(np.arctan2(d[1], d[0])) % 90) or 90.0
 
+    def half(ps: np.ndarray) -> list:
+        out: list = []
+        for p in ps:
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]) <= 0:
+                out.pop()
+            out.append(p)
+        return out[:-1]
 
-def grid_lines(image: Image, length: int = 15) -> Image:
-    """I-20: what is left of the dark pixels after opening with long flat and long upright kernels."""
-    ink = np.where(image < 128, 255, 0).astype(np.uint8)
-    flat = _morph(_morph(ink, 1, length, np.min), 1, length, np.max)
-    tall = _morph(_morph(ink, length, 1, np.min), length, 1, np.max)
-    return np.maximum(flat, tall)
+    # of a row of points only its ends can be corners
+    first = np.flatnonzero(np.append(True, points[1:, 0] != points[:-1, 0]))
+    last = np.append(first[1:] - 1, len(points) - 1)
+    ends = points[np.unique(np.concatenate([first, last]))]
+    hull = np.array(half(ends) + half(ends[::-1]))
+    best = (np.inf, 0.0)
+    for d in np.roll(hull, -1, axis=0) - hull:
+        u = d / np.hypot(*d)
+        along, across = hull @ u, hull @ np.array([-u[1], u[0]])
+        best = min(best, (round(float(np.ptp(along) * np.ptp(across)), 6), float(np.degrees(np.arctan2(u[1], u[0])) % 90) or 90.0))
+    return best[1]
 
 
-def remove_grid_lines(image: Image) -> Image:
-    """I-21: lines become white; nothing changes if they cover less than half a percent."""
-    lines = grid_lines(image)
-    return np.where(lines > 0, 255, image).astype(np.uint8) if (lines > 0).mean() >= 0.005 else image
+def turned(image: Image, angle: float) -> Image:
+    """Turned about its center by degrees against the clock, cubic, edges repeated."""
+    h, w = image.shape
+    a, b = np.cos(np.radians(angle)), np.sin(np.radians(angle))
+    yy, xx = np.mgrid[0:h, 0:w]
+    dx, dy = xx - w / 2, yy - h / 2
+    sx, sy = a * dx - b * dy + w / 2, b * dx + a * dy + h / 2
+    x0, y0, out = np.floor(sx).astype(int), np.floor(sy).astype(int), np.zeros((h, w))
+    for i in range(-1, 3):
+        for j in range(-1, 3):
+            out += _cubic(sy - y0 - i) * _cubic(sx - x0 - j) * image[np.clip(y0 + i, 0, h - 1), np.clip(x0 + j, 0, w - 1)]
+    return _byte(out)
+
+
+def deskew(image: Image, max_abs_angle: float = 10.0) -> Image:
+    """Turned by the angle of the smallest rectangle around the dark pixels (row before column), if it is half a degree to
+    ``max_abs_angle``; not if under 2 % are dark."""
+    gray = grayscale(image)
+    if dark_share(gray) < 0.02:
+        return gray
+    angle = -least_rectangle_angle(np.argwhere(gray < 128))
+    return turned(gray, angle) if 0.5 <= abs(angle) <= max_abs_angle else gray
+
+
+def unsharp_mask(image: Image, kernel_size: int = 5, amount: float = 1.0) -> Image:
+    gray = grayscale(image)
+    return _byte(gray * (1 + amount) - _byte(_gaussian(gray, odd(kernel_size))) * amount)
+
+
+def grid_lines(image: Image, horizontal_divisor: int = 20, vertical_divisor: int = 20) -> Image:
+    """I-20: what is left of the ink after opening with long flat and long upright kernels, of a share of the picture's sides."""
+    ink = invert(grayscale(image))
+    h, w = ink.shape
+    across, down = max(3, w // max(1, horizontal_divisor)), max(3, h // max(1, vertical_divisor))
+    flat = _morph(_morph(ink, 1, across, np.min), 1, across, np.max)
+    tall = _morph(_morph(ink, down, 1, np.min), down, 1, np.max)
+    return flat | tall
+
+
+def remove_grid_lines(image: Image, horizontal_divisor: int = 20, vertical_divisor: int = 20, min_line_area_ratio: float = 0.005) -> Image:
+    """I-21: lines, widened by a pixel all around, lose their ink; nothing changes if they cover less than that share."""
+    gray = grayscale(image)
+    lines = morph_dilate(grid_lines(gray, horizontal_divisor, vertical_divisor), 3)
+    if np.count_nonzero(lines) < int(min_line_area_ratio * gray.size):
+        return gray
+    ink = invert(gray)
+    return invert(np.where(ink > lines, ink - lines, 0).astype(np.uint8))
 
 
 def grid_density(image: Image) -> float:
-    """I-23."""
-    return float((grid_lines(image) > 0).mean())
+    """I-23: the share of pixels on lines longer than an eighth of a side."""
+    return np.count_nonzero(grid_lines(image, 8, 8)) / max(1, image.shape[0] * image.shape[1])
 
 
 #: The registry that presets' steps are looked up in.
 STEPS: dict[str, Callable[..., Image]] = {f.__name__: f for f in (resize_max_height, resize_min_height, grayscale, median_blur, gaussian_blur, bilateral_filter, clahe, otsu_threshold, adaptive_threshold, ensure_black_text_on_white, invert, morph_erode, morph_dilate, morph_close, morph_open, thin_text_if_thick, deskew, unsharp_mask, remove_grid_lines)}
 
 
-def apply_steps(image: Image, steps: list[str]) -> Image:
-    """I-27: the steps in order; an unknown one is an error."""
-    for name in steps:
+def parsed_steps(steps: str) -> list[tuple[str, dict]]:
+    """Steps as presets write them, separated by semicolons: a name and key=value pairs; several numbers by commas."""
+    number = lambda x: float(x) if "." in x else int(x)
+    out = []
+    for step in filter(None, map(str.strip, steps.split(";"))):
+        name, *pairs = step.split()
+        values = ((k, v.split(",")) for k, v in (p.split("=", 1) for p in pairs))
+        out.append((name, {k: number(v[0]) if len(v) == 1 else tuple(map(number, v)) for k, v in values}))
+    return out
+
+
+def apply_steps(image: Image, steps: str) -> Image:
+    """I-27: the steps in order, each with its parameters; an unknown step or parameter is an error."""
+    for name, parameters in parsed_steps(steps):
         if name not in STEPS:
             raise ValueError(f"unknown image step: {name}")
-        image = STEPS[name](image)
+        image = STEPS[name](image, **parameters)
     return image
 
 
+def picture(height: int | None, width: int | None, pixels: bytes | None) -> Image | None:
+    """S-04: the picture of a struct's fields, or None if they don't make one."""
+    flat = np.frombuffer(pixels or b"", np.uint8)
+    if not height or not width or len(flat) not in (height * width, 3 * height * width):
+        return None
+    return flat.reshape(height, width) if len(flat) == height * width else flat.reshape(height, width, 3)
+
+
 def processed(images: DataFrame, key: str, steps: str) -> DataFrame:
     """(key, step, height, width, dark, density) of images (key, height, width, pixels) after the named steps in column
-    ``steps``, separated by spaces. An image that can't be read gives nulls (S-04)."""
+    ``steps``, separated by semicolons. An image that can't be read gives nulls (S-04)."""
     kind = images.schema[key].dataType
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: tuple[list, ...] = ([], [], [], [], [], [])
             for k, h, w, pixels, names in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                image = np.frombuffer(pixels or b"", np.uint8)
-                readable = h and w and len(image) == h * w
-                out = apply_steps(image.reshape(h, w), names.split()) if readable else None
-                values = (k, names, *out.shape, dark_share(out), grid_density(out)) if readable else (k, names, None, None, None, None)
+                image = picture(h, w, pixels)
+                out = apply_steps(image, names) if image is not None else None
+                gray = grayscale(out) if out is not None else None
+                values = (k, names, *gray.shape, dark_share(gray), grid_density(gray)) if gray is not None else (k, names, None, None, None, None)
                 for column, value in zip(rows, values):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(rows[0], batch.column(0).type), pa.array(rows[1], pa.string()), pa.array(rows[2], pa.int32()), pa.array(rows[3], pa.int32()), pa.array(rows[4], pa.float64()), pa.array(rows[5], pa.float64())], ["key", "steps", "height", "width", "dark", "density"])
@@ -230,50 +337,101 @@ def processed(images: DataFrame, key: str, steps: str) -> DataFrame:
     return images.select(F.col(key).alias("key"), "height", "width", "pixels", steps).mapInArrow(run, f"key {kind.simpleString()}, steps string, height int, width int, dark double, density double")
 
 
-def detect_cells(image: Image, least: float = 0.001, most: float = 0.5) -> list[tuple[int, int, int, int]]:
-    """I-22, P-19: boxes (x, y, w, h) of what grid lines enclose, by share of the picture and least sides, in reading order."""
-    free = grid_lines(image) == 0
-    h, w = free.shape
-    label = np.zeros((h, w), np.int32)
-    lead = [0]
-
-    def root(a: int) -> int:
-        while lead[a] != a:
-            lead[a] = a = lead[lead[a]]
-        return a
-
-    for y in range(h):  # runs of free pixels, tied to the runs they touch above
-        edges = np.flatnonzero(np.diff(np.concatenate([[0], free[y].astype(np.int8), [0]])))
-        for a, b in zip(edges[::2], edges[1::2]):
-            above = sorted({root(x) for x in np.unique(label[y - 1, a:b]) if x}) if y else []
-            if above:
-                own = above[0]
+@dataclass(frozen=True)
+class Regions:
+    """Regions of touching free pixels (corners touch too), numbered from 1 in ``label``."""
+
+    label: np.ndarray
+    count: int
+
+    @staticmethod
+    def of(free: np.ndarray) -> Regions:
+        h, w = free.shape
+        label = np.zeros((h, w), np.int32)
+        lead = [0]
+
+        def root(a: int) -> int:
+            while lead[a] != a:
+                lead[a] = a = lead[lead[a]]
+            return a
+
+        for y in range(h):  # runs of free pixels, tied to the runs they touch above
+            edges = np.flatnonzero(np.diff(np.concatenate([[0], free[y].astype(np.int8), [0]])))
+            for a, b in zip(edges[::2], edges[1::2]):
+                above = sorted({root(x) for x in np.unique(label[y - 1, max(0, a - 1) : b + 1]) if x}) if y else []
+                own = above[0] if above else len(lead)
+                if not above:
+                    lead.append(own)
                 for x in above[1:]:
                     lead[x] = own
-            else:
-                own = len(lead)
-                lead.append(own)
-            label[y, a:b] = own
-    final = np.array([root(i) for i in range(len(lead))])[label]
-    boxes = []
-    for n in np.unique(final):
-        ys, xs = np.nonzero(final == n)
+                label[y, a:b] = own
+        roots = np.array([root(i) for i in range(len(lead))])
+        names, compact = np.unique(roots, return_inverse=True)
+        return Regions(compact.astype(np.int32)[label], len(names) - 1)
+
+
+def _outer(free: np.ndarray, regions: Regions) -> np.ndarray:
+    """Numbers of the regions that no other region encloses: those that lie next to what isn't free outside of all."""
+    taken = np.pad(~free, 1, constant_values=True)
+    outside = np.zeros_like(taken)
+    outside[0] = outside[-1] = outside[:, 0] = outside[:, -1] = True
+    while True:  # along rows and columns of taken pixels, until nothing is added
+        before = np.count_nonzero(outside)
+        for view, can in ((outside, taken), (outside.T, taken.T)):
+            for flip in (1, -1):
+                v, t = view[:, ::flip], can[:, ::flip]
+                start = np.maximum.accumulate(np.where(~t, np.arange(t.shape[1])[None], -1), axis=1)
+                last = np.maximum.accumulate(np.where(v, np.arange(t.shape[1])[None], -1), axis=1)
+                v |= t & (last > start)
+        if np.count_nonzero(outside) == before:
+            break
+    near = outside[1:-1, :-2] | outside[1:-1, 2:] | outside[:-2, 1:-1] | outside[2:, 1:-1]
+    return np.setdiff1d(np.unique(regions.label[near & free]), [0])
+
+
+def reading_order(boxes: list[tuple[int, int, int, int]], least: int) -> list[tuple[int, int, int, int]]:
+    """Boxes (x, y, w, h) in rows, by how far they begin below the row's first, and by x within a row."""
+    most = max(10, int(0.5 * sum(b[3] for b in boxes) / len(boxes))) if boxes else least
+    rows: list[list] = []
+    for box in sorted(boxes, key=lambda b: (b[1], b[0])):
+        if rows and abs(box[1] - rows[-1][0][1]) <= most:
+            rows[-1].append(box)
+        else:
+            rows.append([box])
+    return [b for row in rows for b in sorted(row, key=lambda b: b[0])]
+
+
+def detect_cells(image: Image, horizontal_divisor: int = 20, vertical_divisor: int = 20, min_cell_area_ratio: float = 0.001, max_cell_area_ratio: float = 0.5) -> list[tuple[int, int, int, int]]:
+    """I-22, P-19: boxes (x, y, w, h) of what grid lines part, by share of the picture and least sides, in reading order.
+    Regions that another one encloses don't count."""
+    free = morph_dilate(grid_lines(image, horizontal_divisor, vertical_divisor), 3) != 255
+    h, w = free.shape
+    regions, boxes = Regions.of(free), []
+    for n in _outer(free, regions):
+        ys, xs = np.nonzero(regions.label == n)
         box = (int(xs.min()), int(ys.min()), int(np.ptp(xs)) + 1, int(np.ptp(ys)) + 1)
-        inside = n and least <= box[2] * box[3] / (h * w) <= most and box[2] >= 20 and box[3] >= 12
-        if inside:
+        if min_cell_area_ratio <= box[2] * box[3] / (h * w) <= max_cell_area_ratio and box[2] >= 20 and box[3] >= 12:
             boxes.append(box)
-    return sorted(boxes, key=lambda b: (b[1], b[0]))
+    return reading_order(boxes, max(10, h // 80))
+
+
+def crop_cell(image: Image, box: tuple[int, int, int, int], padding: int = 2) -> Image:
+    """A box without its rim, or with it if nothing else is left."""
+    (h, w), (x, y, bw, bh) = image.shape[:2], box
+    x1, y1, x2, y2 = max(0, x + padding), max(0, y + padding), min(w, x + bw - padding), min(h, y + bh - padding)
+    return image[y1:y2, x1:x2] if x2 > x1 and y2 > y1 else image[y : y + bh, x : x + bw]
 
 
 def encode_png(image: Image) -> bytes:
-    """I-25: a grey picture as PNG; equal pictures give equal bytes, so its hash is a cache key."""
+    """I-25: a picture as PNG; equal pictures give equal bytes, so its hash is a cache key."""
     import struct
     import zlib
 
-    h, w = image.shape
-    rows = np.concatenate([np.zeros((h, 1), np.uint8), image], axis=1).tobytes()
+    h, w = image.shape[:2]
+    flat = image.reshape(h, -1) if image.ndim == 2 else image[:, :, ::-1].reshape(h, -1)
+    rows = np.concatenate([np.zeros((h, 1), np.uint8), flat], axis=1).tobytes()
     chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
-    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows, 9)) + chunk(b"IEND", b"")
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2 * (image.ndim == 3), 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows, 9)) + chunk(b"IEND", b"")
 
 
 def keyed(images: DataFrame, key: str) -> DataFrame:
@@ -286,10 +444,9 @@ def keyed(images: DataFrame, key: str) -> DataFrame:
         for batch in batches:
             shas, cells = [], []
             for h, w, pixels in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
-                image = np.frombuffer(pixels or b"", np.uint8)
-                readable = h and w and len(image) == h * w
-                shas.append(hashlib.sha256(encode_png(image.reshape(h, w))).hexdigest() if readable else None)
-                cells.append(len(detect_cells(image.reshape(h, w))) if readable else None)
+                image = picture(h, w, pixels)
+                shas.append(hashlib.sha256(encode_png(image)).hexdigest() if image is not None else None)
+                cells.append(len(detect_cells(image)) if image is not None else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shas, pa.string()), pa.array(cells, pa.int32())], ["key", "sha256", "cells"])
 
     return images.select(F.col(key).alias("key"), "height", "width", "pixels").mapInArrow(run, f"key {kind}, sha256 string, cells int")

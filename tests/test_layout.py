@@ -6,7 +6,6 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from larder.functions import images
 from larder.operators import annotations, cascade, layout, lookup, metrics, search
 from larder.sources import presets
 
@@ -71,45 +70,14 @@ def test_error_rates(spark):
     assert got == [((1, 0, 1), 2 / 3, 0.6), ((0, 0, 0), 0.0, 0.0), ((0, 0, 1), 1.0, 1.0), ((0, 0, 0), 0.0, 0.0), ((1, 0, 2), 3.0, 5.0)]
 
 
-def test_image_steps():
-    image = np.full((60, 80), 220, np.uint8)
-    image[20:22, :] = 10  # a line
-    image[40:50, 30:34] = 10
-    assert images.otsu_threshold(image).min() == 0 and set(np.unique(images.otsu_threshold(image))) == {0, 255}
-    assert images.ensure_black_text_on_white(255 - image).mean() == image.mean()
-    assert (images.remove_grid_lines(image)[20:22] == 255).all() and (images.remove_grid_lines(image)[40:50, 30:34] == 10).all()
-    assert images.resize_max_height(image, 30).shape == (30, 40) and images.resize_max_height(image).shape == (60, 80)
-    assert images.odd(4) == 5 and images.odd(5) == 5
-    for name, step in images.STEPS.items():
-        assert step(image).dtype == np.uint8, name
-    with pytest.raises(ValueError):
-        images.apply_steps(image, ["blur"])
-
-
-def test_cells_and_png():
-    image = np.full((60, 90), 230, np.uint8)
-    for y in (0, 28, 29, 58, 59):
-        image[y] = 0
-    for x in (0, 44, 45, 88, 89):
-        image[:, x] = 0
-    assert images.detect_cells(image) == [(1, 1, 43, 27), (46, 1, 42, 27), (1, 30, 43, 28), (46, 30, 42, 28)]
-    assert images.detect_cells(np.full((30, 30), 230, np.uint8)) == []
-    png = images.encode_png(image)
-    import zlib
-
-    assert png[:8] == b"\x89PNG\r\n\x1a\n" and png == images.encode_png(image.copy())
-    at = png.index(b"IDAT")
-    rows = zlib.decompress(png[at + 4 : at + 4 + int.from_bytes(png[at - 4 : at], "big")])
-    assert (np.frombuffer(rows, np.uint8).reshape(60, 91)[:, 1:] == image).all()
-
-
 def test_presets(spark, tmp_path):
     assert presets.presets(spark).groupBy("category").count().count() == 3 and presets.presets(spark).count() == 23
     for category, name, priority in (("table", "b", 7), ("text", "a", None)):
         (tmp_path / category).mkdir()
-        body = {"name": name, "kind": "linear_table", "steps": [{"op": "invert"}], "ocr": {"psm": "6"}} | ({"priority": priority} if priority else {})
+        body = {"name": name, "kind": "linear_table", "steps": [{"op": "invert", "name": "x"}, {"op": "clahe", "clip_limit": 2.5, "tile_grid_size": [6, 8]}], "ocr": {"psm": "6"}} | ({"priority": priority} if priority else {})
         (tmp_path / category / f"{name}.json").write_text(json.dumps(body))
     assert sorted((r["category"], r["name"], r["priority"]) for r in presets.read_presets(spark, str(tmp_path)).collect()) == [("table", "b", 7), ("text", "a", 100)]
+    assert {r["steps"] for r in presets.read_presets(spark, str(tmp_path)).collect()} == {"invert; clahe clip_limit=2.5 tile_grid_size=6,8"}
     (tmp_path / "w.txt").write_text("# words\nSal\t5\n\ntrigo\nsal\t7\n")
     assert {r["word"]: r["n"] for r in presets.read_vocabulary(spark, str(tmp_path / "w.txt")).collect()} == {"sal": 7, "trigo": 100}
 
