@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,23 +17,25 @@ WEIGHTS, FULL_LENGTH = (0.5, 0.4, 0.1), 500.0
 
 def keyword_hits(text: Column, keywords: tuple[str, ...] = KEYWORDS, most: int = MOST_DISTANCE) -> Column:
     """J-14, A-18: how many keywords have a window of as many words within the edit distance. A text of fewer words
-    than a keyword is one shorter window."""
+    than a keyword is one shorter window. Windows of one width are made once, each distinct one compared once."""
+    widths: dict[int, list[str]] = {}
+    for k in keywords:
+        widths.setdefault(len(k.split()), []).append(k)
 
-    def hit(words: Column, keyword: str) -> Column:
-        n = len(keyword.split())
+    def windows(words: Column, n: int) -> Column:
+        own = [len(k) for k in widths[n]]
         last = F.greatest(F.lit(1), F.size(words) - n + 1)
-        
-        def close(i: Column) -> Column:
-            window = F.array_join(F.slice(words, i, n), " ")
-            # lengths tell most windows apart; the bounded distance is -1 beyond its bound
-            return (F.abs(F.length(window) - len(keyword)) <= most) & (F.levenshtein(window, F.lit(keyword), most) != -1)
+        every = words if n == 1 else F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(words, i, n), " "))
+        # lengths tell most windows apart
+        return F.array_distinct(F.filter(every, lambda w: F.length(w).between(min(own) - most, max(own) + most)))
 
-        near = F.exists(F.sequence(F.lit(1), last), close)
-        return F.when(near, 1).otherwise(0)
+    def hits(n: int, found: Column) -> Column:
+        # the bounded distance is -1 beyond its bound
+        return sum((F.when(F.exists(found, lambda w: F.levenshtein(w, F.lit(k), most) != -1), 1).otherwise(0) for k in widths[n]), F.lit(0))
 
     def count(folded: Column) -> Column:
         words = F.split(folded, " ", -1)
-        return F.when(folded == "", 0).otherwise(sum((hit(words, k) for k in keywords), F.lit(0)))
+        return F.when(folded == "", 0).otherwise(sum((F.transform(F.array(windows(words, n)), functools.partial(hits, n))[0] for n in widths), F.lit(0)))
 
     return F.transform(F.array(fold(text)), count)[0]
 
@@ -64,4 +68,4 @@ def polarity(normal: Column, inverted: Column) -> Column:
 def with_presets(attempts: DataFrame, presets: DataFrame) -> DataFrame:
     """J-16: attempts with the presets of their category; the ingredient category's presets are called ingredients."""
     category = F.when(F.col("category") == "ingredient", "ingredients").otherwise(F.col("category"))
-    return attempts.withColumn("category", category).join(F.broadcast(presets), "category")
+    return attempts.withColumn("category", category).join(presets, "category")

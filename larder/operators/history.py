@@ -5,6 +5,10 @@ DataFrames are immutable: each change takes a snapshot and a change set and give
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,21 +84,49 @@ def over_limit(events: DataFrame, key: str, at: str, most: int = 10, width: str
     return counted.select(key, F.col("w.start").alias("window_start"), "requests", (F.col("requests") > most).alias("limited"))
 
 
+class Limiter:
+    """T-02: lets a request through if at most ``most`` are within the window; a time exactly the window old still counts, and then
+    no wait makes it go, so the request goes once time has moved on. Holds at most ``most`` times."""
+
+    def __init__(self, most: int, window: float) -> None:
+        self.most, self.window, self.clock = most, window, float("-inf")
+        self.held: deque[float] = deque()
+
+    def admit(self, t: float) -> float:
+        self.clock = max(self.clock, t)
+        while self.held and self.held[0] < self.clock - self.window:
+            self.held.popleft()
+        if len(self.held) >= self.most:
+            self.clock = max(self.clock, self.held[-self.most] + self.window)
+            while self.held and self.held[0] <= self.clock - self.window:
+                self.held.popleft()
+        self.held.append(self.clock)
+        return self.clock
+
+
 def admissions(times: list[float], most: int, window: float = 60.0) -> list[float]:
-    """T-02: when each request is let through if at most ``most`` are within the window; a time exactly the window
-    old still counts, and then no wait makes it go, so the request goes once time has moved on."""
-    held: list[float] = []
-    out: list[float] = []
-    clock = float("-inf")
-    for t in times:
-        clock = max(clock, t)
-        held = [h for h in held if h >= clock - window]
-        if len(held) >= most:
-            clock = max(clock, held[-most] + window)
-            held = [h for h in held if h > clock - window]
-        held.append(clock)
-        out.append(clock)
-    return out
+    """T-02: when each request of a list in order is let through."""
+    limiter = Limiter(most, window)
+    return [limiter.admit(t) for t in times]
+
+
+def admitted(events: DataFrame, key: str, at: str, most: int, window: float = 60.0) -> DataFrame:
+    """T-02: (key, requested, admitted): ``admissions`` of each key's times (doubles), which pass in order; a task holds no more than
+    what is within one key's window, at most ``most`` requests, however many a key has."""
+    kind = events.schema[key].dataType.simpleString()
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, limiter = None, None
+        for batch in batches:
+            keys, times, out = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
+            for k, t in zip(keys, times):
+                if limiter is None or k != last:
+                    last, limiter = k, Limiter(most, window)
+                out.append(limiter.admit(t))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], ["key", "requested", "admitted"])
+
+    ordered = events.select(F.col(key).alias("key"), F.col(at).cast("double").alias("requested")).where("requested is not null").repartition("key").sortWithinPartitions("key", "requested")
+    return ordered.mapInArrow(run, f"key {kind}, requested double, admitted double").withColumnRenamed("key", key)
 
 
 def first_seen(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

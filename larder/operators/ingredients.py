@@ -25,8 +25,10 @@ FALLBACK_VOCABULARY = {"de": 10000, "da": 8000, "do": 8000, "e": 9000, "com": 40
 #: What is removed from a text, in this order, and where it is split.
 REMOVED = ((r"(?iU)\(?\b(?:INS|INA|E|ADT)\s*\d{3}[a-z]?\b\)?", ""), (r"\([^)]{1,60}\)", ""), (r"[*†‡§¶#@|]", ""), (r"(?U)[A-ZÁÉÍÓÚÀÂÊÔÃÕ\s]{4,}:", " "))
 LONG_WORD, UNKNOWN_PENALTY, MOST_UNKNOWN = 10, 5, 0.6
-#: An ontology has a row for each key; so many are broadcast, beyond it matching is refused rather than guessed.
-MOST_KEYS = 100_000
+#: A vocabulary goes to every task whole; a larger one is refused.
+MOST_VOCABULARY = 1_000_000
+#: Edit distance: a letter in so many, but at least and at most these.
+LETTERS_AN_EDIT, LEAST_EDITS, MOST_EDITS = 6, 1, 3
 
 
 def risk_rank(risk: Column) -> Column:
@@ -69,6 +71,14 @@ class Segmenter:
         return " ".join(kept) or word
 
 
+def vocabulary_of(words: DataFrame) -> dict[str, int]:
+    """The vocabulary of rows (word, n), of at most MOST_VOCABULARY words."""
+    rows = words.select("word", "n").limit(MOST_VOCABULARY + 1).collect()
+    if len(rows) > MOST_VOCABULARY:
+        raise ValueError(f"a vocabulary of more than {MOST_VOCABULARY} words")
+    return {r["word"]: r["n"] for r in rows}
+
+
 def tokens(docs: DataFrame, id_col: str, text: str, vocabulary: dict[str, int] | None = None) -> DataFrame:
     """(id, pos, original, normalized): F-10. Only tokens with a long word go through Python."""
     cleaned = F.coalesce(F.col(text), F.lit(""))
@@ -108,17 +118,60 @@ def index(ontology: DataFrame) -> DataFrame:
     return slots.select((F.col("place.entry") * 1000 + F.col("place.nth")).alias("ordinal"), "key", F.coalesce("own", "first.entry").alias("entry"))
 
 
+def _edits(length: Column) -> Column:
+    """How many edits a key of this length allows."""
+    return F.greatest(F.lit(LEAST_EDITS), F.least(F.lit(MOST_EDITS), F.floor(length / LETTERS_AN_EDIT))).cast("int")
+
+
+def _cut(rows: DataFrame) -> DataFrame:
+    """Rows with a key's length ``long`` and its ``edits``: one for each of edits + 1 parts of it, ``nth`` from 0, with where it starts and its size."""
+    parts = F.col("edits") + 1
+    base, short = F.floor(F.col("long") / parts).cast("int"), parts - F.col("long") % parts
+    nth = F.col("nth")
+    each = rows.withColumn("nth", F.explode(F.sequence(F.lit(0), F.col("edits"))))
+    return each.withColumn("start", nth * base + F.greatest(F.lit(0), nth - short)).withColumn("size", base + F.when(nth >= short, 1).otherwise(0))
+
+
+def _near(asked: DataFrame, keys: DataFrame) -> DataFrame:
+    """(normalized, ordinal, key, entry): every key within its edits of a text, and some others.
+
+    With k edits one of a key's k + 1 parts stays whole. It lies in the text where the edits before and after it, of which
+    there are k in all, can have shifted it; so texts and keys meet by that part, in an equi-join.
+    """
+    n, apart = F.length("normalized"), F.length("normalized") - F.col("long")
+    own = _cut(keys.withColumn("long", F.length("key")).where("long > 0").withColumn("edits", _edits(F.col("long"))))
+    own = own.select("ordinal", "key", "entry", "long", "nth", F.substring("key", F.col("start") + 1, F.col("size")).alias("part"))
+    wide = asked.withColumn("long", F.explode(F.sequence(F.greatest(F.lit(1), n - MOST_EDITS), n + MOST_EDITS))).withColumn("edits", _edits(F.col("long"))).where(F.abs(apart) <= F.col("edits"))
+    cut = _cut(wide)
+    before, after = F.col("nth"), F.col("edits") - F.col("nth")
+    first = F.greatest(F.lit(0), F.col("start") - before, F.col("start") + apart - after)
+    last = F.least(n - F.col("size"), F.col("start") + before, F.col("start") + apart + after)
+    at = cut.withColumn("first", first).withColumn("last", last).where("first <= last").withColumn("at", F.explode(F.sequence("first", "last")))
+    probes = at.select("normalized", "long", "nth", F.substring("normalized", F.col("at") + 1, F.col("size")).alias("part")).distinct()
+    return probes.join(own, ["long", "nth", "part"]).select("normalized", "ordinal", "key", "entry")
+
+
+def _inside(asked: DataFrame, keys: DataFrame) -> DataFrame:
+    """(normalized, ordinal, key, entry): every key inside a text or the other way round, and some others. What lies
+    between word ends in another text begins with one of its words."""
+    words = lambda c: F.array_distinct(F.split(c, " "))
+    begin = lambda c: F.substring_index(c, " ", 1)
+    key_in = asked.select("normalized", F.explode(words("normalized")).alias("w")).join(keys.withColumn("w", begin("key")), "w")
+    text_in = asked.where(F.length("normalized") >= 5).withColumn("w", begin("normalized")).join(keys.withColumn("w", F.explode(words("key"))), "w")
+    columns = ("normalized", "ordinal", "key", "entry")
+    return key_in.select(*columns).unionByName(text_in.select(*columns))
+
+
 def _layers(asked: DataFrame, keys: DataFrame) -> DataFrame:
     """(normalized, entry, kind, distance): exact hits; for the others the nearest of containment and edit distance,
-    the key that stands first among equals. Each distinct text is matched once."""
-    exact = asked.join(F.broadcast(keys), F.col("normalized") == F.col("key")).select("normalized", "entry", F.lit("exact").alias("kind"), F.lit(0).alias("distance"))
-    rest = asked.join(F.broadcast(keys), F.col("normalized") == F.col("key"), "left_anti")
+    the key that stands first among equals. Each distinct text is matched once, and meets only keys it shares a part with."""
+    exact = asked.join(keys, F.col("normalized") == F.col("key")).select("normalized", "entry", F.lit("exact").alias("kind"), F.lit(0).alias("distance"))
+    rest = asked.join(keys.select("key"), F.col("normalized") == F.col("key"), "left_anti")
     token, key = F.col("normalized"), F.col("key")
-    apart = F.abs(F.length(key) - F.length(token))
+    apart, most = F.abs(F.length(key) - F.length(token)), _edits(F.length(key))
     inside = bounded_first(token, key) | ((F.length(token) >= 5) & bounded_first(key, token))
-    most = F.greatest(F.lit(1), F.least(F.lit(3), F.expr("length(key) div 6")))
-    near = rest.join(F.broadcast(keys), inside | ((apart <= most) & (F.levenshtein(token, key) <= most)))
-    rank = F.struct(F.when(inside, apart).otherwise(F.levenshtein(token, key)).alias("distance"), "ordinal", F.when(inside, "containment").otherwise("levenshtein").alias("kind"), "entry")
+    near = _inside(rest, keys).unionByName(_near(rest, keys)).withColumn("inside", inside).where(F.col("inside") | ((apart <= most) & (F.levenshtein(token, key) <= most)))
+    rank = F.struct(F.when(F.col("inside"), apart).otherwise(F.levenshtein(token, key)).alias("distance"), "ordinal", F.when(F.col("inside"), "containment").otherwise("levenshtein").alias("kind"), "entry")
     best = near.groupBy("normalized").agg(F.min(rank).alias("b"))
     return exact.unionByName(best.select("normalized", "b.entry", "b.kind", "b.distance"))
 
@@ -127,13 +180,11 @@ def match(toks: DataFrame, ontology: DataFrame) -> DataFrame:
     """Tokens with (entry, kind, distance): J-08 to J-11. What no layer finds is cut in words, of which the one with
     the worst risk counts, the first among equals. No match: kind none, distance -1."""
     keys = index(ontology)
-    if keys.count() > MOST_KEYS:
-        raise ValueError(f"an ontology of more than {MOST_KEYS} keys isn't broadcast")
     asked = toks.select("normalized").distinct()
     whole = _layers(asked, keys)
     left = asked.join(whole.select("normalized"), "normalized", "left_anti").where(F.col("normalized").contains(" "))
     words = left.select(F.col("normalized").alias("token"), F.posexplode(F.split("normalized", " ")).alias("nth", "normalized")).where(F.length("normalized") >= 3)
-    found = words.join(_layers(words.select("normalized").distinct(), keys), "normalized").join(F.broadcast(ontology.select("entry", "risk")), "entry")
+    found = words.join(_layers(words.select("normalized").distinct(), keys), "normalized").join(ontology.select("entry", "risk"), "entry")
     worst = found.groupBy(F.col("token").alias("normalized")).agg(F.min(F.struct(risk_rank(F.col("risk")).alias("r"), "nth", "entry"))["entry"].alias("entry"))
     every = whole.unionByName(worst.select("normalized", "entry", F.lit("word_decomposition").alias("kind"), F.lit(0).alias("distance")))
     joined = toks.join(every, "normalized", "left")
@@ -143,7 +194,7 @@ def match(toks: DataFrame, ontology: DataFrame) -> DataFrame:
 def deduplicated(matches: DataFrame, ontology: DataFrame) -> DataFrame:
     """A-04: matched tokens with their entry's columns, the first of each entry in a document."""
     first = matches.where("entry is not null").groupBy("id", "entry").agg(F.min(F.struct("pos", "original", "kind", "distance")).alias("m"))
-    return first.select("id", "entry", "m.*").join(F.broadcast(ontology.drop("synonyms")), "entry")
+    return first.select("id", "entry", "m.*").join(ontology.drop("synonyms"), "entry")
 
 
 def risk_summary(found: DataFrame) -> DataFrame:

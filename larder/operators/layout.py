@@ -64,24 +64,34 @@ def slots(cells: DataFrame, key: str, x: str) -> DataFrame:
     return cells.groupBy(key, "row", "column").agg(F.max(F.struct(F.col(x).alias("x"), "cell"))["cell"].alias("cell"))
 
 
-def rows_by_mean(words: DataFrame, key: str) -> DataFrame:
-    """W-04, A-11: (key, text, x1, x2, row, place) of words (key, text, x1, y1, x2, y2): a word, by center and x, goes to
-    the first row whose running mean is near enough, else begins a row."""
+def _in_rows(words: DataFrame, key: str) -> DataFrame:
+    """(key, ws): each page's words with their row, sorted by row, x and center. A page's words are one list."""
     listed = words.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.expr("(y1 + y2) div 2").cast("int").alias("c"), "x1", "x2", "y1", "y2", "text"))).alias("ws"))
     heights = F.filter(F.transform("ws", lambda w: w["y2"] - w["y1"]), lambda h: h > 0)
-    most = tolerance(upper_median(heights), WORD_ROWS)
+    listed = listed.withColumn("most", tolerance(upper_median(heights), WORD_ROWS)).where("most is not null")
     start = F.struct(F.array().cast("array<struct<s:double,n:int>>").alias("means"), F.array().cast("array<int>").alias("rows"))
 
     def step(s: Column, w: Column) -> Column:
-        fits = F.filter(F.transform(s["means"], lambda m, i: F.when(F.abs(w["c"] - m["s"] / m["n"]) <= most, i)), lambda i: i.isNotNull())
-        row = F.coalesce(F.get(fits, F.lit(0)), F.size(s["means"]))
-        one = F.struct(w["c"].cast("double").alias("s"), F.lit(1).alias("n"))
-        grown = F.transform(s["means"], lambda m, i: F.when(i == row, F.struct((m["s"] + w["c"]).alias("s"), (m["n"] + 1).alias("n"))).otherwise(m))
-        means = F.when(row == F.size(s["means"]), F.concat(s["means"], F.array(one))).otherwise(grown)
-        return F.struct(means.alias("means"), F.concat(s["rows"], F.array(row)).alias("rows"))
+        near = F.transform(s["means"], lambda m: F.abs(w["c"] - m["s"] / m["n"]) <= F.col("most"))
+        # a state of one element binds the row's number, so that it is found once
+        def placed(found: Column) -> Column:
+            row = F.when(found > 0, found.cast("int") - 1).otherwise(F.size(s["means"]))
+            fresh = F.concat(s["means"], F.array(F.struct(w["c"].cast("double").alias("s"), F.lit(1).alias("n"))))
+            grown = F.transform(s["means"], lambda m, i: F.when(i == row, F.struct((m["s"] + w["c"]).alias("s"), (m["n"] + 1).alias("n"))).otherwise(m))
+            return F.struct(F.when(found > 0, grown).otherwise(fresh).alias("means"), F.concat(s["rows"], F.array(row)).alias("rows"))
+
+        return F.transform(F.array(F.array_position(near, True)), placed)[0]
 
     rows = F.aggregate("ws", start, step, lambda s: s["rows"])
-    each = listed.where(F.size(heights) > 0).select(key, F.explode(F.arrays_zip(F.col("ws"), rows.alias("row"))).alias("z")).select(key, F.col("z.ws.text").alias("text"), F.col("z.ws.x1").alias("x1"), F.col("z.ws.x2").alias("x2"), F.col("z.ws.c").alias("c"), F.col("z.row").alias("row"))
+    each = F.zip_with("ws", rows, lambda w, row: F.struct(row.alias("row"), w["x1"].alias("x1"), w["c"].alias("c"), w["x2"].alias("x2"), w["text"].alias("text")))
+    return listed.select(key, F.array_sort(each).alias("ws"))
+
+
+def rows_by_mean(words: DataFrame, key: str) -> DataFrame:
+    """W-04, A-11: (key, text, x1, x2, c, row, place) of words (key, text, x1, y1, x2, y2): a word, by center and x, goes to
+    the first row whose running mean is near enough, else begins a row."""
+    each = _in_rows(words, key).select(key, F.posexplode("ws").alias("at", "w"))
+    each = each.select(key, "w.text", "w.x1", "w.x2", "w.c", "w.row")
     return each.withColumn("place", F.row_number().over(Window.partitionBy(key, "row").orderBy("x1", "c", "x2", "text")))
 
 
@@ -99,15 +109,21 @@ def separators(found: DataFrame, key: str) -> DataFrame:
 
 
 def table_text(words: DataFrame, key: str) -> DataFrame:
-    """F-35: (key, text): rows of words, with a tab where a gap crosses a separator, else a space. One shuffle, by page."""
-    rows = rows_by_mean(words, key)
-    before = F.lag("x2").over(Window.partitionBy(key, "row").orderBy("place"))
-    start, stop = F.col("start"), F.col("x1")
+    """F-35: (key, text): rows of words, with a tab where a gap crosses a separator, else a space. One shuffle, by page; gaps,
+    separators and the text are made from the page's list of words."""
+    rows = _in_rows(words, key)
+
+    def gap(w: Column, i: Column) -> Column:
+        before = F.get(F.col("ws"), i - 1)
+        same = (i > 0) & (before["row"] == w["row"])
+        return F.struct(w["row"].alias("row"), w["text"].alias("text"), F.when(same, before["x2"]).alias("start"), w["x1"].alias("stop"))
+
+    gapped = rows.select(key, F.transform("ws", gap).alias("gs"))
     # a wide gap covers all its pixels for its own row, so it crosses a separator if another row's wide gap overlaps it
-    wide = F.when(stop - start >= LEAST_GAP, F.struct("row", "start", stop.alias("stop")))
-    every = F.collect_list("wide").over(Window.partitionBy(key))
-    tab = (stop - start > LEAST_GAP) & F.exists("every", lambda g: (g["row"] != F.col("row")) & (g["start"] < stop) & (g["stop"] > start))
-    mark = F.when(F.col("place") == 1, "").when(tab, "\t").otherwise(" ")
-    marked = rows.withColumn("start", before).withColumn("wide", wide).withColumn("every", every).withColumn("t", F.concat(mark, "text"))
-    lines = marked.groupBy(key, "row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "t"))), lambda s: s["t"]), "").alias("line"))
-    return lines.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "line"))), lambda s: s["line"]), "\n").alias("text"))
+    wide = gapped.withColumn("wide", F.filter("gs", lambda g: g["stop"] - g["start"] >= LEAST_GAP))
+
+    def piece(g: Column, i: Column) -> Column:
+        tab = (g["stop"] - g["start"] > LEAST_GAP) & F.exists("wide", lambda o: (o["row"] != g["row"]) & (o["start"] < g["stop"]) & (o["stop"] > g["start"]))
+        return F.concat(F.when(i == 0, "").when(g["start"].isNull(), "\n").when(tab, "\t").otherwise(" "), g["text"])
+
+    return wide.select(key, F.array_join(F.transform("gs", piece), "").alias("text"))

@@ -11,18 +11,18 @@ from larder.plans.registry import query, table
 from larder.sources import presets as P
 
 
-@query("t02_admissions")
+@query("t02_admissions", """with recursive e as (select user_id, epoch_us(ts) / 86400000000.0 as t, row_number() over (partition by user_id order by ts, event_id) as n from events),
+    run(user_id, n, t, clock, held) as (
+      select distinct user_id, cast(0 as bigint), cast(0 as double), cast('-infinity' as double), cast([] as double[]) from e
+      union all
+      select user_id, n, t, case when len(h) >= 2 then greatest(c, h[len(h) - 1] + 3) else c end,
+        list_append(case when len(h) >= 2 then list_filter(h, lambda x: x > greatest(c, h[len(h) - 1] + 3) - 3) else h end, case when len(h) >= 2 then greatest(c, h[len(h) - 1] + 3) else c end)
+      from (select r.user_id, e.n, e.t, greatest(r.clock, e.t) as c, list_filter(r.held, lambda x: x >= greatest(r.clock, e.t) - 3) as h from run r join e on e.user_id = r.user_id and e.n = r.n + 1))
+    select user_id, t as requested, clock as admitted from run where n > 0""")
 def t02(spark, d):
-    """Waits of each user's requests under a limit of 2 in 3 days: a fold over each user's times in order."""
-    days = table(spark, d, "events").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
-
-    def admitted(frame):
-        import pandas as pd
-
-        times = sorted(frame["t"] / 86_400_000_000)
-        return pd.DataFrame({"user_id": [frame["user_id"].iloc[0]] * len(times), "requested": times, "admitted": history.admissions(times, 2, 3.0)})
-
-    return days.groupBy("user_id").applyInPandas(admitted, "user_id long, requested double, admitted double")
+    """Waits of each user's requests under a limit of 2 in 3 days."""
+    days = table(spark, d, "events").select("user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 86_400_000_000).alias("at"))
+    return history.admitted(days, "user_id", "at", 2, 3.0)
 
 
 @query("t01_ttl_days", "select cast(ts as date) as day, count(*) as kept from events where not ts < timestamp '2024-01-20' group by 1")

@@ -72,3 +72,48 @@ def test_segmenter_finds_the_cheapest_cut():
             assert abs(sum(map(cost, got)) - least) < 1e-9
     assert s.cut("farinhadetrigo") == ["farinha", "de", "trigo"] and s.cut("") == [] and s.cut("xy") == ["xy"]
     assert s.meaningful("farinhadetrigo") == "farinha trigo"
+
+
+def test_parts_miss_no_key(spark):
+    """Random texts and keys: what the equi-joins find equals what all pairs would give."""
+    import random
+
+    r = random.Random(7)
+    word = lambda: "".join(r.choice("abc") for _ in range(r.randint(1, 9)))
+    names = [" ".join(word() for _ in range(r.randint(1, 3))) for _ in range(60)] + ["".join(r.choice("ab") for _ in range(n)) for n in range(3, 30)]
+    changed = []
+    for k in names:
+        letters = list(k)
+        for _ in range(r.randint(1, 3)):
+            at = r.randrange(len(letters))
+            letters[at : at + 1] = r.choice([[], [letters[at], "a"], ["b"]])
+            letters = letters or ["a"]
+        changed.append(" ".join("".join(letters).split()))
+    texts = sorted({t for t in changed + [f"zz {k} yy" for k in names[:20]] + [k[1:] for k in names] if len(t) >= 3})
+    onto = spark.createDataFrame([(i, n, "c", "ALTO", []) for i, n in enumerate(names)], "entry int, display string, class string, risk string, synonyms array<string>")
+    keys = {(row["ordinal"], row["key"], row["entry"]) for row in I.index(onto).collect()}
+    asked = spark.createDataFrame([(t,) for t in texts], "normalized string")
+    got = {row["normalized"]: (row["entry"], row["kind"], row["distance"]) for row in I._layers(asked, I.index(onto)).collect()}
+
+    def bounded(text, key):
+        at = text.find(key)
+        return at >= 0 and (at == 0 or text[at - 1] == " ") and (at + len(key) == len(text) or text[at + len(key)] == " ")
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(row[-1] + 1, last[j] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    for t in texts:
+        exact = [e for _, k, e in keys if k == t]
+        near = []
+        for o, k, e in keys:
+            inside = bounded(t, k) or len(t) >= 5 and bounded(k, t)
+            most = max(1, min(3, len(k) // 6))
+            if inside or edits(t, k) <= most:
+                near.append((abs(len(t) - len(k)) if inside else edits(t, k), o, "containment" if inside else "levenshtein", e))
+        want = (exact[0], "exact", 0) if exact else (min(near)[3], min(near)[2], min(near)[0]) if near else None
+        assert got.get(t) == want, t
