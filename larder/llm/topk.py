@@ -206,6 +206,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
 
     dealt = rows.repartitionByRange(groups, F.desc("norm"), "id").select("id", "v", "norm").mapInArrow(releasing(pack), "ids array<long>, m binary, norm double")
     candidates = Written(dealt.select(F.spark_partition_id().alias("g"), "ids", "m", "norm"), "groups").frame
+    groups = 1 + candidates.agg(F.max("g")).first()[0]  # a session may deal out more ranges than asked for
     step = -(-groups // STEPS)
     longest = np.full(-(-groups // step), -np.inf)
     for s, norm in candidates.groupBy(F.expr(f"g div {step}")).agg(F.max("norm")).collect():  # at most STEPS
