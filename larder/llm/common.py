@@ -7,6 +7,7 @@ import functools
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -49,6 +50,20 @@ def releasing(run: Callable[[Iterable], Iterator]) -> Callable[[Iterable], Itera
     return task
 
 
+_scopes: list[list[Written]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """What is written inside is deleted when the block ends, but for what is taken out with ``keep``."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for x in _scopes.pop():
+            x.drop()
+
+
 class Written:
     """A result written as Parquet in the shared folder: it cuts the lineage and outlives executors.
 
@@ -65,6 +80,13 @@ class Written:
         self.frame = self.spark.read.schema(df.schema).parquet(self.path)
         folder, path = self._folder()
         folder.deleteOnExit(path)  # a lazy result may read it as long as the application runs
+        if _scopes:
+            _scopes[-1].append(self)
+
+    def keep(self) -> Written:
+        """Take it out of the innermost scratch block."""
+        _scopes[-1].remove(self)
+        return self
 
     def _folder(self):
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
