@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larder.sources.options import SIDE
+
 #: Least tolerances and their factors; least gap in pixels, least rows that share it.
 CELL_ROWS, DETECTED_ROWS, WORD_ROWS, CELL_COLUMNS = (8, 0.5), (10, 0.5), (6, 0.55), (10, 0.4)
 LEAST_GAP, LEAST_ROWS = 10, 2
+#: Bounds of a cell's share of the picture, and its least sides.
+CELL_SHARE, LEAST_CELL = (0.001, 0.5), (20, 12)
 
 
 def tolerance(size: Column, rule: tuple[int, float]) -> Column:
@@ -15,6 +19,36 @@ def tolerance(size: Column, rule: tuple[int, float]) -> Column:
     return F.greatest(F.lit(rule[0]), (size * F.lit(rule[1])).cast("int"))
 
 
+def clamped(start: Column, stop: Column, pad: Column, size: Column) -> tuple[Column, Column]:
+    """F-41: a stretch with padding on both sides, kept within 0 and a side's size."""
+    return F.greatest(start - pad, F.lit(0)), F.least(stop + pad, size)
+
+
+def fitted(width: Column, height: Column, most: int = SIDE) -> tuple[Column, Column]:
+    """F-42: a picture's sides, cut to whole numbers, scaled so that the longer one is at most this long; 0 is no limit."""
+    if not most:
+        return width, height
+    longer = F.greatest(width, height)
+    fit = lambda side: F.when(longer > most, (side * F.lit(float(most)) / longer).cast("int")).otherwise(side)
+    return fit(width), fit(height)
+
+
+def cells_that_count(boxes: DataFrame, w: str, h: str, area: Column, share: tuple[float, float] = CELL_SHARE, least: tuple[int, int] = LEAST_CELL) -> DataFrame:
+    """P-19: boxes of at least these sides that cover a share of the picture within bounds, both included."""
+    return boxes.where((F.col(w) >= least[0]) & (F.col(h) >= least[1]) & (F.col(w) * F.col(h) / area).between(*share))
+
+
+def best_box(boxes: DataFrame, key: str, box: str, score: Column) -> DataFrame:
+    """O-08: each page's box with the highest score, the first by number among equals."""
+    best = F.max(F.struct(score.alias("s"), (-F.col(box)).alias("b")))
+    return boxes.groupBy(key).agg((-best["b"]).alias(box))
+
+
+def reading_places(cells: DataFrame, key: str, *order: str) -> DataFrame:
+    """O-09: cells with their place in reading order."""
+    return cells.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+
+
 def upper_median(values: Column) -> Column:
     """A-11: of an even number of values the larger middle one."""
     ordered = F.array_sort(values)

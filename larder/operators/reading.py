@@ -26,25 +26,29 @@ LEAST_BOX, HEADER_MOST, RIM = 0.04, 0.5, 4
 def fetched(requests: DataFrame, cache: DataFrame, outcomes: DataFrame, timeout: float = TIMEOUT) -> DataFrame:
     """S-13: (the requests' columns, cache_hit, response, called, error, message, secondary).
 
-    ``requests`` have CACHE_KEY and ``at``, ``cache`` has CACHE_KEY and response, ``outcomes`` say what the engine would answer to a
-    key: response, seconds, classes of error, message. A request whose response is kept, or that comes after one that
-    was answered, is a hit and isn't called. Others are called: too long an answer counts as a timeout, and an error has its most
-    telling class, the others behind it. What has no outcome is a generic error.
+    ``requests`` have CACHE_KEY and ``at``, ``cache`` has CACHE_KEY and response, one row a sha256, ``outcomes`` say what the engine would
+    answer to a key: response, seconds, classes of error, message. A sha256 has one slot: a request is a hit, and isn't called, if
+    the slot holds its feature and hints, in order; a call that is answered takes the slot. Too long an answer counts as a
+    timeout, and an error has its most telling class, the others behind it. What has no outcome is a generic error.
     """
-    kept = cache.select(*CACHE_KEY, F.col("response").alias("kept"))
+    own = F.struct("feature", "hints")
+    kept = cache.select("sha256", own.alias("kept_key"), F.col("response").alias("kept"))
     late = F.when(F.coalesce(F.col("seconds"), F.lit(0.0)) > timeout, F.array(F.lit("timeout"))).otherwise(F.array().cast("array<string>"))
     classes = F.array_union(F.coalesce("classes", F.array().cast("array<string>")), late)
     given = outcomes.select(*CACHE_KEY, F.col("response").alias("answer"), classes.alias("classes"), F.coalesce("message", F.lit("")).alias("said"))
-    joined = requests.join(kept, CACHE_KEY, "left").join(given, CACHE_KEY, "left")
-    fails = F.col("answer").isNull() | (F.size("classes") > 0)
-    first = F.row_number().over(Window.partitionBy(*CACHE_KEY).orderBy("at")) == 1
-    hit = F.col("kept").isNotNull() | (~fails & ~first)
-    error = F.when(~hit & fails, error_of(F.col("classes")))
-    marked = joined.withColumn("hit", hit).withColumn("e", error)
+    joined = requests.join(kept, "sha256", "left").join(given, CACHE_KEY, "left").withColumn("own", own)
+    joined = joined.withColumn("fails", F.col("answer").isNull() | (F.size("classes") > 0))
+    earlier = Window.partitionBy("sha256").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    # a key that is answered holds the slot after its request, be it by a call or by a hit; the kept response goes with the first other one
+    slot = F.last(F.when(~F.col("fails"), F.col("own")), ignorenulls=True).over(earlier)
+    taken = F.coalesce(F.max(F.when(~F.col("fails") & ~F.col("own").eqNullSafe(F.col("kept_key")), 1)).over(earlier), F.lit(0))
+    still = F.col("kept").isNotNull() & (taken == 0) & F.col("own").eqNullSafe(F.col("kept_key"))
+    marked = joined.withColumn("still", still).withColumn("hit", still | F.coalesce(slot == F.col("own"), F.lit(False)))
+    marked = marked.withColumn("e", F.when(~F.col("hit") & F.col("fails"), error_of(F.col("classes"))))
     return marked.select(
         *requests.columns,
         F.col("hit").alias("cache_hit"),
-        F.coalesce("kept", F.when(~fails, F.col("answer"))).alias("response"),
+        F.when(F.col("still"), F.col("kept")).when(~F.col("fails"), F.col("answer")).alias("response"),
         (~F.col("hit")).alias("called"),
         F.col("e.error").alias("error"),
         F.when(F.col("e").isNotNull(), truncated(F.coalesce("said", F.lit("")))).alias("message"),
@@ -53,8 +57,9 @@ def fetched(requests: DataFrame, cache: DataFrame, outcomes: DataFrame, timeout:
 
 
 def cache_puts(results: DataFrame) -> DataFrame:
-    """S-11, S-13: what the calls add to the cache: the response of each call that was answered, by key."""
-    return results.where("called and error is null").select(*CACHE_KEY, "response").dropDuplicates(CACHE_KEY)
+    """S-11, S-13: what the calls leave in the cache: of each sha256 the last response of a call that was answered."""
+    last = F.max_by(F.struct("feature", "hints", "response"), "at").alias("p")
+    return results.where("called and error is null").groupBy("sha256").agg(last).select("sha256", "p.*")
 
 
 def cloud_readings(results: DataFrame, id_col: str, reconstruct: Column | None = None, on_failure: str = "skip") -> DataFrame:

@@ -146,20 +146,17 @@ def a11(spark, d):
 
 @query("o09_reading_order", f"select page, cell, row_number() over (partition by page order by y, x, h, cell) as place from {DUCK_CELLS}")
 def o09(spark, d):
-    from pyspark.sql import Window
-
-    return cells(spark, d).select("page", "cell", F.row_number().over(Window.partitionBy("page").orderBy("y", "x", "h", "cell")).alias("place"))
+    return layout.reading_places(cells(spark, d), "page", "y", "x", "h", "cell").select("page", "cell", "place")
 
 
 @query("p19_cell_sizes", f"select page, cell from {DUCK_CELLS} where w >= 22 and h >= 14 and w * h / 10000.0 between 0.03 and 0.05")
 def p19(spark, d):
-    return cells(spark, d).where("w >= 22 and h >= 14 and w * h / 10000.0 between 0.03 and 0.05").select("page", "cell")
+    return layout.cells_that_count(cells(spark, d), "w", "h", F.lit(10000.0), (0.03, 0.05), (22, 14)).select("page", "cell")
 
 
 @query("o08_best_box", f"select page, cell from (select *, row_number() over (partition by page order by w * h / 10000.0 * h desc, cell) as r from {DUCK_CELLS}) where r = 1")
 def o08(spark, d):
-    best = F.max(F.struct(F.expr("w * h / 10000.0 * h").alias("s"), (-F.col("cell")).alias("c")))
-    return cells(spark, d).groupBy("page").agg((-best["c"]).alias("cell"))
+    return layout.best_box(cells(spark, d), "page", "cell", F.expr("w * h / 10000.0 * h"))
 
 
 @query("p20_box_filters", f"select page, cell, w * h / 5000.0 as ratio from {DUCK_CELLS} where w * h / 5000.0 >= 0.06 and w / h < 1.5")

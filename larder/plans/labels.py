@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from larder.operators import layout
 from larder.operators import nutrition as N
 from larder.plans.registry import query, table
 
@@ -177,15 +178,16 @@ def f28(spark, d):
 
 @query("f41_clamped_crop", """select l_orderkey, l_linenumber, l_partkey, greatest(cast(l_quantity as integer) - 10, 0) as x1, least(cast(l_quantity as integer) + l_linenumber + 10, 50) as x2 from lineitem""")
 def f41(spark, d):
-    return table(spark, d, "lineitem").selectExpr("l_orderkey", "l_linenumber", "l_partkey", "greatest(cast(l_quantity as int) - 10, 0) as x1", "least(cast(l_quantity as int) + l_linenumber + 10, 50) as x2")
+    x1, x2 = layout.clamped(F.col("l_quantity").cast("int"), F.col("l_quantity").cast("int") + F.col("l_linenumber"), F.lit(10), F.lit(50))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", x1.alias("x1"), x2.alias("x2"))
 
 
 @query("f42_resize_limit", """select l_orderkey, l_linenumber, l_partkey, case when m > 1500 then cast(trunc(w * 1500.0 / m) as integer) else w end as width, case when m > 1500 then cast(trunc(h * 1500.0 / m) as integer) else h end as height
     from (select *, greatest(w, h) as m from (select *, cast(l_quantity as integer) * 100 as w, l_linenumber * 400 as h from lineitem))""")
 def f42(spark, d):
-    sized = table(spark, d, "lineitem").selectExpr("l_orderkey", "l_linenumber", "l_partkey", "cast(l_quantity as int) * 100 as w", "l_linenumber * 400 as h").withColumn("m", F.greatest("w", "h"))
-    fit = lambda c: F.when(F.col("m") > 1500, (F.col(c) * F.lit(1500.0) / F.col("m")).cast("int")).otherwise(F.col(c))
-    return sized.select("l_orderkey", "l_linenumber", "l_partkey", fit("w").alias("width"), fit("h").alias("height"))
+    sized = table(spark, d, "lineitem").selectExpr("l_orderkey", "l_linenumber", "l_partkey", "cast(l_quantity as int) * 100 as w", "l_linenumber * 400 as h")
+    width, height = layout.fitted(F.col("w"), F.col("h"))
+    return sized.select("l_orderkey", "l_linenumber", "l_partkey", width.alias("width"), height.alias("height"))
 
 
 @query("f44_request_fields", "select event_type, cast(ts as date) as day, count(*) as requests, max(value) as slowest from events group by 1, 2")

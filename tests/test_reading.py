@@ -15,17 +15,20 @@ KEY = "sha256 string, feature string, hints string"
 
 
 def test_fetching(spark):
-    requests = spark.createDataFrame([(i, s, "F", "pt", at) for i, s, at in ((1, "kept", 1), (2, "new", 2), (3, "new", 3), (4, "bad", 4), (5, "bad", 5), (6, "none", 6), (7, "late", 7))], f"id int, {KEY}, at int")
-    cache = spark.createDataFrame([("kept", "F", "pt", "old"), ("new", "G", "pt", "other feature")], f"{KEY}, response string")
-    outcomes = spark.createDataFrame([("new", "F", "pt", "answer", 1.0, None, None), ("bad", "F", "pt", None, 1.0, ["timeout", "auth_error"], "x" * 600), ("late", "F", "pt", "too late", 31.0, [], "slow")], f"{KEY}, response string, seconds double, classes array<string>, message string")
+    requests = spark.createDataFrame([(i, s, "F", "pt", at) for i, s, at in ((1, "kept", 1), (2, "new", 2), (3, "new", 3), (4, "bad", 4), (5, "bad", 5), (6, "none", 6), (7, "late", 7))] + [(8, "new", "G", "pt", 8), (9, "new", "F", "pt", 9), (10, "new", "F", "en", 10), (11, "old", "F", "pt", 11), (12, "old", "G", "pt", 12), (13, "old", "F", "pt", 13), (14, "old", "F", "pt", 14)], f"id int, {KEY}, at int")
+    cache = spark.createDataFrame([("kept", "F", "pt", "old"), ("old", "F", "pt", "kept F")], f"{KEY}, response string")
+    outcomes = spark.createDataFrame([("new", "F", "pt", "answer", 1.0, None, None), ("new", "G", "pt", "for G", 1.0, None, None), ("old", "F", "pt", "new F", 1.0, [], None), ("old", "G", "pt", "new G", None, None, None), ("bad", "F", "pt", None, 1.0, ["timeout", "auth_error"], "x" * 600), ("late", "F", "pt", "too late", 31.0, [], "slow")], f"{KEY}, response string, seconds double, classes array<string>, message string")
     got = {r["id"]: (r["cache_hit"], r["response"], r["called"], r["error"], r["secondary"]) for r in reading.fetched(requests, cache, outcomes).collect()}
     assert got == {
         1: (True, "old", False, None, []), 2: (False, "answer", True, None, []), 3: (True, "answer", False, None, []), 4: (False, None, True, "auth_error", ["timeout"]), 5: (False, None, True, "auth_error", ["timeout"]),
         6: (False, None, True, "generic_error", []), 7: (False, None, True, "timeout", []),
+        # another feature takes the slot, so the first is called again; hints differ; a kept response goes with the first other one
+        8: (False, "for G", True, None, []), 9: (False, "answer", True, None, []), 10: (False, None, True, "generic_error", []),
+        11: (True, "kept F", False, None, []), 12: (False, "new G", True, None, []), 13: (False, "new F", True, None, []), 14: (True, "new F", False, None, []),
     }
     results = reading.fetched(requests, cache, outcomes)
     assert {len(r["message"]) for r in results.where("id = 4").collect()} == {500}
-    assert [tuple(r) for r in reading.cache_puts(results).collect()] == [("new", "F", "pt", "answer")]
+    assert sorted(tuple(r) for r in reading.cache_puts(results).collect()) == [("new", "F", "pt", "answer"), ("old", "F", "pt", "new F")]
 
 
 def test_cloud_readings(spark):
