@@ -151,7 +151,18 @@ def o10(spark, d):
     return found.groupBy("risk").agg(F.count(F.lit(1)).alias("n")).orderBy(I.risk_rank(F.col("risk")), "risk").limit(1)
 
 
-@query("f29_text_report")
+BULLETS = "string_agg(case when {0} then chr(10) || '  - ' || {1} end, '' order by rank, pos)"
+NAMED = "original || ' (' || class || ')'"
+
+
+@query("f29_text_report", f"""{MATCH}, al as (select id, count(*) as n, arg_min(risk, rank * 1000 + pos) as worst, {BULLETS.format("risk in ('ALTO', 'MODERADO-ALTO')", 'original')} as high, {BULLETS.format("risk = 'MODERADO'", NAMED)} as middle,
+        {BULLETS.format("class in ('edulcorante_artificial', 'edulcorante_natural') and risk in ('BAIXO', 'SEGURO')", 'original')} as sweet,
+        {BULLETS.format("risk in ('BENEFICO', 'BAIXO') and class not in ('edulcorante_artificial', 'edulcorante_natural', 'poliol')", NAMED)} as low from dedup group by id),
+    un as (select id, count(*) as tokens, coalesce(list(original order by pos) filter (where entry is null), []) as u from matched group by id)
+    select un.id, '=== ANALISE DE INGREDIENTES — DIABETES MELLITUS ===' || chr(10) || 'Imagem: ' || un.id || chr(10) || 'Risco global: ' || coalesce(worst, 'NENHUM') || chr(10)
+        || 'Tokens extraidos: ' || tokens || ' | Identificados: ' || coalesce(n, 0) || ' | Nao classificados: ' || len(u)
+        || coalesce(chr(10) || chr(10) || '[ALTO RISCO]' || high, '') || coalesce(chr(10) || chr(10) || '--- Moderado ---' || middle, '') || coalesce(chr(10) || chr(10) || '[EDULCORANTES SEGUROS]' || sweet, '') || coalesce(chr(10) || chr(10) || '[COMPONENTES DE BAIXO RISCO]' || low, '')
+        || case when len(u) > 0 then chr(10) || chr(10) || 'Nao classificados (' || len(u) || '): ' || array_to_string(u[1:10], ', ') || case when len(u) > 10 then ' ...' else '' end else '' end as text from un left join al using (id)""")
 def f29(spark, d):
     return I.text_report(I.report(matches(spark, d), ontology(spark)))
 
