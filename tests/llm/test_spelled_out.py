@@ -97,3 +97,21 @@ def test_very_long_disguised_tokens_take_time_in_proportion(restorer):
         began = time.process_time()
         restorer.restore(text)
         assert time.process_time() - began < 20, unit
+
+
+def test_the_fit_is_the_penalised_maximum():
+    """At the weights found, the slope of the penalised likelihood is nothing in every direction, worked out plainly."""
+    r = random.Random(3)
+    words, sure = ["a", "b", "^cc"], frozenset({"a"})
+    rows = [([w for w in words if r.random() < 0.4], r.randrange(2), r.randint(1, 9)) for _ in range(40)]
+    weights, intercept, some = toxicity._fit(words, sure, rows)
+    model = toxicity.Model(np.zeros(0), words, weights, intercept, some, sure)
+    known = toxicity.Telling(words)
+    slopes = {w: -0.2 * weights[i] for i, w in enumerate(words)} | {"some": -0.02 * some, "intercept": -1e-6 * intercept}
+    for found, y, n in rows:
+        off = n * (y - model.score(set(found), known))
+        for w in found:
+            slopes[w] += off
+        slopes["some"] += off * ("a" in found)
+        slopes["intercept"] += off
+    assert all(abs(x) < 1e-4 for x in slopes.values()), slopes
