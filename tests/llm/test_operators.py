@@ -392,6 +392,28 @@ def test_large_clusters_lose_no_link(spark, monkeypatch):
     assert {r[0]: r[1:] for r in rows(neardup.near_duplicates(docs, 2))} == plain_groups(data, 2)
 
 
+def test_boilerplate_costs_in_proportion(spark, monkeypatch):
+    """Texts that share most of their words, few of which are linked: rows sent to confirm links stay in proportion."""
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    monkeypatch.setattr(neardup, "PIVOTS", 4)
+    seen = {}
+    written = neardup.Written
+
+    def recorded(df, tag):
+        out = written(df, tag)
+        seen[tag] = seen.get(tag, 0) + out.rows
+        return out
+
+    monkeypatch.setattr(neardup, "Written", recorded)
+    shared, n = [f"s{i}" for i in range(140)], 600
+    data = [(i, " ".join([*shared, *(f"u{i}_{j}" for j in range(60))])) for i in range(n)]
+    data += [(n + i, text.replace("_59", "_x")) for i, text in data[:50]]  # near copies of some
+    got = {r[0]: r[1:] for r in rows(neardup.near_duplicates(spark.createDataFrame(data, "doc_id long, text string"), 2))}
+    assert got == plain_groups(data, 2)
+    assert seen["members"] > 0.9 * len(data)  # one cluster
+    assert seen["again"] + seen["probes"] < len(data) and seen["prefixes"] < 60 * len(data)
+
+
 def test_near_duplicates_odd_rows(spark):
     got = sorted(rows(neardup.near_duplicates(odd_documents(spark), 2)), key=str)
     assert len(got) == len(ROWS)
