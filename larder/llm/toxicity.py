@@ -252,7 +252,7 @@ class Restorer:
         """Those of the telling words and beginnings that the restored text has."""
         restored = self.restore(text).lower()
         # a text is cut into words only if it holds a telling one at all
-        words = set(WORD.findall(restored)) if known.anywhere.search(restored) else ()
+        words = set(WORD.findall(restored)) if any(w in restored for w in known.bare) else ()
         return {f for w in words for f in known.of(w)}
 
 
@@ -261,7 +261,7 @@ class Telling:
 
     def __init__(self, features: list[str]) -> None:
         self.index = {f: i for i, f in enumerate(features)}
-        self.anywhere = re.compile("|".join(re.escape(f.lstrip("^")) for f in features) or r"(?!)")
+        self.bare = sorted({f.lstrip("^") for f in features})
         self.lengths = sorted({len(f) - 1 for f in features if f[0] == "^"})
 
     def of(self, word: str) -> list[str]:
