@@ -31,6 +31,8 @@ BLOCK_BYTES = 48 << 20
 #: Packed numbers (not bytes) in one row.
 PACK = 2 << 20
 LEAST_BUCKETS, MOST_BUCKETS = 64, 4096
+#: Blocks that one task puts together, one after another, however much text there is.
+BLOCKS_A_TASK = 2
 
 
 class Splitter:
@@ -206,7 +208,8 @@ Assemble = Callable[[np.ndarray, np.ndarray, Iterator[tuple[list[list], np.ndarr
 
 def apply(docs: DataFrame, keys: Sequence[str], text: str, split: Split, work: Callable[[], Work], kind: str, schema: str, assemble: Assemble, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Split, work on each distinct word once, join back by block and position, and ``assemble`` each block's rows."""
-    buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, 2 * partitions))
     stored = Written(blocks(docs, keys, text, split, buckets, block_bytes), "blocks").frame
     values = once_a_word(stored.where("bucket is not null"), work, kind)
 
@@ -231,4 +234,5 @@ def apply(docs: DataFrame, keys: Sequence[str], text: str, split: Split, work: C
         return made
 
     texts = stored.where("bucket is null").select("block", "ids", "lens", "body")
-    return values.groupBy("block").cogroup(texts.groupBy("block")).applyInArrow(run, schema)
+    tasks = max(partitions, -(-texts.agg(F.count_distinct("block")).first()[0] // BLOCKS_A_TASK))
+    return values.repartition(tasks, "block").groupBy("block").cogroup(texts.repartition(tasks, "block").groupBy("block")).applyInArrow(run, schema)
