@@ -212,14 +212,17 @@ def fixed_line(line: Column) -> Column:
 
 
 def postprocessed(df: DataFrame, text: str, to: str) -> DataFrame:
-    """F-14 for a column of texts: labels repeat their lines, so each distinct line is repaired once and joined back."""
+    """F-14 for a column of texts: labels repeat their lines, so each distinct line is repaired once and joined back. Texts and lines
+    meet by their digests; neither is shuffled more than once as it was given."""
+    digest = lambda c: F.sha2(c, 256)
     given = F.coalesce(F.col(text), F.lit(""))
-    texts = df.select(given.alias("_text")).distinct()
-    parts = texts.select("_text", F.posexplode(F.split("_text", r"\r\n|\n|\r", -1)).alias("_at", "_line"))
-    fixed = parts.select("_line").distinct().withColumn("_fixed", fixed_line(F.col("_line")))
+    keyed = df.withColumn("_key", digest(given))
+    texts = keyed.groupBy("_key").agg(F.any_value(given).alias("_text"))
+    parts = texts.select("_key", F.posexplode(F.split("_text", r"\r\n|\n|\r", -1)).alias("_at", "_line")).withColumn("_digest", digest(F.col("_line")))
+    fixed = parts.groupBy("_digest").agg(F.any_value("_line").alias("_line")).select("_digest", fixed_line(F.col("_line")).alias("_fixed"))
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_fixed"))), lambda x: x["_fixed"]), "\n")
-    back = parts.join(fixed, "_line").groupBy("_text").agg(whole.alias(to))
-    return df.withColumn("_text", given).join(back, "_text").drop("_text")
+    back = parts.select("_key", "_at", "_digest").join(fixed, "_digest").groupBy("_key").agg(whole.alias(to))
+    return keyed.join(back, "_key").drop("_key")
 
 
 def cloud_line(line: Column) -> Column:

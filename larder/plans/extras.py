@@ -104,7 +104,13 @@ def a18(spark, d):
 
 @query("s10_vocabulary", "select w as word, count(*) as n from (select unnest(string_split(p_name, ' ')) as w from part) group by w")
 def s10(spark, d):
-    return table(spark, d, "part").select(F.explode(F.split("p_name", " ")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    """A vocabulary file made of the words of part names, read back."""
+    from larder.streaming.operators import shared_folder
+
+    words = table(spark, d, "part").select(F.explode(F.split("p_name", " ")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    folder = shared_folder(spark)
+    words.select(F.concat_ws("\t", "word", "n")).write.text(folder)
+    return P.read_vocabulary(spark, folder)
 
 
 @query("s15_external_text", "select p_partkey, case when p_partkey % 2 = 0 then upper(p_name) else p_name end as p_name from part")

@@ -42,14 +42,17 @@ def j12(spark, d):
     return keyed(near, N.key_of(F.col("n")).alias("nutrient"), N.unit_of(F.col("n")).alias("unit"), F.col("n.distance").alias("distance"))
 
 
-@query("j13_one_or_two_columns", f"""with ln as (select name from (select unnest(['Gorduras', 'Gorduras saturadas', 'Gorduras trans', 'Carboidratos', 'Carboidratos totais', 'Valor', 'Valor energetico', 'Valor energia', 'Sodio mg', 'Sodio', 'Trigo', 'Trigo novo']) as name)), {NEAR}
-    select a, b, coalesce(t.distance < coalesce(o.distance, 999), false) as merged, case when t.distance < coalesce(o.distance, 999) then t.nutrient else o.nutrient end as nutrient
-    from (values ('Gorduras', 'saturadas'), ('Gorduras', 'trans'), ('Carboidratos', 'totais'), ('Valor', 'energetico'), ('Valor', 'energia'), ('Sodio', 'mg'), ('Trigo', 'novo')) v(a, b) left join near o on o.name = a left join near t on t.name = a || ' ' || b""")
+SECOND = "case l_linenumber % 5 when 0 then 'saturadas' when 1 then 'trans' when 2 then 'totais' when 3 then 'energetico' else 'mg' end"
+
+
+@query("j13_one_or_two_columns", f"""with p as (select *, {SECOND} as b, name || ' ' || {SECOND} as pair from {LINES}), ln as (select name from p union select pair as name from p), {NEAR}
+    select {KEY}, b, coalesce(t.distance < coalesce(o.distance, 999), false) as merged, case when t.distance < coalesce(o.distance, 999) then t.nutrient else o.nutrient end as nutrient
+    from p left join near o on o.name = p.name left join near t on t.name = p.pair""")
 def j13(spark, d):
-    pairs = spark.createDataFrame([("Gorduras", "saturadas"), ("Gorduras", "trans"), ("Carboidratos", "totais"), ("Valor", "energetico"), ("Valor", "energia"), ("Sodio", "mg"), ("Trigo", "novo")], "a string, b string")
-    both = pairs.select("a", "b", N.nearest(F.col("a")).alias("one"), N.nearest(F.concat_ws(" ", "a", "b")).alias("two"))
+    named = lines(spark, d).withColumn("b", F.expr(SECOND))
+    both = named.withColumn("one", N.nearest(F.col("name"))).withColumn("two", N.nearest(F.concat_ws(" ", "name", "b")))
     merged = F.coalesce(F.col("two.distance") < F.coalesce("one.distance", F.lit(999)), F.lit(False))
-    return both.select("a", "b", merged.alias("merged"), F.when(merged, N.key_of(F.col("two"))).otherwise(N.key_of(F.col("one"))).alias("nutrient"))
+    return keyed(both, "b", merged.alias("merged"), F.when(merged, N.key_of(F.col("two"))).otherwise(N.key_of(F.col("one"))).alias("nutrient"))
 
 
 @query("f17_nine_for_g", f"""select {KEY}, regexp_full_match(cell, '[0-9]+9') and try_cast(cell as bigint) >= 100 as confused from (select * from {LINES})""")
