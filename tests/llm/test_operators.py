@@ -426,7 +426,9 @@ def test_near_duplicates_odd_rows(spark):
     assert rows(neardup.near_duplicates(no_documents(spark), 2)) == []
 
 
-def test_components(spark):
+@pytest.mark.parametrize("together", [0, 10**6])  # rows that one task takes
+def test_components(spark, monkeypatch, together):
+    monkeypatch.setattr(components, "ONE_TASK", together)
     r = random.Random(9)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1200)] + [(5, 5), (None, 3)]
     lead = {x: x for e in edges for x in e if x is not None}
