@@ -71,3 +71,13 @@ def nested(parent: DataFrame, child: DataFrame, key: str, order: str, *columns:
     """J-03: a parent with its children as a sorted list; the list is as long as one parent's children."""
     listed = child.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, *columns))).alias("children"))
     return parent.join(listed, key, "left").withColumn("children", F.coalesce("children", F.array().cast(listed.schema["children"].dataType)))
+
+
+def as_json(*columns: str | Column) -> Column:
+    """P-11, S-16: an object of these columns as text, nulls kept."""
+    return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """S-16: files of one object a line, nulls kept."""
+    df.select(as_json(*df.columns).alias("value")).write.text(path)

@@ -146,8 +146,18 @@ def p10(spark, d):
 
 @query("p11_payload", """select barcode, '{"cache_hit":false,"name":"' || name || '","brand":' || coalesce('"' || nullif(brand, 'Brand#1') || '"', 'null') || '}' as payload from """ + PRODUCTS)
 def p11(spark, d):
-    body = F.struct(F.lit(False).alias("cache_hit"), "name", F.nullif("brand", F.lit("Brand#1")).alias("brand"))
-    return products(spark, d).select("barcode", F.to_json(body, {"ignoreNullFields": "false"}).alias("payload"))
+    body = lookup.as_json(F.lit(False).alias("cache_hit"), "name", F.nullif("brand", F.lit("Brand#1")).alias("brand"))
+    return products(spark, d).select("barcode", body.alias("payload"))
+
+
+@query("s16_json_rows", """select '{"barcode":"' || barcode || '","name":"' || name || '","brand":' || coalesce('"' || nullif(brand, 'Brand#1') || '"', 'null') || '}' as value from """ + PRODUCTS)
+def s16(spark, d):
+    """Products as files of JSON objects, read back as lines."""
+    from larder.streaming.operators import shared_folder
+
+    folder = shared_folder(spark)
+    lookup.write_json(products(spark, d).withColumn("brand", F.nullif("brand", F.lit("Brand#1"))), folder)
+    return spark.read.text(folder)
 
 
 @query("p12_valid_tokens", """select event_id as jti, user_id as subject from events where event_type = 'view' and nullif(user_id, 8) is not null
