@@ -23,7 +23,7 @@ ranked, as the nearest 64-bit number.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -43,13 +43,14 @@ EXACT = 2.0**53
 LONG = 2**63 - 1
 
 
-def quantized(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(id, v): usable vectors, each component floor(64 * x) / 64, which a double holds exactly."""
+def quantized(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedding", scale: int = SCALE, keep: Sequence[Column] = ()) -> DataFrame:
+    """(id, v, and columns to ``keep``): usable vectors, each component floor(64 * x) / 64 (or by another power of two up to 2 ** 16), which
+    a double holds exactly."""
     v = F.col(vector).cast("array<double>")
     usable = F.col(id_col).isNotNull() & v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     # floor() would give a 64-bit integer; 64 times a number beyond 2 ** 46 is whole already
-    whole = F.transform(v, lambda x: F.when(F.abs(x) < 2.0**46, F.floor(x * SCALE).cast("double") / SCALE).otherwise(x))
-    return vectors.where(usable).select(F.col(id_col).cast("long").alias("id"), whole.alias("v"))
+    whole = F.transform(v, lambda x: F.when(F.abs(x) < 2.0**46, F.floor(x * scale).cast("double") / scale).otherwise(x))
+    return vectors.where(usable).select(F.col(id_col).cast("long").alias("id"), whole.alias("v"), *keep)
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -85,9 +86,9 @@ def _rotation(rows: DataFrame, width: int) -> np.ndarray:
     return np.linalg.eigh(g / np.abs(g).max())[1][:, ::-1].copy()
 
 
-def _integer(x: float) -> int:
+def _integer(x: float, scale: int = SCALE) -> int:
     """64 * x, exactly."""
-    return int(x * SCALE) if abs(x) < 2.0**900 else int(x) * SCALE
+    return int(x * scale) if abs(x) < 2.0**900 else int(x) * scale
 
 
 def _sound(x: np.ndarray) -> np.ndarray:
