@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import bpe, credentials, media, mixing, neardup, sharding, topk, toxicity, unigram, urlrules
+from larder.llm import bpe, credentials, fim, media, mixing, neardup, negatives, records, sharding, topk, toxicity, unigram, urlrules
 from larder.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,8 +60,25 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return credentials.scan(table(spark, sf_dir, "documents"))
 
 
+#: Operator 11: ids that are multiples of the first are anchors; labels of rows whose ids are multiples of the second are moved on by one.
+ANCHOR, OFF = 50, 7
+
+
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % OFF == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("id") % ANCHOR == 0, label)
+
+
+def op12_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mpeg_audio, op2_norm_sorted_topk, op3_toxicity, op4_bpe, op5_trie_token_counts, op6_extendible_shards, op7_minhash, op8_url_rules, op9_pfair_mix, op10_secrets)}
+    return {f.__name__: f for f in (op1_mpeg_audio, op2_norm_sorted_topk, op3_toxicity, op4_bpe, op5_trie_token_counts, op6_extendible_shards, op7_minhash, op8_url_rules, op9_pfair_mix, op10_secrets, op11_hard_negatives, op12_token_records, op13_fill_in_middle)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -71,4 +88,6 @@ def oracle_sql() -> dict[str, str]:
         "op7_minhash": neardup.oracle(2, 80),
         "op8_url_rules": urlrules.oracle(RULES),
         "op9_pfair_mix": mixing.oracle(),
+        "op11_hard_negatives": negatives.oracle(ANCHOR, f"case when vec_id % {OFF} = 0 then (label + 1) % 10 else label end"),
+        "op13_fill_in_middle": fim.oracle(),
     }
