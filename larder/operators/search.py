@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larder.functions.text import contains_folded, unaccent, word_similarity
+from larder.functions.text import contains_folded, word_similarity
 from larder.operators.lookup import BARCODE_LENGTHS
+from larder.operators.trigram_index import TrigramIndex, folded, search_text
 
 THRESHOLD = 0.15
 
@@ -18,11 +19,6 @@ def page(df: DataFrame, order: list[Column], number: int, size: int) -> DataFram
     return df.orderBy(*order).offset((number - 1) * size).limit(size)
 
 
-def search_text(name: str, brand: str) -> Column:
-    """Name and brand with a space between, nulls as empty (concat_ws would drop the space)."""
-    return F.concat(F.coalesce(F.col(name), F.lit("")), F.lit(" "), F.coalesce(F.col(brand), F.lit("")))
-
-
 def kind_of(query: str) -> str:
     """P-06: what a query's shape asks for."""
     q = query.strip()
@@ -33,8 +29,9 @@ def kind_of(query: str) -> str:
     return "contains" if len(q) < 3 else "fuzzy"
 
 
-def matches(products: DataFrame, query: str) -> DataFrame:
-    """Products (barcode, name, brand) that a query finds, with the similarity they are ordered by (null: by name)."""
+def matches(products: DataFrame, query: str, index: TrigramIndex | None = None) -> DataFrame:
+    """Products (barcode, name, brand) that a query finds, with the similarity they are ordered by (null: by name). Without an
+    index, similar ones are found by scoring all."""
     q, kind = query.strip(), kind_of(query)
     none = F.lit(None).cast("double").alias("similarity")
     if kind == "empty":
@@ -44,18 +41,20 @@ def matches(products: DataFrame, query: str) -> DataFrame:
     text = search_text("name", "brand")
     if kind == "contains":
         return products.where(contains_folded(text, q)).select("*", none)
+    if index is not None:
+        return index.matches(products, q, THRESHOLD)
     # the filter takes the text first, the order the query
-    folded, asked = F.lower(unaccent(text)), F.lower(unaccent(F.lit(q)))
-    found = products.where(word_similarity(folded, asked) >= THRESHOLD)
-    return found.select("*", word_similarity(asked, folded).alias("similarity"))
+    text, asked = folded(text), folded(F.lit(q))
+    found = products.where(word_similarity(text, asked) >= THRESHOLD)
+    return found.select("*", word_similarity(asked, text).alias("similarity"))
 
 
-def search(products: DataFrame, query: str, number: int = 1, size: int = 20) -> DataFrame:
+def search(products: DataFrame, query: str, number: int = 1, size: int = 20, index: TrigramIndex | None = None) -> DataFrame:
     """A page of found products: most similar first, or by name; the barcode breaks ties."""
     order = [F.desc("similarity"), F.asc("barcode")] if kind_of(query) == "fuzzy" else [F.asc_nulls_last("name"), F.asc("barcode")]
-    return page(matches(products, query), order, number, size)
+    return page(matches(products, query, index), order, number, size)
 
 
-def total(products: DataFrame, query: str) -> DataFrame:
+def total(products: DataFrame, query: str, index: TrigramIndex | None = None) -> DataFrame:
     """A-01: how many products a query finds, a second action over the same filter."""
-    return matches(products, query).agg(F.count(F.lit(1)).alias("total"))
+    return matches(products, query, index).agg(F.count(F.lit(1)).alias("total"))

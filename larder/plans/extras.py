@@ -108,7 +108,7 @@ def s10(spark, d):
     from larder.streaming.operators import shared_folder
 
     words = table(spark, d, "part").select(F.explode(F.split("p_name", " ")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    folder = shared_folder(spark)
+    folder = f"{shared_folder(spark)}/words"
     words.select(F.concat_ws("\t", "word", "n")).write.text(folder)
     return P.read_vocabulary(spark, folder)
 

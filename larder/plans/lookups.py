@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from larder.functions import text as T
 from larder.operators import history, lookup
 from larder.operators import search as find
+from larder.operators.trigram_index import TrigramIndex
 from larder.plans.registry import query, table
+from larder.streaming.operators import shared_folder
 
 
 def products(spark, sf_dir):
@@ -100,19 +102,32 @@ FUZZY = f"""(select barcode, name, brand, {similarity_sql("'blue bolt'", 't')} a
     from (select *, lower(strip_accents(name || ' ' || brand)) as t from {PRODUCTS}))"""
 
 
+_indexes: dict[tuple, TrigramIndex] = {}
+
+
+def product_index(spark, d):
+    """The index of a table's products, built once an application as long as the table's files stay as they are."""
+    files = table(spark, d, "part").select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    stamp = files.agg(F.sum(F.xxhash64("file_path", "file_size", "file_modification_time").cast("decimal(38,0)"))).first()[0]
+    key = (spark.sparkContext.applicationId, d, stamp)
+    if key not in _indexes:
+        _indexes[key] = TrigramIndex.build(products(spark, d), f"{shared_folder(spark)}/trigrams")
+    return _indexes[key]
+
+
 @query("p08_fuzzy_filter", f"select barcode, name, brand, similarity from {FUZZY} where reversed >= 0.15")
 def p08(spark, d):
-    return find.matches(products(spark, d), "blue bolt")
+    return find.matches(products(spark, d), "blue bolt", product_index(spark, d))
 
 
 @query("o03_fuzzy_page", f"select barcode, name, brand, similarity from {FUZZY} where reversed >= 0.15 order by similarity desc, barcode limit 20 offset 20")
 def o03(spark, d):
-    return find.search(products(spark, d), "blue bolt", 2)
+    return find.search(products(spark, d), "blue bolt", 2, index=product_index(spark, d))
 
 
 @query("a01_total", f"select count(*) as total from {FUZZY} where reversed >= 0.15")
 def a01(spark, d):
-    return find.total(products(spark, d), "blue bolt")
+    return find.total(products(spark, d), "blue bolt", product_index(spark, d))
 
 
 @query("f38_word_similarity", f"""select barcode, {similarity_sql("'red widget'", 't')} as forward, {similarity_sql('t', "'red widget'")} as backward
@@ -153,9 +168,7 @@ def p11(spark, d):
 @query("s16_json_rows", """select '{"barcode":"' || barcode || '","name":"' || name || '","brand":' || coalesce('"' || nullif(brand, 'Brand#1') || '"', 'null') || '}' as value from """ + PRODUCTS)
 def s16(spark, d):
     """Products as files of JSON objects, read back as lines."""
-    from larder.streaming.operators import shared_folder
-
-    folder = shared_folder(spark)
+    folder = f"{shared_folder(spark)}/products"
     lookup.write_json(products(spark, d).withColumn("brand", F.nullif("brand", F.lit("Brand#1"))), folder)
     return spark.read.text(folder)
 

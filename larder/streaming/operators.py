@@ -22,13 +22,18 @@ def read_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new place in spark.checkpoint.dir, which all executors share; a temporary one only where it is unset and all is local."""
+    """A new folder in spark.checkpoint.dir, which all executors share; a temporary one only where it is unset and all is local. It goes
+    when the application ends."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.gettempdir()
-    return f"{base.rstrip('/')}/larder-stream-{uuid.uuid4().hex}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/larder-{uuid.uuid4().hex}")
+    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(folder)
+    store.deleteOnExit(folder)
+    return folder.toString()
 
 
 def first_of_key(events: DataFrame, keys: list[str], at: str, delay: str) -> DataFrame:
