@@ -6,7 +6,8 @@ frame is ancillary data that players skip and readers of this module take as pay
 CRC-16 of its header and side information, and the first frame a CRC-32 of all audio bytes.
 
 ``read`` takes any bytes: it skips ID3v2, APE and ID3v1 tags, resynchronises on frame headers (a header counts if
-the next frame follows where its length says, or the stream or its closing tags begin there), parses the
+the next frame follows where its length says, or the stream or its closing tags begin there; closing tags don't count
+where frames go on and the declared length or the table wants more of them), parses the
 variable-bitrate table (Xing, Info or VBRI) and compares its seek points with the frames found, checks the checksums
 of all three layers, and gives exact durations (samples over sample rate, not rounded) and the offset of every frame.
 
@@ -261,13 +262,23 @@ def read(data: bytes) -> Parsed:
     out = Parsed()
     at, parts, audio = _tags_at_front(data, out), [], 0
     ends = _ends(data)
+    alike = lambda a, b: (a.version, a.layer, a.rate) == (b.version, b.layer, b.rate)
     stops = sorted(e for e in ends if e >= at)
     locked: Header | None = None
     table: Table | None = None
-    begin = at
-    while at + 4 <= len(data) and at not in ends:
+    begin, held = at, 0
+
+    def closed(at: int) -> bool:
+        """Whether the audio ends here. What looks like closing tags doesn't count while frames go on and the declared length or the table's
+        frames say that more is to come: a payload may hold any bytes."""
+        if at not in ends or at == len(data):
+            return at in ends
+        whole = (out.declared is None or held >= out.declared) and (table is None or table.frames in (None, out.frames))
+        h = header(data[at : at + 4])
+        return whole or h is None or locked is None or not alike(h, locked) or at + h.length > len(data)
+
+    while at + 4 <= len(data) and not closed(at):
         h = header(data[at : at + 4])
-        alike = lambda a, b: (a.version, a.layer, a.rate) == (b.version, b.layer, b.rate)
         good = h is not None and (after := at + h.length) <= len(data) and (locked is None or alike(h, locked))
         if good and after not in ends and (locked is None or after + 4 <= len(data)):
             follow = header(data[after : after + 4])
@@ -295,9 +306,10 @@ def read(data: bytes) -> Parsed:
             out.low, out.high = min(out.low or h.bitrate, h.bitrate), max(out.high, h.bitrate)
             audio = zlib.crc32(frame, audio)
             parts.append(body)
+            held += len(body)
         locked = h
         at = after
-    if at in ends:
+    if closed(at):
         out.tags += ends[at]
     else:
         out.skipped += max(0, len(data) - at)

@@ -106,6 +106,35 @@ def test_media_tail_tags_and_layers():
         assert media.read(bytes(hurt) * 3).failed == 0
 
 
+def test_media_payloads_that_look_like_closing_tags():
+    ape = lambda size, flags=0: b"APETAGEX" + (1000 if flags else 7).to_bytes(4, "little") + size.to_bytes(4, "little") + (1).to_bytes(4, "little") + flags.to_bytes(4, "little") + bytes(8)
+    text = b"a" * 4448 + ape(3132)
+    assert text.decode() and len(text) == 4480 and media.read(media.store(media.padded(text))).payload == text
+    lost = 0
+    for n in [*range(64, 6000, 64), *(k * media.ROOM[14] // 64 * 64 for k in range(1, 9))]:
+        stored = media.store(bytes(n))
+        offsets = media.read(stored).offsets
+        for at in offsets:  # a tag whose length leads to any frame
+            for tail, flags in ((b"", 0), (b"", 1 << 31), (b"TAG" + bytes(125), 0)):
+                tag = ape(len(stored) - len(tail) - at - (32 if flags else 0) if len(stored) > at + 32 + len(tail) else 0, flags) + tail
+                if len(tag) <= n:
+                    payload = bytes(n - len(tag)) + tag
+                    found = media.read(media.store(payload))
+                    assert found.payload == payload and found.table_ok and found.audio_ok and not found.skipped
+                    lost += 1
+        payload = bytes(max(0, n - 128)) + b"TAG" + bytes(min(n, 128) - 3)
+        assert media.read(media.store(payload)).payload == payload
+    assert lost > 500
+    # real ones still count, behind whole streams, streams without a table, and ones that lost frames
+    stored = media.store(bytes(9000))
+    found = media.read(stored + bytes(40) + ape(72))
+    assert found.tags[-1] == "ape" and found.payload == bytes(9000) and not found.skipped
+    frames = b"".join(media._frame(9, b"x") for _ in range(5))
+    assert media.read(frames + bytes(40) + ape(72)).tags == ["ape"]
+    at = media.read(stored).offsets[2]
+    assert media.read(stored[:at] + bytes(40) + ape(72)).tags[-1] == "ape"
+
+
 def test_media_vbri_table():
     frames = [media._frame(i, bytes([i])) for i in (3, 5, 9, 3, 14, 2, 7, 7)]
     audio = b"".join(frames)
