@@ -177,6 +177,27 @@ def blocks(docs: DataFrame, keys: Sequence[str], text: str, split: Split, bucket
     return docs.select(*[F.col(k).cast("long") for k in keys], F.col(text)).mapInArrow(releasing(run), "block long, bucket int, ids array<long>, lens binary, lids binary, body binary")
 
 
+class Grown:
+    """Numbers one after another in an array whose room doubles, so that adding some costs in proportion to them."""
+
+    def __init__(self, kind, *first) -> None:
+        self.room, self.size = np.empty(1024, kind), 0
+        self.extend(np.array(first, kind))
+
+    def extend(self, more: np.ndarray) -> None:
+        end = self.size + len(more)
+        if end > len(self.room):
+            room = np.empty(max(end, 2 * len(self.room)), self.room.dtype)
+            room[: self.size] = self.all
+            self.room = room
+        self.room[self.size : end] = more
+        self.size = end
+
+    @property
+    def all(self) -> np.ndarray:
+        return self.room[: self.size]
+
+
 def once_a_word(words: DataFrame, work: Callable[[], Work], kind: str) -> DataFrame:
     """(block, lens, lids, body): values in the words' place. ``work()`` gives the function that gets each distinct
     word exactly once; values are numbers of numpy's type ``kind``."""
@@ -184,21 +205,22 @@ def once_a_word(words: DataFrame, work: Callable[[], Work], kind: str) -> DataFr
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         do, bucket = work(), None
         known: dict[bytes, int] = {}
-        lens, flat = np.empty(0, np.int64), np.empty(0, kind)
+        offsets, flat = Grown(np.int64, 0), Grown(kind)
         for batch in batches:
             for block, b, n, lids, body in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 if b != bucket:
-                    bucket, known, lens, flat = b, {}, np.empty(0, np.int64), np.empty(0, kind)
+                    bucket, known, offsets, flat = b, {}, Grown(np.int64, 0), Grown(kind)
                 raw, ends = unsqueeze(body), np.cumsum(unpack(n)).tolist()
                 ws = [raw[x:y] for x, y in zip([0, *ends], ends)]
                 fresh = [w for w in ws if w not in known]
                 if fresh:
                     more, values = do([w.decode("utf-8", "surrogatepass") for w in fresh])
-                    known |= zip(fresh, range(len(known), len(known) + len(fresh)))
-                    lens, flat = np.concatenate([lens, more]), np.concatenate([flat, values.astype(kind)])
+                    known.update(zip(fresh, range(len(known), len(known) + len(fresh))))
+                    offsets.extend(offsets.all[-1] + np.cumsum(more))
+                    flat.extend(values)
                 at = np.fromiter((known[w] for w in ws), np.int64, len(ws))
-                offsets = np.concatenate([[0], np.cumsum(lens)])
-                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([pack(lens[at])], pa.binary()), pa.array([lids], pa.binary()), pa.array([squeeze(gather(flat, offsets, at).tobytes())], pa.binary())], ["block", "lens", "lids", "body"])
+                begin = offsets.all
+                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([pack(begin[at + 1] - begin[at])], pa.binary()), pa.array([lids], pa.binary()), pa.array([squeeze(gather(flat.all, begin, at).tobytes())], pa.binary())], ["block", "lens", "lids", "body"])
     return words.select("block", "bucket", "lens", "lids", "body").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(releasing(run), "block long, lens binary, lids binary, body binary")
 
 

@@ -287,6 +287,39 @@ def test_packed_numbers():
     assert (wordtable.unpack(wordtable.pack(x)) == x).all() and not len(wordtable.unpack(wordtable.pack(x[:0])))
 
 
+def test_a_bucket_costs_in_proportion_to_its_rows(spark):
+    """Numbers that a bucket has gathered aren't copied for every row that brings more."""
+    import numpy as np
+
+    copied = 0
+    grown, flat = wordtable.Grown(np.int64, 0), []
+    for i in range(10_000):
+        before = grown.room
+        more = np.arange(i % 7)
+        grown.extend(more)
+        flat += more.tolist()
+        copied += 0 if grown.room is before else len(before)
+    assert grown.all.tolist() == [0, *flat] and copied < 2 * len(flat)
+
+    class Split(wordtable.Splitter):
+        def spread(self, word):
+            return 1  # all words in one bucket
+
+    def work():
+        return lambda words: (np.array([len(w) % 3 for w in words]), np.array([int(w) for w in words for _ in range(len(w) % 3)]))
+
+    def assemble(values, offsets, packs):
+        import pyarrow as pa
+
+        out = [(ids[0][i], values[offsets[c] : offsets[c + 1]].tolist()) for ids, counts, codes in packs for i, c in enumerate(codes)]
+        return pa.table({"doc_id": pa.array([x for x, _ in out]), "v": pa.array([v for _, v in out], pa.list_(pa.int32()))})
+
+    # a word a text, a block a text: every block brings new words
+    docs = spark.range(0, 3000, 1, 2).select(F.col("id").alias("doc_id"), (F.col("id") * 37 % 2000).cast("string").alias("text"))
+    got = dict(rows(wordtable.apply(docs, ["doc_id"], "text", Split, work, "int32", "doc_id long, v array<int>", assemble, block_bytes=1)))
+    assert got == {i: [i * 37 % 2000] * (len(str(i * 37 % 2000)) % 3) for i in range(3000)}
+
+
 # 5
 
 
