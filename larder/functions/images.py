@@ -7,6 +7,7 @@ Cubic samples are taken in floating point, so that a value may differ by one fro
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
@@ -73,11 +74,22 @@ def grayscale(image: Image) -> Image:
     return image if image.ndim == 2 else _byte(image @ np.array([0.114, 0.587, 0.299]))
 
 
+def by_channel(step: Callable[..., Image]) -> Callable[..., Image]:
+    """A step on one channel as one on each of several."""
+
+    @functools.wraps(step)
+    def run(image: Image, *args, **more) -> Image:
+        return step(image, *args, **more) if image.ndim == 2 else np.stack([step(image[..., c], *args, **more) for c in range(image.shape[2])], axis=2)
+
+    return run
+
+
 def _windows(image: Image, rows: int, columns: int, mode: str = "edge") -> np.ndarray:
     padded = np.pad(image, ((rows // 2, (rows - 1) // 2), (columns // 2, (columns - 1) // 2)), mode=mode)
     return np.lib.stride_tricks.sliding_window_view(padded, (rows, columns))
 
 
+@by_channel
 def median_blur(image: Image, kernel_size: int = 3) -> Image:
     n = odd(kernel_size)
     return np.median(_windows(image, n, n), axis=(2, 3)).astype(np.uint8)
@@ -97,19 +109,23 @@ def _gaussian(image: Image, size: int, mode: str = "reflect") -> np.ndarray:
     return _windows(_windows(image.astype(float), size, 1, mode)[:, :, :, 0] @ k, 1, size, mode)[:, :, 0] @ k
 
 
+@by_channel
 def gaussian_blur(image: Image, kernel_size: int = 3) -> Image:
     return _byte(_gaussian(image, odd(kernel_size)))
 
 
 def bilateral_filter(image: Image, diameter: int = 7, sigma_color: float = 50.0, sigma_space: float = 50.0) -> Image:
-    """Over a round window, borders mirrored."""
+    """Over a round window, borders mirrored; colours are as far apart as their channels together."""
     radius = max(1, diameter // 2)
-    w = _windows(image.astype(float), 2 * radius + 1, 2 * radius + 1, "reflect")
+    channels = [image[..., c].astype(float) for c in range(image.shape[2])] if image.ndim == 3 else [image.astype(float)]
+    windows = [_windows(c, 2 * radius + 1, 2 * radius + 1, "reflect") for c in channels]
     at = np.arange(-radius, radius + 1)
     square = at[:, None] ** 2 + at[None] ** 2
     near = np.where(square <= radius * radius, np.exp(-square / (2 * sigma_space * sigma_space)), 0.0)
-    weight = near * np.exp(-((w - image[:, :, None, None].astype(float)) ** 2) / (2 * sigma_color * sigma_color))
-    return _byte((w * weight).sum(axis=(2, 3)) / weight.sum(axis=(2, 3)))
+    apart = sum(np.abs(w - c[:, :, None, None]) for w, c in zip(windows, channels))
+    weight = near * np.exp(-(apart**2) / (2 * sigma_color * sigma_color))
+    out = [_byte((w * weight).sum(axis=(2, 3)) / weight.sum(axis=(2, 3))) for w in windows]
+    return np.stack(out, axis=2) if image.ndim == 3 else out[0]
 
 
 def clahe(image: Image, clip_limit: float = 2.0, tile_grid_size: tuple[int, int] = (8, 8)) -> Image:
@@ -176,12 +192,14 @@ def _morph(image: Image, rows: int, columns: int, pick: Callable) -> Image:
     return pick(_windows(pick(_windows(image, rows, 1), axis=(2, 3)), 1, columns), axis=(2, 3))
 
 
+@by_channel
 def morph_erode(image: Image, kernel_size: int = 2, iterations: int = 1) -> Image:
     for _ in range(max(1, iterations)):
         image = _morph(image, max(1, kernel_size), max(1, kernel_size), np.min)
     return image
 
 
+@by_channel
 def morph_dilate(image: Image, kernel_size: int = 2, iterations: int = 1) -> Image:
     for _ in range(max(1, iterations)):
         image = _morph(image, max(1, kernel_size), max(1, kernel_size), np.max)
@@ -434,8 +452,8 @@ def encode_png(image: Image) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2 * (image.ndim == 3), 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows, 9)) + chunk(b"IEND", b"")
 
 
-def keyed(images: DataFrame, key: str) -> DataFrame:
-    """(key, sha256, cells) of pictures: the cache key of each picture's PNG and how many cells it shows."""
+def keyed(images: DataFrame, key: str, steps: str = "") -> DataFrame:
+    """(key, sha256, cells) of pictures after some steps: the cache key of each picture's PNG and how many cells it shows."""
     import hashlib
 
     kind = images.schema[key].dataType.simpleString()
@@ -445,8 +463,27 @@ def keyed(images: DataFrame, key: str) -> DataFrame:
             shas, cells = [], []
             for h, w, pixels in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
                 image = picture(h, w, pixels)
+                image = apply_steps(image, steps) if image is not None else None
                 shas.append(hashlib.sha256(encode_png(image)).hexdigest() if image is not None else None)
                 cells.append(len(detect_cells(image)) if image is not None else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shas, pa.string()), pa.array(cells, pa.int32())], ["key", "sha256", "cells"])
 
     return images.select(F.col(key).alias("key"), "height", "width", "pixels").mapInArrow(run, f"key {kind}, sha256 string, cells int")
+
+
+def cells(images: DataFrame, key: str, steps: str = "") -> DataFrame:
+    """I-22: (key, cell, x, y, w, h): the cells of pictures after some steps, in reading order."""
+    kind = images.schema[key].dataType.simpleString()
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, rows = [], []
+            for k, h, w, pixels in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                image = picture(h, w, pixels)
+                found = detect_cells(apply_steps(image, steps)) if image is not None else []
+                keys += [k] * len(found)
+                rows += [(n, *box) for n, box in enumerate(found)]
+            columns = list(zip(*rows)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(keys, batch.column(0).type), *(pa.array(c, pa.int32()) for c in columns)], ["key", "cell", "x", "y", "w", "h"])
+
+    return images.select(F.col(key).alias("key"), "height", "width", "pixels").mapInArrow(run, f"key {kind}, cell int, x int, y int, w int, h int")

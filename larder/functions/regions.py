@@ -1,10 +1,11 @@
-"""I-24: where a label's table or text lies in a picture, without a trained detector: grid lines, or blobs of text."""
+"""I-24: where a label's table or text lies in a picture, without a trained detector: grid lines, else the largest convex outline of four
+corners; or blobs of text."""
 
 from __future__ import annotations
 
 import numpy as np
 
-from larder.functions.images import Image, Regions, _morph, _outer, adaptive_threshold, bilateral_filter, grayscale, invert, otsu_threshold
+from larder.functions.images import Image, Regions, _morph, _outer, _windows, adaptive_threshold, bilateral_filter, clahe, grayscale, invert, otsu_threshold
 
 #: Corners of a region: left, top, right, bottom; right and bottom stand outside.
 Box = tuple[int, int, int, int]
@@ -13,8 +14,11 @@ Box = tuple[int, int, int, int]
 #: lines in it, how the two are weighed. Text: diameter and both sigmas of the filter, greatest share of the width, least sides.
 GRID_PIXELS, GRID_BLOCK, GRID_LESS, GRID_SHARE, GRID_LINES, GRID_WEIGHT, GRID_FULL = 10_000, 31, 12, (0.06, 0.75), 0.05, 1.2, 0.2
 TEXT_FILTER, TEXT_WIDTH, TEXT_SIDE = (11, 75.0, 75.0), 0.65, 50
+#: Fixed values. A quadrilateral: thresholds of its edges, how far corners may be off its outline as a share of the perimeter, least and
+#: greatest share of the picture.
+EDGE_LOW, EDGE_HIGH, CORNERS, QUAD_SHARE = 50, 150, 0.02, (0.08, 0.85)
 #: What is added around a region, as a share of the picture's sides.
-GRID_PADDING, TEXT_PADDING = 0.04, 0.03
+GRID_PADDING, TEXT_PADDING, QUAD_PADDING = 0.04, 0.03, 0.02
 
 
 def outlines(ink: np.ndarray) -> list[Box]:
@@ -46,6 +50,127 @@ def grid_region(image: Image) -> Box | None:
     return best[1]
 
 
+def edges(image: Image, low: int = EDGE_LOW, high: int = EDGE_HIGH) -> np.ndarray:
+    """Thin edges: pixels whose gradient (three by three, as a sum of absolute values) is the largest across the edge and over ``low``, in
+    touching groups with one over ``high`` at least."""
+    w = _windows(grayscale(image).astype(np.int32), 3, 3)
+    gx = (w[..., 2] - w[..., 0]) @ np.array([1, 2, 1])
+    gy = (w[..., 2, :] - w[..., 0, :]) @ np.array([1, 2, 1])
+    size, ax, ay = np.abs(gx) + np.abs(gy), np.abs(gx), np.abs(gy)
+    around = np.pad(size, 1)
+    at = lambda dy, dx: around[1 + dy : 1 + dy + size.shape[0], 1 + dx : 1 + dx + size.shape[1]]
+    flat, steep = ay < ax * np.tan(np.pi / 8), ay > ax * np.tan(3 * np.pi / 8)
+    falling = (gx ^ gy) >= 0
+    across = np.select([flat, steep, falling], [(size > at(0, -1)) & (size >= at(0, 1)), (size > at(-1, 0)) & (size >= at(1, 0)), (size > at(-1, -1)) & (size > at(1, 1))], (size > at(-1, 1)) & (size > at(1, -1)))
+    weak = across & (size > low)
+    groups = Regions.of(weak)
+    return weak & np.isin(groups.label, np.unique(groups.label[weak & (size > high)]))
+
+
+#: Steps (down, right) around a pixel, clockwise from the right.
+AROUND = ((0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1))
+
+
+def borders(ink: np.ndarray) -> list[tuple[np.ndarray, bool]]:
+    """(points x, y along a border, whether it is a hole's) of all touching regions of ink, by border following: pixels are marked with the
+    number of the border that passed them, negative where what is right of them is empty, so that each border is followed once."""
+    f = np.pad(ink.astype(np.int32), 1)
+    out, number = [], 1
+    for i, j in np.argwhere((f != 0) & ((np.roll(f, 1, axis=1) == 0) | (np.roll(f, -1, axis=1) == 0))).tolist():
+        if f[i, j] == 1 and f[i, j - 1] == 0:
+            hole, start = False, 4
+        elif f[i, j] >= 1 and f[i, j + 1] == 0:
+            hole, start = True, 0
+        else:
+            continue
+        number += 1
+        first = next((k % 8 for k in range(start, start + 8) if f[i + AROUND[k % 8][0], j + AROUND[k % 8][1]]), None)
+        if first is None:
+            f[i, j] = -number
+            out.append((np.array([[j - 1, i - 1]]), hole))
+            continue
+        y, x, back, points = i, j, first, []
+        while True:
+            right_empty = False
+            for k in range(back - 1, back - 9, -1):  # against the clock, from behind where the last pixel lies
+                dy, dx = AROUND[k % 8]
+                if f[y + dy, x + dx]:
+                    break
+                right_empty |= k % 8 == 0
+            if right_empty:
+                f[y, x] = -number
+            elif f[y, x] == 1:
+                f[y, x] = number
+            points.append((x - 1, y - 1))
+            ended = (y, x) == (i + AROUND[first][0], j + AROUND[first][1]) and (y + dy, x + dx) == (i, j)
+            y, x, back = y + dy, x + dx, (k + 4) % 8
+            if ended:
+                break
+        out.append((np.array(points), hole))
+    return out
+
+
+def corners(points: np.ndarray, most: float) -> np.ndarray:
+    """A closed outline with fewer points, none of the others further than ``most`` from it: it is cut at two points far apart, and each part
+    at the point furthest from its chord, as long as that is too far."""
+
+    def far(a: np.ndarray, b: np.ndarray, ps: np.ndarray) -> np.ndarray:
+        d = (b - a).astype(float)
+        length = np.hypot(*d)
+        return np.abs(d[0] * (ps[:, 1] - a[1]) - d[1] * (ps[:, 0] - a[0])) / length if length else np.hypot(*(ps - a).T)
+
+    n, one = len(points), 0
+    for _ in range(3):
+        one, other = int(np.argmax(np.hypot(*(points - points[one]).T))), one
+    kept, parts = {one, other}, [(min(one, other), max(one, other)), (max(one, other), min(one, other) + n)]
+    while parts:
+        a, b = parts.pop()
+        if b - a < 2:
+            continue
+        off = far(points[a % n], points[b % n], points[np.arange(a + 1, b) % n])
+        k = int(np.argmax(off))
+        if off[k] > most:
+            kept.add((a + 1 + k) % n)
+            parts += [(a, a + 1 + k), (a + 1 + k, b)]
+    left = [points[k] for k in sorted(kept)]
+    k = 0
+    while len(left) > 2 and k < len(left):  # a cut that turned out to lie on a side
+        if far(left[k - 1], left[(k + 1) % len(left)], left[k][None])[0] <= most:
+            left.pop(k)
+        else:
+            k += 1
+    return np.array(left)
+
+
+def convex(points: np.ndarray) -> bool:
+    a = np.roll(points, -1, axis=0) - points
+    b = np.roll(a, -1, axis=0)
+    turn = a[:, 0] * b[:, 1] - a[:, 1] * b[:, 0]
+    return bool((turn >= 0).all() or (turn <= 0).all())
+
+
+def quadrilateral_region(image: Image) -> Box | None:
+    """The box of the largest outline that four corners describe and that is convex: a label or a panel, also one that lies aslant."""
+    gray = grayscale(image)
+    h, w = gray.shape
+    found = _morph(edges(clahe(gray, 2.0, (8, 8))).astype(np.uint8), 3, 3, np.max)
+    best: tuple[float, Box | None] = (-1.0, None)
+    for points, _ in borders(found):
+        (x1, y1), (x2, y2) = points.min(axis=0).tolist(), (points.max(axis=0) + 1).tolist()
+        share = (x2 - x1) * (y2 - y1) / (h * w)
+        if len(points) < 4 or not QUAD_SHARE[0] * 0.8 <= share <= QUAD_SHARE[1] * 1.25:
+            continue  # corners are points of the outline, so their box can't be much different
+        around = float(np.hypot(*(np.roll(points, -1, axis=0) - points).T).sum())
+        four = corners(points, CORNERS * around)
+        if len(four) != 4 or not convex(four):
+            continue
+        (x1, y1), (x2, y2) = four.min(axis=0).tolist(), (four.max(axis=0) + 1).tolist()
+        share = (x2 - x1) * (y2 - y1) / (h * w)
+        if QUAD_SHARE[0] <= share <= QUAD_SHARE[1] and share > best[0]:
+            best = (share, (x1, y1, x2, y2))
+    return best[1]
+
+
 def text_region(image: Image) -> Box | None:
     """The blob of dark text, smeared downwards, that is large and above all tall."""
     gray = grayscale(image)
@@ -68,20 +193,34 @@ def padded(box: Box, height: int, width: int, share: float) -> Box:
     return (x1, y1, x2, y2) if x2 > x1 and y2 > y1 else (0, 0, width, height)
 
 
-def region_of(image: Image, category: str | None, detected: Box | None = None) -> Box:
-    """The region of a picture: around what an outside detector found, if it found something, else around its text (for texts and
-    ingredients) or its grid; the whole picture if there is none."""
+def _narrowed(image: Image, box: Box) -> Box:
+    """The grid in a box, with room around it, or the box."""
+    x1, y1, x2, y2 = box
+    part = image[y1:y2, x1:x2]
+    inner = grid_region(part) if part.size else None
+    if inner is None:
+        return box
+    a = padded(inner, y2 - y1, x2 - x1, GRID_PADDING)
+    return a[0] + x1, a[1] + y1, a[2] + x1, a[3] + y1
+
+
+def region_found(image: Image, category: str | None, detected: Box | None = None) -> tuple[str, Box]:
+    """What shows where a picture's table or text is, and its region: around what an outside detector found (detected), if it found something;
+    else around its text (text), for texts and ingredients, or its grid (grid) or an outline of four corners (quadrilateral); the
+    whole picture if there is none (none)."""
     h, w = image.shape[:2]
     is_text = category in ("text", "ingredient")
-    if detected is not None and is_text:
-        return padded(detected, h, w, TEXT_PADDING)
     if detected is not None:
-        x1, y1, x2, y2 = detected
-        part = image[y1:y2, x1:x2]
-        inner = grid_region(part) if part.size else None
-        if inner is None:
-            return detected
-        a = padded(inner, y2 - y1, x2 - x1, GRID_PADDING)
-        return a[0] + x1, a[1] + y1, a[2] + x1, a[3] + y1
-    found = text_region(image) if is_text else grid_region(image)
-    return padded(found, h, w, TEXT_PADDING if is_text else GRID_PADDING) if found else (0, 0, w, h)
+        return "detected", padded(detected, h, w, TEXT_PADDING) if is_text else _narrowed(image, detected)
+    if is_text:
+        found = text_region(image)
+        return ("text", padded(found, h, w, TEXT_PADDING)) if found else ("none", (0, 0, w, h))
+    if found := grid_region(image):
+        return "grid", padded(found, h, w, GRID_PADDING)
+    if found := quadrilateral_region(image):
+        return "quadrilateral", _narrowed(image, padded(found, h, w, QUAD_PADDING))
+    return "none", (0, 0, w, h)
+
+
+def region_of(image: Image, category: str | None, detected: Box | None = None) -> Box:
+    return region_found(image, category, detected)[1]

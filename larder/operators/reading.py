@@ -98,18 +98,19 @@ def best_detection(found: DataFrame, key: str, targets: tuple[str, ...], least:
 
 
 def regions_of(pictures: DataFrame, key: str, category: str) -> DataFrame:
-    """I-24: (key, x1, y1, x2, y2): the region of each picture (key, height, width, pixels) of a category; nulls if it can't be read."""
+    """I-24: (key, found, x1, y1, x2, y2): the region of each picture (key, height, width, pixels) of a category, and what shows it; nulls if it
+    can't be read."""
     kind = pictures.schema[key].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            boxes = []
+            found = []
             for h, w, pixels, hint in zip(*(batch.column(i).to_pylist() for i in range(1, 5))):
                 image = images.picture(h, w, pixels)
-                boxes.append(regions.region_of(image, hint) if image is not None else (None,) * 4)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([b[i] for b in boxes], pa.int32()) for i in range(4))], ["key", "x1", "y1", "x2", "y2"])
+                found.append(regions.region_found(image, hint) if image is not None else (None, (None,) * 4))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f for f, _ in found], pa.string()), *(pa.array([b[i] for _, b in found], pa.int32()) for i in range(4))], ["key", "found", "x1", "y1", "x2", "y2"])
 
-    return pictures.select(F.col(key).alias("key"), "height", "width", "pixels", F.col(category)).mapInArrow(run, f"key {kind}, x1 int, y1 int, x2 int, y2 int")
+    return pictures.select(F.col(key).alias("key"), "height", "width", "pixels", F.col(category)).mapInArrow(run, f"key {kind}, found string, x1 int, y1 int, x2 int, y2 int")
 
 
 def cells_of(pictures: DataFrame, key: str, steps: str, header: float = 0.0) -> DataFrame:

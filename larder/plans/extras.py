@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from larder.functions import images
@@ -30,12 +32,56 @@ def t01(spark, d):
     return history.purge(table(spark, d, "events"), "ts", "2024-01-20").groupBy(F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("kept"))
 
 
+#: What a picture shows, by key: a ruled table in white space, on the whole picture, on dark ground, in colour, of many rows; a panel aslant; text, straight or
+#: aslant; nothing.
+SHOWN = ("framed", "table", "dark", "colour", "tall", "panel", "text", "aslant", "blank", "table", "tall", "dark")
+#: Sizes of a supplier's picture, from its lines: columns and rows of a table, sides of its cells, white space, sides of the picture.
+SIZES = (
+    ("cols", "3 + lines % 3"),
+    ("lanes", "case when shown = 'tall' then 15 else 5 + quantity % 3 end"),
+    ("cw", "case cols when 3 then 70 when 4 then 52 else 42 end"),
+    ("ch", "42"),
+    ("margin", "case when shown in ('framed', 'colour') then 36 else 0 end"),
+    ("width", "case when shown in ('panel', 'text', 'aslant', 'blank') then 240 else cols * cw + 2 + 2 * margin end"),
+    ("height", "case when shown in ('panel', 'text', 'aslant', 'blank') then 180 else lanes * ch + 2 + 2 * margin end"),
+)
+#: The ink at a place (x, y) of a picture; ~ stands for whole division.
+INK = """case when shown in ('panel') then
+      x + y ~ 5 >= 60 and x + y ~ 5 < 200 and y - x ~ 5 >= 10 and y - x ~ 5 < 110 and not (x + y ~ 5 >= 62 and x + y ~ 5 < 198 and y - x ~ 5 >= 12 and y - x ~ 5 < 108)
+    when shown = 'text' then x >= 30 and x < 130 and y >= 40 and y < 148 and y % 18 < 8 and x % 12 < 9
+    when shown = 'aslant' then x - y ~ 12 >= 50 and x - y ~ 12 < 170 and y + x ~ 12 >= 30 and y + x ~ 12 < 138 and (y + x ~ 12) % 18 < 8 and (x - y ~ 12) % 14 < 9
+    when shown = 'blank' then false
+    else x >= margin and y >= margin and x < margin + cols * cw + 2 and y < margin + lanes * ch + 2
+      and ((x - margin) % cw < 2 or (y - margin) % ch < 2 or ((x - margin) % cw >= 10 and (x - margin) % cw < 15 and (y - margin) % ch >= 12 and (y - margin) % ch < 12 + 4 + lines % 2)) end"""
+#: A picture's bytes: one a place, or blue, green and red.
+PIXEL = f"case when shown = 'dark' then case when {INK} then 225 else 30 end when {INK} then case when shown = 'colour' then case c when 0 then 30 when 1 then 20 else 90 end else 25 end else case when shown = 'colour' then 250 - 20 * c else 235 end end"
+
+
+def sizes(spark, d):
+    """What each supplier's picture shows, and its sizes, from the lines of its parts."""
+    lines = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("p_partkey")).agg(F.count(F.lit(1)).alias("lines"), F.sum(F.col("l_quantity").cast("long")).alias("quantity"))
+    shown = lines.withColumn("shown", F.element_at(F.array(*map(F.lit, SHOWN)), (F.col("p_partkey") % len(SHOWN) + 1).cast("int")))
+    for name, size in SIZES:
+        shown = shown.withColumn(name, F.expr(size).cast("int"))
+    return shown
+
+
+DUCK_SIZES = f"""(select p_partkey, lines, quantity, shown, cols, lanes, cw, ch, margin, {SIZES[5][1]} as width, {SIZES[6][1]} as height from
+    (select *, {SIZES[1][1]} as lanes, {SIZES[2][1]} as cw, {SIZES[3][1]} as ch, {SIZES[4][1]} as margin from (select *, {SIZES[0][1]} as cols, [{", ".join(map(repr, SHOWN))}][p_partkey % {len(SHOWN)} + 1] as shown from
+    (select l_suppkey as p_partkey, count(*) as lines, cast(sum(trunc(l_quantity)) as bigint) as quantity from lineitem group by 1))))"""
+
+
 def pictures(spark, d):
-    """A grey picture for each supplier: stripes and blocks of different darkness."""
-    part = table(spark, d, "supplier").selectExpr("s_suppkey as p_partkey", "s_suppkey % 50 as p_size")
-    pixel = "cast(case when (i div 64) % (5 + p_size % 7) = 0 then 20 when (i % 64) % (9 + p_size % 5) < 2 then 90 else 200 + (i * p_size) % 40 end as int)"
-    hexes = F.array_join(F.expr(f"transform(sequence(0, 64 * 48 - 1), i -> lpad(hex({pixel}), 2, '0'))"), "")
-    return part.select("p_partkey", F.lit(48).alias("height"), F.lit(64).alias("width"), F.unhex(hexes).alias("pixels"))
+    """A picture for each supplier (key, height, width, pixels); what it shows is told by the rest."""
+    at = PIXEL.replace("~", "div")
+    of = f"transform(array(named_struct('x', (i div channels) % width, 'y', (i div channels) div width, 'c', i % channels)), p -> {re.sub(r'(?<![a-z_.])([xyc])(?![a-z_])', r'p.\1', at)})[0]"
+    made = sizes(spark, d).withColumn("channels", F.expr("if(shown = 'colour', 3, 1)"))
+    hexes = F.array_join(F.expr(f"transform(sequence(0, height * width * channels - 1), i -> substr(hex(256 + {of}), 2))"), "")
+    return made.withColumn("pixels", F.unhex(hexes)).drop("channels")
+
+
+#: The step that makes a picture what cells and lines are looked for in.
+BINARY = "grayscale; otsu_threshold; ensure_black_text_on_white"
 
 
 @query("i01_image_steps")
@@ -52,9 +98,12 @@ def i27(spark, d):
     return images.processed(joined, "p_partkey", "steps")
 
 
-@query("i23_grid_density")
+@query("i23_grid_density", f"""select p_partkey as key, case when shown in ('panel', 'text', 'aslant', 'blank') then 0.0
+    else (2.0 * (cols + 1) * (lanes * ch + 2) + 2.0 * (lanes + 1) * (cols * cw + 2) - 4.0 * (cols + 1) * (lanes + 1)
+      + case when margin > 0 and height // 8 % 2 = 0 then 2 * (cols + 1) else 0 end + case when margin > 0 and width // 8 % 2 = 0 then 2 * (lanes + 1) else 0 end) / (width * height) end as density from {DUCK_SIZES}""")
 def i23(spark, d):
-    return images.processed(pictures(spark, d).withColumn("steps", F.lit("")), "p_partkey", "steps").select("key", "density")
+    """The share of long lines in pictures made black and white: a table's lines, less where they cross; kernels of even sizes move lines on by one."""
+    return images.processed(pictures(spark, d).withColumn("steps", F.lit(BINARY)), "p_partkey", "steps").select("key", "density")
 
 
 @query("o12_error_precedence", """select event_id, case when event_id % 2 = 0 then 'auth_error' when event_id % 3 = 0 then 'quota_exceeded' when event_id % 5 = 0 then 'timeout' else 'generic_error' end as error,
@@ -129,7 +178,14 @@ def j06(spark, d):
     return history.delete(e, e.where("event_type = 'error'"), ["event_id"]).select("event_id")
 
 
-@query("a17_dark_share")
+def _levels(value: str) -> str:
+    """SQL for the grey value of a place: channels weighed and rounded, where there are several."""
+    at = lambda c: "(" + re.sub(r"\bc\b", str(c), value).replace("~", "//") + ")"
+    return f"case when shown = 'colour' then round_even(0.114 * {at(0)} + 0.587 * {at(1)} + 0.299 * {at(2)}, 0) else {at(0)} end"
+
+
+@query("a17_dark_share", f"""select key, avg(case when {_levels(PIXEL)} < 128 then 1.0 else 0.0 end) as dark from
+    (select p_partkey as key, *, i % width as x, i // width as y from (select *, unnest(range(0, width * height)) as i from {DUCK_SIZES})) group by key""")
 def a17(spark, d):
     return images.processed(pictures(spark, d).withColumn("steps", F.lit("")), "p_partkey", "steps").select("key", "dark")
 
@@ -157,7 +213,14 @@ def r02(spark, d):
 
 @query("i22_cells_and_cache_keys")
 def i22(spark, d):
-    return images.keyed(pictures(spark, d), "p_partkey")
+    return images.keyed(pictures(spark, d), "p_partkey", BINARY)
+
+
+@query("i22_cell_boxes", f"""select p_partkey as key, cast(j * cols + i as integer) as cell, cast(i * cw + 3 as integer) as x, cast(j * ch + 3 as integer) as y, cast(cw - 4 as integer) as w, cast(ch - 4 as integer) as h
+    from (select *, unnest(range(0, cols)) as i from (select *, unnest(range(0, lanes)) as j from {DUCK_SIZES} where shown in ('table', 'dark', 'tall')))""")
+def i22_boxes(spark, d):
+    """Cells of tables that fill their pictures, in reading order; where white space is around a table, its region holds all others."""
+    return images.cells(pictures(spark, d), "p_partkey", BINARY)
 
 
 @query("s04_unreadable_images")

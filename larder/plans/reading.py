@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from larder.operators import reading as R
 from larder.plans.attempts import ANCHOR, COLUMNS, cells, responses
-from larder.plans.extras import pictures
+from larder.plans.extras import BINARY, DUCK_SIZES, pictures
 from larder.plans.registry import query, table
 
 FETCHED = """j as (select event_id, 's' || user_id as sha256, 'DOCUMENT_TEXT_DETECTION' as feature, 'pt' as hints, event_id as "at", user_id, user_id % 7 = 0 as k, user_id % 5 > 2 as ok, row_number() over (partition by user_id order by event_id) as n from events),
@@ -75,14 +75,25 @@ def i24(spark, d):
     return R.best_detection(found, "page", ("a.", "N"), 0.3)
 
 
+HINT = "case when shown in ('text', 'aslant') then 'text' else 'table' end"
+
+
 @query("i24_regions")
 def i24_regions(spark, d):
-    """The table region of every picture."""
-    return R.regions_of(pictures(spark, d).withColumn("category", F.lit("table")), "p_partkey", "category")
+    """The region of every picture, by what it shows: a text or a table."""
+    return R.regions_of(pictures(spark, d).withColumn("category", F.expr(HINT)), "p_partkey", "category")
+
+
+@query("i24_region_kinds", f"""select p_partkey as key, case when shown in ('framed', 'colour') then 'grid' when shown = 'panel' then 'quadrilateral' when shown in ('text', 'aslant') then 'text' else 'none' end as found,
+    case when shown in ('framed', 'colour') then greatest(0, margin - 2 - width * 4 // 100) else -1 end as x1, case when shown in ('framed', 'colour') then greatest(0, margin - 2 - height * 4 // 100) else -1 end as y1 from {DUCK_SIZES}""")
+def i24_kinds(spark, d):
+    """What each picture's region was found by, and where a grid's begins: its lines, two pixels of widening, and a share of the sides around."""
+    grid = lambda c: F.when(F.col("found") == "grid", F.col(c)).otherwise(-1).alias(c)
+    return i24_regions(spark, d).select("key", "found", grid("x1"), grid("y1"))
 
 
 @query("i28_cells_to_read")
 def i28_cells(spark, d):
     """What an engine is to read of every picture: header, cells and whole, by hash of their bytes."""
-    made = R.cells_of(pictures(spark, d), "p_partkey", "grayscale; otsu_threshold; ensure_black_text_on_white", 0.2)
+    made = R.cells_of(pictures(spark, d), "p_partkey", BINARY, 0.2)
     return made.withColumn("png", F.sha2("png", 256))

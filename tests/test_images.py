@@ -36,6 +36,21 @@ def test_gray_of_colours():
     assert I.resized(np.zeros((4, 4, 3), np.uint8), 2).shape == (2, 2, 3)
 
 
+def test_steps_on_colours():
+    r = np.random.default_rng(3)
+    image = r.integers(0, 256, (20, 24, 3)).astype(np.uint8)
+    for step in (I.median_blur, I.gaussian_blur, I.morph_erode, I.morph_dilate, I.morph_open, I.morph_close, I.invert):
+        assert (step(image) == np.stack([step(image[..., c]) for c in range(3)], axis=2)).all()
+    for name, step in I.STEPS.items():
+        out = step(image)
+        assert out.dtype == np.uint8 and (out.shape[:2] == (20, 24) or name.startswith("resize"))
+    # colours that differ in one channel only are kept apart in all of them
+    two = np.full((9, 9, 3), 100, np.uint8)
+    two[:, 5:, 2] = 220
+    out = I.bilateral_filter(two, 5, 20.0, 50.0)
+    assert (out[:, :, :2] == 100).all() and (out[:, :4, 2] <= 101).all() and (out[:, 6:, 2] >= 219).all()
+
+
 def test_blurs_mirror_borders():
     row = np.repeat(gray([0, 100, 0, 0, 0]), 5, axis=0)
     assert I.gaussian_blur(row, 3)[2].tolist() == [50, 50, 25, 0, 0]

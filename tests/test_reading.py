@@ -85,6 +85,108 @@ def test_regions():
     assert regions.padded((5, 5, 5, 5), 10, 10, 0.0) == (0, 0, 10, 10)
 
 
+def aslant(height, width, rise, run, box, thick=2, ground=235, ink=30):
+    """The outline of a rectangle (left, top, right, bottom in its own sides) on sides that rise by so much on so long a way."""
+    y, x = np.mgrid[0:height, 0:width]
+    u, v = x + y * rise // run, y - x * rise // run
+    a, b, c, d = box
+    inside = (u >= a) & (u < c) & (v >= b) & (v < d)
+    core = (u >= a + thick) & (u < c - thick) & (v >= b + thick) & (v < d - thick)
+    return np.where(inside & ~core, ink, ground).astype(np.uint8), np.argwhere(inside)
+
+
+def test_quadrilaterals_that_lie_aslant():
+    for rise, run, box in ((1, 5, (60, 10, 190, 100)), (1, 4, (90, 0, 240, 110)), (-1, 5, (10, 60, 150, 170)), (1, 6, (50, 20, 210, 120))):
+        image, inside = aslant(180, 260, rise, run, box)
+        (y1, x1), (y2, x2) = inside.min(axis=0), inside.max(axis=0) + 1
+        assert regions.grid_region(image) is None
+        found = regions.quadrilateral_region(image)
+        assert np.abs(np.array(found) - (x1, y1, x2, y2)).max() <= 4
+        assert regions.region_found(image, "table") == ("quadrilateral", regions.padded(found, 180, 260, 0.02))
+        assert regions.region_found(image, "text")[0] != "quadrilateral"
+    # too small, too large, of three or of many corners, not convex
+    y, x = np.mgrid[0:180, 0:260]
+    for shape in ((np.abs(x - 100) + np.abs(y - 90) < 20), (x > 3) & (x < 257) & (y > 3) & (y < 177), (y > 40) & (y < 150) & (np.abs(x - 130) < (y - 40) * 0.8), (x - 130) ** 2 + (y - 90) ** 2 < 65**2, (np.abs(x - 130) + np.abs(y - 90) < 80) & ~((x > 130) & (np.abs(y - 90) < (x - 130) * 0.9))):
+        assert regions.quadrilateral_region(np.where(shape, 40, 230).astype(np.uint8)) is None
+    assert regions.quadrilateral_region(np.full((180, 260), 200, np.uint8)) is None
+    # a ruled table in a panel that takes the eye: the region is narrowed to the table
+    image = np.full((400, 500), 150, np.uint8)
+    image[60:340, 60:440] = 235
+    image[140:260, 140:340] = np.where(grid_picture(120, 200) == 230, 235, 30)
+    assert regions._narrowed(image, (52, 52, 448, 348)) == regions.region_of(image, "table", (52, 52, 448, 348))
+
+
+def test_edges_are_thin():
+    image = np.full((40, 60), 50, np.uint8)
+    image[:, 30:] = 200
+    found = np.argwhere(regions.edges(image))
+    assert found.tolist() == [[y, 29] for y in range(40)] or found.tolist() == [[y, 30] for y in range(40)]
+    image[:, 30:] = 62  # 48 at most: under the lower threshold
+    assert not regions.edges(image).any()
+    image[:, 30:] = 80  # 120: between the two, and nothing stronger touches it
+    assert not regions.edges(image).any()
+    image[20, 30:] = 250  # now it is tied to a strong one
+    assert regions.edges(image)[:, 29:31].any(axis=1).sum() > 30
+    y, x = np.mgrid[0:60, 0:60]
+    slope = regions.edges(np.where(x > y, 200, 50).astype(np.uint8))
+    assert slope.sum() <= 2 * 60 and slope.any(axis=1).sum() >= 56
+
+
+def test_borders_are_followed_once():
+    import random
+
+    r = random.Random(6)
+    for _ in range(60):
+        ink = np.array([[r.random() < 0.55 for _ in range(r.choice([9]))] for _ in range(8)])
+        found = regions.borders(ink)
+        outer = [p for p, hole in found if not hole]
+        assert len(outer) == images.Regions.of(ink).count
+        padded = np.pad(~ink, 1, constant_values=True)
+        # holes: regions of empty pixels, corners don't touch, that don't reach the rim
+        label, n = -np.ones(padded.shape, int), 0
+        for start in map(tuple, np.argwhere(padded)):
+            if label[start] < 0:
+                todo = [start]
+                label[start] = n
+                while todo:
+                    y, x = todo.pop()
+                    for at in ((y + 1, x), (y - 1, x), (y, x + 1), (y, x - 1)):
+                        if 0 <= at[0] < padded.shape[0] and 0 <= at[1] < padded.shape[1] and padded[at] and label[at] < 0:
+                            label[at] = n
+                            todo.append(at)
+                n += 1
+        assert len(found) - len(outer) == n - 1
+        for points, _ in found:
+            assert ink[points[:, 1], points[:, 0]].all()
+            step = np.abs(np.roll(points, -1, axis=0) - points).max(axis=1)
+            assert len(points) == 1 or (step == 1).all()
+        # all pixels with an empty one beside them are on a border
+        beside = ink & (padded[1:-1, :-2] | padded[1:-1, 2:] | padded[:-2, 1:-1] | padded[2:, 1:-1])
+        on = {tuple(p) for points, _ in found for p in points.tolist()}
+        assert {(x, y) for y, x in np.argwhere(beside).tolist()} <= on
+    square = np.zeros((10, 12), bool)
+    square[2:8, 3:9] = True
+    (points, hole), = regions.borders(square)
+    assert not hole and sorted(map(tuple, regions.corners(points, 1.0).tolist())) == [(3, 2), (3, 7), (8, 2), (8, 7)]
+    assert regions.convex(np.array([(0, 0), (4, 0), (4, 4), (0, 4)])) and not regions.convex(np.array([(0, 0), (4, 0), (1, 1), (0, 4)]))
+
+
+def test_steps_change_some_pictures_and_leave_some(spark, tiny):
+    """On the pictures that queries use: every step does something, and conditional ones leave others as they are."""
+    from larder.plans import extras
+
+    kinds = {r["shown"]: images.picture(r["height"], r["width"], r["pixels"]) for r in extras.pictures(spark, tiny).collect()}
+    assert {"framed", "table", "dark", "colour", "tall", "panel", "text", "aslant", "blank"} == set(kinds)
+    changed = {name: {k for k, i in kinds.items() if not np.array_equal(step(i), i)} for name, step in images.STEPS.items()}
+    assert changed["resize_max_height"] == {"tall"} and "tall" not in changed["resize_min_height"] and changed["grayscale"] == {"colour"}
+    assert changed["ensure_black_text_on_white"] == {"dark", "colour"} and "aslant" in changed["deskew"] and "text" not in changed["deskew"]
+    white = {k: images.apply_steps(i, extras.BINARY) for k, i in kinds.items()}
+    assert {k for k, i in white.items() if not np.array_equal(images.remove_grid_lines(i), i)} == {"framed", "table", "dark", "colour", "tall"}
+    assert changed["invert"] == set(kinds) and all(changed.values())
+    found = {k: regions.region_found(i, "text" if k in ("text", "aslant") else "table")[0] for k, i in kinds.items()}
+    assert set(found.values()) == {"grid", "quadrilateral", "text", "none"}
+
+
 def test_pictures_to_read(spark):
     image = grid_picture()
     df = spark.createDataFrame([(1, 120, 180, bytearray(image.tobytes())), (2, 5, 5, bytearray(b"x"))], "k int, height int, width int, pixels binary")
@@ -93,7 +195,7 @@ def test_pictures_to_read(spark):
     assert [r["part"] for r in reading.cells_of(df, "k", "grayscale", 0.9).collect()][0] == "header"
     cell = images.crop_cell(np.where(image == 230, 255, 0).astype(np.uint8), (2, 2, 86, 56))
     assert bytes(got[0]["png"]) == images.encode_png(np.pad(cell, 4, constant_values=255))
-    assert [tuple(r) for r in reading.regions_of(df.withColumn("c", F.lit("table")), "k", "c").where("key = 2").collect()] == [(2, None, None, None, None)]
+    assert [tuple(r) for r in reading.regions_of(df.withColumn("c", F.lit("table")), "k", "c").where("key = 2").collect()] == [(2, None, None, None, None, None)]
     # presets read cells in one mode, and every preset's steps run over a picture of three channels too
     assert {p[4] for p in presets.PRESETS if p[2] == "cell_based"} == {7}
     for p in presets.PRESETS:
