@@ -267,3 +267,11 @@ def t01_stream(spark, d):
 
     kept = S.collected(history.purge(event_stream(spark, d), "ts", "2024-01-20").select("event_id"), "kept")
     return kept.agg(F.count(F.lit(1)).alias("kept"))
+
+
+@query("t01_stream_purge", "select event_id as token, epoch_us(ts) // 1000 + 10 * 86400000 as expires from events where epoch_us(ts) // 1000 + 10 * 86400000 <= (select epoch_us(max(ts)) // 1000 from events)")
+def t01_purge(spark, d):
+    """Tokens of ten days whose time was up at the last event."""
+    from larder.streaming import operators as S
+
+    return S.collected(S.purged(event_stream(spark, d), "user_id", "event_id", "ts", 10 * 86400.0), "purged")

@@ -8,6 +8,8 @@ from larder.operators import reading as R
 from larder.plans.attempts import ANCHOR, COLUMNS, cells, responses
 from larder.plans.extras import BINARY, DUCK_SIZES, pictures
 from larder.plans.registry import query, table
+from larder.sources.response_cache import ResponseCache
+from larder.streaming.operators import shared_folder
 
 FETCHED = """j as (select event_id, 's' || user_id as sha256, 'DOCUMENT_TEXT_DETECTION' as feature, 'pt' as hints, event_id as "at", user_id, user_id % 7 = 0 as k, user_id % 5 > 2 as ok, row_number() over (partition by user_id order by event_id) as n from events),
     f as (select event_id, sha256, feature, hints, "at", k or (ok and n > 1) as cache_hit, case when k then 'kept ' || user_id when ok then 'answer ' || user_id end as response, not (k or (ok and n > 1)) as called,
@@ -36,6 +38,31 @@ def s11_puts(spark, d):
     return R.cache_puts(fetch(spark, d))
 
 
+#: What an event asks an engine for.
+FEATURE = "if(event_type in ('view', 'click'), 'DOCUMENT_TEXT_DETECTION', 'TEXT_DETECTION')"
+
+
+def kept_responses(spark, d):
+    """A cache that the events were put in, in two goes: each is an answer to its user's picture."""
+    cache = ResponseCache(spark, f"{shared_folder(spark)}/responses")
+    answers = table(spark, d, "events").select(F.sha2(F.col("user_id").cast("string"), 256).alias("sha256"), F.expr(FEATURE).alias("feature"), F.array(F.lit("pt"), F.lit("en")).alias("hints"), F.to_json(F.struct("event_id", "event_type")).alias("response"), F.col("event_id").alias("size"), F.col("event_id").alias("put_at"))
+    for some in ("put_at % 3 <> 0", "put_at % 3 = 0"):
+        cache.put(answers.where(some))
+    return cache
+
+
+@query("s11_cache_get", """with a as (select user_id, event_id, event_type, case when event_type in ('view', 'click') then 'DOCUMENT_TEXT_DETECTION' else 'TEXT_DETECTION' end as feature from events),
+    last as (select user_id, arg_max(feature, event_id) as feature, arg_max('{"event_id":' || event_id || ',"event_type":"' || event_type || '"}', event_id) as response from a group by 1)
+    select event_id, a.feature, case when event_id % 5 > 0 and a.feature = last.feature then response end as response from a join last using (user_id)""")
+def s11_get(spark, d):
+    """What is kept for each event's request; every fifth gives its hints in another order."""
+    hints = F.expr("if(event_id % 5 = 0, array('en', 'pt'), array('pt', 'en'))")
+    requests = table(spark, d, "events").select("event_id", F.sha2(F.col("user_id").cast("string"), 256).alias("sha256"), F.expr(FEATURE).alias("feature"), hints.alias("hints"))
+    cache = kept_responses(spark, d)
+    cache.compact()
+    return cache.get(requests).select("event_id", "feature", "response")
+
+
 @query("i29_cloud_reading", """with s as (select l_orderkey as k, cast(count(distinct l_linenumber) as integer) as b, cast(count(*) as integer) as w, avg(case when l_partkey % 5 <> 0 and l_partkey % 7 <> 0 then l_quantity / 50 end) as c from lineitem group by 1)
     select k as l_orderkey, case k % 4 when 0 then 'all ' || k when 1 then 'order ' || k else '' end as text, case when k % 4 < 2 then case when c is null then 0 when c > 1 then 100 else c * 100 end else 0 end as mean_confidence,
         case when k % 4 < 2 then b else 0 end as blocks, case when k % 4 < 2 then b else 0 end as paragraphs, case when k % 4 < 2 then w else 0 end as words, k % 4 <> 2 and k % 2 = 0 as cache_hit,
