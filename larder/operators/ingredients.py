@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larder.functions.text import bounded_first, fold
+from larder.sources.tables import written
 
 #: Risk levels from worst to least; others rank 99.
 RISKS = ("ALTO", "MODERADO-ALTO", "MODERADO", "BAIXO", "SEGURO", "BENEFICO", "INFORMATIVO")
@@ -176,17 +177,23 @@ def _layers(asked: DataFrame, keys: DataFrame) -> DataFrame:
     return exact.unionByName(best.select("normalized", "b.entry", "b.kind", "b.distance"))
 
 
-def match(toks: DataFrame, ontology: DataFrame) -> DataFrame:
-    """Tokens with (entry, kind, distance): J-08 to J-11. What no layer finds is cut in words, of which the one with
-    the worst risk counts, the first among equals. No match: kind none, distance -1."""
+def matched_texts(asked: DataFrame, ontology: DataFrame) -> DataFrame:
+    """(normalized, entry, kind, distance) of distinct texts (normalized): J-08 to J-11. What no layer finds is cut in words, of which the one
+    with the worst risk counts, the first among equals. Texts without a match have no row."""
     keys = index(ontology)
-    asked = toks.select("normalized").distinct()
-    whole = _layers(asked, keys)
+    whole = written(_layers(asked, keys), "whole")
     left = asked.join(whole.select("normalized"), "normalized", "left_anti").where(F.col("normalized").contains(" "))
-    words = left.select(F.col("normalized").alias("token"), F.posexplode(F.split("normalized", " ")).alias("nth", "normalized")).where(F.length("normalized") >= 3)
+    words = written(left.select(F.col("normalized").alias("token"), F.posexplode(F.split("normalized", " ")).alias("nth", "normalized")).where(F.length("normalized") >= 3), "words")
     found = words.join(_layers(words.select("normalized").distinct(), keys), "normalized").join(ontology.select("entry", "risk"), "entry")
     worst = found.groupBy(F.col("token").alias("normalized")).agg(F.min(F.struct(risk_rank(F.col("risk")).alias("r"), "nth", "entry"))["entry"].alias("entry"))
-    every = whole.unionByName(worst.select("normalized", "entry", F.lit("word_decomposition").alias("kind"), F.lit(0).alias("distance")))
+    return whole.unionByName(worst.select("normalized", "entry", F.lit("word_decomposition").alias("kind"), F.lit(0).alias("distance")))
+
+
+def match(toks: DataFrame, ontology: DataFrame) -> DataFrame:
+    """Tokens with (entry, kind, distance). Texts repeat, so distinct ones are written once, all layers work on that table, and what they
+    find is joined back once. No match: kind none, distance -1."""
+    asked = written(toks.select("normalized").distinct(), "asked")
+    every = written(matched_texts(asked, ontology), "matched")
     joined = toks.join(every, "normalized", "left")
     return joined.select("id", "pos", "original", "normalized", "entry", F.coalesce("kind", F.lit("none")).alias("kind"), F.coalesce("distance", F.lit(-1)).alias("distance"))
 
@@ -203,14 +210,15 @@ def risk_summary(found: DataFrame) -> DataFrame:
 
 
 def report(matches: DataFrame, ontology: DataFrame) -> DataFrame:
-    """A-03, A-05, O-05, P-23: a row for each document with its worst risk, alerts by risk and position, and lists."""
-    found = deduplicated(matches, ontology).withColumn("rank", risk_rank(F.col("risk")))
-    alert = F.struct("rank", "pos", "original", "display", "class", "risk", "kind", "distance")
-    alerts = found.groupBy("id").agg(F.array_sort(F.collect_list(alert)).alias("alerts"))
-    rest = matches.groupBy("id").agg(F.count(F.lit(1)).alias("tokens"), F.array_sort(F.collect_list(F.when(F.col("entry").isNull(), F.struct("pos", "original")))).alias("u"))
-    joined = rest.join(alerts, "id", "left").withColumn("alerts", F.coalesce("alerts", F.array().cast(alerts.schema["alerts"].dataType)))
+    """A-03, A-05, O-05, P-23: a row for each document with its worst risk, alerts by risk and position, and lists. Matches are dealt out
+    once, by document: in there, those of an entry are put together, then entries."""
+    token = F.struct("pos", "original", "kind", "distance")
+    entries = matches.repartition("id").groupBy("id", "entry").agg(F.count(F.lit(1)).alias("n"), F.min(token).alias("m"), F.collect_list(F.when(F.col("entry").isNull(), F.struct("pos", "original"))).alias("u"))
+    known = entries.join(ontology.drop("synonyms"), "entry", "left").withColumn("rank", risk_rank(F.col("risk")))
+    alert = F.struct("rank", "m.pos", "m.original", "display", "class", "risk", "m.kind", "m.distance")
+    grouped = known.groupBy("id").agg(F.sum("n").alias("tokens"), F.array_sort(F.collect_list(F.when(F.col("entry").isNotNull(), alert))).alias("alerts"), F.array_sort(F.flatten(F.collect_list("u"))).alias("u"))
     names = lambda keep: F.transform(F.filter("alerts", keep), lambda a: a["original"])
-    return joined.select(
+    return grouped.select(
         "id",
         "tokens",
         F.coalesce(F.get(F.col("alerts"), F.lit(0))["risk"], F.lit(NO_RISK)).alias("worst"),

@@ -29,6 +29,13 @@ def kind_of(query: str) -> str:
     return "contains" if len(q) < 3 else "fuzzy"
 
 
+def kind(query: Column) -> Column:
+    """P-06: the same of a column of queries; null is empty."""
+    q = F.regexp_replace(F.coalesce(query, F.lit("")), r"(?U)^\s+|\s+$", "")
+    exact = q.rlike(r"^(?U:\d)+$") & F.length(q).isin(*BARCODE_LENGTHS)
+    return F.when(F.length(q) < 2, "empty").when(exact, "exact").when(F.length(q) < 3, "contains").otherwise("fuzzy")
+
+
 def matches(products: DataFrame, query: str, index: TrigramIndex | None = None) -> DataFrame:
     """Products (barcode, name, brand) that a query finds, with the similarity they are ordered by (null: by name). Without an
     index, similar ones are found by scoring all."""

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from larder.operators import annotations as A
 from larder.operators import cascade, layout, metrics
 from larder.plans.registry import query, table
+from larder.sources import preset_files as preset_source
 from larder.sources import presets as P
+from larder.streaming.operators import shared_folder
 
 KEYWORDS = ("reau de", "la le", "the and", "die der", "de la")
 LEAST = (40.0, 40, 1)
@@ -65,27 +67,52 @@ LISTED = ", ".join("(" + ", ".join(repr(x) for x in row) + ")" for row in P.PRES
 PRESETS = f"(select * from (values {LISTED}) t(category, name, kind, priority, psm, confidence, length, hits, steps))"
 
 
-@query("s08_presets", f"select category, name, kind, priority, psm, cast(confidence as double) as confidence, length, hits, steps from {PRESETS}")
+#: A preset file of a supplier, as JSON: some lack a priority or a key, are of an unknown kind, or are cut.
+FILE = """concat('{', case when s_suppkey % 13 = 5 then '' else concat('"name":"', s_name, '",') end, '"kind":"', case s_suppkey % 6 when 0 then 'cloud_vision' when 1 then 'linear_table' when 2 then 'linear_text' when 3 then 'linear_ingredient' when 4 then 'cell_based' else 'oil_painting' end, '",',
+    case when s_suppkey % 4 = 1 then '' else concat('"priority":', s_nationkey, ',') end, '"steps":[{"op":"grayscale"},{"op":"clahe","clip_limit":2.5,"tile_grid_size":[8,8]}],"ocr":{"psm":', s_suppkey % 10, '}', case when s_suppkey % 17 = 7 then '' else '}' end)"""
+FOLDERS = "case s_suppkey % 5 when 0 then 'text' when 1 then 'ingredients' when 2 then 'other' else 'table' end"
+DUCK_FILES = """(select *, case when error is not null then folder when k = 0 then folder when k in (1, 4) then 'table' when k = 2 then 'text' else 'ingredients' end as category, case when error is null then coalesce(given, 100) end as priority,
+      case when error is null then case k when 0 then 'cloud_vision' when 1 then 'linear_table' when 2 then 'linear_text' when 3 then 'linear_ingredient' else 'cell_based' end end as kind from
+    (select s_suppkey, s_name, s_suppkey % 6 as k, case s_suppkey % 5 when 0 then 'text' when 1 then 'ingredients' else 'table' end as folder, case when s_suppkey % 4 <> 1 then s_nationkey end as given,
+      case when s_suppkey % 17 = 7 then 'not JSON' when s_suppkey % 13 = 5 then 'missing: name' when s_suppkey % 6 = 5 then 'unknown kind: oil_painting' end as error from supplier where s_suppkey % 5 <> 2))"""
+
+
+def preset_files(spark, d):
+    """A preset file for each supplier, written in folders of categories and read by the data source."""
+    folder = f"{shared_folder(spark)}/presets"
+    files = table(spark, d, "supplier").select(F.expr(FOLDERS).alias("category"), F.col("s_suppkey").alias("file"), F.expr(FILE).alias("value"))
+    files.write.partitionBy("category", "file").text(folder)
+    return preset_source.load(spark, folder)
+
+
+@query("s07_preset_files", f"select category, case when error is null then s_name end as name, kind, priority, case when error is null then 'grayscale; clahe clip_limit=2.5 tile_grid_size=8,8' end as steps, case when error is null then cast(s_suppkey % 10 as varchar) end as psm, error from {DUCK_FILES}")
+def s07(spark, d):
+    """All files: presets, and what is wrong with the others."""
+    return preset_files(spark, d).select("category", "name", "kind", "priority", "steps", F.col("ocr")["psm"].alias("psm"), "error")
+
+
+@query("s08_presets", f"select s_suppkey, s_nationkey, kind, priority from {DUCK_FILES} join supplier using (s_suppkey) where error is null".replace("select s_suppkey, s_nationkey", "select s_suppkey, supplier.s_nationkey"))
 def s08(spark, d):
-    return P.presets(spark)
+    """Presets with their suppliers."""
+    return preset_files(spark, d).where("error is null").join(table(spark, d, "supplier"), F.col("name") == F.col("s_name")).select("s_suppkey", "s_nationkey", "kind", "priority")
 
 
-@query("s19_preset_listing", f"select category, string_agg(name, ',' order by priority, name) as names from {PRESETS} group by category")
+@query("s19_preset_listing", f"select category, string_agg(s_name, ',' order by priority, s_name) as names from {DUCK_FILES} where error is null group by category")
 def s19(spark, d):
-    return P.listed(P.presets(spark))
+    return P.listed(preset_files(spark, d).where("error is null"))
 
 
-@query("o04_preset_order", f"select name, row_number() over (order by priority, name) as place from {PRESETS} where category = 'table'")
+@query("o04_preset_order", f"select category, s_name as name, row_number() over (partition by category order by priority, s_name) as place from {DUCK_FILES} where error is null")
 def o04(spark, d):
     from pyspark.sql import Window
 
     place = F.row_number().over(Window.partitionBy("category").orderBy("priority", "name"))
-    return P.presets(spark).where("category = 'table'").select("name", place.alias("place"))
+    return preset_files(spark, d).where("error is null").select("category", "name", place.alias("place"))
 
 
-@query("s06_presets_of_category", f"select name, kind, priority from {PRESETS} where category = 'ingredients'")
+@query("s06_presets_of_category", f"select s_name as name, kind, priority from {DUCK_FILES} where error is null and category = 'ingredients'")
 def s06(spark, d):
-    return P.ordered(P.presets(spark).where("category = 'ingredients'")).select("name", "kind", "priority")
+    return P.ordered(preset_files(spark, d).where("error is null and category = 'ingredients'")).select("name", "kind", "priority")
 
 
 @query("j16_attempt_presets", f"select conv_id, turn, name from (select *, case conv_id % 3 when 0 then 'ingredients' when 1 then 'table' else 'text' end as category from conversations) join {PRESETS} p using (category) where p.priority = 10")

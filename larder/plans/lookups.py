@@ -75,9 +75,14 @@ def p05(spark, d):
     return joined.select("o_orderkey", lookup.cache_state(F.col("l"), F.col("o_orderdate"), F.col("v"), 2, True).alias("state"))
 
 
-@query("p06_query_kinds", "select * from (values ('', 'empty'), (' a ', 'empty'), ('ab', 'contains'), ('abc', 'fuzzy'), ('12345678', 'exact'), ('1234567', 'fuzzy'), ('7891234567895', 'exact')) t(q, kind)")
+#: What a user might type to look for a part: nothing, a letter, two, three, its barcode, a longer number, its name.
+TYPED = "case p_partkey % 7 when 0 then '  ' when 1 then concat(' ', substr(p_name, 1, 1), ' ') when 2 then substr(p_name, 1, 2) when 3 then substr(p_name, 1, 3) when 4 then lpad(cast(p_partkey as string), 13, '0') when 5 then cast(1000000 + p_partkey as string) else p_name end"
+
+
+@query("p06_query_kinds", f"""select p_partkey, case when length(trim(q)) < 2 then 'empty' when regexp_full_match(trim(q), '[0-9]+') and length(trim(q)) in (8, 12, 13) then 'exact' when length(trim(q)) < 3 then 'contains' else 'fuzzy' end as kind
+    from (select p_partkey, {TYPED.replace("as string", "as varchar")} as q from part)""")
 def p06(spark, d):
-    return spark.createDataFrame([(q, find.kind_of(q)) for q in ("", " a ", "ab", "abc", "12345678", "1234567", "7891234567895")], "q string, kind string")
+    return table(spark, d, "part").select("p_partkey", find.kind(F.expr(TYPED)).alias("kind"))
 
 
 @query("p06_exact_search", f"select *, cast(null as double) as similarity from {PRODUCTS} where barcode = '0000000000042' order by name, barcode limit 20")

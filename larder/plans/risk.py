@@ -72,9 +72,13 @@ def f10(spark, d):
     return toks(spark, d)
 
 
-@query("s09_ontology_index", f"with {INDEX} select * from idx")
+@query("s09_ontology_index", f"""with names as (select p_partkey as entry, 0 as nth, {FOLD.format('p_name')} as key from part
+      union all select p_partkey, 1, {FOLD.format('p_brand')} from part union all select p_partkey, 2, {FOLD.format("string_split(p_name, ' ')[1]")} from part)
+    select key, min(entry * 1000 + nth) as ordinal, coalesce(max(case when nth = 0 then entry end), min(case when nth > 0 then entry * 1000 + nth end) // 1000) as entry from names group by key""")
 def s09(spark, d):
-    return I.index(ontology(spark))
+    """The index of an ontology of parts: names, and as synonyms brands and first words, which many parts share."""
+    part = table(spark, d, "part").select(F.col("p_partkey").alias("entry"), F.col("p_name").alias("display"), F.array("p_brand", F.split("p_name", " ")[0]).alias("synonyms"))
+    return I.index(part)
 
 
 @query("j08_ontology_match", f"{MATCH} select * from matched")

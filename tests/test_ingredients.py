@@ -117,3 +117,17 @@ def test_parts_miss_no_key(spark):
                 near.append((abs(len(t) - len(k)) if inside else edits(t, k), o, "containment" if inside else "levenshtein", e))
         want = (exact[0], "exact", 0) if exact else (min(near)[3], min(near)[2], min(near)[0]) if near else None
         assert got.get(t) == want, t
+
+
+def test_matching_reads_the_texts_once(spark, tiny):
+    """The final plan of a match or a report has one scan of the parts, one of what was found for distinct texts, and one Python step."""
+    import re
+
+    from larder.plans import risk
+
+    for name in ("j08_ontology_match", "a05_report_lists"):
+        df = {"j08_ontology_match": risk.matches, "a05_report_lists": lambda s, d: risk.I.report(risk.matches(s, d), risk.ontology(s))}[name](spark, tiny)
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert len(re.findall("FileScan parquet .*p_partkey", plan)) <= 2 and len(re.findall("FileScan", plan)) <= 3, plan
+        assert len(re.findall("MapInArrow", plan)) <= 1
