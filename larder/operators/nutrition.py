@@ -60,6 +60,13 @@ def nearest(label: Column) -> Column:
     return let(folded, of)
 
 
+def once(df: DataFrame, value: Column, of: Callable[[Column], Column], to: str) -> DataFrame:
+    """``df`` with column ``to``: ``of`` applied to each distinct value once, and joined back. Labels repeat."""
+    rows = df.withColumn("_value", value)
+    found = rows.select("_value").distinct().select(F.col("_value").alias("_own"), of(F.col("_value")).alias(to))
+    return rows.join(found, F.col("_value").eqNullSafe(F.col("_own")), "left").drop("_value", "_own")
+
+
 def key_of(nearest_: Column) -> Column:
     return F.get(F.array(*[F.lit(k) for k, _, _ in NUTRIENTS]), nearest_["nth"])
 

@@ -283,8 +283,7 @@ def f33(spark, d):
 
 @query("a06_mean_confidence", "select user_id, coalesce(avg(case when value - 5 >= 0 then value - 5 end), 0) as mean from events group by user_id")
 def a06(spark, d):
-    listed = table(spark, d, "events").groupBy("user_id").agg(F.collect_list(F.expr("string(value - 5)")).alias("v"))
-    return listed.select("user_id", A.mean_confidence(F.col("v")).alias("mean"))
+    return table(spark, d, "events").groupBy("user_id").agg(A.mean_confidence(F.expr("string(value - 5)")).alias("mean"))
 
 
 @query("a10_positive_mean", "select event_type, coalesce(avg(case when value > 20 then value end), 0.0) as mean from events group by event_type")

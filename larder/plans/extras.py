@@ -223,6 +223,27 @@ def i22_boxes(spark, d):
     return images.cells(pictures(spark, d), "p_partkey", BINARY)
 
 
+@query("i26_overlays", f"""select p_partkey as key, cast(case when shown in ('table', 'dark', 'tall') then cols * lanes * ((cw - 1) * (ch - 1) - (cw - 5) * (ch - 5)) else 0 end as bigint) as painted from {DUCK_SIZES}""")
+def i26(spark, d):
+    """Pixels that the outlines of a picture's cells take: two wide, around each."""
+    from larder.functions import overlays
+
+    shown = pictures(spark, d)
+    return overlays.overlays(shown, images.cells(shown, "p_partkey", BINARY).withColumnRenamed("key", "p_partkey"), "p_partkey").select("key", "painted")
+
+
+@query("s04_files", f"""select p_partkey as key, case when p_partkey % 4 < 2 then height end as height, case when p_partkey % 4 < 2 then width end as width, p_partkey % 4 < 2 as same from {DUCK_SIZES}""")
+def s04_files(spark, d):
+    """Pictures to PNG files and back; of every four, one file is cut and one isn't of a picture."""
+    from larder.functions import codecs
+
+    shown = pictures(spark, d).select("p_partkey", "height", "width", "pixels")
+    content = F.expr("case key % 4 when 2 then substring(content, 1, octet_length(content) - 9) when 3 then cast('GIF89a' as binary) else content end")
+    read = codecs.decoded(codecs.encoded(shown, "p_partkey").select("key", content.alias("content")), "key").withColumnRenamed("pixels", "found")
+    both = read.join(shown.select(F.col("p_partkey").alias("key"), "pixels"), "key")
+    return both.select("key", "height", "width", F.coalesce(F.col("found") == F.col("pixels"), F.lit(False)).alias("same"))
+
+
 @query("s04_unreadable_images")
 def s04(spark, d):
     """Pictures whose bytes don't fit their size give nulls."""

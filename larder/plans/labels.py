@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from larder.operators import layout
 from larder.operators import nutrition as N
+from larder.operators import requests
 from larder.plans.registry import query, table
 
 NAME = """case l_orderkey % 12 when 0 then 'Carboidratos' when 1 then 'Valor Energetico' when 2 then 'Sodio' when 3 then 'Proteina' when 4 then 'Gorduras Trans' when 5 then 'Fibra alimentar'
@@ -38,7 +39,7 @@ def f13(spark, d):
 
 @query("j12_nearest_nutrient", f"with ln as (select * from {LINES}), {NEAR} select {KEY}, nutrient, unit, distance from ln left join near using (name)")
 def j12(spark, d):
-    near = lines(spark, d).withColumn("n", N.nearest(F.col("name")))
+    near = N.once(lines(spark, d), F.col("name"), N.nearest, "n")
     return keyed(near, N.key_of(F.col("n")).alias("nutrient"), N.unit_of(F.col("n")).alias("unit"), F.col("n.distance").alias("distance"))
 
 
@@ -50,7 +51,7 @@ SECOND = "case l_linenumber % 5 when 0 then 'saturadas' when 1 then 'trans' when
     from p left join near o on o.name = p.name left join near t on t.name = p.pair""")
 def j13(spark, d):
     named = lines(spark, d).withColumn("b", F.expr(SECOND))
-    both = named.withColumn("one", N.nearest(F.col("name"))).withColumn("two", N.nearest(F.concat_ws(" ", "name", "b")))
+    both = N.once(N.once(named, F.col("name"), N.nearest, "one"), F.concat_ws(" ", "name", "b"), N.nearest, "two")
     merged = F.coalesce(F.col("two.distance") < F.coalesce("one.distance", F.lit(999)), F.lit(False))
     return keyed(both, "b", merged.alias("merged"), F.when(merged, N.key_of(F.col("two"))).otherwise(N.key_of(F.col("one"))).alias("nutrient"))
 
@@ -89,7 +90,7 @@ def f23(spark, d):
     select {KEY}, case when merged then d2 else coalesce(d1, name) end || case when merged then '' else chr(9) || trim(cell) end
       || case when regexp_matches(vd, '[*''"»«]') then chr(9) || '**' when regexp_full_match(vd, '[0-9]{{4,}}') then '' else chr(9) || vd end as line from m""")
 def f25(spark, d):
-    return keyed(lines(spark, d), N.cloud_line(F.expr("concat(name, '\\t', cell, '\\t', vd)")).alias("line"))
+    return keyed(N.once(lines(spark, d), F.expr("concat(name, '\\t', cell, '\\t', vd)"), N.cloud_line, "line"), "line")
 
 
 @query("f09_rows", f"""select {KEY}, name as nutrient, array_to_string(list_filter([trim(cell), trim(vd)], lambda x: x <> ''), '|') as vals from {LINES} where regexp_matches(cell || vd, '[0-9]')""")
@@ -193,9 +194,29 @@ def f42(spark, d):
     return sized.select("l_orderkey", "l_linenumber", "l_partkey", width.alias("width"), height.alias("height"))
 
 
-@query("f44_request_fields", "select event_type, cast(ts as date) as day, count(*) as requests, max(value) as slowest from events group by 1, 2")
+ASKED = """(select event_id, user_id, upper(event_type) as method, '/' || coalesce(props ->> '$.k', '') as path, case when event_id % 11 = 0 then 500 when event_id % 5 = 0 then 404 when event_id % 3 = 0 then 201 else 200 end as status, value from events)"""
+
+
+def asked(spark, d):
+    """Requests: an event's value is how many milliseconds its answer took."""
+    e = table(spark, d, "events").withColumn("began", F.col("ts").cast("timestamp"))
+    ended = F.timestamp_micros(F.unix_micros("began") + F.round(F.col("value") * 1000).cast("long"))
+    status = F.expr("case when event_id % 11 = 0 then 500 when event_id % 5 = 0 then 404 when event_id % 3 = 0 then 201 else 200 end")
+    path = F.concat(F.lit("/"), F.coalesce(F.get_json_object("props", "$.k"), F.lit("")))
+    return requests.logged(e.select(F.col("event_id").cast("string").alias("request_id"), F.upper("event_type").alias("method"), path.alias("path"), status.alias("status"), "began", ended.alias("ended")))
+
+
+@query("f44_request_fields", f"""select method, path, status, event_id as request_id, cast(case when ms < 0 then 0 else round(ms, 1) end as double) as duration_ms, concat('method=', method, ' path=', path, ' status=', status, ' duration_ms=', printf('%.1f', round(case when ms < 0 then 0 else ms end, 1)), ' request_id=', event_id) as line
+    from (select * replace (cast(event_id as varchar) as event_id), round(value * 1000) / 1000 as ms from {ASKED})""")
 def f44(spark, d):
-    return table(spark, d, "events").groupBy("event_type", F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("requests"), F.max("value").alias("slowest"))
+    return asked(spark, d).select("method", "path", "status", "request_id", "duration_ms", "line")
+
+
+@query("f44_request_summary", f"""select method, status // 100 as class, count(*) as requests, max(ms) as slowest, quantile_disc(ms, 0.5) as median, quantile_disc(ms, 0.95) as p95, count(case when ms >= 50 then 1 end) as slow
+    from (select *, cast(round(greatest(0, round(value * 1000) / 1000), 1) as double) as ms from {ASKED}) group by 1, 2""")
+def f44_summary(spark, d):
+    """Requests by method and class of status: how many, how many took long, and how long they took."""
+    return requests.summary(asked(spark, d), 50.0)
 
 
 ENERGY = "'Valor Energetico ' || cell || case l_linenumber % 4 when 0 then ' kcal = 1' || l_suppkey || ' k) ' || l_linenumber when 1 then ' kcal 2' || l_suppkey || 'k j' when 2 then ' KCAL=' || l_suppkey || 'kJ 12' else ' kJ' end"
@@ -220,16 +241,17 @@ LINEAR = r"^\s*([A-Za-zÀ-ÿ\s]+?)\s+([0-9.,]+)\s*([A-Za-z%*()]+)?\s*([0-9.,*]+)
       when d is null and regexp_full_match(v, '[0-9]+9') and cast(v as bigint) >= 100 then v[:-2] else v end as fixed from w)
     select {KEY}, case when nutrient is null then x when nutrient = 'valor energetico' then {ENERGY_SQL} when regexp_matches(x, '{LINEAR}') then concat_ws(' ', display, fixed, unit, d) else x end as line from f""")
 def f19(spark, d):
-    return keyed(lines(spark, d), N.linear_line(F.expr("concat(name, ' ', cell, ' ', vd)")).alias("line"))
+    return keyed(N.once(lines(spark, d), F.expr("concat(name, ' ', cell, ' ', vd)"), N.linear_line, "line"), "line")
 
 
 @query("f16_quantities")
 def f16(spark, d):
     """Quantity and daily value of cells, by the state machine; compared with a plain version in tests."""
-    q = N.quantity(F.array("cell", "vd"), N.unit_of(N.nearest(F.col("name"))))
-    return keyed(lines(spark, d).withColumn("q", q), F.col("q.quantity").alias("quantity"), F.col("q.vd").alias("vd"))
+    named = N.once(lines(spark, d), F.col("name"), N.nearest, "n")
+    q = N.quantity(F.array("cell", "vd"), N.unit_of(F.col("n")))
+    return keyed(named.withColumn("q", q), F.col("q.quantity").alias("quantity"), F.col("q.vd").alias("vd"))
 
 
 @query("f15_tabular_lines")
 def f15(spark, d):
-    return keyed(lines(spark, d), N.tabular_line(F.expr("concat(name, '\\t', cell, '\\t', vd)")).alias("line"))
+    return keyed(N.once(lines(spark, d), F.expr("concat(name, '\\t', cell, '\\t', vd)"), N.tabular_line, "line"), "line")
