@@ -1,10 +1,12 @@
 """Secret scans by assignment-aware lexing (operator 10).
 
 Base spans come from three patterns. The lexer then parses source and configuration syntax (``name = "x"``,
-``name: x``, ``name: type = x``, ``"name": "x"``, ``export NAME=x``, ``name := x``, ``name => x``) into pairs of a name and a literal
-or another name, or several joined by ``+``, propagates constants (``a = "x"`` then ``password = a``, which takes what ``a`` was given
+``name: x``, ``name: type = x``, ``"name": "x"``, ``export NAME=x``, ``name := x``, ``name => x``, ``cfg["name"] = x``, ``obj.name = x``, triple-quoted
+literals) into pairs of a name and a literal or another name, or several joined by ``+``, propagates constants (``a = "x"`` then ``password = a``, which takes what ``a`` was given
 last before; if it was given nothing before, all it is given later), and scores each literal by the names it
 reaches and by its own shape. A quoted phrase of several words counts only where it reaches a name that is nearly always a secret's.
+Two more forms give a pair that nothing is propagated through: quoted arguments side by side (``set("name", "x")``, ``("name", "x")``), and a
+block below its name (``name: |`` and lines set in).
 Every step takes time in proportion to the text's length, whatever it holds. Literals that score ``THRESHOLD`` or more and overlap no earlier span are added as
 kind ``literal``.
 
@@ -39,18 +41,25 @@ NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ASSIGN_LEAST, ACCESS_LEAST = 8, 16
 
 #: How sensitive a target name is, by the words in it; the largest counts. Joined neighbours count too: api-key is apikey.
-SENSITIVE = {"password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.95, "secret": 1.0, "token": 0.9, "credential": 0.9, "credentials": 0.9, "apikey": 1.0, "privatekey": 1.0, "accesskey": 1.0, "auth": 0.7}
+SENSITIVE = {
+    "password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.95, "secret": 1.0, "token": 0.9, "credential": 0.9, "credentials": 0.9, "apikey": 1.0, "privatekey": 1.0, "accesskey": 1.0, "auth": 0.7,
+    "pass": 0.9, "passcode": 0.95, "pw": 0.85, "signingkey": 0.95, "encryptionkey": 0.95, "masterkey": 0.95, "sessionkey": 0.9, "sshkey": 0.95, "hostkey": 0.8, "clientkey": 0.9,
+}
 #: Names from which on a phrase of several words may be a secret; its words and its length.
 PHRASE_NAME, PHRASE_WORDS, PHRASE_LENGTH = 0.95, range(3, 13), range(12, 121)
 #: What a text must hold, JOINTS taken out, for any name in it to be sensitive enough: name_score joins neighbouring words.
 HINTS, JOINTS = tuple(SENSITIVE), "_.-"
 #: The type of a declaration, as in ``name: str = "x"``: what follows must be quoted, or set off by spaces.
 TYPE = r"""(?:\??[\x20\t]*+:[\x20\t]*+[&*]?[A-Za-z_][A-Za-z0-9_.]*+(?:[<\[][^\n="']{0,60}[>\]])?(?:[\x20\t]*+\|[\x20\t]*+[A-Za-z_][A-Za-z0-9_.]*+){0,8}\??(?=[\x20\t]*+=[\x20\t]*+["']|[\x20\t]++=[\x20\t]++[^=\s]))?"""
-VALUE = r"""(?:"(?P<dq>[^"\\\n]*+(?:\\.[^"\\\n]*+)*+)"|'(?P<sq>[^'\\\n]*+(?:\\.[^'\\\n]*+)*+)'|(?P<bare>\$\{[A-Za-z_][A-Za-z0-9_.]*+\}|[^\s"',;{}()\[\]]++))"""
+VALUE = r"""(?:\"\"\"(?P<tdq>[^"]*+(?:"(?!"")[^"]*+)*+)\"\"\"|\'\'\'(?P<tsq>[^']*+(?:'(?!'')[^']*+)*+)\'\'\'|"(?P<dq>[^"\\\n]*+(?:\\.[^"\\\n]*+)*+)"|'(?P<sq>[^'\\\n]*+(?:\\.[^'\\\n]*+)*+)'|(?P<bare>\$\{[A-Za-z_][A-Za-z0-9_.]*+\}|[^\s"',;{}()\[\]]++))"""
 #: A run of name characters is looked at once, as a whole: no match begins inside it, and none gives a part of it back.
-PAIR = re.compile(r"""(?<![A-Za-z0-9_.-])(?P<name>[A-Za-z0-9_.-]++)["']?""" + TYPE + r"""[\x20\t]*+(?::=|=>|=(?!=)|:(?!//))[\x20\t]*+""" + VALUE, re.ASCII)
+PAIR = re.compile(r"""(?<![A-Za-z0-9_.-])(?P<name>[A-Za-z0-9_.-]++)["']?\]?""" + TYPE + r"""[\x20\t]*+(?::=|=>|=(?!=)|:(?!//))[\x20\t]*+""" + VALUE, re.ASCII)
 #: What is joined to a value by +, in the same line or the next.
 JOINED = re.compile(r"""[\x20\t]*+\+[\x20\t]*+(?:\n[\x20\t]*+)?""" + VALUE, re.ASCII)
+#: A quoted name and a quoted literal side by side.
+ARGUMENTS = re.compile(r"""["'](?P<name>[A-Za-z_][A-Za-z0-9_.-]*+)["'][\x20\t]*+,[\x20\t]*+(?:"(?P<dq>[^"\\\n]*+(?:\\.[^"\\\n]*+)*+)"|'(?P<sq>[^'\\\n]*+(?:\\.[^'\\\n]*+)*+)')""", re.ASCII)
+#: A name on a line of its own, and the lines set in below it.
+BLOCK = re.compile(r"""^(?P<in>[\x20\t]*+)(?:-[\x20\t]++)?["']?(?P<name>[A-Za-z_][A-Za-z0-9_.-]*+)["']?[\x20\t]*+:[\x20\t]*+[|>][+-]?[\x20\t]*+\n(?P<body>(?P=in)[\x20\t]++[^\s][^\n]*+(?:\n(?P=in)[\x20\t]++[^\s][^\n]*+)*+)""", re.ASCII | re.MULTILINE)
 IDENTIFIER = re.compile(r"\$?\{?[A-Za-z_][A-Za-z0-9_.]*\}?", re.ASCII)
 WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|<.*>|changeme|example|none|null|true|false|your[_-].*|todo)$")
@@ -121,7 +130,7 @@ def assignments(text: str) -> list[Given]:
     while m:
         parts, more = [], m
         while more:
-            kind = "dq" if more["dq"] is not None else "sq" if more["sq"] is not None else "bare"
+            kind = next(k for k in ("tdq", "tsq", "dq", "sq", "bare") if more[k] is not None)
             parts.append((more[kind], more.start(kind), more.end(kind), kind == "bare"))
             end = more.end()
             more = JOINED.match(text, end)
@@ -144,6 +153,17 @@ def assignments(text: str) -> list[Given]:
     return given
 
 
+def arguments(text: str) -> Iterator[tuple[int, int, str, str]]:
+    """(start, end, name, literal) of quoted arguments side by side, and of blocks, whose lines are put together."""
+    for m in ARGUMENTS.finditer(text):
+        kind = "dq" if m["dq"] is not None else "sq"
+        yield m.start(kind), m.end(kind), m["name"], m[kind]
+    for m in BLOCK.finditer(text) if ":" in text and ("|" in text or ">" in text) else ():
+        lines = m["body"].split("\n")
+        start = m.start("body") + len(lines[0]) - len(lines[0].lstrip(" \t"))
+        yield start, m.end("body"), m["name"], "".join(line.strip(" \t") for line in lines)
+
+
 def reached(given: list[Given]) -> list[float]:
     """For each assignment, how sensitive the most sensitive name is that its value reaches, its own included; 0 under THRESHOLD.
 
@@ -174,16 +194,24 @@ def literal_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[in
         return []
     given = assignments(text)
     starts, ends = [s for s, _, _ in taken], list(itertools.accumulate((e for _, _, e in taken), max))
-    out = []
-    for g, best in zip(given, reached(given)):
-        if not best or not g.literal:
-            continue
-        start, end = g.literal[0][1], g.literal[-1][2]
-        own = literal_score("".join(v for v, _, _ in g.literal), phrase=best >= PHRASE_NAME and text[start - 1 : start] in ("'", '"'))
+    out: list[tuple[int, int, int]] = []
+
+    def add(best: float, value: str, start: int, end: int, quoted: bool) -> None:
+        score = literal_score(value, phrase=best >= PHRASE_NAME and quoted)
         before = bisect.bisect_left(starts, end)  # spans that begin before this one ends
-        if own >= THRESHOLD * 0.75 and best * own >= THRESHOLD * 0.75 and not (before and ends[before - 1] > start):
+        if score >= THRESHOLD * 0.75 and best * score >= THRESHOLD * 0.75 and not (before and ends[before - 1] > start):
             out.append((start, 3, end))
-    return out
+
+    for g, best in zip(given, reached(given)):
+        if best and g.literal:
+            start, end = g.literal[0][1], g.literal[-1][2]
+            add(best, "".join(v for v, _, _ in g.literal).strip(), start, end, text[start - 1 : start] in ("'", '"'))
+    own = {start for start, _, _ in out}
+    for start, end, name, value in arguments(text):
+        best = name_score(name)
+        if best >= THRESHOLD and start not in own:
+            add(best, value, start, end, True)
+    return sorted(out)
 
 
 def spans(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:

@@ -89,7 +89,7 @@ def test_propagation_equals_plain_steps():
         assert credentials.reached(given) == plain_reach(given), text
 
 
-@pytest.mark.parametrize("unit", ["a", "a=", "a:", 'a="', "a='x' + ", "password", "password = ", " ", "auth a\t", "x: y | z", "a: b<", "AKIA", "0f", "a=b;", "password=b;b=password;", "${", "\\", 'k="\\'])
+@pytest.mark.parametrize("unit", ["a", "a=", "a:", 'a="', "a='x' + ", "password", "password = ", " ", "auth a\t", "x: y | z", "a: b<", "AKIA", "0f", "a=b;", "password=b;b=password;", "${", "\\", 'k="\\', '"""', "pass='\'\'", 'k="""x ', '"a", ', 'pw", "', "k: |\n x\n", " k: >\n", "pass:|\n"])
 def test_long_texts_take_time_in_proportion(unit):
     import time
 
@@ -98,3 +98,48 @@ def test_long_texts_take_time_in_proportion(unit):
     began = time.process_time()
     credentials.spans(text)
     assert time.process_time() - began < 4
+
+
+W = "a8!F3-kq9zL2mN7xR4"  # no base span: the mark comes too early
+
+
+@pytest.mark.parametrize(
+    "text, found",
+    [
+        (f'cfg["password"] = "{W}"', [W]),
+        (f"cfg['db']['password'] = '{W}'", [W]),
+        (f'settings.password = "{W}"', [W]),
+        (f"set('password', '{W}')", [W]),
+        (f'("api_token", "{W}")', [W]),
+        (f'connect("host", "{W}")', []),
+        (f"DB_PASS={W}", [W]),
+        (f"db_pass: {W}", [W]),
+        (f'passcode = "{W}"', [W]),
+        (f'signing_key = "{W}"', [W]),
+        (f'ENCRYPTION_KEY="{W}"', [W]),
+        (f'pw = "{W}"', [W]),
+        (f'key = "{W}"', []),
+        (f'monkey = "{W}"', []),
+        (f'compass = "{W}"', []),
+        (f'password = """{W}"""', [W]),
+        (f"password = \'\'\'\n{W}\n\'\'\'", [f"\n{W}\n"]),
+        (f'k = """{W}"""\npassword = k', [W]),
+        (f"password: |\n  {W}\nother: x", [W]),
+        (f"  - password: >-\n      {W}\n      {W}\n  - y: 1", [f"{W}\n      {W}"]),
+        (f"password: |\n{W}", []),
+        ("password: |\n  these are some words, not a secret.\n", []),
+        ('print("password", "Enter it, please")', []),
+        ('labels = ["token", "lexeme", "word"]', []),
+        ('"pass", "fail"', []),
+    ],
+)
+def test_other_forms_of_pairs(text, found):
+    assert literals(text) == found
+
+
+def test_clean_documents_have_no_literals():
+    """On sf0.1, whose secrets are all of the base kinds, nothing else is taken for one."""
+    import pyarrow.parquet as pq
+
+    texts = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"])["text"].to_pylist()
+    assert not [t for t in texts if any(k == 3 for _, k, _ in credentials.spans(t)[1])]
