@@ -15,6 +15,7 @@ import hashlib
 import itertools
 import os
 import re
+import string
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -32,6 +33,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: characters, which newer Unicode versions add to, are split by the tokenizer's library itself.
 AGREED = r"\u0000-\u052F\u2000-\u206F\u20A0-\u20BF\u2100-\u218B\u2190-\u23FF\u2500-\u27BF\u3000-\u30FF\u4E00-\u9FEF\uAC00-\uD7A3\uFF01-\uFFBE\U0001F300-\U0001F64F"
 
+MARKS = frozenset(string.punctuation)
+
 #: A space that a pre-token begins with, and one that might not be.
 SPACE, LOOSE = re.compile(r" (?=\S)"), re.compile(r" (?!\S)")
 
@@ -76,6 +79,12 @@ class Vocabulary(wordtable.Splitter):
                 return [text]
         else:
             text = " " + piece
+            # most pieces are a word, or one and a mark; letters up to there are the same for all
+            if piece.isalpha():
+                if max(piece) < "\u0530":
+                    return [text]
+            elif piece[-1:] in MARKS and piece[:-1].isalpha() and max(piece) < "\u0530":
+                return [text[:-1], piece[-1]]
         if not text.isascii() and self.odd.search(text):
             return [text[a:b] for _, (a, b) in self.own_split.pre_tokenize_str(text)]
         return self.find(text)
@@ -85,7 +94,7 @@ class Vocabulary(wordtable.Splitter):
 
     def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """How many ids each word has, and all ids."""
-        got = [[self.added[w]] if w in self.added else e.ids for w, e in zip(words, self.words_only.encode_batch(words, add_special_tokens=False))]
+        got = [[self.added[w]] if w in self.added else e.ids for w, e in zip(words, self.words_only.encode_batch_fast(words, add_special_tokens=False))]
         lens = np.fromiter(map(len, got), np.int64, len(got))
         return lens, np.fromiter(itertools.chain.from_iterable(got), np.int64, int(lens.sum()))
 

@@ -14,8 +14,7 @@ last, 8 bytes each. A loader reads the index and then any record by itself (``re
 epoch does.
 
 ``write`` deals documents out by ranges of their ids, so that one shuffle moves the texts once; each task encodes its
-texts in order (a text's pieces are looked up among those the task has met; new ones go to the tokenizer's library, and
-the lookup starts afresh at a fixed size) and writes files of a bounded size under names of its own attempt. What was
+texts in order (a text's pieces are looked up among those the worker has met lately; others go to the tokenizer's library) and writes files of a bounded size under names of its own attempt. What was
 written is listed in a Parquet table, one row a file. Spark commits one attempt of each task to that table, so files of
 lost or repeated attempts are never read. ``read`` opens the listed files, checks every record, and gives the running number
 of ids by sums of files' counts. Files are reached by ``pyarrow.fs``, in whatever store the path names.
@@ -27,16 +26,17 @@ raises ``Damaged``; an empty table gives no files and no rows; other columns, wh
 
 from __future__ import annotations
 
+import functools
+import gc
 import struct
 import uuid
 import zlib
 from array import array
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator
 from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -47,8 +47,8 @@ from larder.llm.common import Written, releasing, shared_dir
 
 #: Bytes of text that a task gets, about; a data file ends with the record that passes FILE_BYTES.
 TASK_BYTES, FILE_BYTES = 64 << 20, 64 << 20
-#: Text encoded in one go, and pieces that a task remembers at most.
-STEP_BYTES, REMEMBERED = 2 << 20, 400_000
+#: Pieces that are met before a worker forgets others.
+REMEMBERED = 500_000
 #: Parts summed in one group; files that one task reads, one after another, in large tables.
 COARSE, FILES_A_TASK = 1024, 8
 END = 2
@@ -104,34 +104,62 @@ def offsets(raw: bytes, records: int, size: int) -> np.ndarray:
     return at
 
 
-class Remembered(dict):
-    """Pieces of text to the bytes of their ids; new ones are encoded many at a time."""
-
-    def __init__(self, by: bpe.Vocabulary) -> None:
-        self.by = by
-
-    def learn(self, pieces: Iterable) -> None:
-        wanted = set(pieces)
-        fresh = [p for p in wanted if p not in self]
-        if len(self) + len(fresh) > REMEMBERED:
-            self.clear()
-            fresh = list(wanted)
-        words = [self.by.words(p) for p in fresh]
-        distinct = list({w for ws in words for w in ws})
-        lens, ids = self.by.encode(distinct)
-        width = np.dtype(self.by.kind).itemsize
-        raw = ids.astype(f"<u{width}").tobytes()
-        ends = (np.concatenate([[0], np.cumsum(lens)]) * width).tolist()
-        own = {w: raw[a:b] for w, a, b in zip(distinct, ends, ends[1:])}
-        self.update((p, b"".join([own[w] for w in ws])) for p, ws in zip(fresh, words))
-
-
-def encoded(texts: Sequence[str | None], by: bpe.Vocabulary, known: Remembered) -> Iterator[bytes]:
-    """The ids of each text, as bytes."""
-    cut = [by.cut(t or "") for t in texts]
-    known.learn(p for pieces in cut for p in pieces)
-    for pieces in cut:
-        yield b"".join([known[p] for p in pieces])
+class Remembered:
+    """Pieces of text to the bytes of their ids; a text's new ones are encoded together. It lives as long as the worker: when ``most`` pieces have
+    been met, those that weren't met since the last time are forgotten."""
+
+    def __init__(self, by: bpe.Vocabulary, most: int) -> None:
+        self.by, self.most, self.width = by, most, np.dtype(by.kind).itemsize
+        self.recent: dict = {}
+        self.older: dict = {}
+
+    def ids(self, text: str) -> bytes:
+        pieces = self.by.cut(text)
+        found = list(map(self.recent.get, pieces))
+        if None in found:
+            missing = [i for i, ids in enumerate(found) if ids is None]
+            self._learn({pieces[i] for i in missing})
+            for i in missing:
+                found[i] = self.recent[pieces[i]]
+            if len(self.recent) > self.most:
+                self.older, self.recent = self.recent, {}
+        return b"".join(found)
+
+    def _learn(self, pieces: set) -> None:
+        recent, older = self.recent, self.older
+        fresh = [p for p in pieces if p not in older]
+        if len(fresh) < len(pieces):
+            recent.update((p, older[p]) for p in pieces if p in older)
+        # a word is a piece too, so that one with a mark behind it needs only the mark
+        parts = [[p if isinstance(p, tuple) and p[1] else w[1:] if w[0] == " " < w else (w, False) for w in self.by.words(p)] for p in fresh]
+        new = list({x for xs in parts for x in xs if x not in recent})
+        lens, ids = self.by.encode([" " + x if isinstance(x, str) else x[0] for x in new])
+        raw, ends = ids.astype(f"<u{self.width}").tobytes(), (np.cumsum(lens) * self.width).tolist()
+        recent.update(zip(new, [raw[a:b] for a, b in zip([0, *ends], ends)]))
+        for p, xs in zip(fresh, parts):
+            if xs != [p]:
+                recent[p] = b"".join([recent[x] for x in xs])
+
+
+@functools.lru_cache(maxsize=1)
+def remembered(vocabulary: str) -> Remembered:
+    return Remembered(bpe.vocabulary(vocabulary), REMEMBERED)
+
+
+def acyclic(run: Callable[[Iterable], Iterator]) -> Callable[[Iterable], Iterator]:
+    """``run`` without the search for cycles, which goes through all pieces that are remembered again and again and finds none."""
+
+    @functools.wraps(run)
+    def task(batches: Iterable) -> Iterator:
+        on = gc.isenabled()
+        gc.disable()
+        try:
+            yield from run(batches)
+        finally:
+            if on:
+                gc.enable()
+
+    return task
 
 
 def _store(path: str) -> tuple[fs.FileSystem, str]:
@@ -153,8 +181,8 @@ def write(docs: DataFrame, path: str, vocabulary: str, end: int = END, id_col: s
 
     def save(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, (store, folder) = TaskContext.get(), _store(path)
-        by = bpe.vocabulary(vocabulary)
-        known, width = Remembered(by), np.dtype(by.kind).itemsize
+        known = remembered(vocabulary)
+        width = np.dtype(known.by.kind).itemsize
         last = int(end).to_bytes(width, "little")
         seq, name, out, at, tokens = 0, "", None, array("q"), 0
 
@@ -167,28 +195,22 @@ def write(docs: DataFrame, path: str, vocabulary: str, end: int = END, id_col: s
 
         store.create_dir(folder, recursive=True)
         for batch in batches:
-            docs_, texts, sizes = batch.column(0).to_pylist(), batch.column(1), pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
-            begin = 0
-            while begin < len(docs_):
-                stop, held = begin, 0
-                while stop < len(docs_) and (stop == begin or held + sizes[stop] <= STEP_BYTES):
-                    held, stop = held + sizes[stop], stop + 1
-                for doc, ids in zip(docs_[begin:stop], encoded(texts[begin:stop].to_pylist(), by, known)):
-                    if out is None:
-                        name, at, tokens = f"{task.partitionId():08d}-{seq:06d}-{run_id}-{task.taskAttemptId()}", array("q", [0]), 0
-                        out = store.open_output_stream(f"{folder}/{name}.rec", buffer_size=1 << 20)
-                    record = frame(body(doc, ids + last, width))
-                    out.write(record)
-                    at.append(at[-1] + len(record))
-                    tokens += len(ids) // width + 1
-                    if at[-1] >= file_bytes:
-                        yield done()
-                        seq, out = seq + 1, None
-                begin = stop
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                ids = known.ids(text.as_py() or "") + last
+                if out is None:
+                    name, at, tokens = f"{task.partitionId():08d}-{seq:06d}-{run_id}-{task.taskAttemptId()}", array("q", [0]), 0
+                    out = store.open_output_stream(f"{folder}/{name}.rec", buffer_size=1 << 20)
+                record = frame(body(doc, ids, width))
+                out.write(record)
+                at.append(at[-1] + len(record))
+                tokens += len(ids) // width
+                if at[-1] >= file_bytes:
+                    yield done()
+                    seq, out = seq + 1, None
         if out is not None:
             yield done()
 
-    return Written(ordered.mapInArrow(releasing(save), FILES), "files").frame
+    return Written(ordered.mapInArrow(releasing(acyclic(save)), FILES), "files").frame
 
 
 def begun(files: DataFrame) -> DataFrame:

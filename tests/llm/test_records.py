@@ -57,15 +57,13 @@ def test_frame_layout_and_damage():
             records.offsets(raw, 1, 10)
 
 
-def test_encoding_forgets_and_learns_again(monkeypatch):
-    monkeypatch.setattr(records, "REMEMBERED", 20)
+def test_encoding_forgets_and_learns_again():
     r = random.Random(2)
-    by = bpe.vocabulary(BPE)
-    known = records.Remembered(by)
+    known = records.Remembered(bpe.vocabulary(BPE), 20)
     for _ in range(40):
         texts = [" ".join(r.choice(["the", "cat", "naïve", "漢字", "<|endoftext|>", "x" * 30, "12", " ", "\n"]) + str(r.randrange(40)) for _ in range(r.randrange(30))) for _ in range(3)]
-        got = [np.frombuffer(x, "<u2").tolist() + [2] for x in records.encoded([*texts, None], by, known)]
-        assert got == library([*texts, None])
+        got = [np.frombuffer(known.ids(x or ""), "<u2").tolist() + [2] for x in [*texts, None]]
+        assert got == library([*texts, None]) and len(known.recent) < 150 and len(known.older) < 150
 
 
 def test_files_and_reading_in_any_order(spark, tmp_path):
