@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.functions.text import trigrams, unaccent, word_similarity
+from larder.functions.text import trigrams, unaccent_search, word_similarity
 
 BUCKETS = 64
 #: A list is common if so large a share of the texts is in it; so many common lists at most are left out.
@@ -34,7 +34,7 @@ def search_text(name: str = "name", brand: str = "brand") -> Column:
 
 
 def folded(text: Column) -> Column:
-    return F.lower(unaccent(text))
+    return F.lower(unaccent_search(text))
 
 
 def bucket(trigram: Column) -> Column:

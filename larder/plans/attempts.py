@@ -311,6 +311,30 @@ def a14(spark, d):
     return metrics.error_rates(pairs(spark, d), "reference", "found").select("p_partkey", "errors", "wer")
 
 
+#: Words of a turn and of the next one in its conversation.
+TURNS = "(select conv_id, turn, string_split(text, ' ') as a, string_split(lead(text) over (partition by conv_id order by turn), ' ') as b from conversations)"
+
+
+@query("a14_edits_by_kind", f"""with recursive p as (select * from {TURNS} where a is not null and b is not null), run(conv_id, turn, n, cells) as (
+    select conv_id, turn, 0, list_transform(range(0, len(b) + 1), lambda j: {{'t': j, 'p': 0, 's': 0, 'd': 0, 'n': j}}) from p
+    union all
+    select conv_id, turn, n + 1, list_reduce(list_transform(range(1, len(b) + 1), lambda j: [{{'t': j, 'p': 0, 's': 0, 'd': 0, 'n': 0}}]),
+      lambda made, e: list_append(made, case when b[e[1].t] = a[n + 1] then cells[e[1].t] else list_min([
+        {{'t': cells[e[1].t].t + 1, 'p': 0, 's': cells[e[1].t].s + 1, 'd': cells[e[1].t].d, 'n': cells[e[1].t].n}},
+        {{'t': cells[e[1].t + 1].t + 1, 'p': 1, 's': cells[e[1].t + 1].s, 'd': cells[e[1].t + 1].d + 1, 'n': cells[e[1].t + 1].n}},
+        {{'t': made[e[1].t].t + 1, 'p': 2, 's': made[e[1].t].s, 'd': made[e[1].t].d, 'n': made[e[1].t].n + 1}}]) end), [{{'t': n + 1, 'p': 0, 's': 0, 'd': n + 1, 'n': 0}}])
+    from run join p using (conv_id, turn) where n < len(a))
+    select conv_id, turn, cast(cells[-1].s as integer) as substitutions, cast(cells[-1].d as integer) as deletions, cast(cells[-1].n as integer) as insertions from run join p using (conv_id, turn) where n = len(a)""")
+def a14_kinds(spark, d):
+    """Words substituted, deleted and inserted from each turn of a conversation to the next."""
+    from pyspark.sql import Window
+
+    after = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    turns = table(spark, d, "conversations").select("conv_id", "turn", F.split("text", " ", -1).alias("a"), F.split(after, " ", -1).alias("b")).where("a is not null and b is not null")
+    e = turns.select("conv_id", "turn", metrics.word_edits(F.col("a"), F.col("b")).alias("e"))
+    return e.select("conv_id", "turn", F.col("e.s").alias("substitutions"), F.col("e.d").alias("deletions"), F.col("e.i").alias("insertions"))
+
+
 @query("a16_corpus_rate", f"select sum(levenshtein(replace(reference, '12 mg', '12mg'), found)) / sum(length(reference) - 1) as rate from {PAIRS}")
 def a16(spark, d):
     from larder.functions.text import fold_metric

@@ -143,6 +143,17 @@ def f38(spark, d):
     return products(spark, d).select("barcode", T.word_similarity(q, t).alias("forward"), T.word_similarity(t, q).alias("backward"))
 
 
+@query("f06_sql_functions", f"""select barcode, trim(regexp_replace(regexp_replace(lower(strip_accents(t)), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g')) as folded, {similarity_sql("'red widget'", "u")} as similarity
+    from (select barcode, 'Açúcar ' || name || ' ñ' as t, lower(strip_accents('Açúcar ' || name || ' ñ')) as u from {PRODUCTS})""")
+def f06_sql(spark, d):
+    """The text functions in a query that is written as SQL."""
+    from larder.functions import sql
+
+    sql.register(spark)
+    told = "select barcode, larder_fold(t) as folded, larder_word_similarity('red widget', larder_unaccent_search(t)) as similarity from (select barcode, concat('Açúcar ', name, ' ñ') as t from {products})"
+    return spark.sql(told, products=products(spark, d))
+
+
 @query("o01_page_of_scans", "select event_id, ts, event_type from events where user_id = 8 order by ts desc, event_id limit 10 offset 10")
 def o01(spark, d):
     mine = table(spark, d, "events").where("user_id = 8").select("event_id", "ts", "event_type")

@@ -50,3 +50,21 @@ def test_items(spark):
     values = ["sal, açúcar; -água.-, 12, x", "a b\nc d\r\n7", None, "", "só"]
     assert apply(spark, T.split_items, values) == [["sal", "açúcar", "água"], ["a b", "c d"], [], [], ["só"]]
     assert apply(spark, T.canonical_list, [" a , ,b"]) == [["a", "b"]]
+
+
+def test_functions_of_sql_equal_those_of_columns(spark):
+    from pyspark.sql import functions as F
+
+    from larder.functions import sql
+    from larder.functions import text as T
+
+    sql.register(spark)
+    texts = ["Açúcar (30 MG) d'été", "Straße øre Ærø Łódź", "  A\u0301 \tb\\n ", "", None, "über-cool 5 kcal", "İstanbul ĳ ŉ"]
+    df = spark.createDataFrame([(t, u) for t in texts for u in ("acucar ete", "strasse", "", None)], "t string, u string")
+    pairs = {"unaccent": T.unaccent, "unaccent_search": T.unaccent_search, "fold": T.fold, "fold_deleting": T.fold_deleting, "fold_letters": T.fold_letters, "fold_metric": T.fold_metric, "trigrams": T.trigrams}
+    for name, column in pairs.items():
+        got = df.select(F.expr(f"larder_{name}(t)").alias("a"), column(F.col("t")).alias("b")).collect()
+        assert [r["a"] for r in got] == [r["b"] for r in got], name
+    got = df.select(F.expr("larder_word_similarity(t, u)").alias("a"), T.word_similarity(F.col("t"), F.col("u")).alias("b")).collect()
+    assert [r["a"] for r in got] == [r["b"] for r in got]
+    assert [r[0] for r in df.select(F.lower(T.unaccent_search(F.col("t")))).distinct().collect() if r[0] and "stras" in r[0]] == ["strasse ore aero lodz"]
