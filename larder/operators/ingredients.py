@@ -26,8 +26,6 @@ FALLBACK_VOCABULARY = {"de": 10000, "da": 8000, "do": 8000, "e": 9000, "com": 40
 #: What is removed from a text, in this order, and where it is split.
 REMOVED = ((r"(?iU)\(?\b(?:INS|INA|E|ADT)\s*\d{3}[a-z]?\b\)?", ""), (r"\([^)]{1,60}\)", ""), (r"[*†‡§¶#@|]", ""), (r"(?U)[A-ZÁÉÍÓÚÀÂÊÔÃÕ\s]{4,}:", " "))
 LONG_WORD, UNKNOWN_PENALTY, MOST_UNKNOWN = 10, 5, 0.6
-#: A vocabulary goes to every task whole; a larger one is refused.
-MOST_VOCABULARY = 1_000_000
 #: Edit distance: a letter in so many, but at least and at most these.
 LETTERS_AN_EDIT, LEAST_EDITS, MOST_EDITS = 6, 1, 3
 
@@ -41,10 +39,11 @@ class Segmenter:
     """F-12: the cheapest way to cut a run of letters into words. A word of the vocabulary costs log(total) - log(its
     frequency), another log(total) and UNKNOWN_PENALTY a letter; ties go to the earliest start of the last word."""
 
-    def __init__(self, vocabulary: dict[str, int]) -> None:
-        self.vocabulary = vocabulary or FALLBACK_VOCABULARY
-        self.longest = max(map(len, self.vocabulary))
-        self.total = math.log(sum(self.vocabulary.values()))
+    def __init__(self, vocabulary: dict[str, int], total: int | None = None, longest: int | None = None) -> None:
+        """With the whole vocabulary's sum of frequencies and longest word, its words that lie in the text at hand are enough."""
+        self.vocabulary = vocabulary if total else vocabulary or FALLBACK_VOCABULARY
+        self.longest = longest or max(map(len, self.vocabulary))
+        self.total = math.log(total or sum(self.vocabulary.values()))
         self.cost = {w: self.total - math.log(n) for w, n in self.vocabulary.items() if n}
 
     def cut(self, letters: str) -> list[str]:
@@ -72,16 +71,30 @@ class Segmenter:
         return " ".join(kept) or word
 
 
-def vocabulary_of(words: DataFrame) -> dict[str, int]:
-    """The vocabulary of rows (word, n), of at most MOST_VOCABULARY words."""
-    rows = words.select("word", "n").limit(MOST_VOCABULARY + 1).collect()
-    if len(rows) > MOST_VOCABULARY:
-        raise ValueError(f"a vocabulary of more than {MOST_VOCABULARY} words")
-    return {r["word"]: r["n"] for r in rows}
+def segmented_words(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(word, parts) of distinct long folded words (word): F-11 with a vocabulary (word, n) of any size. All that may be a word in a text meets the
+    vocabulary in an equi-join, and each text is cut by what is left; the whole vocabulary goes nowhere."""
+    known = vocabulary.where("n > 0 and word is not null").groupBy("word").agg(F.max("n").cast("long").alias("n"))
+    total, longest = known.agg(F.sum("n"), F.max(F.length("word"))).first()
+    if not total:
+        known = vocabulary.sparkSession.createDataFrame(list(FALLBACK_VOCABULARY.items()), "word string, n long")
+        total, longest = sum(FALLBACK_VOCABULARY.values()), max(map(len, FALLBACK_VOCABULARY))
+    runs = words.select("word", F.regexp_replace("word", "[^a-z]", "").alias("run")).where("run <> ''")
+    inside = F.expr(f"array_distinct(flatten(transform(sequence(1, length(run)), at -> transform(sequence(1, least({longest}, length(run) - at + 1)), size -> substr(run, at, size)))))")
+    found = runs.select("word", F.explode(inside).alias("part")).join(known.withColumnRenamed("word", "part"), "part").groupBy("word").agg(F.collect_list("part").alias("parts"), F.collect_list("n").alias("ns"))
+
+    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, parts, ns = (batch.column(i).to_pylist() for i in range(3))
+            out = [Segmenter(dict(zip(p or (), n or ())), total, longest).meaningful(w) for w, p, n in zip(own, parts, ns)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["word", "parts"])
+
+    return words.join(found, "word", "left").select("word", "parts", "ns").mapInArrow(cut, "word string, parts string")
 
 
-def tokens(docs: DataFrame, id_col: str, text: str, vocabulary: dict[str, int] | None = None) -> DataFrame:
-    """(id, pos, original, normalized): F-10. Only tokens with a long word go through Python."""
+def tokens(docs: DataFrame, id_col: str, text: str, vocabulary: dict[str, int] | DataFrame | None = None) -> DataFrame:
+    """(id, pos, original, normalized): F-10. Only long words go through Python: each as it comes by a small vocabulary that every task has, or
+    each distinct one once by a table (word, n) of any size."""
     cleaned = F.coalesce(F.col(text), F.lit(""))
     for pattern, to in REMOVED:
         cleaned = F.regexp_replace(cleaned, pattern, to)
@@ -90,6 +103,13 @@ def tokens(docs: DataFrame, id_col: str, text: str, vocabulary: dict[str, int] |
     words = F.filter(F.transform(F.split("original", r"(?U)\s+", -1), fold), lambda w: w != "")
     parts = parts.withColumn("words", words).withColumn("long", F.exists("words", lambda w: F.length(w) > LONG_WORD))
     short = parts.where("not long").select("id", "pos", "original", F.array_join("words", " ").alias("normalized"))
+    if isinstance(vocabulary, DataFrame):
+        rows = parts.where("long").withColumn("_row", F.monotonically_increasing_id()).select("_row", "id", "pos", "original", F.posexplode("words").alias("nth", "word"))
+        asked = written(rows.where(F.length("word") > LONG_WORD).select("word").distinct(), "long")
+        both = rows.join(written(segmented_words(asked, vocabulary), "segmented"), "word", "left")
+        whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", F.coalesce("parts", "word").alias("w")))), lambda x: x["w"]), " ")
+        cut = both.groupBy("_row", "id", "pos", "original").agg(whole.alias("normalized")).drop("_row")
+        return short.unionByName(cut).where(F.length("normalized") >= 3)
 
     def segmented(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segmenter, known = Segmenter(vocabulary or {}), {}

@@ -11,20 +11,27 @@ from larder.plans.registry import query, table
 from larder.sources.response_cache import ResponseCache
 from larder.streaming.operators import shared_folder
 
-FETCHED = """j as (select event_id, 's' || user_id as sha256, 'DOCUMENT_TEXT_DETECTION' as feature, 'pt' as hints, event_id as "at", user_id, user_id % 7 = 0 as k, user_id % 5 > 2 as ok, row_number() over (partition by user_id order by event_id) as n from events),
-    f as (select event_id, sha256, feature, hints, "at", k or (ok and n > 1) as cache_hit, case when k then 'kept ' || user_id when ok then 'answer ' || user_id end as response, not (k or (ok and n > 1)) as called,
-        case when not k and not ok then case user_id % 5 when 0 then 'generic_error' when 1 then 'quota_exceeded' else 'timeout' end end as error,
-        case when not k and not ok then case when user_id % 5 = 0 then '' else 'm' || user_id end end as message, case when not k and user_id % 5 = 1 then 'timeout' else '' end as secondary from j)"""
+FETCHED = """u as (select user_id, arg_max(event_type, event_id) as last_type, arg_max(value, event_id) as seconds, arg_max(cast(props ->> '$.k' as integer), event_id) as k, max(event_id) as last,
+      arg_max(props, event_id) filter (where event_type <> 'error') as answer, arg_min(event_type, event_id) = 'purchase' as kept, arg_min(props, event_id) as first from events group by 1),
+    o as (select *, answer is null or last_type = 'error' or seconds > 30 as fails, seconds > 30 as late from u),
+    j as (select event_id, 's' || user_id as sha256, 'DOCUMENT_TEXT_DETECTION' as feature, 'pt' as hints, event_id as "at", o.*, kept or (not fails and row_number() over (partition by user_id order by event_id) > 1) as hit from events join o using (user_id)),
+    f as (select event_id, sha256, feature, hints, "at", hit as cache_hit, case when kept then first when not fails then answer end as response, not hit as called,
+        case when not hit and fails then case when last_type = 'error' and k < 50 then 'quota_exceeded' when last_type = 'error' then 'auth_error' when late then 'timeout' else 'generic_error' end end as error,
+        case when not hit and fails then last_type || ' ' || last end as message, case when not hit and last_type = 'error' and late then 'timeout' else '' end as secondary from j)"""
 
 
 def fetch(spark, d):
-    """Requests of users: some responses are kept, some keys have no outcome, errors or a late answer."""
+    """Requests for users' pictures. What an engine gives is what happened to a user last: its events hold the answer, how long it took, and
+    errors; of users whose first event was a purchase, that one's answer is kept."""
     e = table(spark, d, "events")
     key = [F.concat(F.lit("s"), "user_id").alias("sha256"), F.lit("DOCUMENT_TEXT_DETECTION").alias("feature"), F.lit("pt").alias("hints")]
     requests = e.select("event_id", *key, F.col("event_id").alias("at"))
-    users = e.select("user_id").distinct()
-    cache = users.where("user_id % 7 = 0").select(*key, F.concat(F.lit("kept "), "user_id").alias("response"))
-    outcomes = users.where("user_id % 5 <> 0").select(*key, F.expr("case when user_id % 5 <> 1 then concat('answer ', user_id) end as response"), F.expr("case user_id % 5 when 2 then 40D else 1D end as seconds"), F.expr("case user_id % 5 when 1 then array('timeout', 'quota_exceeded') end as classes"), F.concat(F.lit("m"), "user_id").alias("message"))
+    last = lambda c: F.max_by(c, "event_id")
+    k = F.get_json_object("props", "$.k").cast("int")
+    users = e.groupBy("user_id").agg(last("event_type").alias("last_type"), last("value").alias("seconds"), last(k).alias("k"), F.max("event_id").alias("last"), F.max_by(F.when(F.col("event_type") != "error", F.col("props")), F.when(F.col("event_type") != "error", F.col("event_id"))).alias("answer"), F.min_by("event_type", "event_id").alias("first_type"), F.min_by("props", "event_id").alias("first"))
+    cache = users.where("first_type = 'purchase'").select(*key, F.col("first").alias("response"))
+    classes = F.expr("case when last_type = 'error' then array(if(k < 50, 'quota_exceeded', 'auth_error')) end")
+    outcomes = users.select(*key, F.col("answer").alias("response"), "seconds", classes.alias("classes"), F.concat_ws(" ", "last_type", "last").alias("message"))
     return R.fetched(requests, cache, outcomes).withColumn("secondary", F.array_join("secondary", ","))
 
 

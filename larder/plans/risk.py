@@ -173,11 +173,11 @@ def f29(spark, d):
 
 @query("f12_segmentation")
 def f12(spark, d):
-    """Part names without their space, cut by a vocabulary of their words and frequencies, of a checked size."""
+    """Part names without their space, cut by a vocabulary of their words and frequencies."""
     part = table(spark, d, "part")
     words = part.select(F.explode(F.split("p_name", " ")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     joined = part.select("p_partkey", F.concat(F.regexp_replace("p_name", " ", ""), F.lit("box")).alias("text"))
-    return I.tokens(joined, "p_partkey", "text", I.vocabulary_of(words))
+    return I.tokens(joined, "p_partkey", "text", words)
 
 
 @query("f11_normalized_words", f"with {TOKENS} select original, min(normalized) as normalized from toks group by original")

@@ -131,3 +131,19 @@ def test_matching_reads_the_texts_once(spark, tiny):
         plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
         assert len(re.findall("FileScan parquet .*p_partkey", plan)) <= 2 and len(re.findall("FileScan", plan)) <= 3, plan
         assert len(re.findall("MapInArrow", plan)) <= 1
+
+
+def test_a_vocabulary_of_any_size_cuts_as_a_small_one(spark):
+    import random
+
+    r = random.Random(5)
+    vocabulary = {"".join(r.choice("abcde") for _ in range(r.randrange(2, 9))): r.randrange(1, 9000) for _ in range(300)}
+    words = list(vocabulary)
+    texts = [(i, ", ".join(" ".join("".join(r.choice(words) for _ in range(r.randrange(1, 5))) + r.choice(["", "x", "é", "9"]) for _ in range(r.randrange(1, 4))) for _ in range(3))) for i in range(80)]
+    texts += [texts[0], (90, None), (91, ""), (92, "zzzzzzzzzzzzzzzzzz"), (93, "12345678901234")]
+    docs = spark.createDataFrame(texts, "id int, text string")
+    table = spark.createDataFrame([(w, n) for w, n in vocabulary.items()] + [(words[0], 0), (None, 5)], "word string, n int")
+    small = sorted(map(tuple, I.tokens(docs, "id", "text", vocabulary).collect()))
+    assert sorted(map(tuple, I.tokens(docs, "id", "text", table).collect())) == small and len(small) > 150
+    none = table.limit(0)
+    assert sorted(map(tuple, I.tokens(docs, "id", "text", none).collect())) == sorted(map(tuple, I.tokens(docs, "id", "text", {}).collect()))
