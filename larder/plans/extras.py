@@ -75,7 +75,9 @@ def pictures(spark, d):
     """A picture for each supplier (key, height, width, pixels); what it shows is told by the rest."""
     at = PIXEL.replace("~", "div")
     of = f"transform(array(named_struct('x', (i div channels) % width, 'y', (i div channels) div width, 'c', i % channels)), p -> {re.sub(r'(?<![a-z_.])([xyc])(?![a-z_])', r'p.\1', at)})[0]"
-    made = sizes(spark, d).withColumn("channels", F.expr("if(shown = 'colour', 3, 1)"))
+    # a row here is a few numbers, and becomes a picture: as many tasks as a shuffle has, whatever the rows' size
+    spread = sizes(spark, d).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")
+    made = spread.withColumn("channels", F.expr("if(shown = 'colour', 3, 1)"))
     hexes = F.array_join(F.expr(f"transform(sequence(0, height * width * channels - 1), i -> substr(hex(256 + {of}), 2))"), "")
     return made.withColumn("pixels", F.unhex(hexes)).drop("channels")
 
@@ -84,6 +86,62 @@ def pictures(spark, d):
 BINARY = "grayscale; otsu_threshold; ensure_black_text_on_white"
 
 
+def _levels(value: str) -> str:
+    """SQL for the grey value of a place: channels weighed and rounded, where there are several."""
+    at = lambda c: "(" + re.sub(r"\bc\b", str(c), value).replace("~", "//") + ")"
+    return f"case when shown = 'colour' then round_even(0.114 * {at(0)} + 0.587 * {at(1)} + 0.299 * {at(2)}, 0) else {at(0)} end"
+
+
+def _pixel_sql() -> str:
+    """SQL for steps that a query can express, pixel by pixel: windows along rows and columns take what is there at the borders, which for least and
+    greatest values is the same as repeated borders."""
+    over = lambda pick, column, by, order, before, after: f"{pick}({column}) over (partition by key, {by} order by {order} rows between {before} preceding and {after} following)"
+
+    def morph(table: str, pick: str, before: int, after: int) -> str:
+        return f"(select * replace ({over(pick, 'v', 'y', 'x', before, after)} as v) from (select * replace ({over(pick, 'v', 'x', 'y', before, after)} as v) from {table}))"
+
+    beside = "over (partition by key, y order by x)"
+    below = "over (partition by key, x order by y)"
+    triples = f"(select *, [coalesce(lag(v) {beside}, v), v, coalesce(lead(v) {beside}, v)] as t from g)"
+    steps = {
+        "grayscale": "g",
+        "grayscale; invert": "(select * replace (255 - v as v) from g)",
+        "grayscale; otsu_threshold": "(select g.* replace (case when v > level then 255 else 0 end as v) from g join otsu using (key))",
+        "grayscale; ensure_black_text_on_white": "(select g.* replace (case when dark > 0.5 then 255 - v else v end as v) from g join darkness using (key))",
+        "grayscale; thin_text_if_thick": f"(select t.* exclude (e) replace (case when dark >= 0.14 then e else v end as v) from (select g.*, thin.v as e from g join {morph('g', 'min', 1, 0)} thin using (key, i)) t join darkness using (key))",
+        "grayscale; morph_erode": morph("g", "min", 1, 0),
+        "grayscale; morph_dilate": morph("g", "max", 1, 0),
+        "grayscale; morph_close": morph(morph("g", "max", 1, 1), "min", 1, 1),
+        "grayscale; morph_open": morph(morph("g", "min", 1, 1), "max", 1, 1),
+        "grayscale; median_blur": f"(select * exclude (t) replace (list_sort(coalesce(lag(t) {below}, t) || t || coalesce(lead(t) {below}, t))[5] as v) from {triples})",
+    }
+    parts = " union all ".join(f"select key, '{name}' as steps, any_value(height) as height, any_value(width) as width, cast(sum(v * (i % {images.MARKS} + 1)) as bigint) as mark from {rows} group by key" for name, rows in steps.items())
+    return f"""with g as materialized (select key, height, width, i, x, y, cast({_levels(PIXEL)} as integer) as v from (select p_partkey as key, * exclude (p_partkey), i % width as x, i // width as y from (select *, unnest(range(0, width * height)) as i from {DUCK_SIZES}))),
+    darkness as (select key, avg(case when v < 128 then 1.0 else 0.0 end) as dark from g group by key),
+    levels as (select key, v, sum(n) over w as low, sum(n) over (partition by key) as total, sum(n * v) over w as below, sum(n * v) over (partition by key) as whole from (select key, v, count(*) as n from g group by 1, 2) window w as (partition by key order by v)),
+    otsu as (select key, coalesce(arg_max(v, [low * (total - low) * (below / low - (whole - below) / (total - low)) ** 2, -v]) filter (where low < total), 0) as level from levels group by key)
+    {parts}""", list(steps)
+
+
+PIXEL_SQL, PIXEL_STEPS = _pixel_sql()
+
+
+@query("i03_steps_by_pixels", PIXEL_SQL)
+def i03(spark, d):
+    """Steps that only compare, count or pick pixels, on every picture."""
+    steps = F.explode(F.array(*[F.lit(s) for s in PIXEL_STEPS])).alias("steps")
+    return images.marked(pictures(spark, d).select("p_partkey", "height", "width", "pixels", steps), "p_partkey", "steps")
+
+
+@query("i01_sizes", f"""select p_partkey as key, step as steps, cast(case when step = 'resize_max_height' then least(height, 500) else greatest(height, 600) end as integer) as height,
+    cast(case when step = 'resize_max_height' and height > 500 then round_even(width * (500.0::double / height), 0) when step = 'resize_min_height' and height < 600 then round_even(width * (600.0::double / height), 0) else width end as integer) as width
+    from {DUCK_SIZES}, (values ('resize_max_height'), ('resize_min_height')) s(step)""")
+def i01_sizes(spark, d):
+    """Pictures that are too high or too low get a height of their own, and a width that keeps their shape."""
+    steps = F.explode(F.array(F.lit("resize_max_height"), F.lit("resize_min_height"))).alias("steps")
+    return images.marked(pictures(spark, d).select("p_partkey", "height", "width", "pixels", steps), "p_partkey", "steps").drop("mark")
+
+
 @query("i01_image_steps")
 def i01(spark, d):
     """Every image step on every picture."""
@@ -178,12 +236,6 @@ def j06(spark, d):
     return history.delete(e, e.where("event_type = 'error'"), ["event_id"]).select("event_id")
 
 
-def _levels(value: str) -> str:
-    """SQL for the grey value of a place: channels weighed and rounded, where there are several."""
-    at = lambda c: "(" + re.sub(r"\bc\b", str(c), value).replace("~", "//") + ")"
-    return f"case when shown = 'colour' then round_even(0.114 * {at(0)} + 0.587 * {at(1)} + 0.299 * {at(2)}, 0) else {at(0)} end"
-
-
 @query("a17_dark_share", f"""select key, avg(case when {_levels(PIXEL)} < 128 then 1.0 else 0.0 end) as dark from
     (select p_partkey as key, *, i % width as x, i // width as y from (select *, unnest(range(0, width * height)) as i from {DUCK_SIZES})) group by key""")
 def a17(spark, d):
