@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from larder.functions import images
@@ -71,15 +73,42 @@ DUCK_SIZES = f"""(select p_partkey, lines, quantity, shown, cols, lanes, cw, ch,
     (select l_suppkey as p_partkey, count(*) as lines, cast(sum(trunc(l_quantity)) as bigint) as quantity from lineitem group by 1))))"""
 
 
+def drawn(shown: str, lines: int, cols: int, lanes: int, cw: int, ch: int, margin: int, width: int, height: int) -> np.ndarray:
+    """A picture, as INK and PIXEL have it in SQL."""
+    y, x = np.mgrid[0:height, 0:width]
+    between = lambda v, a, b: (v >= a) & (v < b)
+    if shown == "panel":
+        u, v = x + y // 5, y - x // 5
+        ink = between(u, 60, 200) & between(v, 10, 110) & ~(between(u, 62, 198) & between(v, 12, 108))
+    elif shown == "text":
+        ink = between(x, 30, 130) & between(y, 40, 148) & (y % 18 < 8) & (x % 12 < 9)
+    elif shown == "aslant":
+        u, v = x - y // 12, y + x // 12
+        ink = between(u, 50, 170) & between(v, 30, 138) & (v % 18 < 8) & (u % 14 < 9)
+    elif shown == "blank":
+        ink = np.zeros((height, width), bool)
+    else:
+        u, v = x - margin, y - margin
+        ruled = (u % cw < 2) | (v % ch < 2)
+        dots = between(u % cw, 10, 15) & between(v % ch, 12, 16 + lines % 2)
+        ink = between(u, 0, cols * cw + 2) & between(v, 0, lanes * ch + 2) & (ruled | dots)
+    if shown == "colour":
+        return np.stack([np.where(ink, dark, 250 - 20 * c) for c, dark in enumerate((30, 20, 90))], axis=2).astype(np.uint8)
+    return np.where(ink, *((225, 30) if shown == "dark" else (25, 235))).astype(np.uint8)
+
+
 def pictures(spark, d):
     """A picture for each supplier (key, height, width, pixels); what it shows is told by the rest."""
-    at = PIXEL.replace("~", "div")
-    of = f"transform(array(named_struct('x', (i div channels) % width, 'y', (i div channels) div width, 'c', i % channels)), p -> {re.sub(r'(?<![a-z_.])([xyc])(?![a-z_])', r'p.\1', at)})[0]"
     # a row here is a few numbers, and becomes a picture: as many tasks as a shuffle has, whatever the rows' size
     spread = sizes(spark, d).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")
-    made = spread.withColumn("channels", F.expr("if(shown = 'colour', 3, 1)"))
-    hexes = F.array_join(F.expr(f"transform(sequence(0, height * width * channels - 1), i -> substr(hex(256 + {of}), 2))"), "")
-    return made.withColumn("pixels", F.unhex(hexes)).drop("channels")
+    given = ("shown", "lines", *(name for name, _ in SIZES))
+
+    def run(batches):
+        for batch in batches:
+            made = [drawn(**row).tobytes() for row in batch.select(given).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.binary())], [*batch.schema.names, "pixels"])
+
+    return spread.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in spread.schema) + ", pixels binary")
 
 
 #: The step that makes a picture what cells and lines are looked for in.
