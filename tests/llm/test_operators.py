@@ -509,6 +509,18 @@ def test_components(spark, monkeypatch, together):
     assert dict(rows(found)) == {x: root(x) for x in touched}
 
 
+def test_links_that_meet_only_through_a_leader_are_found(spark):
+    """The worst geometry: of a text's 200 shingles its first 160 are another's, to which it is linked, and its last 130 a third's, the least id,
+    which is 0.65 like the one and 0.45 like the other. What the third leads ties the two all the same."""
+    data = []
+    for t in range(250):
+        words = [f"t{t}w{i}" for i in range(201)]
+        data += [(3 * t, " ".join(words[70:])), (3 * t + 1, " ".join(words[:161])), (3 * t + 2, " ".join(words))]
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(data, "doc_id long, text string"), k=2, percent=80).collect()}
+    linked = sum(got[3 * t + 2] == 3 * t + 1 for t in range(250))
+    assert linked >= 248 and all(got[3 * t] == 3 * t for t in range(250))
+
+
 # 8
 
 
