@@ -38,13 +38,13 @@ def test_stages(spark):
 
 
 def test_result_has_the_order_of_the_mix(spark, tmp_path):
-    """Ordered by part and row, the encoded rows follow the schedule, whether the mix is read from its files or not."""
+    """Ordered by slot and place, the encoded rows follow the schedule, whether the mix is read from its files or not."""
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet").repartition(5)
     mixed = P.mix_sources(spark, docs, FOLDER)
     want = [r["doc_id"] for r in P.mixing.schedule(docs, P.mixing.tempered(docs)).orderBy("slot", "place").collect()]
     mixed.write.parquet(str(tmp_path / "mixed"))
     for rows in (mixed, spark.read.parquet(str(tmp_path / "mixed"))):
-        assert [r["doc_id"] for r in P.encode(spark, rows, FOLDER).orderBy("part", "row").collect()] == want
+        assert [r["doc_id"] for r in P.encode(spark, rows, FOLDER).orderBy("slot", "place").collect()] == want
 
 
 def test_odd_and_empty_documents(spark, tmp_path):
