@@ -182,7 +182,7 @@ def test_steps_change_some_pictures_and_leave_some(spark, tiny):
     assert changed["ensure_black_text_on_white"] == {"dark", "colour"} and "aslant" in changed["deskew"] and "text" not in changed["deskew"]
     white = {k: images.apply_steps(i, extras.BINARY) for k, i in kinds.items()}
     assert {k for k, i in white.items() if not np.array_equal(images.remove_grid_lines(i), i)} == {"framed", "table", "dark", "colour", "tall", "panel"}
-    assert changed["invert"] == set(kinds) and all(changed.values())
+    assert changed["invert"] == set(kinds) and [name for name, some in changed.items() if not some] == ["bilateral_filter"]  # there are no shades to smooth
     found = {k: regions.region_found(i, "text" if k in ("text", "aslant") else "table")[0] for k, i in kinds.items()}
     assert set(found.values()) == {"grid", "quadrilateral", "text", "none"}
 
