@@ -221,12 +221,12 @@ def w04(spark, d):
 
 @query("w06_gaps", f"{BY_MEAN} select * from gap")
 def w06(spark, d):
-    return layout.gaps(layout.rows_by_mean(words(spark, d), "page"), "page")
+    return layout.gaps(words(spark, d), "page")
 
 
 @query("a13_separators", f"{BY_MEAN} select * from sep")
 def a13(spark, d):
-    return layout.separators(layout.gaps(layout.rows_by_mean(words(spark, d), "page"), "page"), "page")
+    return layout.separators(words(spark, d), "page")
 
 
 @query("f35_table_text", f"""{BY_MEAN}, tab as (select distinct page, row, place from (select page, row, place, unnest(range(start, stop)) as x from gap where stop - start > 10) join sep using (page, x)),

@@ -93,3 +93,52 @@ def test_plans(spark, tiny):
         search.page(part, [F.asc("barcode")], 0, 10)
     upload = spark.createDataFrame([(11, "image/png"), (0, "image/png"), (5, "text/plain"), (5, None)], "n int, t string")
     assert [r[0] for r in upload.select(lookup.upload_verdict(F.col("n"), F.col("t"), 10)).collect()] == [413, 400, 400, 200]
+
+
+def plain_rows(words):
+    """(rows, gaps, separators, text) of one page's words (text, x1, y1, x2, y2), word by word."""
+    heights = sorted(y2 - y1 for _, _, y1, _, y2 in words if y2 > y1)
+    most, rows = max(6, int(heights[len(heights) // 2] * 0.55)) if heights else 6, []
+    for c, x1, x2, _, _, text in sorted(((y1 + y2) // 2, x1, x2, y1, y2, t) for t, x1, y1, x2, y2 in words):
+        row = next((r for r in rows if abs(c - sum(w[1] for w in r) / len(r)) <= most), None)
+        rows.append(row := []) if row is None else None
+        row.append((x1, c, x2, text))
+    rows = [sorted(r) for r in rows]
+    gaps = [(n, i + 1, r[i - 1][2], r[i][0]) for n, r in enumerate(rows) for i in range(1, len(r))]
+    taken = {}
+    for n, _, start, stop in gaps:
+        for x in range(start, stop) if stop - start >= 10 else ():
+            taken.setdefault(x, set()).add(n)
+    shared = {x: len(r) for x, r in taken.items() if len(r) >= 2}
+    tabs = {(n, place) for n, place, start, stop in gaps if stop - start > 10 and any(x in shared for x in range(start, stop))}
+    text = "\n".join("".join(("" if i == 0 else "\t" if (n, i + 1) in tabs else " ") + w[3] for i, w in enumerate(r)) for n, r in enumerate(rows))
+    return rows, gaps, shared, text
+
+
+def test_pages_at_once_as_word_by_word(spark):
+    import random
+
+    rng = random.Random(5)
+    pages = {k: [] for k in range(60)}
+    for k, words in pages.items():
+        for i in range(rng.choice((1, 2, 12, 90))):
+            x, y = rng.randrange(300), rng.randrange(120)
+            words.append((rng.choice("abç") * rng.randrange(1, 3), x, y, x + rng.randrange(-20, 60), y + rng.randrange(-2, 25)))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 37)  # pages go on in other batches
+    try:
+        df = spark.createDataFrame([(k, *w) for k, words in pages.items() for w in words], "page int, text string, x1 int, y1 int, x2 int, y2 int")
+        want = {k: plain_rows(words) for k, words in pages.items()}
+        assert {r["page"]: r["text"] for r in layout.table_text(df, "page").collect()} == {k: w[3] for k, w in want.items()}
+        assert sorted(map(tuple, layout.rows_by_mean(df, "page").select("page", "row", "place", "x1", "c", "x2", "text").collect())) == [(k, n, i, *w) for k, v in want.items() for n, r in enumerate(v[0]) for i, w in enumerate(r, 1)]
+        assert sorted(map(tuple, layout.gaps(df, "page").collect())) == sorted((k, *g) for k, v in want.items() for g in v[1])
+        assert sorted(map(tuple, layout.separators(df, "page").collect())) == sorted((k, x, n) for k, v in want.items() for x, n in v[2].items())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for found in (layout.table_text, layout.rows_by_mean, layout.gaps, layout.separators):  # a page is shuffled once, and pixels not at all
+        assert found(df, "page")._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 1
+        assert found(df, "page")._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def test_words_without_boxes_keep_their_page(spark):
+    df = spark.createDataFrame([(None, "a", None, 0, 5, 10), (None, None, 40, 0, 60, 10), (1, "b", 0, None, 5, 10)], "page int, text string, x1 int, y1 int, x2 int, y2 int")
+    assert sorted((r["page"] or 0, r["text"]) for r in layout.table_text(df, "page").collect()) == [(0, "a"), (1, "b")]
