@@ -2,6 +2,8 @@
 
 import json
 
+from pyspark.sql import functions as F
+
 from larder.sources import preset_files as P
 from larder.sources import presets
 
@@ -35,3 +37,22 @@ def test_files_of_presets(spark, tmp_path):
     assert P.load(spark, str(tmp_path / "none")).collect() == []
     order = [r["name"] for r in presets.ordered(P.load(spark, str(tmp_path)).where("error is null and category = 'table'")).collect()]
     assert order == ["b", "c"]
+
+
+def test_many_files_are_read_in_few_tasks(spark, tmp_path):
+    body = json.dumps({"name": "n", "kind": "linear_text", "steps": [], "ocr": {}})
+    files = spark.range(500).selectExpr("'text' as category", "id as file", "id").withColumn("body", F.when(F.col("id") % 9 == 0, "{").otherwise(F.lit(body)))
+    P.write(files, str(tmp_path))
+    P.write(files, str(tmp_path))  # a second attempt
+    found = P.load(spark, str(tmp_path))
+    assert found.rdd.getNumPartitions() == P.MOST_PARTITIONS
+    assert sorted((int(r["file"]), r["name"], r["error"]) for r in found.collect()) == [(n, None, "not JSON") if n % 9 == 0 else (n, "n", None) for n in range(500)]
+
+
+def test_presets_of_suppliers_that_share_a_name(spark, tiny, tmp_path):
+    from larder.plans.attempts import s08
+
+    supplier = spark.read.parquet(f"{tiny}/supplier.parquet")
+    supplier.withColumn("s_name", F.lit("same")).write.parquet(f"{tmp_path}/supplier.parquet")
+    got = sorted(r["s_suppkey"] for r in s08(spark, str(tmp_path)).collect())
+    assert got and got == sorted(r["s_suppkey"] for r in s08(spark, tiny).collect())
