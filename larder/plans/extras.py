@@ -97,18 +97,26 @@ def drawn(shown: str, lines: int, cols: int, lanes: int, cw: int, ch: int, margi
     return np.where(ink, *((225, 30) if shown == "dark" else (25, 235))).astype(np.uint8)
 
 
-def pictures(spark, d):
-    """A picture for each supplier (key, height, width, pixels); what it shows is told by the rest."""
-    # a row here is a few numbers, and becomes a picture: as many tasks as a shuffle has, whatever the rows' size
-    spread = sizes(spark, d).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")
+#: So many pictures are held at once.
+PICTURES = 16
+
+
+def with_pixels(batches):
+    """Rows with their pictures' pixels, a few at a time, however many come at once."""
     given = ("shown", "lines", *(name for name, _ in SIZES))
+    for batch in batches:
+        for at in range(0, batch.num_rows, PICTURES):
+            rows = batch.slice(at, PICTURES)
+            made = [drawn(**row).tobytes() for row in rows.select(given).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(made, pa.binary())], [*rows.schema.names, "pixels"])
 
-    def run(batches):
-        for batch in batches:
-            made = [drawn(**row).tobytes() for row in batch.select(given).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.binary())], [*batch.schema.names, "pixels"])
 
-    return spread.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in spread.schema) + ", pixels binary")
+def pictures(spark, d):
+    """A picture for each supplier (key, height, width, pixels); what it shows is told by the rest."""
+    # a row here is a few numbers, and becomes a picture: as many tasks as a shuffle has, whatever the rows' size. By the key itself, rows lie together
+    # already, and the planner leaves out this shuffle and puts the partitions of the one before together, down to a single task
+    spread = sizes(spark, d).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("p_partkey"))
+    return spread.mapInArrow(with_pixels, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in spread.schema) + ", pixels binary")
 
 
 #: The step that makes a picture what cells and lines are looked for in.

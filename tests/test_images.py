@@ -215,3 +215,43 @@ def test_steps_of_presets_carry_their_parameters():
     for bad in ("blur", "invert size=3"):
         with pytest.raises((ValueError, TypeError)):
             I.apply_steps(image, bad)
+
+
+def test_steps_hold_little_beside_the_picture():
+    import tracemalloc
+
+    image = np.random.default_rng(1).integers(0, 256, (300, 400)).astype(np.uint8)
+    for step in ("bilateral_filter diameter=11", "median_blur", "morph_dilate kernel_size=60"):
+        tracemalloc.start()
+        I.apply_steps(image, step)
+        assert tracemalloc.get_traced_memory()[1] < 10_000_000  # 0.12 MB in; windows of all pixels took 100 MB and more
+        tracemalloc.stop()
+
+
+def test_windows_as_pixel_by_pixel():
+    image = np.random.default_rng(2).integers(0, 256, (13, 17)).astype(np.uint8)
+    for rows, columns in ((1, 1), (2, 2), (1, 5), (7, 3), (12, 30)):
+        padded = np.pad(image, ((rows // 2, (rows - 1) // 2), (columns // 2, (columns - 1) // 2)), mode="edge")
+        for pick in (np.min, np.max):
+            assert (I._morph(image, rows, columns, pick) == [[pick(padded[y : y + rows, x : x + columns]) for x in range(17)] for y in range(13)]).all()
+    for n in (3, 5):
+        padded = np.pad(image, n // 2, mode="edge")
+        assert (I.median_blur(image, n) == [[np.median(padded[y : y + n, x : x + n]) for x in range(17)] for y in range(13)]).all()
+
+
+def test_pictures_are_made_a_few_at_a_time():
+    import pyarrow as pa
+
+    from larder.plans import extras
+
+    row = {"p_partkey": 1, "shown": "table", "lines": 3, "cols": 3, "lanes": 5, "cw": 70, "ch": 42, "margin": 0, "width": 212, "height": 212}
+    out = list(extras.with_pixels([pa.RecordBatch.from_pylist([row | {"p_partkey": n} for n in range(50)])]))
+    assert [b.num_rows for b in out] == [16, 16, 16, 2] and [k for b in out for k in b.column("p_partkey").to_pylist()] == list(range(50))
+
+
+def test_pictures_are_made_in_many_tasks(spark, tiny):
+    from larder.plans import extras
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", True)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert extras.pictures(spark, tiny).select("p_partkey").rdd.getNumPartitions() == n > 1
