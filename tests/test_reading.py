@@ -215,3 +215,27 @@ def test_admissions_by_key_equal_those_of_lists(spark):
         assert sorted(got[k]) == sorted(zip(times, history.admissions(times, 3, 20.0)))
         let = history.admissions(times, 3, 20.0)
         assert all(b >= a for a, b in zip(let, let[1:])) and all(sum(x - 20 < y <= x for y in let) <= 3 for x in let)
+
+
+def test_borders_of_some_sizes():
+    r = np.random.default_rng(4)
+    for _ in range(40):
+        ink = r.random((14, 19)) < 0.6
+        size = lambda p: np.prod(np.ptp(p, axis=0) + 1)
+        want = [p.tolist() for p, _ in regions.borders(ink) if 6 <= size(p) <= 60]
+        assert [p.tolist() for p, _ in regions.borders(ink, 6, 60)] == want
+
+
+def test_regions_of_a_busy_picture_take_few_steps():
+    """Runs of pixels are joined in arrays, and only borders that may be a quadrilateral's are followed: the number of calls doesn't go with what a picture shows."""
+    import sys
+
+    image = np.full((400, 400), 235, np.uint8)
+    image[::10], image[:, ::10] = 25, 25  # 1,600 cells
+    calls = [0]
+    sys.setprofile(lambda frame, event, arg: calls.__setitem__(0, calls[0] + (event in ("call", "c_call"))))
+    try:
+        assert regions.region_found(image, "table")[0] == "none"
+    finally:
+        sys.setprofile(None)
+    assert calls[0] < 20_000  # 600,000 and more when each run and border was gone through
