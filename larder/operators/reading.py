@@ -105,7 +105,7 @@ def regions_of(pictures: DataFrame, key: str, category: str) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
-            for h, w, pixels, hint in zip(*(batch.column(i).to_pylist() for i in range(1, 5))):
+            for h, w, pixels, hint in images.by_row(batch, *range(1, 5)):
                 image = images.picture(h, w, pixels)
                 found.append(regions.region_found(image, hint) if image is not None else (None, (None,) * 4))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f for f, _ in found], pa.string()), *(pa.array([b[i] for _, b in found], pa.int32()) for i in range(4))], ["key", "found", "x1", "y1", "x2", "y2"])
@@ -128,7 +128,7 @@ def cells_of(pictures: DataFrame, key: str, steps: str, header: float = 0.0) ->
                 for column, value in zip(rows, values):
                     column.append(value)
 
-            for k, h, w, pixels in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            for k, h, w, pixels in images.by_row(batch, *range(4)):
                 image = images.picture(h, w, pixels)
                 if image is None:
                     continue

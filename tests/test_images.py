@@ -255,3 +255,29 @@ def test_pictures_are_made_in_many_tasks(spark, tiny):
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", True)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert extras.pictures(spark, tiny).select("p_partkey").rdd.getNumPartitions() == n > 1
+
+
+def test_pictures_are_taken_from_a_batch_one_at_a_time(spark, monkeypatch):
+    import tracemalloc
+
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from larder.functions import codecs
+    from larder.operators import reading
+
+    empty = spark.createDataFrame([], "k long, height int, width int, pixels binary")
+    tasks = []
+    monkeypatch.setattr(type(empty), "mapInArrow", lambda df, run, schema: tasks.append((run, df.columns)))
+    blank = empty.withColumn("steps", F.lit("invert"))
+    I.processed(blank, "k", "steps"), I.marked(blank, "k", "steps"), I.cells(empty, "k"), codecs.encoded(empty, "k"), reading.regions_of(blank, "k", "steps")
+    n, side = 200, 400
+    given = {"key": pa.array(range(n)), "height": pa.array([side] * n, pa.int32()), "width": pa.array([side] * n, pa.int32()), "pixels": pa.array([bytes(side * side)] * n), "steps": pa.array(["invert"] * n)}
+    assert len(tasks) == 5
+    for run, columns in tasks:
+        names = ["key", *columns[1:]]
+        batch = pa.RecordBatch.from_arrays([given[c] for c in names], names)
+        tracemalloc.start()
+        assert sum(b.num_rows for b in run([batch])) in (0, n)
+        assert tracemalloc.get_traced_memory()[1] < 20_000_000  # all pixels of the batch are 32 MB
+        tracemalloc.stop()
