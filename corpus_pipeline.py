@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larder.llm import bpe, credentials, mixing, neardup, toxicity
@@ -55,17 +55,26 @@ def _placed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "source", "text", (part * (1 << ROW_BITS) + F.col("_metadata.row_index")).alias("at"))
 
 
+def _positions(rows: DataFrame) -> DataFrame:
+    """(part, start): how many of the rows stand in the files before each file; a row a file."""
+    counts = rows.groupBy(F.shiftright("at", ROW_BITS).alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    return counts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256, slot, place) of each document, decoded from its ids again.
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, slot, place, position) of each document, decoded from its ids again.
 
-    Slot and place are those of the mix: ordered by them, the rows are in the mixing stage's order. They follow from ids and sources of the rows
+    Position, from 0, is where a row stands among all that the mixing stage wrote, in the order of files and of rows in them; rows in another order have others.
+    Slot and place are the schedule's. They follow from ids and sources of the rows
     kept, so they are found again from these alone, by a schedule that no text goes through, and join the encoded rows by where each row stands in its file.
     Null and empty texts have no ids; null ids stay null; repeated rows each get a row and a place; an empty table gives no rows.
     """
     rows = _placed(docs)
     found = bpe.round_trip(rows, public_tokenizers.path("byte_bpe_50k.json"), id_col=("doc_id", "at"), block_bytes=ENCODED_BYTES)
     slots = mixing.schedule(rows.select("doc_id", "source", "at"), mixing.tempered(rows), whole=True)
-    return found.join(slots.select(F.col("row.at").alias("at"), "slot", "place"), "at").select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "slot", "place")
+    placed = found.join(slots.select(F.col("row.at").alias("at"), "slot", "place"), "at").withColumn("part", F.shiftright("at", ROW_BITS))
+    position = F.col("start") + F.col("at").bitwiseAND((1 << ROW_BITS) - 1)
+    return placed.join(F.broadcast(_positions(rows)), "part").select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "slot", "place", position.alias("position"))
 
 
 STAGES = [

@@ -57,3 +57,16 @@ def test_odd_and_empty_documents(spark, tmp_path):
                 assert docs.columns == columns
         # 2 is a copy of 1, its repeat goes with it, 8 is a near copy of 7
         assert docs.count() == (len(ROWS) - 3 if n else 0)
+
+
+def test_result_depends_on_the_order_of_the_mix(spark, tmp_path):
+    """Positions are those of the rows as the mixing stage wrote them; without that stage they are others."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").repartition(3, "doc_id")
+    mixed, plain = P.mix_sources(spark, docs, FOLDER), docs.orderBy("doc_id")
+    want = [[r["doc_id"] for r in frame.collect()] for frame in (mixed, plain)]
+    assert want[0] != want[1]
+    for frame, order in zip((mixed, plain), want):
+        frame.write.mode("overwrite").parquet(str(tmp_path / "rows"))
+        for rows in (frame, spark.read.parquet(str(tmp_path / "rows"))):
+            got = P.encode(spark, rows, FOLDER).orderBy("position").collect()
+            assert [r["doc_id"] for r in got] == order and [r["position"] for r in got] == list(range(len(order)))
