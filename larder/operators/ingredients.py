@@ -210,8 +210,9 @@ def matched_texts(asked: DataFrame, ontology: DataFrame) -> DataFrame:
 
 
 def match(toks: DataFrame, ontology: DataFrame) -> DataFrame:
-    """Tokens with (entry, kind, distance). Texts repeat, so distinct ones are written once, all layers work on that table, and what they
-    find is joined back once. No match: kind none, distance -1."""
+    """Tokens with (entry, kind, distance). Tokens are written once, as they are read twice; texts repeat, so distinct ones are written once, all layers
+    work on that table, and what they find is joined back once. No match: kind none, distance -1."""
+    toks = written(toks, "tokens")
     asked = written(toks.select("normalized").distinct(), "asked")
     every = written(matched_texts(asked, ontology), "matched")
     joined = toks.join(every, "normalized", "left")

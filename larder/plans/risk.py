@@ -60,7 +60,9 @@ MATCH = f"""with {TOKENS}, {INDEX}, asked as (select distinct normalized as n fr
 
 
 def toks(spark, d):
-    return I.tokens(table(spark, d, "part").withColumn("text", F.expr(SPARK_TEXT)), "p_partkey", "text")
+    # a row of a few bytes becomes a text that is cleaned, cut and folded: as many tasks as a shuffle has, however few the file's parts are
+    spread = table(spark, d, "part").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("p_partkey"))
+    return I.tokens(spread.withColumn("text", F.expr(SPARK_TEXT)), "p_partkey", "text")
 
 
 def matches(spark, d):

@@ -147,3 +147,11 @@ def test_a_vocabulary_of_any_size_cuts_as_a_small_one(spark):
     assert sorted(map(tuple, I.tokens(docs, "id", "text", table).collect())) == small and len(small) > 150
     none = table.limit(0)
     assert sorted(map(tuple, I.tokens(docs, "id", "text", none).collect())) == sorted(map(tuple, I.tokens(docs, "id", "text", {}).collect()))
+
+
+def test_tokens_are_made_in_many_tasks(spark, tiny):
+    """The table of parts is one small file; its texts are cut and folded in as many tasks as a shuffle has."""
+    from larder.plans import risk
+
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert risk.toks(spark, tiny).select("id").rdd.getNumPartitions() >= n > 2
