@@ -33,25 +33,16 @@ def edits(reference: list, found: list) -> tuple[int, int, int]:
 
 
 def word_edits(reference: Column, found: Column) -> Column:
-    """A-14 for arrays of words, without Python: struct (s, d, i) of the same cheapest edit. A fold over the reference's words carries one row
-    of the table, whose cells hold total and counts; a row is a fold over the found words. Equal totals go to the choice named first."""
-    cell = lambda total, choice, s, d, i: F.struct(total.alias("t"), F.lit(choice).alias("p"), s.alias("s"), d.alias("d"), i.alias("i"))
-    zero = F.lit(0)
+    """A-14 for arrays of words: struct (s, d, i) of the same cheapest edit; nulls for a null array, and a null word is unlike any other. A fold
+    in SQL would copy the row so far with each of its cells, so its time would go with the square of the found words."""
 
-    def next_row(above: Column, word: Column) -> Column:
-        begin = above[0]
-        first = F.array(cell(begin["t"] + 1, 0, zero, begin["d"] + 1, zero))
-
-        def step(made: Column, at: Column) -> Column:
-            a, b, c = above[at["j"]], above[at["j"] + 1], F.element_at(made, -1)
-            cheapest = F.least(cell(a["t"] + 1, 0, a["s"] + 1, a["d"], a["i"]), cell(b["t"] + 1, 1, b["s"], b["d"] + 1, b["i"]), cell(c["t"] + 1, 2, c["s"], c["d"], c["i"] + 1))
-            return F.concat(made, F.array(F.when(at["w"] == word, a).otherwise(cheapest)))
-
-        return F.aggregate(F.transform(found, lambda w, j: F.struct(w.alias("w"), j.alias("j"))), first, step)
+    def run(pairs: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        own = lambda words: [object() if w is None else w for w in words]
+        for a, b in pairs:
+            out = [(None,) * 3 if x is None or y is None else edits(own(x), own(y)) for x, y in ((v.as_py(), w.as_py()) for v, w in zip(a, b))]
+            yield pa.array([{"s": s, "d": d, "i": i} for s, d, i in out], pa.struct([("s", pa.int32()), ("d", pa.int32()), ("i", pa.int32())]))
 
-    start = F.concat(F.array(cell(zero, 0, zero, zero, zero)), F.transform(found, lambda w, j: cell(j + 1, 0, zero, zero, j + 1)))
-    last = F.element_at(F.aggregate(reference, start, next_row), -1)
-    return F.struct(last["s"].alias("s"), last["d"].alias("d"), last["i"].alias("i"))
+    return F.arrow_udf(run, "s int, d int, i int")(reference, found)
 
 
 def _counted(words: bool):

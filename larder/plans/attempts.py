@@ -332,7 +332,9 @@ def a14_kinds(spark, d):
     from pyspark.sql import Window
 
     after = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))
-    turns = table(spark, d, "conversations").select("conv_id", "turn", F.split("text", " ", -1).alias("a"), F.split(after, " ", -1).alias("b")).where("a is not null and b is not null")
+    # two texts of a few hundred bytes are compared word by word: as many tasks as a shuffle has, which aren't put together for being small
+    spread = table(spark, d, "conversations").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "conv_id")
+    turns = spread.select("conv_id", "turn", F.split("text", " ", -1).alias("a"), F.split(after, " ", -1).alias("b")).where("a is not null and b is not null")
     e = turns.select("conv_id", "turn", metrics.word_edits(F.col("a"), F.col("b")).alias("e"))
     return e.select("conv_id", "turn", F.col("e.s").alias("substitutions"), F.col("e.d").alias("deletions"), F.col("e.i").alias("insertions"))
 

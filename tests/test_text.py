@@ -68,3 +68,25 @@ def test_functions_of_sql_equal_those_of_columns(spark):
     got = df.select(F.expr("larder_word_similarity(t, u)").alias("a"), T.word_similarity(F.col("t"), F.col("u")).alias("b")).collect()
     assert [r["a"] for r in got] == [r["b"] for r in got]
     assert [r[0] for r in df.select(F.lower(T.unaccent_search(F.col("t")))).distinct().collect() if r[0] and "stras" in r[0]] == ["strasse ore aero lodz"]
+
+
+def test_word_edits_of_long_texts_and_nulls(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    from larder.operators import metrics
+
+    rows = [(["a", "b", None], ["a", None, "c"]), (None, ["a"]), (["a"], None), ([], ["a", "b"]), ([f"w{i}" for i in range(800)], [f"w{i}" for i in range(1, 801)])]
+    df = spark.createDataFrame([(n, *r) for n, r in enumerate(rows)], "n int, a array<string>, b array<string>")
+    began = time.monotonic()
+    got = {r["n"]: tuple(r["e"]) for r in df.select("n", metrics.word_edits(F.col("a"), F.col("b")).alias("e")).collect()}
+    assert got == {0: (2, 0, 0), 1: (None,) * 3, 2: (None,) * 3, 3: (0, 0, 2), 4: (0, 1, 1)}
+    assert time.monotonic() - began < 30
+
+
+def test_edits_by_kind_are_counted_in_many_tasks(spark, tiny):
+    from larder.plans import attempts
+
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert attempts.a14_kinds(spark, tiny).rdd.getNumPartitions() == n > 1
