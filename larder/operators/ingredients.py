@@ -93,39 +93,45 @@ def segmented_words(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
 
 def tokens(docs: DataFrame, id_col: str, text: str, vocabulary: dict[str, int] | DataFrame | None = None) -> DataFrame:
-    """(id, pos, original, normalized): F-10. Only long words go through Python: each as it comes by a small vocabulary that every task has, or
-    each distinct one once by a table (word, n) of any size."""
+    """(id, pos, original, normalized): F-10. Texts are cut once and written; originals repeat, so each distinct one is folded once and joined back."""
     cleaned = F.coalesce(F.col(text), F.lit(""))
     for pattern, to in REMOVED:
         cleaned = F.regexp_replace(cleaned, pattern, to)
     stripped = F.transform(F.split(cleaned, "[,;.]", -1), lambda p: F.regexp_replace(p, r"(?U)^\s+|\s+$", ""))
-    parts = docs.select(F.col(id_col).alias("id"), F.posexplode(stripped).alias("pos", "original")).where("original <> ''")
+    parts = written(docs.select(F.col(id_col).alias("id"), F.posexplode(stripped).alias("pos", "original")).where("original <> ''"), "parts")
+    names = written(normalized(parts.select("original").distinct(), vocabulary), "normalized")
+    return parts.join(names, "original").select("id", "pos", "original", "normalized")
+
+
+def normalized(originals: DataFrame, vocabulary: dict[str, int] | DataFrame | None = None) -> DataFrame:
+    """(original, normalized) of distinct texts (original): F-11; what is shorter than 3 characters has no row. Only long words go through Python: each
+    as it comes by a small vocabulary that every task has, or each distinct one once by a table (word, n) of any size."""
     words = F.filter(F.transform(F.split("original", r"(?U)\s+", -1), fold), lambda w: w != "")
-    parts = parts.withColumn("words", words).withColumn("long", F.exists("words", lambda w: F.length(w) > LONG_WORD))
-    short = parts.where("not long").select("id", "pos", "original", F.array_join("words", " ").alias("normalized"))
+    folded = written(originals.select("original", words.alias("words")), "folded")
+    has_long = F.exists("words", lambda w: F.length(w) > LONG_WORD)
+    short = folded.where(~has_long).select("original", F.array_join("words", " ").alias("normalized"))
     if isinstance(vocabulary, DataFrame):
-        rows = parts.where("long").withColumn("_row", F.monotonically_increasing_id()).select("_row", "id", "pos", "original", F.posexplode("words").alias("nth", "word"))
+        rows = folded.where(has_long).select("original", F.posexplode("words").alias("nth", "word"))
         asked = written(rows.where(F.length("word") > LONG_WORD).select("word").distinct(), "long")
         both = rows.join(written(segmented_words(asked, vocabulary), "segmented"), "word", "left")
         whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", F.coalesce("parts", "word").alias("w")))), lambda x: x["w"]), " ")
-        cut = both.groupBy("_row", "id", "pos", "original").agg(whole.alias("normalized")).drop("_row")
+        cut = both.groupBy("original").agg(whole.alias("normalized"))
         return short.unionByName(cut).where(F.length("normalized") >= 3)
 
     def segmented(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segmenter, known = Segmenter(vocabulary or {}), {}
         for batch in batches:
             out = []
-            for ws in batch.column(3).to_pylist():
+            for ws in batch.column(1).to_pylist():
                 for w in ws:
                     if len(w) > LONG_WORD and w not in known:
                         if len(known) > 500_000:
                             known.clear()
                         known[w] = segmenter.meaningful(w)
                 out.append(" ".join(known[w] if len(w) > LONG_WORD else w for w in ws))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(out, pa.string())], ["id", "pos", "original", "normalized"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["original", "normalized"])
 
-    kind = short.schema["id"].dataType.simpleString()
-    long = parts.where("long").select("id", "pos", "original", "words").mapInArrow(segmented, f"id {kind}, pos int, original string, normalized string")
+    long = folded.where(has_long).mapInArrow(segmented, "original string, normalized string")
     return short.unionByName(long).where(F.length("normalized") >= 3)
 
 
@@ -210,9 +216,8 @@ def matched_texts(asked: DataFrame, ontology: DataFrame) -> DataFrame:
 
 
 def match(toks: DataFrame, ontology: DataFrame) -> DataFrame:
-    """Tokens with (entry, kind, distance). Tokens are written once, as they are read twice; texts repeat, so distinct ones are written once, all layers
-    work on that table, and what they find is joined back once. No match: kind none, distance -1."""
-    toks = written(toks, "tokens")
+    """Tokens with (entry, kind, distance). Texts repeat, so distinct ones are written once, all layers work on that table, and what they
+    find is joined back once. No match: kind none, distance -1."""
     asked = written(toks.select("normalized").distinct(), "asked")
     every = written(matched_texts(asked, ontology), "matched")
     joined = toks.join(every, "normalized", "left")

@@ -155,3 +155,13 @@ def test_tokens_are_made_in_many_tasks(spark, tiny):
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert risk.toks(spark, tiny).select("id").rdd.getNumPartitions() >= n > 2
+
+
+def test_a_text_is_cut_once_and_an_original_folded_once(spark, tiny):
+    """Reading tokens cleans, cuts and folds nothing: it joins what was written of texts with what was written of distinct originals."""
+    from larder.plans import risk
+
+    df = risk.toks(spark, tiny)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("FileScan") == 2 and "split(" not in plan and "regexp_replace" not in plan and "Union" not in plan, plan
