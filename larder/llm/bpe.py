@@ -16,7 +16,7 @@ import itertools
 import os
 import re
 import string
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -98,6 +98,24 @@ class Vocabulary(wordtable.Splitter):
         lens = np.fromiter(map(len, got), np.int64, len(got))
         return lens, np.fromiter(itertools.chain.from_iterable(got), np.int64, int(lens.sum()))
 
+    @functools.cached_property
+    def ids(self) -> Callable[[str], list[int]]:
+        """One word to its ids, as ``encode`` gives them: the library's model alone, without what it notes of each word's characters."""
+        merge, added = self.words_only.model.tokenize, self.added
+        letter = {b: c for c, b in byte_alphabet().items()}
+        letters = "".join(letter[b] for b in range(256))
+        space = letter[32]
+
+        def ids(word: str) -> list[int]:
+            if word in added:
+                return [added[word]]
+            own = word[1:]
+            if word[0] == " " and own.isascii() and own.isalpha():
+                return [t.id for t in merge(space + own)]
+            return [t.id for t in merge(word.encode().decode("latin-1").translate(letters))]
+
+        return ids
+
     @functools.cached_property
     def pieces(self) -> list[bytes]:
         """By id: the bytes of each piece, read back through the byte-level alphabet."""

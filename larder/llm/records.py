@@ -29,6 +29,7 @@ from __future__ import annotations
 import functools
 import gc
 import struct
+import sys
 import uuid
 import zlib
 from array import array
@@ -105,40 +106,45 @@ def offsets(raw: bytes, records: int, size: int) -> np.ndarray:
 
 
 class Remembered:
-    """Pieces of text to the bytes of their ids; a text's new ones are encoded together. It lives as long as the worker: when ``most`` pieces have
+    """Pieces of text to the bytes of their ids; a new one is encoded when it is asked for. It lives as long as the worker: when ``most`` pieces have
     been met, those that weren't met since the last time are forgotten."""
 
     def __init__(self, by: bpe.Vocabulary, most: int) -> None:
         self.by, self.most, self.width = by, most, np.dtype(by.kind).itemsize
-        self.recent: dict = {}
         self.older: dict = {}
+        self.recent = Met(self)
 
     def ids(self, text: str) -> bytes:
-        pieces = self.by.cut(text)
-        found = list(map(self.recent.get, pieces))
-        if None in found:
-            missing = [i for i, ids in enumerate(found) if ids is None]
-            self._learn({pieces[i] for i in missing})
-            for i in missing:
-                found[i] = self.recent[pieces[i]]
-            if len(self.recent) > self.most:
-                self.older, self.recent = self.recent, {}
-        return b"".join(found)
-
-    def _learn(self, pieces: set) -> None:
-        recent, older = self.recent, self.older
-        fresh = [p for p in pieces if p not in older]
-        if len(fresh) < len(pieces):
-            recent.update((p, older[p]) for p in pieces if p in older)
-        # a word is a piece too, so that one with a mark behind it needs only the mark
-        parts = [[p if isinstance(p, tuple) and p[1] else w[1:] if w[0] == " " < w else (w, False) for w in self.by.words(p)] for p in fresh]
-        new = list({x for xs in parts for x in xs if x not in recent})
-        lens, ids = self.by.encode([" " + x if isinstance(x, str) else x[0] for x in new])
-        raw, ends = ids.astype(f"<u{self.width}").tobytes(), (np.cumsum(lens) * self.width).tolist()
-        recent.update(zip(new, [raw[a:b] for a, b in zip([0, *ends], ends)]))
-        for p, xs in zip(fresh, parts):
-            if xs != [p]:
-                recent[p] = b"".join([recent[x] for x in xs])
+        found = b"".join(map(self.recent.__getitem__, self.by.cut(text)))
+        if len(self.recent) > self.most:
+            self.older = self.recent
+            self.older.older, self.recent = {}, Met(self)
+        return found
+
+
+class Met(dict):
+    """The pieces met lately. What it lacks it takes from the older ones, or encodes."""
+
+    def __init__(self, whole: Remembered) -> None:
+        self.older, self.by, self.ids, self.kind = whole.older, whole.by, whole.by.ids, f"<u{whole.width}"
+        self.code = {2: "H", 4: "I"}[whole.width] if sys.byteorder == "little" else ""
+
+    def __missing__(self, piece) -> bytes:
+        raw = self.older.get(piece)
+        if raw is None:
+            if isinstance(piece, str) and piece.isascii() and piece.isalpha():  # most are a word
+                raw = self._encoded(" " + piece)
+            else:
+                words = self.by.words(piece)
+                # a word is a piece too, so that one with a mark behind it needs only the mark
+                parts = [piece if isinstance(piece, tuple) and piece[1] else w[1:] if w[0] == " " < w else (w, False) for w in words]
+                raw = self._encoded(words[0]) if parts == [piece] else b"".join([self[x] for x in parts])
+        self[piece] = raw
+        return raw
+
+    def _encoded(self, word: str) -> bytes:
+        ids = self.ids(word)
+        return array(self.code, ids).tobytes() if self.code else np.array(ids, self.kind).tobytes()
 
 
 @functools.lru_cache(maxsize=1)

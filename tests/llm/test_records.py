@@ -57,6 +57,21 @@ def test_frame_layout_and_damage():
             records.offsets(raw, 1, 10)
 
 
+def test_a_new_word_goes_to_the_model_alone_and_once(monkeypatch):
+    """Its ids are those of the whole library; a piece that was met, lately or before, isn't encoded again."""
+    by = bpe.vocabulary(BPE)
+    words = [" the", "the", " ", "  \n", "\n", " é", "ção", " ßx", "日本語", " 12345", "...", "'s", "a" * 500, "\x00\x1f\x7f", "\u00a0", " 😀", "don", " Éa" * 90, *by.added]
+    lens, ids = by.encode(words)
+    assert [by.ids(w) for w in words] == [x.tolist() for x in np.split(ids, np.cumsum(lens)[:-1])]
+    asked, of = [], by.ids
+    monkeypatch.setattr(by, "ids", lambda w: asked.append(w) or of(w))
+    monkeypatch.setattr(by, "encode", None)
+    known = records.Remembered(by, 4)
+    first = known.ids("one two one, two. three one")
+    assert sorted(asked) == sorted({*asked}) and known.older and not known.recent and not known.older.older
+    assert known.ids("one two one, two. three one") == first and len(asked) == len({*asked})
+
+
 def test_encoding_forgets_and_learns_again():
     r = random.Random(2)
     known = records.Remembered(bpe.vocabulary(BPE), 20)
