@@ -140,8 +140,9 @@ def o05(spark, d):
 @query("p23_sublists", f"{MATCH} select id, original, case when risk in ('ALTO', 'MODERADO-ALTO') then 'high' else 'sweetener' end as list from dedup where risk in ('ALTO', 'MODERADO-ALTO') or (class in ('edulcorante_artificial', 'edulcorante_natural') and risk in ('BAIXO', 'SEGURO'))")
 def p23(spark, d):
     r = I.report(matches(spark, d), ontology(spark))
-    high = r.select("id", F.explode("high_risk").alias("original"), F.lit("high").alias("list"))
-    return high.unionByName(r.select("id", F.explode("safe_sweeteners").alias("original"), F.lit("sweetener").alias("list")))
+    named = lambda c, name: F.transform(c, lambda x: F.struct(x.alias("original"), F.lit(name).alias("list")))
+    both = r.select("id", F.concat(named("high_risk", "high"), named("safe_sweeteners", "sweetener")).alias("both"))
+    return both.select("id", F.explode("both").alias("x")).select("id", "x.original", "x.list")
 
 
 @query("o11_first_unmatched", f"""{MATCH}, u as (select id, original, row_number() over (partition by id order by pos) as r, count(*) over (partition by id) as n from matched where entry is null)

@@ -165,3 +165,14 @@ def test_a_text_is_cut_once_and_an_original_folded_once(spark, tiny):
     df.collect()
     plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert plan.count("FileScan") == 2 and "split(" not in plan and "regexp_replace" not in plan and "Union" not in plan, plan
+
+
+def test_sublists_of_one_report(spark, tiny):
+    """Every name of both lists has a row, also where a document has one list or both."""
+    from larder.plans import risk
+
+    r = risk.I.report(risk.matches(spark, tiny), risk.ontology(spark)).collect()
+    want = sorted((x["id"], o, name) for x in r for c, name in (("high_risk", "high"), ("safe_sweeteners", "sweetener")) for o in x[c])
+    df = risk.p23(spark, tiny)
+    assert "Union" not in df._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, df.collect())) == want and {w[2] for w in want} == {"high", "sweetener"}
