@@ -242,7 +242,7 @@ def report(matches: DataFrame, ontology: DataFrame) -> DataFrame:
     entries = matches.repartition("id").groupBy("id", "entry").agg(F.count(F.lit(1)).alias("n"), F.min(token).alias("m"), F.collect_list(F.when(F.col("entry").isNull(), F.struct("pos", "original"))).alias("u"))
     known = entries.join(ontology.drop("synonyms"), "entry", "left").withColumn("rank", risk_rank(F.col("risk")))
     alert = F.struct("rank", "m.pos", "m.original", "display", "class", "risk", "m.kind", "m.distance")
-    grouped = known.groupBy("id").agg(F.sum("n").alias("tokens"), F.array_sort(F.collect_list(F.when(F.col("entry").isNotNull(), alert))).alias("alerts"), F.array_sort(F.flatten(F.collect_list("u"))).alias("u"))
+    grouped = known.groupBy("id").agg(F.sum("n").alias("tokens"), F.sort_array(F.collect_list(F.when(F.col("entry").isNotNull(), alert))).alias("alerts"), F.sort_array(F.flatten(F.collect_list("u"))).alias("u"))
     names = lambda keep: F.transform(F.filter("alerts", keep), lambda a: a["original"])
     return grouped.select(
         "id",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from larder.operators import ingredients as I
@@ -24,7 +25,10 @@ ONTOLOGY = [
 
 
 def ontology(spark):
-    return spark.createDataFrame(ONTOLOGY, "entry int, display string, class string, risk string, gi string, synonyms array<string>").withColumn("gi", F.when(~F.col("gi").isin("", "N/A"), F.col("gi")))
+    """From an Arrow table, so that its size is known when a query is planned: it is broadcast, rows aren't dealt out by its few entries."""
+    columns = {"entry": pa.int32(), "display": pa.string(), "class": pa.string(), "risk": pa.string(), "gi": pa.string(), "synonyms": pa.list_(pa.string())}
+    rows = pa.table([pa.array(values, kind) for values, kind in zip(zip(*ONTOLOGY), columns.values())], names=list(columns))
+    return spark.createDataFrame(rows).withColumn("gi", F.when(~F.col("gi").isin("", "N/A"), F.col("gi")))
 
 
 TEXT = "p_name || ', ' || lower(p_type) || ' ' || split(p_name, ' ')[{i}] || 's; INS ' || (300 + p_size) || ', (' || p_brand || ') ' || reverse(split(p_name, ' ')[{j}]) || '. NOTA DE TESTE: xx ' || split(p_name, ' ')[{j}] || ' yy, new| bol, ' || split(p_name, ' ')[{i}]"

@@ -176,3 +176,13 @@ def test_sublists_of_one_report(spark, tiny):
     df = risk.p23(spark, tiny)
     assert "Union" not in df._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, df.collect())) == want and {w[2] for w in want} == {"high", "sweetener"}
+
+
+def test_a_report_deals_tokens_out_once(spark, tiny):
+    """Tokens go by document in one shuffle, never by the few entries of an ontology; sublists are two lists of one report."""
+    from larder.plans import risk
+
+    for query in (risk.f30, risk.p23):
+        plan = query(spark, tiny)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "hashpartitioning(entry" not in plan, plan
+        assert plan.count("FileScan") == 3, plan
