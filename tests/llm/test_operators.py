@@ -478,6 +478,24 @@ def test_boilerplate_costs_in_proportion(spark, monkeypatch):
     assert seen["again"] + seen["probes"] < 2 * len(data) and seen["prefixes"] < 60 * len(data)
 
 
+def test_broadcasts_are_small_for_the_driver(spark):
+    hinted = lambda n: "ResolvedHint" in neardup.small(spark.range(3), n)._jdf.queryExecution().analyzed().toString()
+    assert hinted(100_000) and not hinted(250_000)
+    edges = spark.createDataFrame([(1, 2)], "u long, v long")
+    joined = lambda n: components._with_minimum(edges, n)[0]._jdf.queryExecution().analyzed().toString()
+    assert "ResolvedHint" in joined(100_000) and "ResolvedHint" not in joined(250_000)
+
+
+def test_near_duplicates_without_broadcasts(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BROADCAST_MEMBERS", 0)
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    monkeypatch.setattr(components, "BROADCAST_NODES", 0)
+    base = [f"w{i}" for i in range(200)]
+    data = [(i, " ".join(base[i * 3 : i * 3 + 120])) for i in range(20)] + [(100 + i, " ".join(base[:60])) for i in range(3)]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    assert {r[0]: r[1:] for r in rows(neardup.near_duplicates(docs, 2))} == plain_groups(data, 2)
+
+
 def test_near_duplicates_odd_rows(spark):
     got = sorted(rows(neardup.near_duplicates(odd_documents(spark), 2)), key=str)
     assert len(got) == len(ROWS)
