@@ -326,11 +326,10 @@ def s04_files(spark, d):
     """Pictures to PNG files and back; of every four, one file is cut and one isn't of a picture."""
     from larder.functions import codecs
 
-    shown = pictures(spark, d).select("p_partkey", "height", "width", "pixels")
     content = F.expr("case key % 4 when 2 then substring(content, 1, octet_length(content) - 9) when 3 then cast('GIF89a' as binary) else content end")
-    read = codecs.decoded(codecs.encoded(shown, "p_partkey").select("key", content.alias("content")), "key").withColumnRenamed("pixels", "found")
-    both = read.join(shown.select(F.col("p_partkey").alias("key"), "pixels"), "key")
-    return both.select("key", "height", "width", F.coalesce(F.col("found") == F.col("pixels"), F.lit(False)).alias("same"))
+    # a picture goes along with its file: a join by key would bring all pixels together, and the planner, which can't know their size, broadcasts them
+    files = codecs.encoded(pictures(spark, d), "p_partkey", ["pixels"]).select("key", F.col("pixels").alias("drawn"), content.alias("content"))
+    return codecs.decoded(files, "key").select("key", "height", "width", F.coalesce(F.col("pixels") == F.col("drawn"), F.lit(False)).alias("same"))
 
 
 @query("s04_unreadable_images")

@@ -177,3 +177,12 @@ def test_files_to_pixels_and_back(spark, tiny, tmp_path):
     want = {r["p_partkey"]: (r["height"], r["width"], r["pixels"]) for r in made.collect()}
     assert {k: got[k] for k in want} == want
     assert got[90][:2] == (16, 16) and got[91] == got[92] == (None, None, None)
+
+
+def test_pictures_go_along_with_their_files(spark, tiny):
+    from larder.plans import extras
+
+    found = extras.s04_files(spark, tiny)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()  # a join would broadcast all pixels
+    rows = found.collect()
+    assert rows and all(r["same"] == (r["key"] % 4 < 2) == (r["height"] is not None) for r in rows)
