@@ -189,8 +189,7 @@ def i01(spark, d):
 @query("i27_preset_pipelines")
 def i27(spark, d):
     """The image steps of every preset."""
-    joined = pictures(spark, d).withColumn("steps", F.explode(F.array(*[F.lit(p[-1]) for p in P.PRESETS if p[-1]])))
-    return images.processed(joined, "p_partkey", "steps")
+    return images.processed(pictures(spark, d).withColumn("steps", F.array(*[F.lit(p[-1]) for p in P.PRESETS if p[-1]])), "p_partkey", "steps")
 
 
 @query("i23_grid_density", f"""select p_partkey as key, case when shown in ('panel', 'text', 'aslant', 'blank') then 0.0

@@ -281,3 +281,43 @@ def test_pictures_are_taken_from_a_batch_one_at_a_time(spark, monkeypatch):
         assert sum(b.num_rows for b in run([batch])) in (0, n)
         assert tracemalloc.get_traced_memory()[1] < 20_000_000  # all pixels of the batch are 32 MB
         tracemalloc.stop()
+
+
+def test_lists_of_steps_share_what_they_begin_with(monkeypatch):
+    image = np.random.default_rng(4).integers(0, 256, (40, 50)).astype(np.uint8)
+    several = ["grayscale; median_blur kernel_size=3; invert", "", "grayscale; median_blur kernel_size=3", "grayscale; median_blur kernel_size=3; otsu_threshold", "invert", "grayscale; median_blur kernel_size=5", "invert"]
+    plain, made, apply = {steps: I.apply_steps(image, steps) for steps in several}, [], I.apply_steps
+    monkeypatch.setattr(I, "apply_steps", lambda image, steps: made.append(steps) or apply(image, steps))
+    found = dict(I.after_each(image, several))
+    assert sorted(found) == list(range(7)) and all((found[at] == plain[steps]).all() for at, steps in enumerate(several))
+    assert sorted(made) == ["grayscale", "invert", "invert", "median_blur kernel_size=3", "median_blur kernel_size=5", "otsu_threshold"]
+    with pytest.raises(ValueError):
+        list(I.after_each(image, ["invert", "blur"]))
+
+
+def test_equal_pictures_are_worked_on_once(spark, monkeypatch):
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    empty = spark.createDataFrame([], "k long, height int, width int, pixels binary").withColumn("steps", F.array(F.lit("invert"), F.lit("")))
+    tasks, made, apply = [], [], I.apply_steps
+    monkeypatch.setattr(type(empty), "mapInArrow", lambda df, run, schema: tasks.append(run))
+    monkeypatch.setattr(I, "apply_steps", lambda image, steps: made.append(steps) or apply(image, steps))
+    monkeypatch.setattr(I, "MOST_KNOWN", 2)
+    I._known.clear()
+    I.processed(empty, "k", "steps")
+    dark, light, cut = bytes(12), bytes([200] * 12), bytes(5)
+    given = [(1, 3, 4, dark), (2, 3, 4, light), (3, 3, 4, dark), (4, 4, 3, dark), (5, 3, 4, cut), (6, 3, 4, None), (7, 3, 4, light)]
+    batch = pa.RecordBatch.from_pylist([dict(zip(("key", "height", "width", "pixels"), row)) | {"steps": ["invert", ""]} for row in given])
+    out = [tuple(r.values())[:5] for b in tasks[0]([batch, batch.slice(0, 0)]) for r in b.to_pylist()]
+    assert out[:6] == [(1, "invert", 3, 4, 0.0), (1, "", 3, 4, 1.0), (2, "invert", 3, 4, 1.0), (2, "", 3, 4, 0.0), (3, "invert", 3, 4, 0.0), (3, "", 3, 4, 1.0)]
+    assert out[6:8] == [(4, "invert", 4, 3, 0.0), (4, "", 4, 3, 1.0)] and out[8:12] == [(5, "invert", None, None, None), (5, "", None, None, None), (6, "invert", None, None, None), (6, "", None, None, None)]
+    assert out[12:] == [(7, "invert", 3, 4, 1.0), (7, "", 3, 4, 0.0)]
+    assert made == ["invert"] * 4 and len(I._known) <= 2  # three pictures, and one that was forgotten
+
+
+def test_pixels_are_sent_once_for_all_steps(spark, tiny):
+    from larder.plans import extras
+
+    for query in (extras.i27,):
+        assert "Generate" not in query(spark, tiny)._jdf.queryExecution().optimizedPlan().toString()
