@@ -319,5 +319,5 @@ def test_equal_pictures_are_worked_on_once(spark, monkeypatch):
 def test_pixels_are_sent_once_for_all_steps(spark, tiny):
     from larder.plans import extras
 
-    for query in (extras.i27,):
+    for query in (extras.i01, extras.i27):
         assert "Generate" not in query(spark, tiny)._jdf.queryExecution().optimizedPlan().toString()
